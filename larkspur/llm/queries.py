@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, quality
+from larkspur.llm import mixing, near_dup, quality
 from larkspur.llm._shared import table
 
 
@@ -17,5 +17,9 @@ def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op5_pivotal_mix, op9_suffix_repetition)}
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op5_pivotal_mix, op9_suffix_repetition, op10_bag_minhash)}
 SQL: dict[str, str] = {}
