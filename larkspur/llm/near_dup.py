@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._shared import Words, chunks, mix, small, stored, uniform, utf8
@@ -15,6 +15,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 25 = 0.99995.
 BANDS, ROWS = 25, 5
+#: Texts left to compare pair by pair get longer signatures. A pair of similarity 0.8 differs in 101 of 504 components
+#: on average, and in over 137 with probability 0.00004.
+LONG, MOST_DIFFER = 504, 137
+#: Components that one long holds, of seven bits each in a byte.
+LANES = 7
 
 
 def bags(buf: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +106,52 @@ def _shingle_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, shingles binary, counts binary")
 
 
+def _shingle_rows(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, bounds = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(bounds):
+                at = bounds[lo : hi + 1]
+                shingle, doc, count = bags(buf[at[0] : at[-1]], at - at[0], size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], ["id", "shingle", "m"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, shingle long, m long")
+
+
+def lone_weight(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """id, lone: the weight of the shingles that no other of these texts has (rows only where there is any)."""
+    per = _shingle_rows(docs, size).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"), F.max("m").alias("m"))
+    return per.filter("n = 1").groupBy("id").agg(F.sum("m").alias("lone"))
+
+
+def long_signatures(docs: DataFrame, m: int = LONG, size: int = SHINGLE) -> DataFrame:
+    """(id, text) -> id, marks: seven bits of each of m components, LANES to a long."""
+    longs = -(-m // LANES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, bounds = utf8(batch.column(1))
+            for lo, hi in chunks(bounds):
+                at = bounds[lo : hi + 1]
+                n = hi - lo
+                shingle, doc, count = bags(buf[at[0] : at[-1]], at - at[0], size)
+                sig = bag_min_hash(shingle, doc, count, n, m)
+                lane = np.zeros((n, longs * LANES), np.int64)
+                lane[:, :m] = (mix(sig.view(np.uint64)) & np.uint64(127)).astype(np.int64)
+                packed = (lane.reshape(n, longs, LANES) << (8 * np.arange(LANES))).sum(axis=2)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * longs), pa.array(packed.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.slice(lo, n).column(0), marks], ["id", "marks"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, marks array<long>")
+
+
+def differing(x: Column, y: Column, longs: int) -> Column:
+    """In how many components two signatures' marks differ."""
+    ones, high = F.lit(int("7f" * LANES, 16)).cast("long"), F.lit(int("80" * LANES, 16)).cast("long")
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count((p.bitwiseXOR(q) + ones).bitwiseAND(high))), F.lit(0), lambda a, b: a + b)
+
+
 def overlap(x: bytes, nx: bytes, y: bytes, ny: bytes) -> float:
     """Weighted Jaccard similarity of two bags: the sum of the smaller counts over that of the larger ones."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -142,14 +193,24 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+def _undecided(band: DataFrame, label: DataFrame) -> DataFrame:
+    """Band rows, with class_id, of the buckets whose texts are in several classes."""
+    placed = band.join(label, band["rep"] == label["id"], "left").select(*[band[c] for c in band.columns], F.coalesce("class_id", "rep").alias("class_id"))
+    mixed = placed.groupBy("band").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("band")
+    return placed.join(mixed, "band", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, most_differ: int = MOST_DIFFER, size: int = SHINGLE) -> DataFrame:
     """Per row of docs: its id, same_text (the smallest id of equal texts) and class_id (the smallest id of its class).
 
     Texts are linked if the bags of their `size`-word shingles have a weighted Jaccard similarity of `similarity` or
     more; classes are what links connect. Equal texts are first taken as one. In each band bucket every text is
-    verified against one pivot, the one with the smallest hash of all, so a bucket of n texts gives n - 1 pairs; then
-    whatever texts of a bucket are still in different classes are verified pair by pair, so no link is lost to the
-    short cut. Links come from exact bags, never from signatures alone.
+    verified against one pivot, the one with the smallest hash of all, so a bucket of n texts gives n - 1 pairs, and
+    where it still holds several classes, against the text that has most of its weight in common with others. What is
+    then left in different classes is verified pair by pair, so no link is lost to the short cuts. Two bounds keep
+    these pairs few: what two texts share is at most the weight of either's shingles that any other such text has, and
+    must be similarity / (1 + similarity) of both weights; and longer signatures that differ in over most_differ
+    components are as unlikely for a link as to share no band. Links come from exact bags alone.
 
     Texts of fewer than `size` words are one shingle; null texts and texts without words are equal to each other, and
     near to nothing else. Repeated ids count as one document; a null id is classed by its text alone (null if no equal
@@ -165,17 +226,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     pairs = stored(pairs, "near-pairs")
     edges = stored(verified(pairs, docs, similarity, size), "near-links")
     label = components(edges)
-    placed = band.join(label, band["rep"] == label["id"], "left").select("band", "rep", "weight", F.coalesce("class_id", "rep").alias("class_id"))
-    mixed = placed.groupBy("band").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("band")
-    open_ = stored(placed.join(mixed, "band", "left_semi"), "near-open")
-    x = open_.select("band", F.col("rep").alias("a"), F.col("weight").alias("wa"), F.col("class_id").alias("ca"))
-    y = open_.select("band", F.col("rep").alias("b"), F.col("weight").alias("wb"), F.col("class_id").alias("cb"))
-    size_ok = F.least("wa", "wb") >= F.lit(similarity) * F.greatest("wa", "wb")
-    rest = x.join(y, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size_ok).select("a", "b").distinct()
+    placed = _undecided(band, label)
+    ids = stored(placed.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
+    texts = docs.join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+    lone = stored(lone_weight(texts, size), "near-lone")
+    placed = placed.join(small(lone), placed["rep"] == lone["id"], "left").withColumn("common", F.col("weight") - F.coalesce("lone", F.lit(0))).drop("id")
+    placed = stored(placed, "near-open")
+    center = placed.groupBy("band").agg(F.max(F.struct((F.col("common") / F.col("weight")).alias("share"), F.col("rep").alias("pivot"))).alias("p")).select("band", "p.pivot")
+    again = placed.join(center, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    again = stored(again.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    pairs = pairs.union(again)
+    edges = stored(edges.union(verified(again, docs, similarity, size)), "near-links")
+    label = components(edges)
+
+    rest = _undecided(placed.drop("class_id"), label).filter(F.col("common") >= F.lit(similarity) * F.col("weight"))
+    marks = stored(long_signatures(texts, LONG, size), "near-marks")
+    rest = rest.join(marks, rest["rep"] == marks["id"]).drop("id").join(reps.select("rep", "bands"), "rep")
+    x = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
+    y = rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
+    possible = F.least("common_x", "common_y") * (1 + similarity) >= F.lit(similarity) * (F.col("weight_x") + F.col("weight_y"))
+    alike = differing(F.col("marks_x"), F.col("marks_y"), -(-LONG // LANES)) <= most_differ
+    once = x["band"] == F.array_min(F.array_intersect("bands_x", "bands_y"))
+    rest = x.join(y, (x["band"] == y["band"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("class_id_x") != F.col("class_id_y")) & possible & alike & once)
+    rest = rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        more = stored(verified(rest, docs, similarity, size), "near-more")
-        if more.limit(1).count():
-            label = components(edges.select("a", "b").union(more.select("a", "b")))
+        edges = stored(edges.union(verified(rest, docs, similarity, size)), "near-links")
+        label = components(edges)
     classes = reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
     return sig.select("id", "text_key").join(classes, "text_key").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
