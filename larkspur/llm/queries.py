@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, licenses, mixing, near_dup, quality
+from larkspur.llm import chat, decontaminate, licenses, mixing, near_dup, pii, quality
 from larkspur.llm._shared import table
 
 
@@ -21,6 +21,14 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The key of the registered query; a real run passes its own secret.
+PII_KEY = "registered query"
+
+
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op4_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,5 +41,5 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
 SQL = {"op8_chat_snapshots": chat.SQL}
