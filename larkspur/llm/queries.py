@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, licenses, mixing, near_dup, pii, quality
-from larkspur.llm._shared import table
+from larkspur.llm import chat, decontaminate, licenses, mixing, near_dup, pii, quality, warc
+from larkspur.llm._shared import shared_dir, table
 
 
 def op5_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,5 +47,5 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
 SQL = {"op8_chat_snapshots": chat.SQL}
