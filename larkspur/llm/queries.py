@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, licenses, mixing, near_dup, pii, quality, warc
+from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, pii, quality, warc
 from larkspur.llm._shared import shared_dir, table
 
 
@@ -35,6 +35,11 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return langid.identified(table(spark, sf_dir, "documents"), F.coalesce(held_out, F.lit(False)))
+
+
 def op4_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,5 +52,5 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op3_kneser_ney_langid, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
 SQL = {"op8_chat_snapshots": chat.SQL}
