@@ -105,7 +105,7 @@ def _round(keys: list[str], seed: int, level: int, last: bool):
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, budget: float = BUDGET, cap: float = CAP, block_rows: int = BLOCK_ROWS, seed: int = 5) -> DataFrame:
-    """Per row of docs: its id, size (words), source_size, target, copies and taken = copies * size.
+    """Per row of docs: its id, text_key (XXH64 of the text), source, size (words), source_size, target, copies and taken = copies * size.
 
     Each row of a source gets the same expected number of copies, target / source_size. Its whole part is fixed; the
     fraction is a probability, rounded by the pivotal method: within blocks of equal source and size class, in order of
@@ -117,9 +117,9 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own, last in order.
     Repeated rows are rounded as rows of their own. An empty table gives an empty result.
     """
-    sizes = stored(docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sizes = stored(docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")), "mix-sizes")
     goal = small(stored(targets(sizes, weights, budget, cap), "mix-targets"))
-    rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select("id", sizes["source"], "size", "source_size", "target")
+    rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select("id", "text_key", sizes["source"], "size", "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = max(1, math.ceil(sizes.count() / block_rows))
     rows = rows.withColumn("whole", F.floor(rate + F.lit(_NEAR)).cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(rate - F.col("whole"), F.lit(0.0))).otherwise(0.0))
@@ -144,4 +144,4 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     for part in done[1:]:
         out = out.unionByName(part)
     copies = F.col("whole") + F.col("extra")
-    return out.select(F.col("id").alias(id), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id), "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

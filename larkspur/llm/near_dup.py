@@ -255,3 +255,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
         label = components(edges)
     classes = reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
     return sig.select("id", "text_key").join(classes, "text_key").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of its class; of rows of one id one stays, and of rows without an id one for each text."""
+    gone = stored(near_duplicates(docs, id, text, **options).filter(F.col(id).isNotNull() & (F.col(id) != F.col("class_id"))).select(id).distinct(), "near-gone")
+    twice = stored(docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(id), "near-twice")
+    kept = docs.filter(F.col(id).isNotNull()).join(small(gone), id, "left_anti")
+    once = kept.join(small(twice), id, "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(small(twice), id, "left_semi").dropDuplicates([id]).select(*docs.columns)).unionByName(docs.filter(F.col(id).isNull()).dropDuplicates([text]))

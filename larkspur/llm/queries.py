@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, pii, quality, warc
+from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, pii, quality, suffix_dedup, warc
 from larkspur.llm._shared import shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op4_simhash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op3_kneser_ney_langid, op4_simhash_leaks, op5_pivotal_mix, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op3_kneser_ney_langid, op4_simhash_leaks, op5_pivotal_mix, op6_suffix_array_dedup, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
 SQL = {"op8_chat_snapshots": chat.SQL}
