@@ -193,6 +193,17 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links: only classes that these connect are looked at, not the links within them."""
+    at = lambda side: label.select(F.col("id").alias(side), F.col("class_id").alias(f"class_{side}"))
+    between = links.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    between = between.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).filter("a <> b").distinct()
+    top = components(between)
+    high = top.select(F.col("id").alias("class_id"), F.col("class_id").alias("high"))
+    moved = label.join(high, "class_id", "left").select("id", F.coalesce("high", "class_id").alias("class_id"))
+    return stored(moved.unionByName(top.join(label.select("id"), "id", "left_anti")), "near-label")
+
+
 def _undecided(band: DataFrame, label: DataFrame) -> DataFrame:
     """Band rows, with class_id, of the buckets whose texts are in several classes."""
     placed = band.join(label, band["rep"] == label["id"], "left").select(*[band[c] for c in band.columns], F.coalesce("class_id", "rep").alias("class_id"))
@@ -236,8 +247,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     again = placed.join(center, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     again = stored(again.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     pairs = pairs.union(again)
-    edges = stored(edges.union(verified(again, docs, similarity, size)), "near-links")
-    label = components(edges)
+    label = extended(label, stored(verified(again, docs, similarity, size), "near-links"))
 
     rest = _undecided(placed.drop("class_id"), label).filter(F.col("common") >= F.lit(similarity) * F.col("weight"))
     marks = stored(long_signatures(texts, LONG, size), "near-marks")
@@ -251,8 +261,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     rest = rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        edges = stored(edges.union(verified(rest, docs, similarity, size)), "near-links")
-        label = components(edges)
+        label = extended(label, stored(verified(rest, docs, similarity, size), "near-links"))
     classes = reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
     return sig.select("id", "text_key").join(classes, "text_key").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
 
