@@ -23,12 +23,14 @@ from larkspur.llm._shared import _INVERSE, _ODD, chunks, mix, small, stored, utf
 LENGTH = 100
 #: Bytes of the k-grams among which a window's anchor is chosen.
 ANCHOR = 60
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
 #: Bytes of text for each of the groups in which shards meet.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 #: Bytes up to which intervals may be broadcast, after they were summed up.
 BROADCAST_BYTES = 32 << 20
 _LANES, _FAR = 8192, 128
+#: Hashes that a task holds before it hands them on.
+_LOT_HASHES = 2_000_000
 
 
 def span_hashes(buf: np.ndarray, size: int) -> np.ndarray:
@@ -183,7 +185,7 @@ def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length
     return out[np.searchsorted(held, start)]
 
 
-_PACK = "pack long, ids binary, bounds binary, text binary"
+_PACK = "pack long, lot long, ids binary, bounds binary, text binary"
 _PART = "kind int, part int, pack long, docs binary, froms binary, tos binary, text binary"
 
 
@@ -192,15 +194,16 @@ def _packed(docs: DataFrame, pack_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
-        for batch in batches:
+        for lot, batch in enumerate(batches):
             by = pa.compute.sort_indices(batch.column(0))
             ids = batch.column(0).take(by).to_numpy()
             buf, bounds = utf8(batch.column(1).take(by))
             for lo, hi in chunks(bounds, pack_bytes):
                 at = bounds[lo : hi + 1]
-                row = [(TaskContext.get().partitionId() << 32) + made, ids[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
+                task = TaskContext.get().partitionId() << 32
+                row = [task + made, task + lot, ids[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["pack", "ids", "bounds", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["pack", "lot", "ids", "bounds", "text"])
 
     return docs.mapInArrow(run, _PACK)
 
@@ -214,31 +217,46 @@ def _parts(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One at a time: packs are large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _anchor_sets(packs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
-    """Per pack and group the sorted hashes of its anchors, those of several windows apart twice."""
+    """Per lot of packs and group the sorted hashes of the anchors, those of several windows apart twice."""
+
+    def cut(lot: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        own, n = np.unique(np.concatenate(held), return_counts=True)
+        own = np.repeat(own, np.minimum(n, 2))
+        group = _parts(own, parts)
+        at = np.flatnonzero(np.diff(group, prepend=-1))
+        return pa.RecordBatch.from_arrays([pa.array(group[at].astype(np.int32)), pa.array([lot] * len(at), pa.int64()), pa.array([x.tobytes() for x in np.split(own, at[1:])], pa.binary())], ["part", "lot", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                _, bounds, buf = _unpacked(row)
+            for row in _rows(batch):
+                if held and (row["lot"] != lot or sum(map(len, held)) > _LOT_HASHES):
+                    yield cut(lot, held)
+                    held = []
+                lot, (_, bounds, buf) = row["lot"], _unpacked(row)
                 _, place, h = anchors(buf, bounds, length, k)
-                own, n = np.unique(h[np.unique(place)], return_counts=True)
-                own = np.repeat(own, np.minimum(n, 2))
-                group = _parts(own, parts)
-                cut = np.flatnonzero(np.diff(group, prepend=-1))
-                if len(cut):
-                    yield pa.RecordBatch.from_arrays([pa.array(group[cut].astype(np.int32)), pa.array([row["pack"]] * len(cut), pa.int64()), pa.array([x.tobytes() for x in np.split(own, cut[1:])], pa.binary())], ["part", "pack", "hashes"])
+                if len(place):
+                    held.append(h[np.unique(place)])
+        if held:
+            yield cut(lot, held)
 
-    return packs.mapInArrow(run, "part int, pack long, hashes binary")
+    return packs.mapInArrow(run, "part int, lot long, hashes binary")
 
 
 def _again(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which of a group's hashes occur more than once, for each pack that has them."""
+    """Which of a group's hashes occur more than once, for each lot that has them."""
     own = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
     key, n = np.unique(np.concatenate(own), return_counts=True)
     twice = key[n > 1]
-    out = [(p, x) for p, x in zip(pdf["pack"], (o[np.isin(o, twice)] for o in own), strict=True) if len(x)]
-    return pd.DataFrame({"pack": [p for p, _ in out], "hashes": [np.unique(x).tobytes() for _, x in out]})
+    out = [(p, x) for p, x in zip(pdf["lot"], (o[np.isin(o, twice)] for o in own), strict=True) if len(x)]
+    return pd.DataFrame({"lot": [p for p, _ in out], "hashes": [np.unique(x).tobytes() for _, x in out]})
 
 
 def _within(length: int, k: int, parts: int):
@@ -246,7 +264,7 @@ def _within(length: int, k: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, bounds, buf = _unpacked(row)
                 again = np.sort(np.frombuffer(b"".join(row["again"]), np.uint64))
                 start, place, h = anchors(buf, bounds, length, k)
@@ -298,9 +316,10 @@ def _between(length: int):
         buf = np.frombuffer(b"".join(pdf["text"]), np.uint8)
         base = np.cumsum(size) - size
         n = size - length + 1
-        of = np.repeat(np.arange(len(lo)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spot, d, at, pack = base[of] + inner, doc[of], lo[of] + inner, pack[of]
+        spot, at = np.repeat(base, n) + inner, np.repeat(lo, n) + inner
+        d, pack = np.repeat(doc, n), np.repeat(pack, n)
+        del inner
         key = span_hashes(buf, length)[spot]
         merged = np.unique(key)
         age = np.empty(len(d), np.int64)
@@ -328,7 +347,7 @@ def _between(length: int):
 def _intervals(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int64)) for c in ("docs", "froms", "tos")], ["id", "lo", "hi"])
 
     return found.select("docs", "froms", "tos").mapInArrow(run, "id long, lo long, hi long")
@@ -372,8 +391,8 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
 
     packs = stored(_packed(rest.filter("id is not null"), pack_bytes), "suffix-packs")
     sets = _anchor_sets(packs, length, k, parts)
-    again = sets.groupBy("part").applyInPandas(_again, "pack long, hashes binary").groupBy("pack").agg(F.collect_list("hashes").alias("again"))
-    found = stored(packs.join(again, "pack").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
+    again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
+    found = stored(packs.join(again, "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
     crossed = found.filter("kind = 1").groupBy("part").applyInPandas(_between(length), "id long, lo long, hi long")
     spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = stored(spans, "suffix-spans")
