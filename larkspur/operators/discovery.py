@@ -15,10 +15,9 @@ ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&
 
 
 def decoded(c: Column) -> Column:
-    """Named entities, and numeric ones of printable ASCII, as characters."""
-    for n in range(32, 127):
-        if n != 38:
-            c = F.when(F.contains(c, F.lit("&#")), F.replace(F.replace(c, F.lit(f"&#{n};"), F.lit(chr(n))), F.lit(f"&#x{n:x};"), F.lit(chr(n)))).otherwise(c) if n in (34, 39, 45, 46, 47, 58, 61, 63) else c
+    """Named entities, and the numeric ones of what URLs are written with, as characters."""
+    for char in "\"'-./:=?":
+        c = F.replace(F.replace(c, F.lit(f"&#{ord(char)};"), F.lit(char)), F.lit(f"&#x{ord(char):x};"), F.lit(char))
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c

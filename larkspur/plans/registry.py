@@ -38,8 +38,8 @@ toks AS (SELECT *, list_filter(list_transform(CASE WHEN len(pieces) = 1 AND rege
 dict0 AS (SELECT {duck.lookup_key('a')} AS key, b AS standard, k FROM (VALUES {_dict_rows}) v(k, a, b)),
 dict AS (SELECT key, arg_min(standard, k) AS standard FROM dict0 GROUP BY key),
 items AS (SELECT row_id, i, tok, {duck.lookup_key('tok')} AS key FROM (SELECT row_id, unnest(range(1, len(tokens) + 1)) AS i, {strip(sub("unnest(tokens)", "<[^>]{1,80}>"))} AS tok FROM toks) WHERE tok <> ''),
-named AS (SELECT items.row_id, i, tok, dict.standard IS NULL AS uncertain, CASE WHEN dict.standard IS NOT NULL THEN dict.standard WHEN regexp_matches(tok, '[A-Z0-9]|[-/]') THEN replace(upper(tok[1]), 'ß', 'SS') || tok[2:]
-  ELSE array_to_string(list_transform(regexp_split_to_array(tok, '\\s+'), lambda w: replace(upper(w[1]), 'ß', 'SS') || w[2:]), ' ') END AS name FROM items LEFT JOIN dict USING (key)),
+named AS (SELECT items.row_id, i, tok, dict.standard IS NULL AS uncertain, CASE WHEN dict.standard IS NOT NULL THEN dict.standard WHEN regexp_matches(tok, '[A-Z0-9]|[-/]') THEN replace(replace(upper(tok[1]), 'ß', 'SS'), 'ẞ', 'SS') || tok[2:]
+  ELSE array_to_string(list_transform(regexp_split_to_array(tok, '\\s+'), lambda w: replace(replace(upper(w[1]), 'ß', 'SS'), 'ẞ', 'SS') || w[2:]), ' ') END AS name FROM items LEFT JOIN dict USING (key)),
 agg AS (SELECT row_id, string_agg(name, '; ' ORDER BY i) AS inci_list, count(*) AS n_items, count(DISTINCT CASE WHEN uncertain THEN tok END) AS n_unrecognized FROM named GROUP BY row_id),
 invalid AS (SELECT row_id, {strip('cleaned')} = '' OR lower(cleaned) IN ({', '.join(q(w) for w in fixed.BLANK_WORDS)}) OR {duck.any_of('lower(cleaned)', fixed.NO_SOURCE_PHRASES)} OR len(tokens) = 0 AS bad,
   len(tokens) = 1 AND (length(tokens[1]) >= 80 OR len(regexp_extract_all(tokens[1], '[A-Za-z0-9]+')) >= 6) AS failed FROM toks),
@@ -78,14 +78,14 @@ def unrecognized_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingredients.unrecognized_report(_no_bracket(parsed(spark, sf_dir)))
 
 
-_audit_sql = f"""{PARSE}, a1 AS (SELECT *, {duck.url_like('source_ref')} AS url, {duck.effective_type('source_type', 'source_ref')} AS kind FROM parse),
-a2 AS (SELECT *, {duck.tokens(duck.host('url') + " || ' ' || " + duck.path('url'))} AS ut, {duck.tokens('brand')} AS bt, {duck.tokens('product_name')} AS pt, {duck.host('url')} AS h FROM a1),
-a3 AS (SELECT *, CASE WHEN url = '' THEN 'missing' WHEN len(list_intersect(ut, bt)) > 0 OR len(list_intersect(ut, pt)) > 0 THEN 'match' WHEN kind IN ('official', 'retailer') AND len(pt) > 0 THEN 'mismatch' ELSE 'unknown' END AS source_match_status,
+_audit_sql = f"""{PARSE}, noted AS MATERIALIZED (SELECT DISTINCT row_id FROM named WHERE NOT uncertain AND regexp_matches(tok || ' ' || name, '(?i)ui|noise|artifact|strip|removed|truncat|cleanup|boilerplate|marketing') AND {duck.lookup_key('name')} <> {duck.lookup_key('tok')}), a1 AS MATERIALIZED (SELECT *, {duck.url_like('source_ref')} AS url, {duck.effective_type('source_type', 'source_ref')} AS kind FROM parse),
+a2 AS MATERIALIZED (SELECT *, {duck.tokens(duck.host('url') + " || ' ' || " + duck.path('url'))} AS ut, {duck.tokens('brand')} AS bt, {duck.tokens('product_name')} AS pt, {duck.host('url')} AS h FROM a1),
+a3 AS MATERIALIZED (SELECT *, CASE WHEN url = '' THEN 'missing' WHEN len(list_intersect(ut, bt)) > 0 OR len(list_intersect(ut, pt)) > 0 THEN 'match' WHEN kind IN ('official', 'retailer') AND len(pt) > 0 THEN 'mismatch' ELSE 'unknown' END AS source_match_status,
   CASE WHEN {strip(text('raw_ingredient_text'))} = '' AND {strip(text('cleaned'))} = '' THEN 'none' WHEN contains(lower({text('raw_ingredient_text')}), 'ingredient') OR contains(lower({text('raw_ingredient_text')}), 'inci') THEN 'labeled_ingredients'
   WHEN parse_status = 'OK' AND inci_list <> '' THEN 'structured_list' WHEN regexp_matches({text('raw_ingredient_text')}, {q(fixed.MARKETING)}) THEN 'noisy_text' ELSE 'ambiguous_text' END AS ingredient_signal_type FROM a2),
-a4 AS (SELECT *, ({strip(text('source_ref'))} = '')::INT + (source_match_status = 'mismatch')::INT + ({strip(text('raw_ingredient_text'))} = '')::INT + (parse_status IN ('NEEDS_SOURCE', 'NEEDS_REVIEW'))::INT AS blockers,
+a4 AS MATERIALIZED (SELECT *, ({strip(text('source_ref'))} = '')::INT + (source_match_status = 'mismatch')::INT + ({strip(text('raw_ingredient_text'))} = '')::INT + (parse_status IN ('NEEDS_SOURCE', 'NEEDS_REVIEW'))::INT AS blockers,
   (kind IN ('thirdparty', 'retailer'))::INT + (ingredient_signal_type = 'noisy_text')::INT + (parse_status = 'OK' AND parse_confidence < 0.8)::INT
-  + (parse_status <> 'NEEDS_SOURCE' AND (len(notes) > 0 OR EXISTS (SELECT 1 FROM named WHERE named.row_id = a3.row_id AND NOT uncertain AND regexp_matches(tok || ' ' || name, '(?i)ui|noise|artifact|strip|removed|truncat|cleanup|boilerplate|marketing') AND {duck.lookup_key('name')} <> {duck.lookup_key('tok')})))::INT AS reviews FROM a3),
+  + (parse_status <> 'NEEDS_SOURCE' AND (len(notes) > 0 OR row_id IN (SELECT row_id FROM noted)))::INT AS reviews FROM a3),
 audit AS (SELECT *, CASE WHEN blockers > 0 THEN 'FAIL' WHEN reviews > 0 THEN 'REVIEW' ELSE 'PASS' END AS audit_status, greatest(0.0, round(1 - 0.35 * blockers - 0.08 * reviews, 6))::DOUBLE AS audit_score FROM a4)
 """
 

@@ -1,0 +1,21 @@
+"""Sources of snapshots: product feeds and fetched pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+VARIANT = "struct<id:long,sku:string,title:string,option1:string,option2:string,option3:string,price:string,available:boolean,inventory_quantity:int>"
+FEED = f"id long, title string, handle string, body_html string, variants array<{VARIANT}>, options array<struct<name:string>>"
+PAGE_FETCH = "url string, final_url string, status int, headers map<string,string>, content_type string, html string, fetched_at timestamp"
+
+
+def read_product_feed(spark: SparkSession, path: str, max_pages: int = 20) -> DataFrame:
+    """Products of landed feed pages (JSON with products and page); pages over max_pages don't count."""
+    pages = spark.read.schema(f"page int, products array<struct<{FEED.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True)
+    return pages.filter(F.coalesce("page", F.lit(1)) <= max_pages).select(F.explode("products").alias("p")).select("p.*")
+
+
+def read_page_fetch(spark: SparkSession, path: str) -> DataFrame:
+    """Fetched pages."""
+    return spark.read.schema(PAGE_FETCH).parquet(path)

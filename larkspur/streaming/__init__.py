@@ -1,0 +1,29 @@
+"""Streaming forms: newly landed candidates, and task progress."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from larkspur.operators import audit, rows
+from larkspur.operators.ingredients import parsed
+
+
+def stream_candidates(landed: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of landed rows is parsed and audited (without the duplicate rule, which needs all rows) and handed to upsert(batch, id)."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        upsert(audit.audited(parsed(rows.aligned(batch)), with_duplicates=False), batch_id)
+
+    return landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_task_progress(task_rows: DataFrame) -> DataFrame:
+    """H9 kept up to date; write it in complete or update mode."""
+    return rows.task_progress(task_rows)
+
+
+def landed_files(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
