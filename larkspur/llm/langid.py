@@ -114,6 +114,8 @@ class KneserNey:
     def __init__(self, languages: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(languages)
         tables = [self._tables(*languages[lang]) for lang in self.languages]
+        if not tables:
+            return
         self.keys = [np.unique(np.concatenate([t[k][0] for t in tables])) for k in range(ORDER)]
         self.context = [np.unique(np.concatenate([t[k][0] >> np.uint64(16) for t in tables])) for k in range(ORDER)]
         n = len(tables)

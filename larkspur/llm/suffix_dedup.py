@@ -151,7 +151,7 @@ def _runs(doc: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarra
     for x in more:
         new[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(at)) - 1
+    return first, np.append(first[1:], len(at))[: len(first)] - 1
 
 
 def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
