@@ -53,22 +53,23 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     hits = docs.select("doc_id", F.posexplode(shingles(plain_words(F.col("text")), size)).alias("pos", "s")).join(small(rarity).select("s"), "s", "left_semi")
     laid = hits.join(small(spots), "s").select("doc_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
     windows = stored(laid.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")), "leak-windows")
-    held = docs.join(small(windows), "doc_id").select("doc_id", "windows", shingles(plain_words(F.col("text")), size).alias("all"))
-    cut = held.select("doc_id", "all", F.explode("windows").alias("w")).select("doc_id", "w.start", "w.n_words", F.explode(F.slice("all", F.col("w.start") + 1, F.col("w.n_words") - (size - 1))).alias("s"))
-    bags = cut.groupBy("doc_id", "start", "n_words", "s").agg(F.count(F.lit(1)).alias("m"))
+    held = docs.join(small(windows), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"])
+    held = held.select("doc_id", "key", "windows", shingles(plain_words(F.col("text")), size).alias("all"))
+    cut = held.select("doc_id", "key", "all", F.explode("windows").alias("w")).select("doc_id", "key", "w.start", "w.n_words", F.explode(F.slice("all", F.col("w.start") + 1, F.col("w.n_words") - (size - 1))).alias("s"))
+    bags = cut.groupBy("doc_id", "key", "start", "n_words", "s").agg(F.count(F.lit(1)).alias("m"))
     unseen = 1 + F.log(F.lit(1.0 + total))
     bags = stored(bags.join(small(rarity), "s", "left").withColumn("rarity", F.coalesce("rarity", unseen)).withColumn("w", F.col("m") * F.col("rarity")), "leak-bags")
-    prints = bags.groupBy("doc_id", "start", "n_words").agg(fingerprint("s", "w").alias("own"), F.sum("w").alias("own_weight"))
+    prints = bags.groupBy("doc_id", "key", "start", "n_words").agg(fingerprint("s", "w").alias("own"), F.sum("w").alias("own_weight"))
 
     keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("bits"), k).bitwiseXOR(F.lit(off)).alias("value")) for k in range(BLOCKS) for off in (0, *[1 << b for b in range(BLOCK_BITS)])])
-    index = stored(marks.select("item_id", "bits", "item_weight", F.explode(keys).alias("key")).select("item_id", "bits", "item_weight", "key.block", "key.value"), "leak-index")
-    probes = prints.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("own"), k).alias("value")) for k in range(BLOCKS)])).alias("key"))
-    probes = probes.select("doc_id", "start", "n_words", "own", "own_weight", "key.block", "key.value")
+    index = stored(marks.select("item_id", "bits", "item_weight", F.explode(keys).alias("at")).select("item_id", "bits", "item_weight", "at.block", "at.value"), "leak-index")
+    probes = prints.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("own"), k).alias("value")) for k in range(BLOCKS)])).alias("at"))
+    probes = probes.select("doc_id", "key", "start", "n_words", "own", "own_weight", "at.block", "at.value")
     met = probes.join(small(index), ["block", "value"]).filter(F.bit_count(F.col("own").bitwiseXOR(F.col("bits"))) <= RADIUS)
-    met = met.select("doc_id", "start", "n_words", "own_weight", "item_id", "item_weight").distinct()
+    met = met.select("doc_id", "key", "start", "n_words", "own_weight", "item_id", "item_weight").distinct()
     mine = parts.select("item_id", "s", F.col("m").alias("item_m"))
-    shared = met.join(bags.select("doc_id", "start", "n_words", "s", "m", "rarity"), ["doc_id", "start", "n_words"]).join(small(mine), ["item_id", "s"])
-    both = shared.groupBy("doc_id", "start", "n_words", "item_id", "own_weight", "item_weight").agg(F.sum(F.least("m", "item_m") * F.col("rarity")).alias("both"))
+    shared = met.join(bags.select("doc_id", "key", "start", "n_words", "s", "m", "rarity"), ["doc_id", "key", "start", "n_words"]).join(small(mine), ["item_id", "s"])
+    both = shared.groupBy("doc_id", "key", "start", "n_words", "item_id", "own_weight", "item_weight").agg(F.sum(F.least("m", "item_m") * F.col("rarity")).alias("both"))
     found = both.withColumn("similarity", F.round(F.col("both") / (F.col("own_weight") + F.col("item_weight") - F.col("both")), 9)).filter(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("n_words")).alias("n_words"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.start")).cast("long").alias("start"), (-F.col("b.n_words")).cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
