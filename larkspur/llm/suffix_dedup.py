@@ -8,6 +8,7 @@ repeats, and sends on, by anchor, what is left of its sorted windows; there the
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +24,9 @@ from larkspur.llm._shared import _INVERSE, _ODD, chunks, mix, small, stored, utf
 LENGTH = 100
 #: Bytes of the k-grams among which a window's anchor is chosen.
 ANCHOR = 60
-PACK_BYTES = 1 << 20
+PACK_BYTES = 1 << 19
+#: Packs that share one list of anchors which occur again.
+LOT_PACKS = 16
 #: Bytes of text for each of the groups in which shards meet.
 GROUP_BYTES = 2 << 20
 #: Bytes up to which intervals may be broadcast, after they were summed up.
@@ -194,14 +197,14 @@ def _packed(docs: DataFrame, pack_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
-        for lot, batch in enumerate(batches):
+        for batch in batches:
             by = pa.compute.sort_indices(batch.column(0))
             ids = batch.column(0).take(by).to_numpy()
             buf, bounds = utf8(batch.column(1).take(by))
             for lo, hi in chunks(bounds, pack_bytes):
                 at = bounds[lo : hi + 1]
                 task = TaskContext.get().partitionId() << 32
-                row = [task + made, task + lot, ids[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
+                row = [task + made, task + made // LOT_PACKS, ids[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["pack", "lot", "ids", "bounds", "text"])
 
@@ -354,7 +357,7 @@ def _intervals(found: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         out = []
         for k in range(batch.num_rows):
             data = (batch.column(1)[k].as_py() or "").encode("utf-8")
@@ -372,6 +375,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in out], pa.int64() if j < 3 else pa.string()) for j in range(5))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+@contextlib.contextmanager
+def _batches_of(docs: DataFrame, rows: int) -> Iterator[None]:
+    """While a table is written, at most so many rows go to Python at once: rows of packs are large."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per document: its id, n_bytes, n_removed, n_spans, kept_sha256 and kept (what is left of the text; bytes that no longer form a character show as U+FFFD).
 
@@ -389,10 +404,12 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, int(total // GROUP_BYTES))
 
-    packs = stored(_packed(rest.filter("id is not null"), pack_bytes), "suffix-packs")
+    with _batches_of(docs, 1000):
+        packs = stored(_packed(rest.filter("id is not null"), pack_bytes), "suffix-packs")
     sets = _anchor_sets(packs, length, k, parts)
     again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
-    found = stored(packs.join(again, "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
+    with _batches_of(docs, 8):
+        found = stored(packs.join(again, "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
     crossed = found.filter("kind = 1").groupBy("part").applyInPandas(_between(length), "id long, lo long, hi long")
     spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = stored(spans, "suffix-spans")
