@@ -32,21 +32,26 @@ GROUP_BYTES = 2 << 20
 #: Bytes up to which intervals may be broadcast, after they were summed up.
 BROADCAST_BYTES = 32 << 20
 _LANES, _FAR = 8192, 128
+#: Bytes hashed at once, and windows merged at once.
+_PIECE, _BLOCK = 1 << 18, 300_000
 #: Hashes that a task holds before it hands them on.
 _LOT_HASHES = 2_000_000
 
 
 def span_hashes(buf: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the `size` bytes from each place (for the last places there is none)."""
-    n = len(buf)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    power = np.full(n + 1, _ODD)
-    power[0] = 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:n], out=total[1:])
-    power[1:] = _INVERSE
-    return mix((total[size:] - total[:-size]) * np.cumprod(power)[: n - size + 1])
+    n = len(buf) - size + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for at in range(0, n, _PIECE):
+        piece = buf[at : at + _PIECE + size - 1]
+        m = len(piece)
+        power = np.full(m + 1, _ODD)
+        power[0] = 1
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:m], out=total[1:])
+        power[1:] = _INVERSE
+        out[at : at + _PIECE] = mix((total[size:] - total[:-size]) * np.cumprod(power)[: m - size + 1])
+    return out
 
 
 def anchors(buf: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,10 +75,12 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[n
 
 def words8(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one number, zeros after the end."""
-    padded = np.concatenate((buf, np.zeros(8, np.uint8))).astype(np.uint64)
     n, out = len(buf), np.zeros(len(buf), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : n + k]
+    for at in range(0, n, _PIECE):
+        piece = np.concatenate((buf[at : at + _PIECE + 8], np.zeros(8, np.uint8))).astype(np.uint64)
+        m = min(_PIECE, n - at)
+        for k in range(8):
+            out[at : at + m] = (out[at : at + m] << np.uint64(8)) | piece[k : m + k]
     return out
 
 
@@ -296,6 +303,7 @@ def _within(length: int, k: int, parts: int):
                         spot = np.arange(size.sum()) + np.repeat(s[a] - (np.cumsum(size) - size), size)
                         out.append((1, int(group[part[0]]), ids[d[a]], s[a] - bounds[d[a]], s[b] - bounds[d[a]] + length, buf[spot].tobytes()))
                 yield _part_batch(out, row["pack"])
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -317,36 +325,48 @@ def _between(length: int):
         size = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tos"]]) - lo
         pack = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["docs"]])
         buf = np.frombuffer(b"".join(pdf["text"]), np.uint8)
-        base = np.cumsum(size) - size
-        n = size - length + 1
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        spot, at = np.repeat(base, n) + inner, np.repeat(lo, n) + inner
-        d, pack = np.repeat(doc, n), np.repeat(pack, n)
-        del inner
-        key = span_hashes(buf, length)[spot]
-        merged = np.unique(key)
-        age = np.empty(len(d), np.int64)
-        age[np.lexsort((at, d))] = np.arange(len(d))
-        first, cuts = np.full(len(merged), len(d)), np.flatnonzero(np.diff(pack)) + 1
-        where = np.empty(len(d), np.int64)
-        for run_ in np.split(np.arange(len(d)), cuts):
-            by = run_[np.argsort(key[run_])]
-            where[by] = np.searchsorted(merged, key[by])
-        np.minimum.at(first, where, age)
-        by_age = np.empty(len(d), np.int64)
-        by_age[age] = np.arange(len(d))
-        twin = by_age[first[where]]
-        later = np.flatnonzero(twin != np.arange(len(d)))
-        word = words8(buf)
-        for k in [*range(0, length - 7, 8), length - 8]:
-            later = later[word[spot[later] + k] == word[spot[twin[later]] + k]]
-        later = later[np.lexsort((at[later], d[later]))]
-        a, b = _runs(d[later], at[later])
-        return pd.DataFrame({"id": d[later][a], "lo": at[later][a], "hi": at[later][b] + length})
+        base, n = np.cumsum(size) - size, size - length + 1
+        until = np.cumsum(n)
+        hashes, word = span_hashes(buf, length), words8(buf)
+        key = np.empty(until[-1], np.uint64)
+        for k in range(len(n)):
+            key[until[k] - n[k] : until[k]] = hashes[base[k] : base[k] + n[k]]
+        del hashes
+        blocks, found = -(-len(key) // _BLOCK), []
+        for block in range(blocks):  # equal keys are of one block
+            own = np.flatnonzero((key % np.uint64(blocks)) == block) if blocks > 1 else np.arange(len(key))
+            r = np.searchsorted(until, own, "right")
+            inner = own - (until[r] - n[r])
+            found.append(_later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], word, length))
+        d, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        by = np.lexsort((at, d))
+        d, at = d[by], at[by]
+        a, b = _runs(d, at)
+        return pd.DataFrame({"id": d[a], "lo": at[a], "hi": at[b] + length})
 
     return run
 
 
+def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, pack: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and places of the windows that equal one of an earlier document or place."""
+    merged = np.unique(key)
+    age = np.empty(len(key), np.int64)
+    age[np.lexsort((at, doc))] = np.arange(len(key))
+    where = np.empty(len(key), np.int64)
+    for run in np.split(np.arange(len(key)), np.flatnonzero(np.diff(pack)) + 1):
+        by = run[np.argsort(key[run])]
+        where[by] = np.searchsorted(merged, key[by])
+    first = np.full(len(merged), len(key))
+    np.minimum.at(first, where, age)
+    by_age = np.empty(len(key), np.int64)
+    by_age[age] = np.arange(len(key))
+    twin = by_age[first[where]]
+    later = np.flatnonzero(twin != np.arange(len(key)))
+    for k in [*range(0, length - 7, 8), length - 8]:
+        later = later[word[spot[later] + k] == word[spot[twin[later]] + k]]
+    return doc[later], at[later]
+
+
 def _intervals(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
