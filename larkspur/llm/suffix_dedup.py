@@ -327,17 +327,19 @@ def _between(length: int):
         buf = np.frombuffer(b"".join(pdf["text"]), np.uint8)
         base, n = np.cumsum(size) - size, size - length + 1
         until = np.cumsum(n)
-        hashes, word = span_hashes(buf, length), words8(buf)
-        key = np.empty(until[-1], np.uint64)
-        for k in range(len(n)):
-            key[until[k] - n[k] : until[k]] = hashes[base[k] : base[k] + n[k]]
-        del hashes
+        key, end, i = np.empty(until[-1], np.uint64), base + size, 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(end, base[i] + 4 * _PIECE, "right")))
+            hashes = span_hashes(buf[base[i] : end[j - 1]], length)
+            for k in range(i, j):
+                key[until[k] - n[k] : until[k]] = hashes[base[k] - base[i] : base[k] - base[i] + n[k]]
+            i = j
         blocks, found = -(-len(key) // _BLOCK), []
         for block in range(blocks):  # equal keys are of one block
             own = np.flatnonzero((key % np.uint64(blocks)) == block) if blocks > 1 else np.arange(len(key))
             r = np.searchsorted(until, own, "right")
             inner = own - (until[r] - n[r])
-            found.append(_later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], word, length))
+            found.append(_later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], buf, length))
         d, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         by = np.lexsort((at, d))
         d, at = d[by], at[by]
@@ -347,7 +349,7 @@ def _between(length: int):
     return run
 
 
-def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, pack: np.ndarray, word: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, pack: np.ndarray, buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and places of the windows that equal one of an earlier document or place."""
     merged = np.unique(key)
     age = np.empty(len(key), np.int64)
@@ -362,8 +364,8 @@ def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, p
     by_age[age] = np.arange(len(key))
     twin = by_age[first[where]]
     later = np.flatnonzero(twin != np.arange(len(key)))
-    for k in [*range(0, length - 7, 8), length - 8]:
-        later = later[word[spot[later] + k] == word[spot[twin[later]] + k]]
+    for k in range(length):
+        later = later[buf[spot[later] + k] == buf[spot[twin[later]] + k]]
     return doc[later], at[later]
 
 
