@@ -55,7 +55,10 @@ def span_hashes(buf: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where windows begin that lie within one text, the place of each one's anchor, and the hash of each k-gram."""
+    """Where windows begin that lie within one text, the place of each one's anchor, and a key of each k-gram.
+
+    Anchors are the least of many hashes, so theirs are small ones; keys are hashed anew and spread evenly over groups.
+    """
     h = span_hashes(buf, k)
     if len(buf) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), h
@@ -70,7 +73,7 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[n
     end = np.repeat(bounds[1:], np.diff(bounds))
     start = np.flatnonzero(np.arange(len(best)) + length <= end[: len(best)])
     place = start + ((best[start] - start.astype(np.uint64)) & low).astype(np.int64)
-    return start, place, h
+    return start, place, mix(h + _ODD)
 
 
 def words8(buf: np.ndarray) -> np.ndarray:
