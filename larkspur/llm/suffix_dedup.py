@@ -27,13 +27,15 @@ ANCHOR = 60
 PACK_BYTES = 1 << 19
 #: Packs that share one list of anchors which occur again.
 LOT_PACKS = 16
-#: Bytes of text for each of the groups in which shards meet.
-GROUP_BYTES = 2 << 20
+#: Bytes of text for each of the groups in which shards meet, and bytes above which a group is dealt out by window.
+GROUP_BYTES, HEAVY_BYTES = 4 << 20, 8 << 20
 #: Bytes up to which intervals may be broadcast, after they were summed up.
 BROADCAST_BYTES = 32 << 20
 _LANES, _FAR = 8192, 128
 #: Bytes hashed at once, and windows merged at once.
 _PIECE, _BLOCK = 1 << 18, 300_000
+#: Windows that are dealt out one by one at once.
+_SINGLES = 20_000
 #: Hashes that a task holds before it hands them on.
 _LOT_HASHES = 2_000_000
 
@@ -199,7 +201,7 @@ def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length
 
 
 _PACK = "pack long, lot long, ids binary, bounds binary, text binary"
-_PART = "kind int, part int, pack long, docs binary, froms binary, tos binary, text binary"
+_PART = "kind int, part int, sub int, pack long, size long, runs long, docs binary, froms binary, tos binary, text binary"
 
 
 def _packed(docs: DataFrame, pack_bytes: int) -> DataFrame:
@@ -293,7 +295,7 @@ def _within(length: int, k: int, parts: int):
                 lo, hi = _runs(doc[gone], start[gone])
                 d, s = doc[gone], start[gone]
                 if len(lo):
-                    out.append((0, 0, ids[d[lo]], s[lo] - bounds[d[lo]], s[hi] - bounds[d[lo]] + length, b""))
+                    out.append((0, 0, ids[d[lo]], s[lo] - bounds[d[lo]], s[hi] - bounds[d[lo]] + length, b"", 0))
                 d, s, p, x = doc[~gone], start[~gone], place[~gone], own[~gone]
                 if len(s):
                     lo, hi = _runs(d, s, p)
@@ -304,7 +306,7 @@ def _within(length: int, k: int, parts: int):
                         a, b = lo[part], hi[part]
                         size = s[b] - s[a] + length
                         spot = np.arange(size.sum()) + np.repeat(s[a] - (np.cumsum(size) - size), size)
-                        out.append((1, int(group[part[0]]), ids[d[a]], s[a] - bounds[d[a]], s[b] - bounds[d[a]] + length, buf[spot].tobytes()))
+                        out.append((1, int(group[part[0]]), ids[d[a]], s[a] - bounds[d[a]], s[b] - bounds[d[a]] + length, buf[spot].tobytes(), 0))
                 yield _part_batch(out, row["pack"])
                 pa.default_memory_pool().release_unused()
 
@@ -314,11 +316,48 @@ def _within(length: int, k: int, parts: int):
 def _part_batch(rows: list[tuple], pack: int) -> pa.RecordBatch:
     column = lambda k: pa.array([np.asarray(r[k]).astype(np.int64).tobytes() for r in rows], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), column(2), column(3), column(4), pa.array([r[5] for r in rows], pa.binary())],
-        ["kind", "part", "pack", "docs", "froms", "tos", "text"],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([sub for *_, sub in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), pa.array([len(r[5]) for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), column(2), column(3), column(4), pa.array([r[5] for r in rows], pa.binary())],
+        ["kind", "part", "sub", "pack", "size", "runs", "docs", "froms", "tos", "text"],
     )
 
 
+def _singles(length: int):
+    """Of a heavy group's rows: each window on its own, in the one of the group's `subs` parts that a hash of its bytes says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                doc, lo, hi = (np.frombuffer(row[c], np.int64) for c in ("docs", "froms", "tos"))
+                buf, size = np.frombuffer(row["text"], np.uint8), hi - lo
+                base, until = np.cumsum(size) - size, np.cumsum(size - length + 1)
+                for at in range(0, until[-1], _SINGLES):
+                    own = np.arange(at, min(at + _SINGLES, until[-1]))
+                    r = np.searchsorted(until, own, "right")
+                    inner = own - (until[r] - (size[r] - length + 1))
+                    spot, first = base[r] + inner, base[r[0]]
+                    key = span_hashes(buf[first : base[r[-1]] + size[r[-1]]], length)[spot - first]
+                    sub = _parts(mix(key + _ODD), row["subs"])
+                    by = np.argsort(sub, kind="stable")
+                    out = []
+                    for x in np.split(by, np.flatnonzero(np.diff(sub[by])) + 1):
+                        text = buf[(spot[x][:, None] + np.arange(length)).ravel()].tobytes()
+                        out.append((1, row["part"], doc[r[x]], lo[r[x]] + inner[x], lo[r[x]] + inner[x] + length, text, int(sub[x[0]])))
+                    yield _part_batch(out, row["pack"])
+
+    return run
+
+
+def _dealt(found: DataFrame, length: int, heavy_bytes: int) -> DataFrame:
+    """The rows that go to the merge. A group above `heavy_bytes`, as one very frequent anchor makes it, is dealt out by window, so that no task holds it whole."""
+    sizes = found.groupBy("part").agg(F.sum("size").alias("size"), F.sum("runs").alias("runs")).filter(F.col("size") > heavy_bytes)
+    subs = F.ceil((F.col("size") - F.col("runs") * (length - 1)) * length / (heavy_bytes / 2)).cast("int")
+    heavy = stored(sizes.select("part", subs.alias("subs")), "suffix-heavy")
+    if heavy.isEmpty():
+        return found
+    heavy = small(heavy)
+    return found.join(heavy, "part", "left_anti").select(*found.columns).union(found.join(heavy, "part").mapInArrow(_singles(length), _PART))
+
+
 def _between(length: int):
     """Merges what packs have left of one group's windows: sorted keys, each pack's places in them by binary search, and bytes compared."""
 
@@ -412,7 +451,7 @@ def _batches_of(docs: DataFrame, rows: int) -> Iterator[None]:
         conf.set(name, before)
 
 
-def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, pack_bytes: int = PACK_BYTES, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
     """Per document: its id, n_bytes, n_removed, n_spans, kept_sha256 and kept (what is left of the text; bytes that no longer form a character show as U+FFFD).
 
     Each byte goes that is covered by a string of `length` bytes (of the UTF-8 text; null is empty) which also begins
@@ -435,9 +474,11 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
     with _batches_of(docs, 8):
         found = stored(packs.join(again, "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
-    crossed = found.filter("kind = 1").groupBy("part").applyInPandas(_between(length), "id long, lo long, hi long")
+    dealt = _dealt(found.filter("kind = 1"), length, heavy_bytes)
+    crossed = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, lo long, hi long")
     spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    spans = stored(spans, "suffix-spans")
+    with _batches_of(docs, 256):
+        spans = stored(spans, "suffix-spans")
     bytes_ = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     spans = F.broadcast(spans) if bytes_ * 32 <= BROADCAST_BYTES else spans
     cut = rest.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")

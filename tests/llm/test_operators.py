@@ -155,8 +155,8 @@ def test_pivot_keeps_means():
     assert abs(np.mean(runs, axis=0) - p).max() < 0.03 and np.ptp(np.sum(runs, axis=1)) < 1e-6
 
 
-@pytest.mark.parametrize("pack", [3000, 1 << 20])
-def test_suffix_dedup(docs, pack):
+@pytest.mark.parametrize(("pack", "heavy"), [(3000, 1 << 23), (1 << 20, 1 << 23), (3000, 20_000)])
+def test_suffix_dedup(docs, pack, heavy):
     seen, want = set(), {}
     for d, t in sorted(texts(docs).items()):
         b = (t or "").encode()
@@ -167,7 +167,7 @@ def test_suffix_dedup(docs, pack):
             seen.add(b[k : k + 100])
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         want[d] = (len(b), len(b) - len(kept), sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed(docs, pack_bytes=pack).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.removed(docs, pack_bytes=pack, heavy_bytes=heavy).collect()}
     assert got == want
 
 
