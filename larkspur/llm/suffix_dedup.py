@@ -239,14 +239,17 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _anchor_sets(packs: DataFrame, length: int, k: int, parts: int) -> DataFrame:
-    """Per lot of packs and group the sorted hashes of the anchors, those of several windows apart twice."""
+    """Per lot of packs and group the keys of the anchors, those of several windows apart twice.
+
+    Half of a key is enough: keys that agree by chance only leave more windows to be compared.
+    """
 
     def cut(lot: int, held: list[np.ndarray]) -> pa.RecordBatch:
         own, n = np.unique(np.concatenate(held), return_counts=True)
         own = np.repeat(own, np.minimum(n, 2))
         group = _parts(own, parts)
         at = np.flatnonzero(np.diff(group, prepend=-1))
-        return pa.RecordBatch.from_arrays([pa.array(group[at].astype(np.int32)), pa.array([lot] * len(at), pa.int64()), pa.array([x.tobytes() for x in np.split(own, at[1:])], pa.binary())], ["part", "lot", "hashes"])
+        return pa.RecordBatch.from_arrays([pa.array(group[at].astype(np.int32)), pa.array([lot] * len(at), pa.int64()), pa.array([x.tobytes() for x in np.split(own.astype(np.uint32), at[1:])], pa.binary())], ["part", "lot", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, held = None, []
@@ -267,7 +270,7 @@ def _anchor_sets(packs: DataFrame, length: int, k: int, parts: int) -> DataFrame
 
 def _again(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which of a group's hashes occur more than once, for each lot that has them."""
-    own = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+    own = [np.frombuffer(x, np.uint32) for x in pdf["hashes"]]
     key, n = np.unique(np.concatenate(own), return_counts=True)
     twice = key[n > 1]
     out = [(p, x) for p, x in zip(pdf["lot"], (o[np.isin(o, twice)] for o in own), strict=True) if len(x)]
@@ -281,11 +284,11 @@ def _within(length: int, k: int, parts: int):
         for batch in batches:
             for row in _rows(batch):
                 ids, bounds, buf = _unpacked(row)
-                again = np.sort(np.frombuffer(b"".join(row["again"]), np.uint64))
+                again = np.sort(np.frombuffer(b"".join(row["again"]), np.uint32))
                 start, place, h = anchors(buf, bounds, length, k)
                 own = h[place]
-                at = np.minimum(np.searchsorted(again, own), len(again) - 1)
-                keep = again[at] == own
+                half = own.astype(np.uint32)
+                keep = again[np.minimum(np.searchsorted(again, half), len(again) - 1)] == half
                 start, place, own = start[keep], place[keep], own[keep]
                 if not len(start):
                     continue
