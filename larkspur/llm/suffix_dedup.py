@@ -29,8 +29,6 @@ PACK_BYTES = 1 << 19
 LOT_PACKS = 16
 #: Bytes of text for each of the groups in which shards meet, and bytes above which a group is dealt out by window.
 GROUP_BYTES, HEAVY_BYTES = 4 << 20, 8 << 20
-#: Bytes up to which intervals may be broadcast, after they were summed up.
-BROADCAST_BYTES = 32 << 20
 _LANES, _FAR = 8192, 128
 #: Bytes hashed at once, and windows merged at once.
 _PIECE, _BLOCK = 1 << 18, 300_000
@@ -476,15 +474,13 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     sets = _anchor_sets(packs, length, k, parts)
     again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
     with _batches_of(docs, 8):
-        found = stored(packs.join(again, "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
+        found = stored(packs.join(again.hint("shuffle_hash"), "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
     dealt = _dealt(found.filter("kind = 1"), length, heavy_bytes)
     crossed = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, lo long, hi long")
     spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     with _batches_of(docs, 256):
         spans = stored(spans, "suffix-spans")
-    bytes_ = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    spans = F.broadcast(spans) if bytes_ * 32 <= BROADCAST_BYTES else spans
-    cut = rest.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    cut = rest.join(spans.hint("shuffle_hash"), "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     whole = keys.select("id", "n_bytes").join(small(copies).select("id"), "id", "left_semi")
     whole = whole.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"))
     return cut.unionByName(whole).withColumnRenamed("id", id)
