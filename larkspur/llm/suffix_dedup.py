@@ -167,8 +167,8 @@ def _runs(doc: np.ndarray, at: np.ndarray, *more: np.ndarray) -> tuple[np.ndarra
     return first, np.append(first[1:], len(at))[: len(first)] - 1
 
 
-def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows at `start` are equal to one that begins earlier."""
+def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length: int, ids: np.ndarray) -> np.ndarray:
+    """Which of the windows at `start` are equal to one of a smaller id, or of the same id and a smaller place. ids: ascending, of each text."""
     cover = np.zeros(len(buf) + 1, np.int64)
     cover[start] += 1
     cover[start + length] -= 1
@@ -192,31 +192,39 @@ def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length
     least = np.minimum.reduceat(shared[: mine[-1] + 1], np.append(0, mine[:-1] + 1))
     group = np.flatnonzero(np.append(True, least[1:] < length))
     place = order[mine]
-    earliest = np.repeat(np.minimum.reduceat(place, group), np.diff(np.append(group, len(mine))))
+    age = place
+    if (ids[1:] == ids[:-1]).any():  # texts of one id are of one age
+        doc = np.searchsorted(bounds, held[place], "right") - 1
+        at = held[place] - bounds[doc]
+        by = np.lexsort((at, ids[doc]))
+        new = (np.diff(ids[doc][by], prepend=0) != 0) | (np.diff(at[by], prepend=0) != 0)
+        age = np.empty(len(place), np.int64)
+        age[by] = np.cumsum(new)
+    earliest = np.repeat(np.minimum.reduceat(age, group), np.diff(np.append(group, len(mine))))
     out = np.zeros(len(held), bool)
-    out[place] = place != earliest
+    out[place] = age != earliest
     return out[np.searchsorted(held, start)]
 
 
-_PACK = "pack long, lot long, ids binary, bounds binary, text binary"
-_PART = "kind int, part int, sub int, pack long, size long, runs long, docs binary, froms binary, tos binary, text binary"
+_PACK = "pack long, lot long, ids binary, tags binary, bounds binary, text binary"
+_PART = "kind int, part int, sub int, pack long, size long, runs long, docs binary, tags binary, froms binary, tos binary, text binary"
 
 
 def _packed(docs: DataFrame, pack_bytes: int) -> DataFrame:
-    """(id, text) -> a row per pack; texts of a pack are in order of id."""
+    """(id, tag, text) -> a row per pack; texts of a pack are in order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
         for batch in batches:
             by = pa.compute.sort_indices(batch.column(0))
-            ids = batch.column(0).take(by).to_numpy()
-            buf, bounds = utf8(batch.column(1).take(by))
+            ids, tags = (batch.column(k).take(by).to_numpy() for k in (0, 1))
+            buf, bounds = utf8(batch.column(2).take(by))
             for lo, hi in chunks(bounds, pack_bytes):
                 at = bounds[lo : hi + 1]
                 task = TaskContext.get().partitionId() << 32
-                row = [task + made, task + made // LOT_PACKS, ids[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
+                row = [task + made, task + made // LOT_PACKS, ids[lo:hi].astype(np.int64).tobytes(), tags[lo:hi].astype(np.int64).tobytes(), (at - at[0]).astype(np.int64).tobytes(), buf[at[0] : at[-1]].tobytes()]
                 made += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["pack", "lot", "ids", "bounds", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["pack", "lot", "ids", "tags", "bounds", "text"])
 
     return docs.mapInArrow(run, _PACK)
 
@@ -282,6 +290,7 @@ def _within(length: int, k: int, parts: int):
         for batch in batches:
             for row in _rows(batch):
                 ids, bounds, buf = _unpacked(row)
+                tags = np.frombuffer(row["tags"], np.int64)
                 again = np.sort(np.frombuffer(b"".join(row["again"]), np.uint32))
                 start, place, h = anchors(buf, bounds, length, k)
                 own = h[place]
@@ -290,13 +299,13 @@ def _within(length: int, k: int, parts: int):
                 start, place, own = start[keep], place[keep], own[keep]
                 if not len(start):
                     continue
-                gone = shard_repeats(buf, bounds, start, length)
+                gone = shard_repeats(buf, bounds, start, length, ids)
                 doc = np.searchsorted(bounds, start, "right") - 1
                 out = []
                 lo, hi = _runs(doc[gone], start[gone])
                 d, s = doc[gone], start[gone]
                 if len(lo):
-                    out.append((0, 0, ids[d[lo]], s[lo] - bounds[d[lo]], s[hi] - bounds[d[lo]] + length, b"", 0))
+                    out.append((0, 0, ids[d[lo]], tags[d[lo]], s[lo] - bounds[d[lo]], s[hi] - bounds[d[lo]] + length, b"", 0))
                 d, s, p, x = doc[~gone], start[~gone], place[~gone], own[~gone]
                 if len(s):
                     lo, hi = _runs(d, s, p)
@@ -307,7 +316,7 @@ def _within(length: int, k: int, parts: int):
                         a, b = lo[part], hi[part]
                         size = s[b] - s[a] + length
                         spot = np.arange(size.sum()) + np.repeat(s[a] - (np.cumsum(size) - size), size)
-                        out.append((1, int(group[part[0]]), ids[d[a]], s[a] - bounds[d[a]], s[b] - bounds[d[a]] + length, buf[spot].tobytes(), 0))
+                        out.append((1, int(group[part[0]]), ids[d[a]], tags[d[a]], s[a] - bounds[d[a]], s[b] - bounds[d[a]] + length, buf[spot].tobytes(), 0))
                 yield _part_batch(out, row["pack"])
                 pa.default_memory_pool().release_unused()
 
@@ -317,8 +326,8 @@ def _within(length: int, k: int, parts: int):
 def _part_batch(rows: list[tuple], pack: int) -> pa.RecordBatch:
     column = lambda k: pa.array([np.asarray(r[k]).astype(np.int64).tobytes() for r in rows], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([sub for *_, sub in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), pa.array([len(r[5]) for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), column(2), column(3), column(4), pa.array([r[5] for r in rows], pa.binary())],
-        ["kind", "part", "sub", "pack", "size", "runs", "docs", "froms", "tos", "text"],
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([sub for *_, sub in rows], pa.int32()), pa.array([pack] * len(rows), pa.int64()), pa.array([len(r[6]) for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), column(2), column(3), column(4), column(5), pa.array([r[6] for r in rows], pa.binary())],
+        ["kind", "part", "sub", "pack", "size", "runs", "docs", "tags", "froms", "tos", "text"],
     )
 
 
@@ -328,7 +337,7 @@ def _singles(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                doc, lo, hi = (np.frombuffer(row[c], np.int64) for c in ("docs", "froms", "tos"))
+                doc, tag, lo, hi = (np.frombuffer(row[c], np.int64) for c in ("docs", "tags", "froms", "tos"))
                 buf, size = np.frombuffer(row["text"], np.uint8), hi - lo
                 base, until = np.cumsum(size) - size, np.cumsum(size - length + 1)
                 for at in range(0, until[-1], _SINGLES):
@@ -342,7 +351,7 @@ def _singles(length: int):
                     out = []
                     for x in np.split(by, np.flatnonzero(np.diff(sub[by])) + 1):
                         text = buf[(spot[x][:, None] + np.arange(length)).ravel()].tobytes()
-                        out.append((1, row["part"], doc[r[x]], lo[r[x]] + inner[x], lo[r[x]] + inner[x] + length, text, int(sub[x[0]])))
+                        out.append((1, row["part"], doc[r[x]], tag[r[x]], lo[r[x]] + inner[x], lo[r[x]] + inner[x] + length, text, int(sub[x[0]])))
                     yield _part_batch(out, row["pack"])
 
     return run
@@ -364,6 +373,7 @@ def _between(length: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
+        tag = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
         lo = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["froms"]])
         size = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tos"]]) - lo
         pack = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["docs"]])
@@ -382,18 +392,19 @@ def _between(length: int):
             own = np.flatnonzero((key % np.uint64(blocks)) == block) if blocks > 1 else np.arange(len(key))
             r = np.searchsorted(until, own, "right")
             inner = own - (until[r] - n[r])
-            found.append(_later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], buf, length))
-        d, at = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        by = np.lexsort((at, d))
-        d, at = d[by], at[by]
-        a, b = _runs(d, at)
-        return pd.DataFrame({"id": d[a], "lo": at[a], "hi": at[b] + length})
+            later = _later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], buf, length)
+            found.append((doc[r[later]], tag[r[later]], (lo[r] + inner)[later]))
+        d, t, at = (np.concatenate([f[k] for f in found]) for k in (0, 1, 2))
+        by = np.lexsort((at, t, d))
+        d, t, at = d[by], t[by], at[by]
+        a, b = _runs(d, at, t)
+        return pd.DataFrame({"id": d[a], "tag": t[a], "lo": at[a], "hi": at[b] + length})
 
     return run
 
 
-def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, pack: np.ndarray, buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and places of the windows that equal one of an earlier document or place."""
+def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, pack: np.ndarray, buf: np.ndarray, length: int) -> np.ndarray:
+    """Which windows equal one of an earlier document or place. Texts of one id are of one age: those at the same place aren't earlier."""
     merged = np.unique(key)
     age = np.empty(len(key), np.int64)
     age[np.lexsort((at, doc))] = np.arange(len(key))
@@ -406,19 +417,19 @@ def _later(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, at: np.ndarray, p
     by_age = np.empty(len(key), np.int64)
     by_age[age] = np.arange(len(key))
     twin = by_age[first[where]]
-    later = np.flatnonzero(twin != np.arange(len(key)))
+    later = np.flatnonzero((doc[twin] != doc) | (at[twin] != at))
     for k in range(length):
         later = later[buf[spot[later] + k] == buf[spot[twin[later]] + k]]
-    return doc[later], at[later]
+    return later
 
 
 def _intervals(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int64)) for c in ("docs", "froms", "tos")], ["id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], np.int64)) for c in ("docs", "tags", "froms", "tos")], ["id", "tag", "lo", "hi"])
 
-    return found.select("docs", "froms", "tos").mapInArrow(run, "id long, lo long, hi long")
+    return found.select("docs", "tags", "froms", "tos").mapInArrow(run, "id long, tag long, lo long, hi long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,29 +469,37 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     Each byte goes that is covered by a string of `length` bytes (of the UTF-8 text; null is empty) which also begins
     earlier: in a document of smaller id, or before in the same one. Strings are those of the input. Matches are
     exact: windows meet by hash, but count only if their bytes are equal. Texts that equal an earlier document's whole
-    text go at once, if they have `length` bytes. Rows without an id are never removed from and never earlier; rows of
-    one id count as one place in the order, so an exactly repeated row loses nothing by the other.
+    text go at once, if they have `length` bytes. Rows without an id are never removed from and never earlier. Rows of
+    one id are one document, with strings at equal places of equal age: an exactly repeated row loses nothing by the
+    other (it is packed once), and of different texts of an id each loses what begins at a smaller place in another.
     """
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = stored(docs.select("id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("n_bytes")), "suffix-keys")
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    keys = stored(docs.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "suffix-keys")
     first = keys.filter(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    copies = stored(keys.join(first, "key").filter("id > first").select("id", "n_bytes").distinct(), "suffix-copies")
-    rest = docs.join(small(copies).select("id"), "id", "left_anti")
+    # of the rows of one text: those of larger ids, and the smallest id if it repeats
+    alike = stored(keys.join(first, "key").groupBy("id", "key").agg(F.any_value(F.col("id") > F.col("first")).alias("copy"), F.count(F.lit(1)).alias("k")).filter("copy or k > 1"), "suffix-copies")
+    copies, repeats = small(alike.filter("copy")).select("id", "key"), alike.filter("not copy").select("id", "key")
+    tag = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")  # tells texts of one id apart
+    rest = docs.join(copies, ["id", "key"], "left_anti").select("id", tag.alias("tag"), "text", "key")
+    once = rest.filter("id is not null")
+    if not repeats.isEmpty():
+        repeats = small(repeats)
+        once = once.join(repeats, ["id", "key"], "left_anti").select(rest.columns).unionByName(once.join(repeats, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]))
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, int(total // GROUP_BYTES))
 
     with _batches_of(docs, 1000):
-        packs = stored(_packed(rest.filter("id is not null"), pack_bytes), "suffix-packs")
+        packs = stored(_packed(once.select("id", "tag", "text"), pack_bytes), "suffix-packs")
     sets = _anchor_sets(packs, length, k, parts)
     again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
     with _batches_of(docs, 8):
         found = stored(packs.join(again.hint("shuffle_hash"), "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
     dealt = _dealt(found.filter("kind = 1"), length, heavy_bytes)
-    crossed = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, lo long, hi long")
-    spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    crossed = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, tag long, lo long, hi long")
+    spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     with _batches_of(docs, 256):
         spans = stored(spans, "suffix-spans")
-    cut = rest.join(spans.hint("shuffle_hash"), "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    whole = keys.select("id", "n_bytes").join(small(copies).select("id"), "id", "left_semi")
+    cut = rest.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    whole = keys.join(copies, ["id", "key"], "left_semi")
     whole = whole.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"))
     return cut.unionByName(whole).withColumnRenamed("id", id)

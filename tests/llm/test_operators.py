@@ -177,6 +177,24 @@ def test_suffix_dedup_of_odd_rows(odd, none):
     assert suffix_dedup.removed(none).count() == 0
 
 
+@pytest.mark.parametrize(("pack", "heavy"), [(1 << 20, 1 << 23), (400, 1 << 23), (400, 2000)])
+def test_suffix_dedup_of_repeated_ids(spark, pack, heavy):
+    said = [" ".join(hashlib.md5(f"{j} {k}".encode()).hexdigest() for k in range(9)) for j in range(7)]
+    a, b, c, d, e, f, g = said
+    rows = [(5, a), (5, a), (9, a), (9, b), (7, c + d), (7, c + e), (7, e + c), (8, f), (8, g + b), (3, g), (None, a), (11, "short"), (11, "short"), (12, d + "tail" + d)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 99 if i is not None else 0):
+            first[t[k : k + 100]] = min(first.get(t[k : k + 100], (i, k)), (i, k))
+    want = collections.Counter()
+    for i, t in rows:
+        gone = {k + j for k in range(len(t) - 99 if i is not None else 0) if first[t[k : k + 100]] < (i, k) for j in range(100)}
+        want[i, "".join(x for k, x in enumerate(t) if k not in gone)] += 1
+    got = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), pack_bytes=pack, heavy_bytes=heavy).collect()
+    assert collections.Counter((r["doc_id"], r["kept"]) for r in got) == want
+    assert want[5, a] == 2 and want[9, ""] == 2
+
+
 def test_common_prefixes():
     rng = np.random.default_rng(7)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
