@@ -44,8 +44,9 @@ def duplicate_conflicts(rows: DataFrame) -> DataFrame:
 
     The other row is of the same import, or approved elsewhere; not if both are official, of the same page, and only
     this one names a variant. First are rows of the own import, then by row_index and row_id. Rows are compared per
-    distinct (sku_key, list): each list's two first candidates of each import and of the approved ones stand for it,
-    so a hot sku_key doesn't pair all its rows.
+    distinct (sku_key, list): each list's first row of each import, and its first approved row of each page and kind,
+    stand for it, so a hot sku_key doesn't pair all its rows. If that approved row is of the asking row's own import,
+    the import has a conflict itself, and that comes first.
     """
     key = F.coalesce(F.nullif(strip(text(F.col("sku_key"))), F.lit("")), F.nullif(strip(text(F.col("candidate_id"))), F.lit(""))) if "candidate_id" in rows.columns else F.nullif(strip(text(F.col("sku_key"))), F.lit(""))
     url = urls.normalize_url_like(F.col("source_ref"))
@@ -56,8 +57,8 @@ def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     ).filter("sku is not null and inci <> ''")
     first = Window.partitionBy("sku", "inci", "import_id").orderBy("row_index", "row_id")
     own = base.withColumn("k", F.row_number().over(first)).filter("k = 1")
-    kinds = Window.partitionBy("sku", "inci", "official", "page", "variant").orderBy("import_id", "row_index", "row_id")
-    elsewhere = base.filter("approved").withColumn("k", F.row_number().over(kinds)).filter("k <= 2")
+    kinds = Window.partitionBy("sku", "inci", "official", "page", "variant").orderBy("row_index", "row_id")
+    elsewhere = base.filter("approved").withColumn("k", F.row_number().over(kinds)).filter("k = 1")
     others = own.withColumn("near", F.lit(True)).unionByName(elsewhere.withColumn("near", F.lit(False)))
     other = others.select(*[F.col(c).alias(f"o_{c}") for c in ("row_id", "import_id", "row_index", "inci_list", "review_status", "sku", "inci", "official", "page", "variant", "near")])
     same = F.col("import_id") == F.col("o_import_id")

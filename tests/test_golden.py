@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,29 @@ def test_duplicate_conflicts(spark):
         assert got.get("0") == expected, name
 
 
+def test_duplicate_conflicts_of_hot_keys(spark):
+    rng = random.Random(4)
+    given = []
+    for k in range(240):
+        sku = rng.choice(["hot", "warm", "few"])
+        imp = rng.choice("abcdef")
+        said = f"Water, Urea {ord(imp) % 2 if sku == 'hot' else rng.randrange(2) if sku == 'warm' else 0}"
+        given.append({"sku_key": sku, "import_id": imp, "row_index": rng.randrange(1000), "inci_list": said, "review_status": rng.choice(["APPROVED", "UNREVIEWED"]), "source_ref": rng.choice([None, "https://b.com/p", "https://b.com/p?variant=1", "https://b.com/q?variant=1"]), "source_type": rng.choice(["Official", "Retailer"]), "row_id": f"{k:03}"})
+    df = _candidates(spark, *given).join(spark.createDataFrame([(g["row_id"], g["inci_list"]) for g in given], "row_id string, inci_list string"), "row_id")
+
+    def meets(x, y):
+        if x["sku_key"] != y["sku_key"] or x["inci_list"] == y["inci_list"]:
+            return False
+        page = lambda g: (g["source_ref"] or "").split("?")[0]
+        variant = lambda g: "variant" in (g["source_ref"] or "")
+        upgrade = x["source_type"] == y["source_type"] == "Official" and page(x) and page(x) == page(y) and variant(x) and not variant(y)
+        return x["import_id"] == y["import_id"] or (y["review_status"] == "APPROVED" and not upgrade)
+
+    want = {x["row_id"]: min((x["import_id"] != y["import_id"], y["row_index"], y["row_id"]) for y in given if meets(x, y))[2] for x in given if any(meets(x, y) for y in given)}
+    assert {r["row_id"]: r["conflict"]["row_id"] for r in audit.duplicate_conflicts(df).collect()} == want
+    assert any(x["import_id"] != given[int(want[x["row_id"]])]["import_id"] for x in given if x["row_id"] in want)
+
+
 def test_patches(spark):
     df = parsed(_candidates(spark, {"source_ref": "https://b.com/p"}, {})).withColumn("reviewed_by", F.lit(None).cast("string"))
     patches = spark.createDataFrame([("0", {"raw_ingredient_text": "Water, Urea", "source_ref": None})], "row_id string, patch map<string,string>")
