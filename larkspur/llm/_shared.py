@@ -7,13 +7,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, for Java's and DuckDB's regular expressions: the six ASCII white-space bytes separate words.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a table may be broadcast after it was counted; a row of such tables holds a few hundred bytes at most.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a table may be broadcast after its values were summed.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key above which it is hot, if it also has one of HOT_SHARE parts of all rows.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
 #: Bytes of text that numpy works on at once.
 CHUNK_BYTES = 2 << 20
 
@@ -23,29 +26,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where none is set)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a local master may do without the setting: it gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", root) if _settable(spark) else None
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="larkspur-"))
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def _settable(spark: SparkSession) -> bool:
-    return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
+_LOCAL: dict[str, str] = {}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The table written to the shared folder and read back: computed once, and safe when executors are lost."""
+    """The table written to the shared folder and read back: computed once, and safe when executors are lost. Results that are read later may still need it, so it is left to whoever clears that folder."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if the (stored) table has been counted to hold few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if the (stored) table takes few bytes in memory, by the sizes of its values; else as it is, for a shuffled join."""
+    held = df.agg(F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if held <= limit else df
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 a value, and what texts, binaries and arrays hold."""
+    total = F.lit(16 * (len(df.columns) + 1)).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            each = F.octet_length(F.array_join(c, "")) if isinstance(f.dataType.elementType, T.StringType) else F.lit(0)
+            wide = 16 * (1 + len(f.dataType.elementType.fields)) if isinstance(f.dataType.elementType, T.StructType) else 16
+            total = total + F.coalesce(F.greatest(F.size(c), F.lit(0)) * wide + F.coalesce(each, F.lit(0)), F.lit(0))
+    return total
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "left") -> DataFrame:
+    """left joined to right, a (stored) table of one row per key that tells in `weight` how many rows of left have the key.
+
+    Keys of over HOT_ROWS rows, and a HOT_SHARE-th of all, are broadcast (HOT_SHARE rows at most), so that no task
+    gets all rows of a key; the others meet by shuffle.
+    """
+    held = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("rows"), F.coalesce(F.max(weight), F.lit(0)).alias("most")).first()
+    limit = max(HOT_ROWS, held["rows"] // HOT_SHARE)
+    if held["most"] <= limit:
+        return left.join(right, on, how)
+    hot = F.broadcast(right.filter(F.col(weight) > limit).withColumn("__hot", F.lit(True)))
+    met = left.join(hot, on, "left")
+    cold = met.filter("__hot is null").select(*left.columns).join(right.filter(F.col(weight) <= limit), on, how)
+    return met.filter("__hot").select(*cold.columns).unionByName(cold)
 
 
 # ---------------------------------------------------------------- numpy, inside tasks

@@ -238,17 +238,65 @@ def test_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 0.01
 
 
-def test_warc(spark, tmp_path):
-    rows = [(1, "http://a/1", "x"), (2, "http://a/2", "x"), (3, None, None), (4, "http://a/4", ""), (5, "u", "ü" * 3000), (6, "v", "unique")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {}
-    for name, frame in (("a", df), ("b", df.repartition(5))):
-        warc.write(frame, str(tmp_path / name), roll_bytes=300)
-        got[name] = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, str(tmp_path / name)).collect()}
+def _warc_wanted(rows, min_revisit=0):
+    """Per row, as a bag: id, type, id referred to, size, digest."""
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
-    assert got["a"] == got["b"] == {1: ("revisit", 2, 1, sha(b"x")), 2: ("response", None, 1, sha(b"x")), 3: ("revisit", 4, 0, sha(b"")), 4: ("response", None, 0, sha(b"")), 5: ("response", None, 6000, sha("ü".encode() * 3000)), 6: ("response", None, 6, sha(b"unique"))}
-    warc.write(spark.createDataFrame([], df.schema), str(tmp_path / "none"))
+    by, out = collections.defaultdict(list), collections.Counter()
+    for i, u, h in rows:
+        by[(h or "").encode()].append((i is not None, i or 0, u or ""))
+    for body, held in by.items():
+        held.sort()
+        for k, (has, i, _) in enumerate(held):
+            again = len(body) >= min_revisit and k < len(held) - 1
+            out[i if has else None, "revisit" if again else "response", (held[-1][1] if held[-1][0] else None) if again else None, len(body), sha(body)] += 1
+    return out
+
+
+def _warc_got(spark, path):
+    return collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in warc.read(spark, path, read_bytes=2000).collect())
+
+
+@pytest.mark.parametrize("min_revisit", [0, 4])
+def test_warc(spark, tmp_path, min_revisit):
+    """Shared and unique payloads, one id with two payloads, repeated rows, null and huge ids, empty and long payloads, line breaks in a url."""
+    long = "ü" * 400_000
+    rows = [(1, "http://a/1", "x"), (2, "http://a/2", "x"), (3, None, None), (4, "http://a/4", ""), (5, "u", long), (6, "v\r\nw", "unique"), (2**62 + 1, "h", "huge"), (-7, "n", "x"), (5, "u", "alpha"), (5, "u", "beta"), (9, "u", "alpha"), (10, "t", "twice"), (10, "t", "twice"), (10, "t", "twice"), (9, "w", "alpha"), (None, "z", "nil"), (None, "z", "nil"), (None, "y", "x"), (None, None, None)]
+    rows += [(100 + k, f"p{k}", f"page {k % 50} " * 30) for k in range(120)]
+    df = spark.createDataFrame([(*r, "clash", 3) for r in rows], "page_id long, url string, html string, sha string, shard int")
+    manifests = []
+    for n in (2, 5, 211) if min_revisit == 0 else (2, 3, 4):
+        path = str(tmp_path / f"{min_revisit}-{n}")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(n, 20)))
+        manifests.append(sorted(map(tuple, warc.write(df.repartition(n), path, roll_bytes=3000, min_revisit=min_revisit, shard_bytes=20_000).collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert _warc_got(spark, path) == _warc_wanted(rows, min_revisit)
+        found = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / f"{min_revisit}-{n}").glob("*.warc.gz")}
+        assert found == {r[0]: r[4] for r in manifests[-1]} and not (tmp_path / f"{min_revisit}-{n}" / "_temporary").exists()
+    assert manifests[0] == manifests[1] == manifests[2] and len({r[1] for r in manifests[0]}) > 3 and len(manifests[0]) > len({r[1] for r in manifests[0]})
+
+
+def test_warc_records(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"u{k}", "same" if k % 2 else f"own {k}") for k in range(20)], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "a"))
+    heads = []
+    for p in sorted((tmp_path / "a").glob("*.warc.gz")):
+        with p.open("rb") as data:
+            heads += [h for h, _ in warc.records(data)]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) and heads[0]["WARC-Type"] == "warcinfo" and {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} <= set(ids)
+    warc.write(df.limit(0), str(tmp_path / "none"))
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
+    broken = next((tmp_path / "a").glob("*.warc.gz"))
+    broken.write_bytes(broken.read_bytes()[:-40])
+    with pytest.raises(Exception, match="ends within a record|digest is wrong"):
+        warc.read(spark, str(tmp_path / "a")).count()
+
+
+def test_warc_of_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = queries.op2_warc_archive(spark, SF).select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest").collect()
+    assert collections.Counter(map(tuple, got)) == _warc_wanted([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
 
 
 def test_chat(spark, duck):  # noqa: F811
