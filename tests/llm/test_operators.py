@@ -224,18 +224,89 @@ def test_languages(docs, odd, none):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
     held = [r for r in out if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    assert sum(r["rejected"] for r in held if r["lang_pred"] != "und") <= 0.05 * len(held)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identified(odd, F.lit(False)).collect()}
-    assert got[3] == got[4] == got[5] == "und" and got[1] == "en"
+    assert got[3] == got[4] == got[5] == "und" and got[1] == "en" and len(got) == 8
     assert langid.identified(none, F.lit(False)).count() == 0 and {r["lang_pred"] for r in langid.identified(odd, F.lit(True)).collect()} == {"und"}
 
 
-def test_probabilities_sum_to_one():
-    grams, said = langid.Grams(), "the cat sat on the mat and the hat"
-    key, n = np.unique(grams.keys([grams.symbols(said)])[0], return_counts=True)
-    model = langid.KneserNey({"x": (key, n)})
-    context = key[0] & ~np.uint64(0xFFFF)
-    p = np.exp(model.log_probability(context | np.arange(65536, dtype=np.uint64)).astype(float))[:, 0]
-    assert abs(p.sum() - 1) < 0.01
+def _brute_kneser_ney(said):
+    """Models by language from texts as strings, in dictionaries: a function of language, context and character."""
+    grams = langid.Grams()
+    counts = collections.defaultdict(collections.Counter)
+    for lang, text in said:
+        s = grams.symbols(text).tolist()
+        for k in range(len(s) - 3):
+            counts[lang][tuple(s[k : k + 4])] += 1
+    models = {}
+    for lang, four in counts.items():
+        levels = [four]
+        while len(levels) < 4:
+            shorter = collections.Counter()
+            for g in levels[0]:
+                shorter[g[1:]] += 1
+            levels.insert(0, shorter)
+        tables = []
+        for level in levels:
+            one, two = (sum(c == n for c in level.values()) for n in (1, 2))
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            tables.append((level, min(0.9, one / (one + 2 * two)) if one else 0.5, total, kinds))
+        models[lang] = tables
+
+    def p(lang, gram):
+        q = 1 / 65536
+        for k, (level, off, total, kinds) in enumerate(models[lang]):
+            g = tuple(gram[3 - k :])
+            if total[g[:-1]]:
+                q = max(0, level[g] - off) / total[g[:-1]] + off * kinds[g[:-1]] / total[g[:-1]] * q
+        return q
+
+    return p
+
+
+@pytest.mark.parametrize("shard_values", [50, 1 << 20])
+def test_kneser_ney_by_brute_force(spark, shard_values):
+    rng = np.random.default_rng(4)
+    said = [(lang, " ".join("".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(60))) for lang, letters in (("aa", "abcde"), ("bb", "cdefgh"), ("cc", "αβγδ水𐐨")) for _ in range(4)]
+    p = _brute_kneser_ney(said)
+    rows = spark.createDataFrame([(x, t, k % 4 == 0) for k, (x, t) in enumerate(said)], "lang string, text string, fold boolean")
+    model = langid.trained(langid.stored(langid.counted(rows), "t").select("lang", "gram", F.col("n").alias("c")), shard_values)
+    assert model.languages == ["aa", "bb", "cc"] and (shard_values > 50 or len(model.firsts[4][0]) > 5)
+    grams, asked = langid.Grams(), ["abc dea", "xyz", "γδ 水𐐨 cd", said[0][1]]
+    parts = [grams.symbols(t) for t in asked]
+    _, got = langid.cross_entropies(model, grams, parts)
+    for part, row in zip(parts, got, strict=True):
+        for lang, value in zip(model.languages, row, strict=True):
+            s = part.tolist()
+            assert abs(value + np.mean([np.log(p(lang, s[k : k + 4])) for k in range(len(s) - 3)])) < 1e-4
+    some = np.sort((np.int64(int("006100620063", 16) << 16) & ~np.int64(0xFFFF)) | np.arange(65536, dtype=np.int64))
+    assert abs(np.exp(model.log_probability(some).astype(float)).sum(axis=0) - 1).max() < 0.01
+
+
+def test_rejection_is_calibrated_on_held_back_texts(spark):
+    rng = np.random.default_rng(2)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(30)] for lang, letters in (("aa", "abcdefg"), ("bb", "tuvwxyz"))}
+    rows = [(k, " ".join(rng.choice(words[lang], 50)), lang) for k, lang in enumerate(["aa", "bb"] * 300)]
+    noise = [(1000 + k, " ".join("".join(rng.choice(list("abcdefgtuvwxyz"), 6)) for _ in range(40)), None) for k in range(20)]
+    out = langid.identified(spark.createDataFrame(rows + noise, "doc_id long, text string, lang string"), F.col("doc_id") % 3 == 1, accepted=0.9, folds=4).collect()
+    assert all(r["rejected"] for r in out if r["doc_id"] >= 1000)
+    assert 0.01 < np.mean([r["rejected"] for r in out if r["held_out"] and r["doc_id"] < 1000]) < 0.25
+
+
+def test_many_languages(spark):
+    """Forty languages, all grams of each kept: those of a language that all others drown out too."""
+    rng, rows = np.random.default_rng(9), []
+    for j in range(40):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9]
+        for k in range(12 if j else 3):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters, rng.integers(2, 7))) for _ in range(40)), f"l{j:02}"))
+    out = langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 4 == 1, shard_values=2000).collect()
+    said = {i: lang for i, _, lang in rows}
+    held = [r for r in out if r["held_out"]]
+    assert sum(r["lang_pred"] == said[r["doc_id"]] for r in held) >= 0.95 * len(held) and any(r["lang_pred"] == "l00" for r in out)
 
 
 def _warc_wanted(rows, min_revisit=0):
