@@ -8,7 +8,6 @@ repeats, and sends on, by anchor, what is left of its sorted windows; there the
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import _INVERSE, _ODD, chunks, mix, small, stored, utf8
+from larkspur.llm._shared import _INVERSE, _ODD, chunks, hot_join, mix, small, stored, utf8
 
 LENGTH = 100
 #: Bytes of the k-grams among which a window's anchor is chosen.
@@ -182,8 +181,9 @@ def shard_repeats(buf: np.ndarray, bounds: np.ndarray, start: np.ndarray, length
     for k in range(1, 8):  # bytes of the next run don't count
         cut = np.flatnonzero(np.arange(len(held)) + k >= end)
         word[cut] &= np.uint64((0xFFFFFFFFFFFFFFFF << (8 * (8 - k))) & 0xFFFFFFFFFFFFFFFF)
-    order = suffix_array(word, end)
-    shared = common_prefixes(word, end, order)
+    far = max(_FAR, 1 << (length - 1).bit_length())
+    order = suffix_array(word, end, far)
+    shared = common_prefixes(word, end, order, far)
     wanted = np.zeros(len(held), bool)
     wanted[np.searchsorted(held, start)] = True
     mine = np.flatnonzero(wanted[order])
@@ -357,48 +357,95 @@ def _singles(length: int):
     return run
 
 
-def _dealt(found: DataFrame, length: int, heavy_bytes: int) -> DataFrame:
-    """The rows that go to the merge. A group above `heavy_bytes`, as one very frequent anchor makes it, is dealt out by window, so that no task holds it whole."""
+def _dealt(found: DataFrame, length: int, heavy_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows that go to the merge, and intervals that are settled on the way.
+
+    A group above `heavy_bytes`, as one very frequent anchor makes it, is dealt out by window, so that no task holds it
+    whole. Equal windows stay together then; where these alone are over `heavy_bytes` (one passage of very many packs),
+    packs are merged in lots first, as a tree: of equal windows of a lot only the earliest goes on.
+    """
     sizes = found.groupBy("part").agg(F.sum("size").alias("size"), F.sum("runs").alias("runs")).filter(F.col("size") > heavy_bytes)
     subs = F.ceil((F.col("size") - F.col("runs") * (length - 1)) * length / (heavy_bytes / 2)).cast("int")
     heavy = stored(sizes.select("part", subs.alias("subs")), "suffix-heavy")
     if heavy.isEmpty():
-        return found
+        return found, []
     heavy = small(heavy)
-    return found.join(heavy, "part", "left_anti").select(*found.columns).union(found.join(heavy, "part").mapInArrow(_singles(length), _PART))
+    light, done = found.join(heavy, "part", "left_anti").select(*found.columns), []
+    dealt = stored(found.join(heavy, "part").mapInArrow(_singles(length), _PART), "suffix-dealt")
+    before = None
+    while True:
+        hot = stored(dealt.groupBy("part", "sub").agg(F.sum("size").alias("total")).filter(F.col("total") > 2 * heavy_bytes), "suffix-hot")
+        total = hot.agg(F.sum("total")).first()[0]
+        if total is None or before is not None and total >= before:
+            return light.unionByName(dealt), done
+        before, hot = total, small(hot.withColumn("lots", F.ceil(F.col("total") / heavy_bytes).cast("int")))
+        lot = F.pmod(F.xxhash64("pack", "docs", "froms"), "lots")
+        merged = dealt.join(hot, ["part", "sub"]).withColumn("lot", lot).select("lot", *dealt.columns)
+        merged = stored(merged.groupBy("part", "sub", "lot").applyInPandas(_survivors(length), _PART), "suffix-merged")
+        done.append(merged.filter("kind = 0"))
+        dealt = dealt.join(hot, ["part", "sub"], "left_anti").select(*dealt.columns).unionByName(merged.filter("kind = 1"))
+
+
+def _merged(pdf: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
+    """Merges what packs have left of one group's windows: sorted keys, each pack's places in them by binary search, and bytes compared. Per window its document, tag, place, spot in the text and whether an equal one is earlier; and the text."""
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
+    tag = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
+    lo = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["froms"]])
+    size = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tos"]]) - lo
+    pack = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["docs"]])
+    buf = np.frombuffer(b"".join(pdf["text"]), np.uint8)
+    base, n = np.cumsum(size) - size, size - length + 1
+    until = np.cumsum(n)
+    key, end, i = np.empty(until[-1], np.uint64), base + size, 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(end, base[i] + 4 * _PIECE, "right")))
+        hashes = span_hashes(buf[base[i] : end[j - 1]], length)
+        for k in range(i, j):
+            key[until[k] - n[k] : until[k]] = hashes[base[k] - base[i] : base[k] - base[i] + n[k]]
+        i = j
+    blocks, found = -(-len(key) // _BLOCK), []
+    for block in range(blocks):  # equal keys are of one block
+        own = np.flatnonzero((key % np.uint64(blocks)) == block) if blocks > 1 else np.arange(len(key))
+        r = np.searchsorted(until, own, "right")
+        inner = own - (until[r] - n[r])
+        later = np.zeros(len(own), bool)
+        later[_later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], buf, length)] = True
+        found.append((r, inner, later))
+    r, inner, later = (np.concatenate([f[k] for f in found]) for k in (0, 1, 2))
+    return doc[r], tag[r], lo[r] + inner, base[r] + inner, later, buf
+
+
+def _intervals_of(d: np.ndarray, t: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    by = np.lexsort((at, t, d))
+    d, t, at = d[by], t[by], at[by]
+    a, b = _runs(d, at, t)
+    return d[a], t[a], at[a], at[b] + length
 
 
 def _between(length: int):
-    """Merges what packs have left of one group's windows: sorted keys, each pack's places in them by binary search, and bytes compared."""
+    """The intervals of a group's windows to which an equal one is earlier."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]])
-        tag = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
-        lo = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["froms"]])
-        size = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tos"]]) - lo
-        pack = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["docs"]])
-        buf = np.frombuffer(b"".join(pdf["text"]), np.uint8)
-        base, n = np.cumsum(size) - size, size - length + 1
-        until = np.cumsum(n)
-        key, end, i = np.empty(until[-1], np.uint64), base + size, 0
-        while i < len(n):
-            j = max(i + 1, int(np.searchsorted(end, base[i] + 4 * _PIECE, "right")))
-            hashes = span_hashes(buf[base[i] : end[j - 1]], length)
-            for k in range(i, j):
-                key[until[k] - n[k] : until[k]] = hashes[base[k] - base[i] : base[k] - base[i] + n[k]]
-            i = j
-        blocks, found = -(-len(key) // _BLOCK), []
-        for block in range(blocks):  # equal keys are of one block
-            own = np.flatnonzero((key % np.uint64(blocks)) == block) if blocks > 1 else np.arange(len(key))
-            r = np.searchsorted(until, own, "right")
-            inner = own - (until[r] - n[r])
-            later = _later(key[own], base[r] + inner, doc[r], lo[r] + inner, pack[r], buf, length)
-            found.append((doc[r[later]], tag[r[later]], (lo[r] + inner)[later]))
-        d, t, at = (np.concatenate([f[k] for f in found]) for k in (0, 1, 2))
-        by = np.lexsort((at, t, d))
-        d, t, at = d[by], t[by], at[by]
-        a, b = _runs(d, at, t)
-        return pd.DataFrame({"id": d[a], "tag": t[a], "lo": at[a], "hi": at[b] + length})
+        d, t, at, _, later, _ = _merged(pdf, length)
+        return pd.DataFrame(dict(zip(("id", "tag", "lo", "hi"), _intervals_of(d[later], t[later], at[later], length), strict=True)))
+
+    return run
+
+
+def _survivors(length: int):
+    """Of a lot of a hot group: its intervals (kind 0), and of equal windows the earliest (kind 1)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, t, at, spot, later, buf = _merged(pdf, length)
+        out = []
+        if later.any():
+            gone = _intervals_of(d[later], t[later], at[later], length)
+            out.append((0, *gone, b""))
+        d, t, at, spot = d[~later], t[~later], at[~later], spot[~later]
+        out.append((1, d, t, at, at + length, buf[(spot[:, None] + np.arange(length)).ravel()].tobytes()))
+        pack, part, sub = int(pdf["pack"].min()), int(pdf["part"].iloc[0]), int(pdf["sub"].iloc[0])
+        rows = [(kind, part, sub, pack, len(text), len(a), *(np.asarray(x).astype(np.int64).tobytes() for x in (a, b, c, e)), text) for kind, a, b, c, e, text in out]
+        return pd.DataFrame(rows, columns=["kind", "part", "sub", "pack", "size", "runs", "docs", "tags", "froms", "tos", "text"])
 
     return run
 
@@ -451,35 +498,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in out], pa.int64() if j < 3 else pa.string()) for j in range(5))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-@contextlib.contextmanager
-def _batches_of(docs: DataFrame, rows: int) -> Iterator[None]:
-    """While a table is written, at most so many rows go to Python at once: rows of packs are large."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        conf.set(name, before)
-
-
 def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, pack_bytes: int = PACK_BYTES, heavy_bytes: int = HEAVY_BYTES) -> DataFrame:
     """Per document: its id, n_bytes, n_removed, n_spans, kept_sha256 and kept (what is left of the text; bytes that no longer form a character show as U+FFFD).
 
     Each byte goes that is covered by a string of `length` bytes (of the UTF-8 text; null is empty) which also begins
     earlier: in a document of smaller id, or before in the same one. Strings are those of the input. Matches are
     exact: windows meet by hash, but count only if their bytes are equal. Texts that equal an earlier document's whole
-    text go at once, if they have `length` bytes. Rows without an id are never removed from and never earlier. Rows of
-    one id are one document, with strings at equal places of equal age: an exactly repeated row loses nothing by the
-    other (it is packed once), and of different texts of an id each loses what begins at a smaller place in another.
+    text (by SHA-256) go at once, if they have `length` bytes. Rows without an id are never removed from and never
+    earlier. Rows of one id are one document, with strings at equal places of equal age: an exactly repeated row loses
+    nothing by the other (it is packed once), and of different texts of an id each loses what begins at a smaller place
+    in another. Other columns are left out, whatever their names; an empty table gives none. length must be k (the bytes
+    of an anchor) or more.
     """
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    if not 8 <= k <= length:
+        raise ValueError("k must be 8 or more, and length k or more")
+    docs = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.unhex(F.sha2("text", 256)))
     keys = stored(docs.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "suffix-keys")
-    first = keys.filter(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    first = keys.filter(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k"))
+    first = stored(first.filter("k > 1"), "suffix-first")
     # of the rows of one text: those of larger ids, and the smallest id if it repeats
-    alike = stored(keys.join(first, "key").groupBy("id", "key").agg(F.any_value(F.col("id") > F.col("first")).alias("copy"), F.count(F.lit(1)).alias("k")).filter("copy or k > 1"), "suffix-copies")
-    copies, repeats = small(alike.filter("copy")).select("id", "key"), alike.filter("not copy").select("id", "key")
-    tag = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")  # tells texts of one id apart
+    alike = hot_join(keys, first.withColumnRenamed("k", "alike"), ["key"], "alike", "inner").groupBy("id", "key").agg(F.any_value(F.col("id") > F.col("first")).alias("copy"), F.count(F.lit(1)).alias("k"))
+    alike = stored(alike.filter("copy or k > 1"), "suffix-copies")
+    copies, repeats = small(alike.filter("copy").select("id", "key")), alike.filter("not copy").select("id", "key")
+    tag = F.conv(F.substring(F.hex("key"), 1, 15), 16, 10).cast("long")  # tells texts of one id apart
     rest = docs.join(copies, ["id", "key"], "left_anti").select("id", tag.alias("tag"), "text", "key")
     once = rest.filter("id is not null")
     if not repeats.isEmpty():
@@ -488,18 +529,16 @@ def removed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(1, int(total // GROUP_BYTES))
 
-    with _batches_of(docs, 1000):
-        packs = stored(_packed(once.select("id", "tag", "text"), pack_bytes), "suffix-packs")
+    packs = stored(_packed(once.select("id", "tag", "text"), pack_bytes), "suffix-packs")
     sets = _anchor_sets(packs, length, k, parts)
     again = sets.groupBy("part").applyInPandas(_again, "lot long, hashes binary").groupBy("lot").agg(F.collect_list("hashes").alias("again"))
-    with _batches_of(docs, 8):
-        found = stored(packs.join(again.hint("shuffle_hash"), "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
-    dealt = _dealt(found.filter("kind = 1"), length, heavy_bytes)
-    crossed = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, tag long, lo long, hi long")
-    spans = _intervals(found.filter("kind = 0")).union(crossed).groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    with _batches_of(docs, 256):
-        spans = stored(spans, "suffix-spans")
-    cut = rest.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    found = stored(packs.join(again.hint("merge"), "lot").mapInArrow(_within(length, k, parts), _PART), "suffix-found")
+    dealt, done = _dealt(found.filter("kind = 1"), length, heavy_bytes)
+    spans = dealt.groupBy("part", "sub").applyInPandas(_between(length), "id long, tag long, lo long, hi long")
+    for settled in (found.filter("kind = 0"), *done):
+        spans = spans.union(_intervals(settled))
+    spans = stored(spans.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    cut = rest.join(spans.hint("merge"), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     whole = keys.join(copies, ["id", "key"], "left_semi")
     whole = whole.select("id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"))
     return cut.unionByName(whole).withColumnRenamed("id", id)
