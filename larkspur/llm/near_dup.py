@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import Words, chunks, mix, small, stored, uniform, utf8
+from larkspur.llm._shared import WORD, Words, chunks, hot_join, mix, small, stored, uniform, utf8
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -68,7 +69,7 @@ def bag_min_hash(shingle: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(id, text) -> id, text_key (MD5 of the text), weight (shingles) and bands (hashes; none for a text without words)."""
+    """(id, text) -> id, text_key (MD5 of the text, or of nothing if it has no words), weight (shingles) and bands (hashes; none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +88,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(weight), lists], ["id", "text_key", "weight", "bands"])
 
-    keyed = docs.select("id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
+    keyed = docs.select("id", "text", F.md5(F.when(F.col("text").rlike(WORD), F.col("text")).otherwise("")).alias("text_key"))
     return keyed.mapInArrow(run, "id long, text_key string, weight long, bands array<long>")
 
 
@@ -220,8 +221,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     where it still holds several classes, against the text that has most of its weight in common with others. What is
     then left in different classes is verified pair by pair, so no link is lost to the short cuts. Two bounds keep
     these pairs few: what two texts share is at most the weight of either's shingles that any other such text has, and
-    must be similarity / (1 + similarity) of both weights; and longer signatures that differ in over most_differ
-    components are as unlikely for a link as to share no band. Links come from exact bags alone.
+    must be similarity / (1 + similarity) of both weights, so only texts whose weights are that near meet at all; and longer signatures that differ in over most_differ
+    components are as unlikely for a link as to share no band (a chance of 0.00004 at exactly the similarity; most_differ
+    = 504 gives this short cut up). Links come from exact bags alone.
 
     Texts of fewer than `size` words are one shingle; null texts and texts without words are equal to each other, and
     near to nothing else. Repeated ids count as one document; a null id is classed by its text alone (null if no equal
@@ -229,7 +231,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     sig = stored(signatures(docs, bands, rows, size), "near-signatures")
-    reps = sig.groupBy("text_key").agg(F.min("id").alias("rep"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"))
+    reps = sig.groupBy("text_key").agg(F.min("id").alias("rep"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("alike"))
     reps = stored(reps, "near-texts")
     band = stored(reps.filter("rep is not null").select("rep", "weight", F.explode("bands").alias("band")), "near-bands")
     pivot = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("pivot"))).alias("p"), F.count("*").alias("n")).filter("n > 1").select("band", "p.pivot")
@@ -252,24 +254,31 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     rest = _undecided(placed.drop("class_id"), label).filter(F.col("common") >= F.lit(similarity) * F.col("weight"))
     marks = stored(long_signatures(texts, LONG, size), "near-marks")
     rest = rest.join(marks, rest["rep"] == marks["id"]).drop("id").join(reps.select("rep", "bands"), "rep")
-    x = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
-    y = rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
+    step = F.floor(F.log(F.col("weight").cast("double")) / math.log(1 / similarity) + 1e-9)  # linked texts are of one step of weight or the next
+    x = rest.select("band", step.alias("step"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
+    y = rest.select("band", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
     possible = F.least("common_x", "common_y") * (1 + similarity) >= F.lit(similarity) * (F.col("weight_x") + F.col("weight_y"))
     alike = differing(F.col("marks_x"), F.col("marks_y"), -(-LONG // LANES)) <= most_differ
     once = x["band"] == F.array_min(F.array_intersect("bands_x", "bands_y"))
-    rest = x.join(y, (x["band"] == y["band"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("class_id_x") != F.col("class_id_y")) & possible & alike & once)
+    rest = x.join(y, (x["band"] == y["band"]) & (x["step"] == y["step"]) & (F.col("rep_x") < F.col("rep_y")) & (F.col("class_id_x") != F.col("class_id_y")) & possible & alike & once)
     rest = rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         label = extended(label, stored(verified(rest, docs, similarity, size), "near-links"))
-    classes = reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", F.coalesce("class_id", "rep").alias("class_id"))
-    return sig.select("id", "text_key").join(classes, "text_key").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
+    classes = stored(reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", "alike", F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
+    return hot_join(sig.select("id", "text_key"), classes, ["text_key"], "alike", "inner").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its class; of rows of one id one stays, and of rows without an id one for each text."""
+    """The rows of docs whose id is the smallest of its class; of rows of one id one stays (the smallest text), and of rows without an id one for each text.
+
+    Other columns stay as they are. Null texts and texts without words are one class. An empty table gives none.
+    """
     gone = stored(near_duplicates(docs, id, text, **options).filter(F.col(id).isNotNull() & (F.col(id) != F.col("class_id"))).select(id).distinct(), "near-gone")
-    twice = stored(docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(id), "near-twice")
+    twice = small(stored(docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(id), "near-twice"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.filter(F.col(id).isNotNull()).join(small(gone), id, "left_anti")
-    once = kept.join(small(twice), id, "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(small(twice), id, "left_semi").dropDuplicates([id]).select(*docs.columns)).unionByName(docs.filter(F.col(id).isNull()).dropDuplicates([text]))
+    once = kept.join(twice, id, "left_anti").select(*columns)
+    repeated = kept.join(twice, id, "left_semi").select(id, F.coalesce(F.col(text), F.lit("")).alias("__text"), F.struct(*columns).alias("__row")).groupBy(id).agg(F.min_by("__row", "__text").alias("__row")).select("__row.*")
+    bare = docs.filter(F.col(id).isNull()).dropDuplicates([text]).select(*columns)
+    return once.unionByName(repeated).unionByName(bare)
