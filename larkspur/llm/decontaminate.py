@@ -28,7 +28,7 @@ def _block(bits: Column, k: int) -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """doc_id, item_id, start, n_words, similarity: for each document and item it holds, the most similar window.
+    """doc_id, text_key, item_id, start, n_words, similarity: for each document and item it holds, the most similar window.
 
     Words are lower-case runs of letters and digits. Windows have the length of an item. One without any shingle of
     any item can't be similar to one, so only places with such a shingle are looked at, and windows are laid so that
@@ -38,10 +38,14 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     so every pair within the radius meets. Then the exact similarity decides, the sum of the smaller weights over the
     sum of the larger ones.
 
-    Items of fewer than `size` words, and null ones, are never found; null and empty texts hold none. Repeated items
-    are each found. Of equally similar windows the first counts. Repeated rows of one id give one row.
+    A document is a row's id and text (text_key, its XXH64): repeated rows give one result, different texts of one id
+    results of their own, and so do rows without an id (their doc_id is null). Items of fewer than `size` words, and
+    null ones, are never found; null and empty texts hold none. Repeated items are each found. Of equally similar
+    windows the first counts. Other columns are left out, whatever their names. Empty tables give none.
     """
-    docs = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    keys = ["none", "doc_id", "text_key"]
+    window = [*keys, "start", "n_words"]
+    docs = docs.select(F.col(id).isNull().alias("none"), F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     bench = stored(items.select(F.col(item).alias("item_id"), plain_words(F.col(item_text)).alias("words")).filter(F.size("words") >= size).dropDuplicates(), "leak-items")
     total = bench.count()
     placed = bench.select("item_id", F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"), size)).alias("at", "s"))
@@ -50,26 +54,25 @@ def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "te
     marks = stored(parts.groupBy("item_id").agg(fingerprint("s", "w").alias("bits"), F.sum("w").alias("item_weight")), "leak-marks")
     spots = stored(placed.select("s", "n_words", "at").distinct(), "leak-spots")
 
-    hits = docs.select("doc_id", F.posexplode(shingles(plain_words(F.col("text")), size)).alias("pos", "s")).join(small(rarity).select("s"), "s", "left_semi")
-    laid = hits.join(small(spots), "s").select("doc_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
-    windows = stored(laid.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")), "leak-windows")
-    held = docs.join(small(windows), "doc_id").withColumn("key", F.xxhash64("text")).dropDuplicates(["doc_id", "key"])
-    held = held.select("doc_id", "key", "windows", shingles(plain_words(F.col("text")), size).alias("all"))
-    cut = held.select("doc_id", "key", "all", F.explode("windows").alias("w")).select("doc_id", "key", "w.start", "w.n_words", F.explode(F.slice("all", F.col("w.start") + 1, F.col("w.n_words") - (size - 1))).alias("s"))
-    bags = cut.groupBy("doc_id", "key", "start", "n_words", "s").agg(F.count(F.lit(1)).alias("m"))
+    hits = docs.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("pos", "s")).join(small(spots), "s")
+    laid = stored(hits.select(*keys, F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct(), "leak-laid")
+    held = docs.join(small(stored(laid.select(*keys).distinct(), "leak-documents")), keys, "left_semi").dropDuplicates(keys)
+    said = held.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("at", "s"))
+    cut = laid.select(*window, F.explode(F.sequence("start", F.col("start") + F.col("n_words") - size)).alias("at")).join(said, [*keys, "at"])
+    bags = cut.groupBy(*window, "s").agg(F.count(F.lit(1)).alias("m"))
     unseen = 1 + F.log(F.lit(1.0 + total))
     bags = stored(bags.join(small(rarity), "s", "left").withColumn("rarity", F.coalesce("rarity", unseen)).withColumn("w", F.col("m") * F.col("rarity")), "leak-bags")
-    prints = bags.groupBy("doc_id", "key", "start", "n_words").agg(fingerprint("s", "w").alias("own"), F.sum("w").alias("own_weight"))
+    prints = bags.groupBy(*window).agg(fingerprint("s", "w").alias("own"), F.sum("w").alias("own_weight"))
 
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("bits"), k).bitwiseXOR(F.lit(off)).alias("value")) for k in range(BLOCKS) for off in (0, *[1 << b for b in range(BLOCK_BITS)])])
-    index = stored(marks.select("item_id", "bits", "item_weight", F.explode(keys).alias("at")).select("item_id", "bits", "item_weight", "at.block", "at.value"), "leak-index")
+    near = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("bits"), k).bitwiseXOR(F.lit(off)).alias("value")) for k in range(BLOCKS) for off in (0, *[1 << b for b in range(BLOCK_BITS)])])
+    index = stored(marks.select("item_id", "bits", "item_weight", F.explode(near).alias("at")).select("item_id", "bits", "item_weight", "at.block", "at.value"), "leak-index")
     probes = prints.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("own"), k).alias("value")) for k in range(BLOCKS)])).alias("at"))
-    probes = probes.select("doc_id", "key", "start", "n_words", "own", "own_weight", "at.block", "at.value")
+    probes = probes.select(*window, "own", "own_weight", "at.block", "at.value")
     met = probes.join(small(index), ["block", "value"]).filter(F.bit_count(F.col("own").bitwiseXOR(F.col("bits"))) <= RADIUS)
-    met = met.select("doc_id", "key", "start", "n_words", "own_weight", "item_id", "item_weight").distinct()
+    met = met.select(*window, "own_weight", "item_id", "item_weight").distinct()
     mine = parts.select("item_id", "s", F.col("m").alias("item_m"))
-    shared = met.join(bags.select("doc_id", "key", "start", "n_words", "s", "m", "rarity"), ["doc_id", "key", "start", "n_words"]).join(small(mine), ["item_id", "s"])
-    both = shared.groupBy("doc_id", "key", "start", "n_words", "item_id", "own_weight", "item_weight").agg(F.sum(F.least("m", "item_m") * F.col("rarity")).alias("both"))
+    shared = met.join(bags.select(*window, "s", "m", "rarity"), window).join(small(mine), ["item_id", "s"])
+    both = shared.groupBy(*window, "item_id", "own_weight", "item_weight").agg(F.sum(F.least("m", "item_m") * F.col("rarity")).alias("both"))
     found = both.withColumn("similarity", F.round(F.col("both") / (F.col("own_weight") + F.col("item_weight") - F.col("both")), 9)).filter(F.col("similarity") >= similarity)
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("n_words")).alias("n_words"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.start")).cast("long").alias("start"), (-F.col("b.n_words")).cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    best = found.groupBy(*keys, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("n_words")).alias("n_words"))).alias("b"))
+    return best.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text_key", "item_id", (-F.col("b.start")).cast("long").alias("start"), (-F.col("b.n_words")).cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
