@@ -10,19 +10,27 @@ from larkspur.llm._native import let
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _YEAR, _MONTH, _DAY = r"(?:19|20)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 #: What may be personal, by kind; the first kind that matches at a place has it. Whether it is valid is looked at after.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9\-])",
-    "date": rf"(?<![A-Za-z0-9./\-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_MONTH}/{_DAY}/{_YEAR})(?![A-Za-z0-9/\-])",
+    "date": rf"(?<![A-Za-z0-9./\-])(?:{_YEAR}-{_MONTH}-{_DAY}|{_YEAR}/{_MONTH}/{_DAY}|{_YEAR}\.{_MONTH}\.{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_DAY}/{_YEAR}|{_DAY}-{_DAY}-{_YEAR})(?=T[0-9]{{2}}:|[^A-Za-z0-9/\-]|$)",
     "ip": rf"(?<![A-Za-z0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![A-Za-z0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: 1900-01-01 to 2099-12-31 are 73049 = 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
+#: Times a date is permuted again at most, to find a day after the 12th; three of five are.
+_WALK = 64
 
 
 def feistel(values: Column, radices: Column, key: str, tag: str, rounds: int = ROUNDS) -> Column:
@@ -127,18 +135,40 @@ def _ip(m: Column, key: str) -> Column:
     return F.array_join(feistel(F.split(m, r"\.").cast("array<int>"), F.array(*[F.lit(256)] * 4), key, "ip").cast("array<string>"), ".")
 
 
+def _joined(sep: Column, *parts: Column) -> Column:
+    return F.concat(parts[0], sep, parts[1], sep, parts[2])
+
+
 def _date(m: Column, key: str) -> Column:
-    """Day numbers are permuted; the three ways of writing a date share them. A day that its month lacks is left."""
-    dotted, slashed = m.contains("."), m.contains("/")
-    y = F.when(dotted | slashed, F.substring(m, 7, 4)).otherwise(F.substring(m, 1, 4)).cast("int")
-    mo = F.when(dotted, F.substring(m, 4, 2)).when(slashed, F.substring(m, 1, 2)).otherwise(F.substring(m, 6, 2)).cast("int")
-    d = F.when(dotted, F.substring(m, 1, 2)).when(slashed, F.substring(m, 4, 2)).otherwise(F.substring(m, 9, 2)).cast("int")
-    month = F.make_date(y, mo, F.lit(1))
-    n = F.datediff(F.date_add(month, d - 1), F.lit(_FIRST_DAY).cast("date"))
-    value = F.array(F.floor(n / _DAYS[1]).cast("int"), n % _DAYS[1])
-    day = lambda v: F.date_add(F.lit(_FIRST_DAY).cast("date"), v[0] * _DAYS[1] + v[1])
-    write = lambda t: F.when(dotted, F.date_format(t, "dd.MM.yyyy")).when(slashed, F.date_format(t, "MM/dd/yyyy")).otherwise(F.date_format(t, "yyyy-MM-dd"))
-    return F.when(d <= F.dayofmonth(F.last_day(month)), let(feistel(value, F.array(*[F.lit(x) for x in _DAYS]), key, "date"), lambda v: write(day(v)))).otherwise(m)
+    """Day numbers are permuted; all ways of writing a date share them, but one. A day that its month lacks is left.
+
+    With slashes or hyphens and the year last, the month comes first if the first number can be one. If it can't, the
+    day does, and the pseudonym is a day after the 12th again (the permutation is repeated until it is), so that it
+    reads the same way.
+    """
+    part = F.split(m, r"[./\-]").cast("array<int>")
+    sep = F.regexp_extract(m, r"[./\-]", 0)
+    year_first, dotted = m.rlike(r"^[0-9]{4}"), m.contains(".")
+
+    def of(p: Column) -> Column:
+        day_first = ~year_first & (dotted | (p[0] > 12))
+        late = ~year_first & ~dotted & (p[0] > 12)
+        y, mo = F.when(year_first, p[0]).otherwise(p[2]), F.when(year_first | day_first, p[1]).otherwise(p[0])
+        d = F.when(year_first, p[2]).when(day_first, p[0]).otherwise(p[1])
+        month = F.when(mo <= 12, F.make_date(y, F.least(mo, F.lit(12)), F.lit(1)))
+        n = F.datediff(F.date_add(month, d - 1), F.lit(_FIRST_DAY).cast("date"))
+        value = F.array(F.floor(n / _DAYS[1]).cast("int"), n % _DAYS[1])
+        day = lambda v: F.date_add(F.lit(_FIRST_DAY).cast("date"), v[0] * _DAYS[1] + v[1])
+        once = lambda v, tag: feistel(v, F.array(*[F.lit(x) for x in _DAYS]), key, tag)
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once(value, "late"), lambda v, _: F.when(F.dayofmonth(day(v)) > 12, v).otherwise(once(v, "late")))
+
+        def write(t: Column) -> Column:
+            two, four = lambda x: F.lpad(x.cast("string"), 2, "0"), F.year(t).cast("string")
+            return F.when(year_first, _joined(sep, four, two(F.month(t)), two(F.dayofmonth(t)))).when(day_first, _joined(sep, two(F.dayofmonth(t)), two(F.month(t)), four)).otherwise(_joined(sep, two(F.month(t)), two(F.dayofmonth(t)), four))
+
+        return F.when(d <= F.dayofmonth(F.last_day(month)), let(day(F.when(late, walked).otherwise(once(value, "date"))), write)).otherwise(m)
+
+    return let(part, of)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -168,13 +198,18 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with the text's personal data replaced by pseudonyms, and n_replaced (long), the number of replaced places.
 
-    E-mail addresses, IBANs (check digits right), card numbers (Luhn digit right), US social security numbers (in the
-    issued ranges), IPv4 addresses, telephone numbers (8 to 15 digits) and dates of 1900 to 2099 (days that exist)
+    The key is a secret: who has it can undo the permutations. It stands in the plans, so keep event logs and plans as
+    safe as the key, or set spark.redaction.string.regex. An empty key is refused.
+
+    E-mail addresses, IBANs (of their country's length, check digits right), card numbers (Luhn digit right), US social security numbers (in the
+    issued ranges), IPv4 addresses, telephone numbers (8 to 15 digits) and dates of 1900 to 2099 (days that exist, in time stamps too)
     each become one of the same format that is valid again: check digits are made anew, separators, case, country codes
     and top-level domains stay. Equal values get equal pseudonyms in all documents, different ones of a format different ones.
     Numbers that don't validate are left alone. Null stays null (n_replaced 0), texts without personal data stay as
     they are; an n_replaced column of the input is replaced. Rows are changed in place, without a shuffle.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     t = F.col(text)
 
     def rewritten(found: Column) -> Column:
