@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._native import let, places, plain_words, shingle_at, shingles
+from larkspur.llm._native import let, plain_words, shingles
+from larkspur.llm._shared import small, stored
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -15,24 +17,30 @@ CONTAINED = 0.8
 #: 0.8 / 4.2 at least, so one of 64 bands agrees with probability 1 - (1 - 0.19) ** 64 = 0.999998 or more.
 BANDS = 64
 #: Public license notices.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "mit": "Released under the MIT License",
-    "gpl-3.0": "licensed under the GNU General Public License, version 3",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-4.0": "licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-sa-4.0": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
-    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "apache-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "unlicense": "This is free and unencumbered software released into the public domain",
+NOTICES = {
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
+    "mit": ["Released under the MIT License"],
+    "gpl-3.0": ["licensed under the GNU General Public License, version 3"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
+    "cc-by-4.0": ["licensed under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa-4.0": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
 
 
+def whole_texts() -> dict[str, list[str]]:
+    """The license texts of the folder license_texts, by license."""
+    return {p.stem: [p.read_text("utf-8")] for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def templates() -> dict[str, list[str]]:
+    """Notices and whole texts, several for a license."""
+    whole = whole_texts()
+    return {k: NOTICES.get(k, []) + whole.get(k, []) for k in sorted({*NOTICES, *whole})}
+
+
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -46,48 +54,45 @@ def _signature(hashes: Column) -> Column:
     return let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(h, lambda s: F.xxhash64(s, k)))))
 
 
-def _windows_at(hits: Column, half: int) -> Column:
-    """The two windows of each place, by their number."""
-    return F.flatten(F.transform(hits, lambda p: F.array(*[F.struct(F.lit(half).alias("half"), F.greatest(F.floor(p / half).cast("int") - d, F.lit(0)).alias("at")) for d in (0, 1)])))
-
-
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED, size: int = SHINGLE) -> DataFrame:
-    """doc_id, license, containment, start (in words): for each document and template, the window that holds most of it.
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[str, list[str]] | None = None, contained: float = CONTAINED, size: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, license, template, containment, start (in words): for each document and license it holds, the fullest window.
 
-    Words are lower-case runs of letters and digits. Windows of 2W shingles begin at every W-th one, for W of each
-    power of two that a template needs, so any run of W shingles lies within one. Windows without any shingle of a
-    template can't hold one and are left out; each other gets a MinHash of all its shingles, and templates that share
-    a band are verified by the share of their distinct shingles in the window. Templates are a fixed list (a
-    parameter), so they are literals in the plan. Nothing is shuffled before the verified matches.
+    known: the texts of each license, notices and whole ones (templates() if none are given); template tells which one
+    was found. Words are lower-case runs of letters and digits. Windows of 2W shingles begin at every W-th one, for W of
+    each power of two that a template needs, so any run of W shingles lies within one. A window that has fewer of the
+    templates' distinct shingles than the smallest template of its W must have can't hold one, so it is left out before
+    it is read; each other gets a MinHash of all its shingles, and templates that share a band are verified by the share
+    of their distinct shingles in the window.
 
-    Templates of fewer than `size` words are refused. Null and empty texts hold none; repeated rows of one id give one
-    row; of equally full windows the first counts.
+    A document is a row's id and text (text_key, its XXH64): repeated rows give one result, different texts of one id,
+    and rows without an id, results of their own. Null and empty texts hold none. Texts of fewer than `size` words are refused
+    as templates. Of equally full windows the first counts, of equally full texts of a license the first. Other
+    columns are left out, whatever their names; an empty table gives none.
     """
-    spark = docs.sparkSession
-    listed = {k: template_words(v) for k, v in templates.items()}
-    if short := [k for k, w in listed.items() if len(w) < size]:
+    spark, keys = docs.sparkSession, ["none", "doc_id", "text_key"]
+    listed = [(k, j, template_words(t)) for k, texts in (templates() if known is None else known).items() for j, t in enumerate(texts)]
+    if short := [k for k, _, w in listed if len(w) < size]:
         raise ValueError(f"templates of fewer than {size} words: {short}")
-    bench = spark.createDataFrame([(k, w) for k, w in listed.items()], "license string, words array<string>")
-    rows = bench.select("license", F.array_distinct(shingles(F.col("words"), size)).alias("ts")).collect()
-    known = sorted({s for r in rows for s in r["ts"]})
-    first = sorted({w for words in listed.values() for w in words[: len(words) - size + 1]})
-    half = {r["license"]: window_length(len(listed[r["license"]]) - size + 1) for r in rows}
-    sizes = sorted(set(half.values()))
-    bands = bench.select("license", F.array_distinct(shingles(F.col("words"), size)).alias("ts")).select("license", "ts", F.posexplode(_signature(F.col("ts"))).alias("band", "value"))
-    width = F.create_map(*[x for k, v in half.items() for x in (F.lit(k), F.lit(v))])
-    bands = F.broadcast(bands.withColumn("half", width[F.col("license")]))
-
-    def cut_windows(w: Column) -> Column:
-        hits = F.filter(places(w, size), lambda i: F.element_at(w, i + 1).isin(first) & shingle_at(w, i, size).isin(known))
-        return let(hits, lambda h: F.when(F.size(h) > 0, let(shingles(w, size), lambda all_: windows(h, all_))))
-
-    def windows(hits: Column, all_: Column) -> Column:
-        spans = F.array_distinct(F.flatten(F.array(*[_windows_at(hits, n) for n in sizes])))
-        return F.transform(spans, lambda s: F.struct(s["half"].alias("half"), (s["at"] * s["half"]).alias("start"), F.slice(all_, s["at"] * s["half"] + 1, s["half"] * 2).alias("ws")))
-
-    cut = docs.select(F.col(id).alias("doc_id"), F.explode(let(plain_words(F.col(text)), cut_windows)).alias("w")).select("doc_id", "w.*").filter(F.size("ws") > 0)
-    marked = cut.select("doc_id", "half", "start", "ws", F.posexplode(_signature(F.col("ws"))).alias("band", "value"))
-    met = marked.join(bands, ["half", "band", "value"])
-    held = met.withColumn("containment", F.size(F.array_intersect("ts", "ws")) / F.size("ts")).filter(F.col("containment") >= contained)
-    best = held.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("start"))).alias("b"))
-    return best.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.start")).cast("long").alias("start"))
+    bench = spark.createDataFrame([(k, j, w, window_length(len(w) - size + 1)) for k, j, w in listed], "license string, template int, words array<string>, half int")
+    bench = stored(bench.select("license", "template", "half", F.array_distinct(shingles(F.col("words"), size)).alias("ts")), "license-templates")
+    marks = small(stored(bench.select("half", F.explode("ts").alias("s")).distinct(), "license-shingles"))
+    least = F.broadcast(bench.groupBy("half").agg(F.min(F.ceil(F.size("ts") * contained)).alias("least")))  # a row per power of two
+    bands = stored(bench.select("license", "template", "half", F.posexplode(_signature(F.col("ts"))).alias("band", "value")), "license-bands")
+
+    docs = docs.select(F.col(id).isNull().alias("none"), F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    hits = docs.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("pos", "s")).join(marks, "s")
+    number = F.floor(F.col("pos") / F.col("half")).cast("int")
+    spots = hits.select(*keys, "half", "s", F.explode(F.array_distinct(F.array(number, F.greatest(number - 1, F.lit(0))))).alias("at"))
+    full = spots.groupBy(*keys, "half", "at").agg(F.countDistinct("s").alias("n")).join(least, "half").filter("n >= least")
+    windows = stored(full.select(*keys, "half", (F.col("at") * F.col("half")).alias("start")), "license-windows")
+    held = docs.join(small(stored(windows.select(*keys).distinct(), "license-documents")), keys, "left_semi").dropDuplicates(keys)
+    said = held.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("at", "s"))
+    place = F.explode(F.filter(F.flatten(F.transform(F.array(*[F.lit(h) for h in sorted({window_length(len(w) - size + 1) for *_, w in listed})]), lambda h: F.transform(F.array(F.lit(0), F.lit(1)), lambda d: F.struct(h.alias("half"), ((F.floor(F.col("at") / h) - d) * h).cast("int").alias("start"))))), lambda w: w["start"] >= 0))
+    cut = said.select(*keys, "s", place.alias("w")).select(*keys, "s", F.col("w.half").alias("half"), F.col("w.start").alias("start")).join(small(windows), [*keys, "half", "start"])
+    cut = stored(cut.groupBy(*keys, "half", "start").agg(F.collect_set("s").alias("ws")), "license-cut")  # 2W shingles at most
+    marked = cut.select(*keys, "half", "start", F.posexplode(_signature(F.col("ws"))).alias("band", "value"))
+    met = marked.join(small(bands), ["half", "band", "value"]).select(*keys, "half", "start", "license", "template").distinct()
+    held = met.join(cut, [*keys, "half", "start"]).join(small(bench), ["license", "template", "half"])
+    held = held.withColumn("containment", F.size(F.array_intersect("ts", "ws")) / F.size("ts")).filter(F.col("containment") >= contained)
+    best = held.groupBy(*keys, "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("start"), (-F.col("template")).alias("template"))).alias("b"))
+    return best.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text_key", "license", (-F.col("b.template")).alias("template"), F.col("b.containment").alias("containment"), (-F.col("b.start")).cast("long").alias("start"))
