@@ -18,6 +18,7 @@ import pyarrow.dataset
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm._shared import shared_dir, stored
 
@@ -268,7 +269,7 @@ def predicted(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFram
     """Adds lang_pred, score (0 to 1) and cross_entropy (of lang_pred, in nats a gram; null for und)."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy")]
     docs = docs.select(*[f"`{c}`" for c in names])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, cross_entropy double"])
+    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()

@@ -115,7 +115,10 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     agree, whatever the partitions.
 
     Null texts and texts without words have size 0 and taken 0. A null source is a source of its own, last in order.
-    Repeated rows are rounded as rows of their own. An empty table gives an empty result.
+    Repeated rows are rounded as rows of their own; of rows that agree in id and text it doesn't matter which is which,
+    and two texts of one id have chances of their own. Only open rows (whose fraction isn't integral yet) reach the
+    loop in Python that rounds them; the running sums that find the targets go over one row per source. Other columns
+    are left out, whatever their names. An empty table gives an empty result.
     """
     sizes = stored(docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key")), "mix-sizes")
     goal = small(stored(targets(sizes, weights, budget, cap), "mix-targets"))
@@ -123,13 +126,13 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     blocks = max(1, math.ceil(sizes.count() / block_rows))
     rows = rows.withColumn("whole", F.floor(rate + F.lit(_NEAR)).cast("long")).withColumn("p", F.when(F.col("size") > 0, F.greatest(rate - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumns({"chance": F.xxhash64("id", "size"), "kind": F.coalesce(F.floor(F.log2(F.col("size").cast("double"))), F.lit(-1)).cast("long"), "extra": F.lit(0).cast("long")})
+    rows = rows.withColumns({"chance": F.xxhash64("id", "text_key"), "kind": F.coalesce(F.floor(F.log2(F.col("size").cast("double"))), F.lit(-1)).cast("long"), "extra": F.lit(0).cast("long")})
     rows = rows.withColumns({"block": F.pmod(F.xxhash64("chance", F.lit(seed)), F.lit(blocks)), "open": F.col("p") > _NEAR})
     done, left, level = [rows.filter(~F.col("open"))], rows.filter("open"), 0
     while True:
         keys = ["source", "kind", "block"] if blocks > 1 or level == 0 else ["source", "kind"] if level > 0 and level < 1000 else ["source"]
         last = keys == ["source"]
-        left = left.repartition(*keys).sortWithinPartitions(*keys, "size", "chance", "id")
+        left = left.repartition(*keys).sortWithinPartitions(*keys, "size", "chance", "id", "text_key")
         left = stored(left.mapInPandas(_round(keys, seed, level, last), rows.schema), f"mix-level{level}")
         done.append(left.filter(~F.col("open")))
         if last:

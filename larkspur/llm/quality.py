@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from larkspur.llm._shared import Words, chunks, mix, utf8
 
@@ -135,7 +136,7 @@ def repetition(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]
     keep = [c for c in docs.columns if c not in (*names, "base_failed", "kept")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema), *(f"{n} long" for n in names), "base_failed boolean", "kept boolean"])
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema, *(T.StructField(n, T.LongType()) for n in names), *(T.StructField(n, T.BooleanType()) for n in ("base_failed", "kept"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

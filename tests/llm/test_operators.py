@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, pii, quality, queries, suffix_dedup, warc
+from larkspur.llm import chat, decontaminate, langid, mixing, near_dup, pii, quality, queries, suffix_dedup, warc
 from larkspur.llm._shared import mix, utf8
 from tests.conftest import SF
 from tests.test_oracle import compare, duck  # noqa: F401
@@ -107,7 +107,7 @@ def test_leaks(spark, docs, odd, none):
     found = decontaminate.leaks(docs, items)
     assert held and held <= {(r["doc_id"], r["item_id"]) for r in found.collect()} and found.filter("similarity < 0.8").count() == 0
     own = spark.createDataFrame([(1, "w3 w4 w5 w6 w7 w8 w9 w10"), (2, "a b"), (3, None)], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, own).collect()} == {(1, 1), (2, 1), (7, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, own).collect()} == {(1, 1), (2, 1), (7, 1), (None, 1)}
     assert decontaminate.leaks(none, own).count() == 0
 
 
@@ -195,6 +195,36 @@ def test_suffix_dedup_of_repeated_ids(spark, pack, heavy):
     assert want[5, a] == 2 and want[9, ""] == 2
 
 
+def _gone(rows):
+    """Per (id, text) what is left, by brute force over characters (texts are ASCII)."""
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 99):
+            first[t[k : k + 100]] = min(first.get(t[k : k + 100], (i, k)), (i, k))
+    out = collections.Counter()
+    for i, t in rows:
+        gone = {k + j for k in range(len(t) - 99) if first[t[k : k + 100]] < (i, k) for j in range(100)}
+        out[i, "".join(x for k, x in enumerate(t) if k not in gone)] += 1
+    return out
+
+
+@pytest.mark.parametrize("heavy", [1 << 23, 1500])
+def test_suffix_dedup_of_a_hot_passage(spark, heavy):
+    """One passage in all packs, more of it than a group may hold: merged in lots, and it stays in the first document alone."""
+    passage = "".join(hashlib.md5(f"p{k}".encode()).hexdigest() for k in range(5))
+    rows = [(i, f"{i:>40} {passage[: 101 + i % 60]} {hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(240)]
+    got = suffix_dedup.removed(spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, lo long, tag string").repartition(6), pack_bytes=300, heavy_bytes=heavy).collect()
+    assert collections.Counter((r["doc_id"], r["kept"]) for r in got) == _gone(rows)
+
+
+def test_suffix_dedup_of_long_and_poor_texts(spark):
+    rows = [(1, "a" * 250_000), (2, "ab" * 300), (3, "a" * 100), (4, "a" * 99), (5, ""), (6, "b" + "a" * 150)]
+    got = {r["doc_id"]: r["kept"] for r in suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a", 2: "ab", 3: "", 4: "a" * 99, 5: "", 6: "b"}
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"), length=40)
+
+
 def test_common_prefixes():
     rng = np.random.default_rng(7)
     buf = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -209,16 +239,6 @@ def test_common_prefixes():
         assert lcp[k] == min(128, next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b))))
 
 
-def test_licenses(spark, docs, odd, none):
-    held = {(d, k) for d, t in texts(docs).items() for k in ("mit", "apache-2.0", "gpl-3.0", "cc-by-nc-4.0") if licenses.TEMPLATES[k] in (t or "")}
-    assert held == {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
-    some = "x y z " * 30 + licenses.TEMPLATES["mit-text"].replace("copy", "COPY!").replace("sell", "trade") + " q" * 50
-    assert {r["license"] for r in licenses.scan(spark.createDataFrame([(1, some)], "doc_id long, text string")).collect()} == {"mit-text"}
-    assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan(docs, templates={"short": "MIT"})
-
-
 def test_languages(docs, odd, none):
     out = queries.op3_kneser_ney_langid(docs.sparkSession, "/root/testdata/sf0.01").join(docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
