@@ -20,16 +20,16 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_of(c: Column, chars: str) -> Column:
-    inner = chars.replace("-", r"\-")
-    return F.regexp_replace(c, f"^[{inner}]+|[{inner}]+$", "")
+    return F.btrim(c, F.lit(chars))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space become one space; only what isn't one already is replaced."""
+    return strip(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def first_nonblank(*cols: Column) -> Column:

@@ -3,160 +3,155 @@
 from __future__ import annotations
 
 #: Synonyms (English and Chinese) and the standard INCI name of each; of equal keys the first counts.
-SYNONYMS = """
-water = Aqua
-aqua = Aqua
-eau = Aqua
-purified water = Aqua
-deionized water = Aqua
-de-ionized water = Aqua
-water/aqua/eau = Aqua
-water aqua eau = Aqua
-aqua/water/eau = Aqua
-aqua water eau = Aqua
-水 = Aqua
-纯水 = Aqua
-去离子水 = Aqua
-纯净水 = Aqua
-alcohol = Alcohol
-ethanol = Alcohol
-变性乙醇 = Alcohol Denat.
-alcohol denat. = Alcohol Denat.
-alcohol denat = Alcohol Denat.
-denatured alcohol = Alcohol Denat.
-sd alcohol 40-b = Alcohol Denat.
-乙醇 = Alcohol
-异丙醇 = Isopropyl Alcohol
-isopropyl alcohol = Isopropyl Alcohol
-丙二醇 = Propylene Glycol
-propylene glycol = Propylene Glycol
-丁二醇 = Butylene Glycol
-butylene glycol = Butylene Glycol
-戊二醇 = Pentylene Glycol
-pentylene glycol = Pentylene Glycol
-propanediol = Propanediol
-1,3-propanediol = Propanediol
-1,2-hexanediol = 1,2-Hexanediol
-1,2 hexanediol = 1,2-Hexanediol
-hexanediol = 1,2-Hexanediol
-dimethyl isosorbide = Dimethyl Isosorbide
-乙氧基二甘醇 = Ethoxydiglycol
-ethoxydiglycol = Ethoxydiglycol
-甘油 = Glycerin
-glycerin = Glycerin
-glycerol = Glycerin
-betaine = Betaine
-甜菜碱 = Betaine
-sodium pca = Sodium PCA
-zinc pca = Zinc PCA
-尿素 = Urea
-urea = Urea
-泛醇 = Panthenol
-panthenol = Panthenol
-allantoin = Allantoin
-尿囊素 = Allantoin
-烟酰胺 = Niacinamide
-niacinamide = Niacinamide
-salicylic acid = Salicylic Acid
-水杨酸 = Salicylic Acid
-glycolic acid = Glycolic Acid
-乙醇酸 = Glycolic Acid
-lactic acid = Lactic Acid
-乳酸 = Lactic Acid
-citric acid = Citric Acid
-柠檬酸 = Citric Acid
-ascorbic acid = Ascorbic Acid
-抗坏血酸 = Ascorbic Acid
-tocopherol = Tocopherol
-retinol = Retinol
-视黄醇 = Retinol
-retinyl palmitate = Retinyl Palmitate
-视黄醇棕榈酸酯 = Retinyl Palmitate
-azelaic acid = Azelaic Acid
-壬二酸 = Azelaic Acid
-tranexamic acid = Tranexamic Acid
-传明酸 = Tranexamic Acid
-alpha-arbutin = Alpha-Arbutin
-alpha arbutin = Alpha-Arbutin
-熊果苷 = Arbutin
-arbutin = Arbutin
-hyaluronic acid = Hyaluronic Acid
-透明质酸 = Hyaluronic Acid
-玻尿酸 = Hyaluronic Acid
-sodium hyaluronate = Sodium Hyaluronate
-透明质酸钠 = Sodium Hyaluronate
-sodium laureth sulfate = Sodium Laureth Sulfate
-sodium lauryl sulfate = Sodium Lauryl Sulfate
-椰油酰胺丙基甜菜碱 = Cocamidopropyl Betaine
-cocamidopropyl betaine = Cocamidopropyl Betaine
-decyl glucoside = Decyl Glucoside
-coco-glucoside = Coco-Glucoside
-coco glucoside = Coco-Glucoside
-sodium cocoyl isethionate = Sodium Cocoyl Isethionate
-sodium cocoyl glutamate = Sodium Cocoyl Glutamate
-disodium cocoyl glutamate = Disodium Cocoyl Glutamate
-sodium lauroyl sarcosinate = Sodium Lauroyl Sarcosinate
-caprylic/capric triglyceride = Caprylic/Capric Triglyceride
-caprylic capric triglyceride = Caprylic/Capric Triglyceride
-角鲨烷 = Squalane
-squalane = Squalane
-dimethicone = Dimethicone
-聚二甲基硅氧烷 = Dimethicone
-isopropyl myristate = Isopropyl Myristate
-isopropyl palmitate = Isopropyl Palmitate
-cetearyl alcohol = Cetearyl Alcohol
-cetyl alcohol = Cetyl Alcohol
-stearyl alcohol = Stearyl Alcohol
-glyceryl stearate = Glyceryl Stearate
-peg-100 stearate = PEG-100 Stearate
-polysorbate 20 = Polysorbate 20
-polysorbate 60 = Polysorbate 60
-lecithin = Lecithin
-carbomer = Carbomer
-卡波姆 = Carbomer
-xanthan gum = Xanthan Gum
-黄原胶 = Xanthan Gum
-hydroxyethylcellulose = Hydroxyethylcellulose
-羟乙基纤维素 = Hydroxyethylcellulose
-sodium chloride = Sodium Chloride
-氯化钠 = Sodium Chloride
-acrylates/c10-30 alkyl acrylate crosspolymer = Acrylates/C10-30 Alkyl Acrylate Crosspolymer
-acrylates c10-30 alkyl acrylate crosspolymer = Acrylates/C10-30 Alkyl Acrylate Crosspolymer
-disodium edta = Disodium EDTA
-乙二胺四乙酸二钠 = Disodium EDTA
-phenoxyethanol = Phenoxyethanol
-苯氧乙醇 = Phenoxyethanol
-ethylhexylglycerin = Ethylhexylglycerin
-辛甘醇 = Ethylhexylglycerin
-chlorphenesin = Chlorphenesin
-对羟基苯甲酸甲酯 = Methylparaben
-methylparaben = Methylparaben
-propylparaben = Propylparaben
-对羟基苯甲酸丙酯 = Propylparaben
-potassium sorbate = Potassium Sorbate
-sodium benzoate = Sodium Benzoate
-dehydroacetic acid = Dehydroacetic Acid
-benzyl alcohol = Benzyl Alcohol
-bht = BHT
-butylated hydroxytoluene = BHT
-fragrance = Parfum
-parfum = Parfum
-香精 = Parfum
-limonene = Limonene
-linalool = Linalool
-citral = Citral
-geraniol = Geraniol
-coumarin = Coumarin
-hydroxycitronellal = Hydroxycitronellal
-citronellol = Citronellol
-eugenol = Eugenol
-benzyl salicylate = Benzyl Salicylate
-"""
-
-
-def synonyms() -> list[tuple[str, str]]:
-    return [tuple(line.split(" = ", 1)) for line in SYNONYMS.strip().splitlines()]
-
+SYNONYMS = [
+    ("water", "Aqua"),
+    ("aqua", "Aqua"),
+    ("eau", "Aqua"),
+    ("purified water", "Aqua"),
+    ("deionized water", "Aqua"),
+    ("de-ionized water", "Aqua"),
+    ("water/aqua/eau", "Aqua"),
+    ("water aqua eau", "Aqua"),
+    ("aqua/water/eau", "Aqua"),
+    ("aqua water eau", "Aqua"),
+    ("水", "Aqua"),
+    ("纯水", "Aqua"),
+    ("去离子水", "Aqua"),
+    ("纯净水", "Aqua"),
+    ("alcohol", "Alcohol"),
+    ("ethanol", "Alcohol"),
+    ("变性乙醇", "Alcohol Denat."),
+    ("alcohol denat.", "Alcohol Denat."),
+    ("alcohol denat", "Alcohol Denat."),
+    ("denatured alcohol", "Alcohol Denat."),
+    ("sd alcohol 40-b", "Alcohol Denat."),
+    ("乙醇", "Alcohol"),
+    ("异丙醇", "Isopropyl Alcohol"),
+    ("isopropyl alcohol", "Isopropyl Alcohol"),
+    ("丙二醇", "Propylene Glycol"),
+    ("propylene glycol", "Propylene Glycol"),
+    ("丁二醇", "Butylene Glycol"),
+    ("butylene glycol", "Butylene Glycol"),
+    ("戊二醇", "Pentylene Glycol"),
+    ("pentylene glycol", "Pentylene Glycol"),
+    ("propanediol", "Propanediol"),
+    ("1,3-propanediol", "Propanediol"),
+    ("1,2-hexanediol", "1,2-Hexanediol"),
+    ("1,2 hexanediol", "1,2-Hexanediol"),
+    ("hexanediol", "1,2-Hexanediol"),
+    ("dimethyl isosorbide", "Dimethyl Isosorbide"),
+    ("乙氧基二甘醇", "Ethoxydiglycol"),
+    ("ethoxydiglycol", "Ethoxydiglycol"),
+    ("甘油", "Glycerin"),
+    ("glycerin", "Glycerin"),
+    ("glycerol", "Glycerin"),
+    ("betaine", "Betaine"),
+    ("甜菜碱", "Betaine"),
+    ("sodium pca", "Sodium PCA"),
+    ("zinc pca", "Zinc PCA"),
+    ("尿素", "Urea"),
+    ("urea", "Urea"),
+    ("泛醇", "Panthenol"),
+    ("panthenol", "Panthenol"),
+    ("allantoin", "Allantoin"),
+    ("尿囊素", "Allantoin"),
+    ("烟酰胺", "Niacinamide"),
+    ("niacinamide", "Niacinamide"),
+    ("salicylic acid", "Salicylic Acid"),
+    ("水杨酸", "Salicylic Acid"),
+    ("glycolic acid", "Glycolic Acid"),
+    ("乙醇酸", "Glycolic Acid"),
+    ("lactic acid", "Lactic Acid"),
+    ("乳酸", "Lactic Acid"),
+    ("citric acid", "Citric Acid"),
+    ("柠檬酸", "Citric Acid"),
+    ("ascorbic acid", "Ascorbic Acid"),
+    ("抗坏血酸", "Ascorbic Acid"),
+    ("tocopherol", "Tocopherol"),
+    ("retinol", "Retinol"),
+    ("视黄醇", "Retinol"),
+    ("retinyl palmitate", "Retinyl Palmitate"),
+    ("视黄醇棕榈酸酯", "Retinyl Palmitate"),
+    ("azelaic acid", "Azelaic Acid"),
+    ("壬二酸", "Azelaic Acid"),
+    ("tranexamic acid", "Tranexamic Acid"),
+    ("传明酸", "Tranexamic Acid"),
+    ("alpha-arbutin", "Alpha-Arbutin"),
+    ("alpha arbutin", "Alpha-Arbutin"),
+    ("熊果苷", "Arbutin"),
+    ("arbutin", "Arbutin"),
+    ("hyaluronic acid", "Hyaluronic Acid"),
+    ("透明质酸", "Hyaluronic Acid"),
+    ("玻尿酸", "Hyaluronic Acid"),
+    ("sodium hyaluronate", "Sodium Hyaluronate"),
+    ("透明质酸钠", "Sodium Hyaluronate"),
+    ("sodium laureth sulfate", "Sodium Laureth Sulfate"),
+    ("sodium lauryl sulfate", "Sodium Lauryl Sulfate"),
+    ("椰油酰胺丙基甜菜碱", "Cocamidopropyl Betaine"),
+    ("cocamidopropyl betaine", "Cocamidopropyl Betaine"),
+    ("decyl glucoside", "Decyl Glucoside"),
+    ("coco-glucoside", "Coco-Glucoside"),
+    ("coco glucoside", "Coco-Glucoside"),
+    ("sodium cocoyl isethionate", "Sodium Cocoyl Isethionate"),
+    ("sodium cocoyl glutamate", "Sodium Cocoyl Glutamate"),
+    ("disodium cocoyl glutamate", "Disodium Cocoyl Glutamate"),
+    ("sodium lauroyl sarcosinate", "Sodium Lauroyl Sarcosinate"),
+    ("caprylic/capric triglyceride", "Caprylic/Capric Triglyceride"),
+    ("caprylic capric triglyceride", "Caprylic/Capric Triglyceride"),
+    ("角鲨烷", "Squalane"),
+    ("squalane", "Squalane"),
+    ("dimethicone", "Dimethicone"),
+    ("聚二甲基硅氧烷", "Dimethicone"),
+    ("isopropyl myristate", "Isopropyl Myristate"),
+    ("isopropyl palmitate", "Isopropyl Palmitate"),
+    ("cetearyl alcohol", "Cetearyl Alcohol"),
+    ("cetyl alcohol", "Cetyl Alcohol"),
+    ("stearyl alcohol", "Stearyl Alcohol"),
+    ("glyceryl stearate", "Glyceryl Stearate"),
+    ("peg-100 stearate", "PEG-100 Stearate"),
+    ("polysorbate 20", "Polysorbate 20"),
+    ("polysorbate 60", "Polysorbate 60"),
+    ("lecithin", "Lecithin"),
+    ("carbomer", "Carbomer"),
+    ("卡波姆", "Carbomer"),
+    ("xanthan gum", "Xanthan Gum"),
+    ("黄原胶", "Xanthan Gum"),
+    ("hydroxyethylcellulose", "Hydroxyethylcellulose"),
+    ("羟乙基纤维素", "Hydroxyethylcellulose"),
+    ("sodium chloride", "Sodium Chloride"),
+    ("氯化钠", "Sodium Chloride"),
+    ("acrylates/c10-30 alkyl acrylate crosspolymer", "Acrylates/C10-30 Alkyl Acrylate Crosspolymer"),
+    ("acrylates c10-30 alkyl acrylate crosspolymer", "Acrylates/C10-30 Alkyl Acrylate Crosspolymer"),
+    ("disodium edta", "Disodium EDTA"),
+    ("乙二胺四乙酸二钠", "Disodium EDTA"),
+    ("phenoxyethanol", "Phenoxyethanol"),
+    ("苯氧乙醇", "Phenoxyethanol"),
+    ("ethylhexylglycerin", "Ethylhexylglycerin"),
+    ("辛甘醇", "Ethylhexylglycerin"),
+    ("chlorphenesin", "Chlorphenesin"),
+    ("对羟基苯甲酸甲酯", "Methylparaben"),
+    ("methylparaben", "Methylparaben"),
+    ("propylparaben", "Propylparaben"),
+    ("对羟基苯甲酸丙酯", "Propylparaben"),
+    ("potassium sorbate", "Potassium Sorbate"),
+    ("sodium benzoate", "Sodium Benzoate"),
+    ("dehydroacetic acid", "Dehydroacetic Acid"),
+    ("benzyl alcohol", "Benzyl Alcohol"),
+    ("bht", "BHT"),
+    ("butylated hydroxytoluene", "BHT"),
+    ("fragrance", "Parfum"),
+    ("parfum", "Parfum"),
+    ("香精", "Parfum"),
+    ("limonene", "Limonene"),
+    ("linalool", "Linalool"),
+    ("citral", "Citral"),
+    ("geraniol", "Geraniol"),
+    ("coumarin", "Coumarin"),
+    ("hydroxycitronellal", "Hydroxycitronellal"),
+    ("citronellol", "Citronellol"),
+    ("eugenol", "Eugenol"),
+    ("benzyl salicylate", "Benzyl Salicylate"),
+]
 
 #: Texts that stand for no text at all.
 BLANK_WORDS = ["nan", "none", "null", "n/a", "na"]

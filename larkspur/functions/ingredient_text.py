@@ -24,8 +24,7 @@ def clean_block(c: Column) -> Column:
     t = F.regexp_replace(strip(text(c)), fixed.ZERO_WIDTH, "")
     t = F.regexp_replace(t, r"(?i)https?://\S+", " ")
     t = F.regexp_replace(t, r"(^|\s)#[\w-]+", " ")
-    for phrase in fixed.BLOCK_PHRASES:
-        t = F.regexp_replace(t, rf"(?i)\b{phrase}\b", " ")
+    t = F.regexp_replace(t, rf"(?i)\b(?:{'|'.join(fixed.BLOCK_PHRASES)})\b", " ")
     for pattern in (r"(?i)\[\s*more\s*\]", r"(\.{3,}|…)", r"(?i)\b(and|&)\s*$", r"(?i)\betc\.?\s*$", fixed.DISCLAIMER):
         t = F.regexp_replace(t, pattern, " ")
     return collapse(t)
@@ -150,12 +149,14 @@ def merged_description(overview: Column, how_to_use: Column, ingredients: Column
 
 def lookup_key(c: Column) -> Column:
     """I2."""
-    t = F.lower(strip(text(c)))
-    for a, b in (("’", "'"), ("‘", "'"), ("（", "("), ("）", ")")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    for pattern, by in ((r"<[^>]{1,80}>", ""), (r"\([^)]*\)", ""), ("/", " "), ("[®™]", ""), ("[.:：]", " ")):
-        t = F.regexp_replace(t, pattern, by)
-    return collapse(t)
+    t = F.translate(F.lower(strip(text(c))), "’‘（）", "''()")
+    t = _without(_without(t, "<", r"<[^>]{1,80}>"), "(", r"\([^)]*\)")
+    return collapse(F.translate(t, "/.:：®™", "    "))
+
+
+def _without(c: Column, sign: str, pattern: str) -> Column:
+    """The text without what matches the pattern, which only texts with the sign can."""
+    return let(c, lambda t: F.when(F.contains(t, F.lit(sign)), F.regexp_replace(t, pattern, "")).otherwise(t))
 
 
 def inci_key(c: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, urls
 from larkspur.functions.core import let, strip, text
-from larkspur.functions.ingredient_text import inci_key
+from larkspur.functions.ingredient_text import inci_key, meaningful
 from larkspur.operators.ingredients import parsed
+from larkspur.scratch import stored
 
 
 def source_match(brand: Column, product: Column, source_ref: Column, source_type: Column) -> Column:
@@ -39,8 +40,8 @@ def signal_type(raw: Column, cleaned: Column, parse_status: Column, inci_list: C
     )
 
 
-def duplicate_conflicts(rows: DataFrame) -> DataFrame:
-    """row_id, conflict: per row the first other row of its sku_key with another ingredient list.
+def duplicate_conflicts(rows: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """row_id, conflict: per row (of asking, if given, else of all) the first other row of its sku_key with another ingredient list.
 
     The other row is of the same import, or approved elsewhere; not if both are official, of the same page, and only
     this one names a variant. First are rows of the own import, then by row_index and row_id. Rows are compared per
@@ -51,10 +52,11 @@ def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     key = F.coalesce(F.nullif(strip(text(F.col("sku_key"))), F.lit("")), F.nullif(strip(text(F.col("candidate_id"))), F.lit(""))) if "candidate_id" in rows.columns else F.nullif(strip(text(F.col("sku_key"))), F.lit(""))
     url = urls.normalize_url_like(F.col("source_ref"))
     page = F.concat(urls.host(url), F.lower(F.regexp_replace(urls.path(url), "/+$", "")))
-    base = rows.select(
+    light = lambda df: df.select(
         "row_id", "import_id", "row_index", "inci_list", "review_status", key.alias("sku"), inci_key(F.col("inci_list")).alias("inci"), (F.upper(strip(text(F.col("review_status")))) == "APPROVED").alias("approved"),
         (F.lower(strip(text(F.col("source_type")))) == "official").alias("official"), F.when(url != "", page).alias("page"), F.concat(F.lit("&"), urls.query(url)).rlike("&variant=[^&]").alias("variant"),
     ).filter("sku is not null and inci <> ''")
+    base = light(rows)
     first = Window.partitionBy("sku", "inci", "import_id").orderBy("row_index", "row_id")
     own = base.withColumn("k", F.row_number().over(first)).filter("k = 1")
     kinds = Window.partitionBy("sku", "inci", "official", "page", "variant").orderBy("row_index", "row_id")
@@ -65,7 +67,7 @@ def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     upgrade = F.col("official") & F.col("o_official") & (F.col("page") == F.col("o_page")) & F.col("variant") & ~F.col("o_variant")
     meets = (F.col("sku") == F.col("o_sku")) & (F.col("inci") != F.col("o_inci")) & ((F.col("o_near") & same) | (~F.col("o_near") & ~same & ~F.coalesce(upgrade, F.lit(False))))
     pick = F.min(F.struct((~same).alias("far"), F.col("o_row_index").alias("row_index"), F.col("o_row_id").alias("row_id"), F.col("o_import_id").alias("import_id"), F.col("o_review_status").alias("review_status"), F.col("o_inci_list").alias("inci_list")))
-    return base.join(other, meets).groupBy("row_id").agg(pick.alias("conflict"))
+    return (base if asking is None else light(asking)).join(other, meets).groupBy("row_id").agg(pick.alias("conflict"))
 
 
 ACTIONS = {
@@ -104,13 +106,13 @@ def findings(row_conflict: str | None = "conflict") -> Column:
     return F.filter(F.array(*made), lambda f: f.isNotNull())
 
 
-def audited(rows: DataFrame, with_duplicates: bool = True) -> DataFrame:
-    """Rows with source_match_status, ingredient_signal_type, findings, audit_status, audit_score and ingest_allowed made anew."""
+def audited(rows: DataFrame, with_duplicates: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """Rows with source_match_status, ingredient_signal_type, findings, audit_status, audit_score and ingest_allowed made anew; conflicts are looked for among all rows, or those given."""
     made = ("match", "signal", "conflict", "findings", "audit_status", "audit_score", "ingest_allowed", "source_match_status", "ingredient_signal_type")
     base = rows.drop(*made)
     base = base.withColumns({"match": source_match(F.col("brand"), F.col("product_name"), F.col("source_ref"), F.col("source_type")), "signal": signal_type(F.col("raw_ingredient_text"), F.col("cleaned_text"), F.col("parse_status"), F.col("inci_list"))})
     if with_duplicates:
-        base = base.join(duplicate_conflicts(rows), "row_id", "left")
+        base = base.join(duplicate_conflicts(rows if among is None else among, rows), "row_id", "left")
     base = base.withColumn("findings", findings("conflict" if with_duplicates else None))
     count = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
     score = F.greatest(F.lit(0.0), F.round(1 - count("blocker") * 0.35 - count("review") * 0.08, 6))
@@ -133,78 +135,162 @@ def run_id(stage: str) -> str:
     return f"iar_{word[:16]}_{uuid.uuid4().hex[:12]}"
 
 
-def finding_rows(rows: DataFrame, stage: str = "audit") -> DataFrame:
-    """Findings of audited rows as a table, stamped with a run."""
-    return rows.select(F.lit(run_id(stage)).alias("audit_run_id"), "row_id", "import_id", F.explode("findings").alias("f"), F.current_timestamp().alias("created_at")).select("audit_run_id", "row_id", "import_id", "f.*", "created_at")
+FINDINGS = "array<struct<anomaly_type:string,severity:string,evidence:string,recommended_action:string,auto_fixable:boolean>>"
+
 
+def finding_rows(rows: DataFrame, stage: str = "audit", run: str | None = None) -> DataFrame:
+    """Findings of audited rows as a table, stamped with a run."""
+    return rows.select(F.lit(run or run_id(stage)).alias("audit_run_id"), "row_id", "import_id", F.explode("findings").alias("f"), F.current_timestamp().alias("created_at")).select("audit_run_id", "row_id", "import_id", "f.*", "created_at")
 
-_PAYLOAD = ("raw_ingredient_text", "source_ref", "brand", "product_name", "market", "inci_list", "parse_status", "review_status")
 
+def audit_run(rows: DataFrame, row_ids: DataFrame | None = None, apply_corrections: bool = False, stage: str = "initial") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A10: audits an import's rows (only those of row_ids, if given), after conservative corrections if asked for.
 
-def _record(before: DataFrame, after: DataFrame, kind: str, actor: str, run: str | None = None) -> DataFrame:
-    """A correction record for each row whose payload changed."""
-    payload = lambda: F.to_json(F.struct(*_PAYLOAD))
-    both = before.select("row_id", payload().alias("before")).join(after.select("row_id", payload().alias("after")), "row_id")
-    return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(run).alias("audit_run_id"), "row_id", F.lit(kind).alias("correction_type"), F.lit("applied").alias("status"), F.lit(actor == "system").alias("auto_applied"), F.lit(actor).alias("actor"), "before", "after", F.current_timestamp().alias("created_at"))
+    All rows are corrected first and then audited, so each is judged against the others' corrected state. Returns the
+    audited rows, their findings, the correction records, and a summary per import with corrected_rows.
+    """
+    run = run_id(stage)
+    asked = rows if row_ids is None else rows.join(row_ids.select("row_id").distinct(), "row_id", "left_semi")
+    records = None
+    if apply_corrections:
+        asked, records = auto_corrected(asked, run)
+    asked = stored(asked, "audit-rows")
+    others = asked if row_ids is None else asked.unionByName(rows.join(asked.select("row_id"), "row_id", "left_anti"), allowMissingColumns=True)
+    done = audited(asked, among=stored(others, "audit-among"))
+    summary = audit_summary(done)
+    if records is None:
+        records = _record(asked.limit(0), asked.limit(0), "", "", run)
+    touched = records.select("row_id").distinct().join(asked.select("row_id", "import_id"), "row_id").groupBy("import_id").agg(F.count(F.lit(1)).alias("corrected_rows"))
+    summary = summary.join(touched, "import_id", "left").withColumn("corrected_rows", F.coalesce("corrected_rows", F.lit(0).cast("long")))
+    return done, finding_rows(done, stage, run), records, summary
+
+
+#: What a correction record tells of a row, before and after.
+_PAYLOAD = ("row_id", "brand", "product_name", "market", "candidate_id", "sku_key", "external_seed_id", "external_product_id", "raw_ingredient_text", "cleaned_text", "source_ref", "source_type", "status", "confidence", "parse_status", "parse_confidence", "inci_list", "review_status", "audit_status", "audit_score", "ingest_allowed")
+
+
+def _record(before: DataFrame, after: DataFrame, kind, actor, run: str | None = None) -> DataFrame:
+    """A correction record for each row of `after`; kind and actor are texts or columns of it."""
+    payload = lambda df: F.to_json(F.struct(*[c for c in _PAYLOAD if c in df.columns]))
+    said = lambda x: F.lit(x) if isinstance(x, str) else x
+    new = after.select("row_id", said(kind).alias("correction_type"), said(actor).alias("actor"), payload(after).alias("after"))
+    both = new.join(before.select("row_id", payload(before).alias("before")), "row_id")
+    return both.select(F.lit(run).cast("string").alias("audit_run_id"), "row_id", "correction_type", F.lit("applied").alias("status"), F.startswith("actor", F.lit("system:")).alias("auto_applied"), "actor", "before", "after", F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("created_at"))
 
 
 def auto_corrected(rows: DataFrame, run: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with normalised source_ref and a fresh parse, and the correction records."""
+    """Rows with normalised source_ref and a fresh parse where there is text, and a record for each."""
     url = urls.normalize_url_like(F.col("source_ref"))
-    linked = rows.withColumn("source_ref", F.when(url != "", url).otherwise(F.col("source_ref")))
-    has = strip(text(F.col("raw_ingredient_text"))) != ""
-    order = rows.columns
-    fresh = parsed(linked.filter(has)).select(*order).unionByName(linked.filter(~has))
-    records = _record(rows, linked, "normalize_source_ref", "system", run).unionByName(_record(linked, fresh, "refresh_parser_snapshot", "system", run))
-    return fresh, records
+    moved = (url != "") & (url != strip(text(F.col("source_ref"))))
+    linked = rows.withColumn("source_ref", F.when(moved, url).otherwise(F.col("source_ref")))
+    fresh = stored(_reparsed(linked, meaningful(F.col("raw_ingredient_text")) != ""), "fresh-parse")
+    hit = rows.filter(moved).select("row_id")
+    records = _record(rows, linked.join(hit, "row_id", "left_semi"), "normalize_source_ref", "system:auto", run)
+    return fresh, records.unionByName(_record(linked, fresh.filter(meaningful(F.col("raw_ingredient_text")) != ""), "reparse_current_text", "system:auto", run))
+
+
+#: Columns that a patch may hold and how a new value is read: blank texts clear, numbers and JSON that can't be read too.
+PATCH_KINDS = {
+    "raw_ingredient_text": "text", "cleaned_text": "text", "source_ref": "url", "source_type": "text", "parse_status": "text", "parse_confidence": "double", "inci_list": "text", "inci": "json", "unrecognized": "json", "notes": "json", "needs_review": "json",
+    "status": "plain", "confidence": "double", "review_status": "text", "reviewed_by": "text", "error": "text", "brand": "text", "product_name": "text", "market": "text",
+}
+_PARSE = ("cleaned_text", "parse_status", "parse_confidence", "inci_list", "inci", "unrecognized", "notes", "needs_review")
+_RESET = ("audit_status", "audit_score", "source_match_status", "ingredient_signal_type", "ingest_allowed")
+
 
+def _patch_has(c: str) -> Column:
+    return F.coalesce(F.map_contains_key("patch", c), F.lit(False))
 
-def patched(rows: DataFrame, patches: DataFrame, columns: tuple[str, ...], keep_if_blank: tuple[str, ...] = ()) -> DataFrame:
-    """rows with the columns that a patch (row_id, patch map) holds: an entry that is null clears, an absent one leaves; adds patch."""
-    out = rows.join(patches.select("row_id", "patch"), "row_id", "left")
-    for c in columns:
-        new = F.try_element_at("patch", F.lit(c)).cast(rows.schema[c].dataType)
-        has = F.coalesce(F.map_contains_key("patch", c), F.lit(False))
-        has = has & (strip(text(new)) != "") if c in keep_if_blank else has
-        out = out.withColumn(c, F.when(has, new).otherwise(F.col(c)))
-    return out
+
+def patched(rows: DataFrame, columns, keep_if_blank: tuple[str, ...] = ()) -> DataFrame:
+    """rows (with patch, a map or null) with the columns that their patch holds: an entry that is null clears, an absent one leaves."""
+    kinds = dict(rows.dtypes)
+    new = {}
+    for c in [c for c in columns if c in kinds]:
+        said = F.try_element_at("patch", F.lit(c))
+        value = strip(text(said))
+        url = urls.normalize_url_like(said)
+        read = {"text": F.nullif(value, F.lit("")), "url": F.nullif(F.when(url != "", url).otherwise(value), F.lit("")), "double": said.try_cast("double"), "plain": said, "json": F.from_json(said, kinds[c]) if PATCH_KINDS[c] == "json" else said}[PATCH_KINDS[c]]
+        has = _patch_has(c) & (value != "") if c in keep_if_blank else _patch_has(c)
+        new[c] = F.when(has, read).otherwise(F.col(c))
+    return rows.withColumns(new)
 
 
 def _reparsed(rows: DataFrame, when: Column) -> DataFrame:
-    """Rows where `when` holds and there is text, parsed anew."""
-    flagged = rows.withColumn("__again", F.coalesce(when & (strip(text(F.col("raw_ingredient_text"))) != ""), F.lit(False)))
-    return parsed(flagged.filter("__again")).select(*flagged.columns).unionByName(flagged.filter("not __again")).drop("__again")
+    """Rows where `when` holds parsed anew; those of them without a text lose their parse."""
+    flagged = rows.withColumn("__again", F.coalesce(when, F.lit(False)))
+    has = meaningful(F.col("raw_ingredient_text")) != ""
+    blank = flagged.filter(F.col("__again") & ~has)
+    blank = blank.withColumns({c: F.lit(None).cast(flagged.schema[c].dataType) for c in _PARSE if c in flagged.columns})
+    return parsed(flagged.filter(F.col("__again") & has)).select(*flagged.columns).unionByName(blank).unionByName(flagged.filter("not __again")).drop("__again")
 
 
-REVIEW_COLUMNS = ("raw_ingredient_text", "source_ref", "source_type", "parse_status", "inci_list", "review_status")
+def _with_patches(rows: DataFrame, patches: DataFrame) -> DataFrame:
+    """rows with the columns that patches may set (null where there were none) and their patch."""
+    for c, kind in (("reviewed_by", "string"), ("reviewed_at", "timestamp"), ("error", "string"), ("audit_status", "string"), ("audit_score", "double"), ("source_match_status", "string"), ("ingredient_signal_type", "string"), ("ingest_allowed", "boolean"), ("findings", FINDINGS)):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    return rows.join(patches.select("row_id", "patch"), "row_id", "left")
 
 
-def reviewed(rows: DataFrame, patches: DataFrame, reviewer: str) -> tuple[DataFrame, DataFrame]:
-    """Rows after review patches, audited again, and the records."""
-    out = patched(rows, patches, REVIEW_COLUMNS)
-    has = lambda c: F.coalesce(F.map_contains_key("patch", c), F.lit(False))
-    out = _reparsed(out, F.col("patch").isNotNull() & has("raw_ingredient_text") & ~has("parse_status"))
-    out = out.withColumn("reviewed_by", F.when(F.col("patch").isNotNull(), reviewer).otherwise(F.col("reviewed_by"))).drop("patch")
-    return audited(out), _record(rows, out, "manual_review_update", reviewer)
+def _finished(rows: DataFrame, again: Column) -> DataFrame:
+    """Rows audited anew where `again` holds, among all; the others as they are. Drops patch."""
+    out = stored(rows.withColumn("__audit", F.coalesce(again, F.lit(False))).drop("patch"), "patched")
+    plain = out.drop("__audit")
+    done = audited(out.filter("__audit").drop("__audit"), among=plain)
+    return done.select(*plain.columns).unionByName(out.filter("not __audit").drop("__audit"))
 
 
-def corrected(rows: DataFrame, patches: DataFrame, actor: str, reparse: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows after corrections; any change resets the review, and all are audited again."""
-    out = patched(rows, patches, ("raw_ingredient_text", "source_ref", "brand", "product_name", "market"), ("brand", "product_name", "market"))
-    out = _reparsed(out, F.col("patch").isNotNull() & F.lit(reparse))
-    changed = F.col("patch").isNotNull() & (F.size("patch") > 0)
-    out = out.withColumns({"review_status": F.when(changed, "UNREVIEWED").otherwise(F.col("review_status")), "reviewed_by": F.when(~changed | changed.isNull(), F.col("reviewed_by"))}).drop("patch")
-    return audited(out), _record(rows, out, "manual_correction", actor)
+def reviewed(rows: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows after review patches (which hold a review_status, and reviewed_by), and the records.
 
+    A row that has a text is parsed anew unless its patch sets parse_status; patched rows are audited again.
+    """
+    out = patched(_with_patches(rows, patches), ("raw_ingredient_text", "source_ref", "source_type", *_PARSE))
+    hit = F.col("patch").isNotNull()
+    out = stored(_reparsed(out, hit & F.col("raw_ingredient_text").isNotNull() & ~_patch_has("parse_status")), "reviewed")
+    entry = lambda c: F.nullif(strip(text(F.try_element_at("patch", F.lit(c)))), F.lit(""))
+    out = out.withColumns({"review_status": F.when(hit, F.coalesce(entry("review_status"), F.lit("UNREVIEWED"))).otherwise(F.col("review_status")), "reviewed_by": F.when(hit, entry("reviewed_by")).otherwise(F.col("reviewed_by")), "reviewed_at": F.when(hit, F.current_timestamp()).otherwise(F.col("reviewed_at"))})
+    done = stored(_finished(out, hit), "reviewed-rows")
+    touched = done.join(patches.select("row_id"), "row_id", "left_semi")
+    return done, _record(rows, touched, "manual_review_update", F.coalesce("reviewed_by", F.lit("reviewer")))
 
-def updated(rows: DataFrame, patches: DataFrame, actor: str = "api") -> tuple[DataFrame, DataFrame]:
-    """A general patch; a changed text is parsed anew, and resets the review unless the patch sets one."""
-    out = patched(rows, patches, ("raw_ingredient_text", "source_ref", "source_type", "status", "review_status"))
-    has = lambda c: F.coalesce(F.map_contains_key("patch", c), F.lit(False))
-    out = _reparsed(out, has("raw_ingredient_text"))
-    reset = (has("raw_ingredient_text") | has("source_ref") | has("source_type")) & ~has("review_status")
-    out = out.withColumn("review_status", F.when(reset, "UNREVIEWED").otherwise(F.col("review_status"))).drop("patch")
-    return audited(out), _record(rows, out, "row_update", actor)
+
+CORRECTABLE = ("raw_ingredient_text", "source_ref", "source_type", "brand", "product_name", "market")
+
+
+def corrected(rows: DataFrame, patches: DataFrame, actor: str = "operator", reparse: bool = True, kind: str = "manual_correction") -> tuple[DataFrame, DataFrame]:
+    """Rows after corrections, and the records. Any change, or a parse asked for, resets the review; patched rows are audited again. A blank brand, product_name or market leaves the old one."""
+    out = patched(_with_patches(rows, patches), CORRECTABLE, ("brand", "product_name", "market"))
+    hit = F.col("patch").isNotNull()
+    out = _reparsed(out, hit & F.lit(reparse))
+    reset = hit & (F.lit(reparse) | F.exists(F.map_keys("patch"), lambda k: k.isin(list(CORRECTABLE))))
+    reset = F.coalesce(reset, F.lit(False))
+    out = out.withColumns({"review_status": F.when(reset, "UNREVIEWED").otherwise(F.col("review_status")), "reviewed_by": F.when(~reset, F.col("reviewed_by")), "reviewed_at": F.when(~reset, F.col("reviewed_at"))})
+    done = stored(_finished(stored(out, "corrected"), hit), "corrected-rows")
+    return done, _record(rows, done.join(patches.select("row_id"), "row_id", "left_semi"), kind, actor)
+
+
+def updated(rows: DataFrame, patches: DataFrame) -> DataFrame:
+    """Rows after a general patch.
+
+    A patched text is parsed anew and loses its review and audit; then the other columns are set. A change of text,
+    source or parse without a review (review_status or reviewed_by) resets the review; such rows, and reviewed ones,
+    are audited again.
+    """
+    out = patched(_with_patches(rows, patches), ("raw_ingredient_text",))
+    told = _patch_has("raw_ingredient_text")
+    out = stored(_reparsed(out, told), "updated")
+    cleared = {c: F.when(~told, F.col(c)) for c in _RESET[:-1] if c != "audit_status"} | {"audit_status": F.when(told, "UNAUDITED").otherwise(F.col("audit_status")), "ingest_allowed": F.when(told, False).otherwise(F.col("ingest_allowed"))}
+    cleared |= {"review_status": F.when(told, "UNREVIEWED").otherwise(F.col("review_status")), "reviewed_by": F.when(~told, F.col("reviewed_by")), "reviewed_at": F.when(~told, F.col("reviewed_at"))}
+    out = patched(out.withColumns(cleared), ("status", "cleaned_text", "source_ref", "source_type", "confidence", *_PARSE[1:], "review_status", "reviewed_by", "error"))
+    parser = F.exists(F.map_keys("patch"), lambda k: k.isin(["raw_ingredient_text", "source_ref", "source_type", *_PARSE]))
+    review = _patch_has("review_status") | _patch_has("reviewed_by")
+    parser = F.coalesce(parser, F.lit(False))
+    reset = parser & ~review
+    status = F.when(reset, "UNREVIEWED").otherwise(F.coalesce("review_status", F.lit("UNREVIEWED")))
+    out = out.withColumns({"review_status": status, "reviewed_by": F.when(~reset, F.col("reviewed_by")), "reviewed_at": F.when(_patch_has("review_status"), F.current_timestamp()).when(~reset, F.col("reviewed_at"))})
+    return _finished(out, parser | review)
 
 
 def history(records: DataFrame, row_id: str | None = None, audit_run_id: str | None = None) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspur.functions import fixed
 from larkspur.functions.core import PUNCTUATION, collapse, let, lookup, strip, strip_of, text
@@ -13,37 +11,29 @@ from larkspur.functions.ingredient_text import clean_with_notes, is_invalid_blob
 
 SEPARATORS = ",，、;；\n\r\t|•·●・"
 OPENERS, CLOSERS = "(（[【{", ")）]】}"
-_NO_BRACKET = r"[(（\[【{]"
+#: What a separator outside of brackets is turned into.
+MARK = "\u0001"
+PIECES = r"[(（\[【{]|[)）\]】}]|[^(（\[【{)）\]】}]+"
 INCI = "array<struct<order:int,standard_name:string,original_text:string,uncertain:boolean,needs_review:boolean>>"
 
 
-def _outside_brackets(said: str, separators: str) -> list[str]:
-    """Pieces between separators that stand in no bracket; any closer ends any opener, an open one holds the rest."""
-    pieces, start, depth = [], 0, 0
-    for at, char in enumerate(said):
-        if char in OPENERS:
-            depth += 1
-        elif char in CLOSERS:
-            depth = max(0, depth - 1)
-        elif depth == 0 and char in separators:
-            pieces.append(said[start:at])
-            start = at + 1
-    return [p.strip() for p in [*pieces, said[start:]] if p.strip()]
+def _marked(said: Column, separators: str) -> Column:
+    """The text with MARK for each separator that stands in no bracket; any closer ends any opener, an open one holds the rest."""
+    mark = lambda t: F.translate(t, separators, MARK * len(separators))
 
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece.isin(list(OPENERS)), 1).when(piece.isin(list(CLOSERS)) & (state["depth"] > 0), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(state["said"], F.when(state["depth"] == 0, mark(piece)).otherwise(piece)).alias("said"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def bracket_tokens(said: pd.Series) -> pd.Series:
-    def one(t: str) -> list[str]:
-        found = _outside_brackets(t or "", SEPARATORS)
-        return _outside_brackets(found[0], "/") if len(found) == 1 and " / " in " ".join(found[0].split()) else found
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("said"))
+    held = F.aggregate(F.regexp_extract_all(said, F.lit(PIECES), 0), start, step, lambda state: state["said"])
+    return F.when(said.rlike(r"[(（\[【{]"), held).otherwise(mark(said))
 
-    return said.map(one)
 
-
-def _plain_tokens(said: Column) -> Column:
-    """The same where the text has no opener."""
-    pieces = lambda t, by: F.filter(F.transform(F.split(t, by), strip), lambda p: p != "")
-    return let(pieces(said, r"[,，、;；\n\r\t|•·●・]"), lambda p: F.when((F.size(p) == 1) & p[0].rlike(r"\s/\s"), pieces(p[0], "/")).otherwise(p))
+def _tokens(said: Column) -> Column:
+    """Pieces between separators; a single one that has a slash between spaces is split at slashes."""
+    pieces = lambda t: F.filter(F.transform(F.split(t, MARK), strip), lambda p: p != "")
+    return let(pieces(_marked(said, SEPARATORS)), lambda p: F.when((F.size(p) == 1) & F.try_element_at(p, F.lit(1)).rlike(r"\s/\s"), pieces(_marked(p[0], "/"))).otherwise(p))
 
 
 def _tidy(tokens: Column) -> Column:
@@ -52,10 +42,8 @@ def _tidy(tokens: Column) -> Column:
 
 
 def tokenized(rows: DataFrame, column: str = "cleaned_text") -> DataFrame:
-    """Adds tokens. Only rows with a bracket go through Python."""
-    bracket = text(F.col(column)).rlike(_NO_BRACKET)
-    plain = rows.filter(~bracket).withColumn("tokens", _tidy(_plain_tokens(text(F.col(column)))))
-    return plain.unionByName(rows.filter(bracket).withColumn("tokens", _tidy(bracket_tokens(F.col(column)))))
+    """Adds tokens."""
+    return rows.withColumn("tokens", _tidy(_tokens(text(F.col(column)))))
 
 
 def separator_failed(tokens: Column) -> Column:
@@ -76,7 +64,7 @@ def mapped(tokens: Column) -> Column:
     def one(token: Column) -> Column:
         def named(plain: Column) -> Column:
             tags = F.regexp_extract_all(token, F.lit(r"<[^>]{1,80}>"), 0)
-            tag_note = F.when(F.size(tags) > 0, F.concat(F.lit("Removed tag(s) ['"), F.array_join(tags, "', '"), F.lit("'] from '"), token, F.lit("'")))
+            tag_note = F.when(F.contains(token, F.lit("<")) & (F.size(tags) > 0), F.concat(F.lit("Removed tag(s) ['"), F.array_join(tags, "', '"), F.lit("'] from '"), token, F.lit("'")))
 
             def found(key: Column) -> Column:
                 def build(standard: Column) -> Column:
@@ -91,7 +79,7 @@ def mapped(tokens: Column) -> Column:
 
             return let(lookup_key(plain), found)
 
-        return let(strip(F.regexp_replace(token, r"<[^>]{1,80}>", "")), named)
+        return let(F.when(F.contains(token, F.lit("<")), strip(F.regexp_replace(token, r"<[^>]{1,80}>", ""))).otherwise(token), named)
 
     return F.filter(F.transform(tokens, one), lambda t: t["original_text"] != "")
 
@@ -105,11 +93,11 @@ def _key(said: str) -> str:
 
 
 def _dictionary() -> list[tuple[str, str]]:
-    return [(_key(k), v) for k, v in fixed.synonyms()]
+    return [(_key(k), v) for k, v in fixed.SYNONYMS]
 
 
 def _standard_keys() -> list[tuple[str, str]]:
-    return [(v, _key(v)) for v in dict.fromkeys(v for _, v in fixed.synonyms())]
+    return [(v, _key(v)) for v in dict.fromkeys(v for _, v in fixed.SYNONYMS)]
 
 
 def parsed(rows: DataFrame, raw: str = "raw_ingredient_text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, prices, urls
@@ -20,6 +20,13 @@ def effective_market(rows: DataFrame, column: str = "market_id") -> DataFrame:
     return rows.withColumn(column, known).join(F.broadcast(markets(rows.sparkSession).withColumnRenamed("market_id", column)), column)
 
 
+def effective_markets(asked: Column) -> Column:
+    """P10 of a list: the known markets, distinct in order; US if there are none."""
+    codes = F.transform(asked, lambda m: F.upper(F.trim(F.coalesce(m, F.lit("")))))
+    known = F.array_distinct(F.filter(codes, lambda m: m.isin([x[0] for x in fixed.MARKETS])))
+    return F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("US")))
+
+
 def normalized(rows: DataFrame) -> DataFrame:
     """O1 to O6 on raw offers (source_site, site_product_id, url_canonical, variant_sku, market_id, price_display_raw, structured_currency, meta_currencies?, raw_availability)."""
     meta = F.col("meta_currencies") if "meta_currencies" in rows.columns else F.array().cast("array<string>")

@@ -28,29 +28,29 @@ ALIASES = {
 DEFAULTS = {"review_status": "UNREVIEWED", "audit_status": "UNAUDITED", "ingest_allowed": False}
 
 
-def candidates(raw: DataFrame, index: str = "row_index") -> DataFrame:
-    """S1 on a frame of strings that has an index column: aliases resolved, blanks null, incomplete rows dropped."""
+def candidates(raw: DataFrame, index: str = "row_index", also: tuple[str, ...] = ()) -> DataFrame:
+    """S1 on a frame of strings that has an index column: aliases resolved, blanks null, incomplete rows dropped; columns of `also` are kept as they are."""
     have = {c.strip().lower(): c for c in raw.columns}
     found = {name: next((have[a] for a in aliases if a in have), None) for name, aliases in ALIASES.items()}
     if missing := [c for c in ("brand", "product_name", "market") if not found[c]]:
         raise ValueError(f"no column for {', '.join(missing)}")
     cell = lambda c: meaningful(F.col(f"`{found[c]}`").cast("string")) if found[c] else F.lit("")
-    rows = raw.select(F.col(index).alias("row_index"), *[cell(c).alias(c) for c in ALIASES]).filter("brand <> '' and product_name <> '' and market <> ''")
+    rows = raw.select(F.col(index).alias("row_index"), *also, *[cell(c).alias(c) for c in ALIASES]).filter("brand <> '' and product_name <> '' and market <> ''")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     url = normalize_url_like(F.col("source_ref"))
     confidence = F.col("confidence").try_cast("double") if found["confidence"] else F.when(F.col("raw_ingredient_text") != "", 1.0)
     return rows.select(
-        "row_index", "brand", "product_name", "market", blank("candidate_id").alias("candidate_id"), F.coalesce(blank("sku_key"), blank("candidate_id")).alias("sku_key"), blank("external_seed_id").alias("external_seed_id"),
+        "row_index", *also, "brand", "product_name", "market", blank("candidate_id").alias("candidate_id"), F.coalesce(blank("sku_key"), blank("candidate_id")).alias("sku_key"), blank("external_seed_id").alias("external_seed_id"),
         blank("external_product_id").alias("external_product_id"), blank("raw_ingredient_text").alias("raw_ingredient_text"), F.nullif(F.when(url != "", url).otherwise(F.col("source_ref")), F.lit("")).alias("source_ref"), blank("source_type").alias("source_type"),
         F.coalesce(blank("status"), F.when(F.col("raw_ingredient_text") != "", "SKIPPED").otherwise("EMPTY")).alias("status"), confidence.alias("confidence"),
     )
 
 
 def import_candidates(spark: SparkSession, path: str, import_id: str) -> DataFrame:
-    """S1 from CSV files, parsed where there is text. Rows are numbered in the order of the file before any is dropped."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("__at", F.monotonically_increasing_id())
-    raw = raw.withColumn("row_index", F.row_number().over(Window.partitionBy(F.input_file_name()).orderBy("__at")) - 1).drop("__at")
-    rows = candidates(raw).withColumns({"import_id": F.lit(import_id), "row_id": F.concat_ws("-", F.lit(import_id), "row_index")})
+    """S1 from CSV files, parsed where there is text. Rows are numbered in the order of their file before any is dropped; row_id also holds the file, so several files don't collide. Fields may hold line breaks, so a file is read by one task."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumns({"__at": F.monotonically_increasing_id(), "__file": F.input_file_name()})
+    raw = raw.withColumn("row_index", F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1)
+    rows = candidates(raw, also=("__file",)).withColumns({"import_id": F.lit(import_id), "row_id": F.concat_ws("-", F.lit(import_id), F.substring(F.sha1(F.encode("__file", "UTF-8")), 1, 8), "row_index")}).drop("__file")
     return aligned(parsed(rows))
 
 

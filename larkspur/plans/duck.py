@@ -48,6 +48,24 @@ def clean_ctes(source: str, x: str, keep: str) -> tuple[str, str]:
     return ", ".join(out), "cleaned"
 
 
+def csv_said(x: str) -> str:
+    """A text with single spaces, as the round trips through CSV files are compared."""
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def marked_ctes(name: str, source: str, column: str, separators: str) -> str:
+    """CTEs of which the last, `name`, has row_id and marked: the text with chr(1) for each separator that stands in no bracket.
+
+    The depth of brackets after a piece, never below zero, is a running sum less its running minimum where that is negative.
+    """
+    chars = " || ".join(f"chr({ord(c)})" for c in separators)
+    return f"""{name}0 AS (SELECT row_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (SELECT row_id, regexp_extract_all({column}, '[(（\\[【{{]|[)）\\]】}}]|[^(（\\[【{{)）\\]】}}]+') AS ps FROM {source})),
+{name}1 AS (SELECT *, sum(CASE WHEN piece IN ('(', '（', '[', '【', '{{') THEN 1 WHEN piece IN (')', '）', ']', '】', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY i) AS s FROM {name}0),
+{name}2 AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY row_id ORDER BY i)) AS depth FROM {name}1),
+{name}3 AS (SELECT row_id, string_agg(CASE WHEN depth = 0 THEN translate(piece, {chars}, repeat(chr(1), {len(separators)})) ELSE piece END, '' ORDER BY i) AS marked FROM {name}2 GROUP BY row_id),
+{name} AS (SELECT s.row_id, coalesce(marked, '') AS marked FROM {source} s LEFT JOIN {name}3 USING (row_id))"""
+
+
 def clean_block(x: str) -> str:
     t = sub(strip(text(x)), fixed.ZERO_WIDTH)
     t = sub(sub(t, r"(?i)https?://\S+", " "), r"(^|\s)#[\w-]+", " ")

@@ -8,51 +8,39 @@ from pyspark.sql import functions as F
 from larkspur.functions import fixed, ingredient_text, prices, urls
 from larkspur.operators import audit, catalog, discovery, ingredients, kb, offers, rows
 from larkspur.plans import duck
+from larkspur.plans.base import QUERIES, SQL, registered
 from larkspur.plans.duck import q, strip, sub, text
 from larkspur.plans.views import CANDIDATES, OFFERS, TASK_ROWS, VARIANTS, load, view
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def registered(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
+from larkspur.scratch import stored
 
 C = f"WITH cand AS ({CANDIDATES})"
 _PARSE_KEEP = "row_id, import_id, row_index, brand, product_name, market, sku_key, raw_ingredient_text, source_ref, source_type, review_status, status"
 _steps, _ = duck.clean_ctes("(SELECT *, " + duck.strip_label("raw_ingredient_text") + " AS x FROM cand)", "x", _PARSE_KEEP)
-_dict_rows = ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(fixed.synonyms()))
+_dict_rows = ", ".join(f"({k}, {q(a)}, {q(b)})" for k, (a, b) in enumerate(fixed.SYNONYMS))
 _tidy = lambda t: duck.collapse(duck.strip_of(strip(duck.strip_of(strip(t), " \t\n\r–—•·●・-")), duck.PUNCT))
-#: Cleaned rows with tokens, of rows without brackets, then their names by dictionary, then the parse; states I1 to I5 again.
+_TIDIED = f"list_filter(list_transform(list_filter(list_transform(string_split(marked, chr(1)), lambda p: {strip('p')}), lambda p: p <> ''), lambda t: {_tidy('t')}), lambda t: t <> '')"
+#: Cleaned rows with tokens, then their names by dictionary, then the parse; states I1 to I5 again.
 PARSE = f"""{C}, {_steps},
-base AS (SELECT * FROM cleaned WHERE NOT regexp_matches(cleaned, '[(（\\[【{{]')),
-split AS (SELECT *, list_filter(list_transform(regexp_split_to_array(cleaned, '[,，、;；\\n\\r\\t|•·●・]'), lambda p: {strip('p')}), lambda p: p <> '') AS pieces FROM base),
-toks AS (SELECT *, list_filter(list_transform(CASE WHEN len(pieces) = 1 AND regexp_matches(pieces[1], '\\s/\\s') THEN list_filter(list_transform(string_split(pieces[1], '/'), lambda p: {strip('p')}), lambda p: p <> '') ELSE pieces END, lambda t: {_tidy('t')}), lambda t: t <> '') AS tokens FROM split),
+{duck.marked_ctes('one', 'cleaned', 'cleaned', ',，、;；' + chr(10) + chr(13) + chr(9) + '|•·●・')},
+single AS (SELECT row_id, list_filter(list_transform(string_split(marked, chr(1)), lambda p: {strip('p')}), lambda p: p <> '') AS pieces FROM one),
+slashed AS (SELECT row_id, pieces[1] AS cleaned FROM single WHERE len(pieces) = 1 AND regexp_matches(pieces[1], '\\s/\\s')),
+{duck.marked_ctes('two', 'slashed', 'cleaned', '/')},
+toks AS (SELECT cleaned.*, CASE WHEN two.row_id IS NOT NULL THEN {_TIDIED.replace('marked', 'two.marked')} ELSE {_TIDIED.replace('marked', 'one.marked')} END AS tokens FROM cleaned JOIN one USING (row_id) LEFT JOIN two USING (row_id)),
 dict0 AS (SELECT {duck.lookup_key('a')} AS key, b AS standard, k FROM (VALUES {_dict_rows}) v(k, a, b)),
 dict AS (SELECT key, arg_min(standard, k) AS standard FROM dict0 GROUP BY key),
-items AS (SELECT row_id, i, tok, {duck.lookup_key('tok')} AS key FROM (SELECT row_id, unnest(range(1, len(tokens) + 1)) AS i, {strip(sub("unnest(tokens)", "<[^>]{1,80}>"))} AS tok FROM toks) WHERE tok <> ''),
-named AS (SELECT items.row_id, i, tok, dict.standard IS NULL AS uncertain, CASE WHEN dict.standard IS NOT NULL THEN dict.standard WHEN regexp_matches(tok, '[A-Z0-9]|[-/]') THEN replace(replace(upper(tok[1]), 'ß', 'SS'), 'ẞ', 'SS') || tok[2:]
+items AS (SELECT row_id, i, tok, tagged, {duck.lookup_key('tok')} AS key FROM (SELECT row_id, i, {strip(sub('tok', "<[^>]{1,80}>"))} AS tok, regexp_matches(tok, '<[^>]{{1,80}}>') AS tagged FROM (SELECT row_id, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS tok FROM toks)) WHERE tok <> ''),
+named AS (SELECT items.row_id, i, tok, tagged, dict.standard IS NULL AS uncertain, regexp_matches(tok, '[一-鿿]') AS cjk, CASE WHEN dict.standard IS NOT NULL THEN dict.standard WHEN regexp_matches(tok, '[一-鿿]') THEN tok WHEN regexp_matches(tok, '[A-Z0-9]|[-/]') THEN replace(replace(upper(tok[1]), 'ß', 'SS'), 'ẞ', 'SS') || tok[2:]
   ELSE array_to_string(list_transform(regexp_split_to_array(tok, '\\s+'), lambda w: replace(replace(upper(w[1]), 'ß', 'SS'), 'ẞ', 'SS') || w[2:]), ' ') END AS name FROM items LEFT JOIN dict USING (key)),
-agg AS (SELECT row_id, string_agg(name, '; ' ORDER BY i) AS inci_list, count(*) AS n_items, count(DISTINCT CASE WHEN uncertain THEN tok END) AS n_unrecognized FROM named GROUP BY row_id),
+agg AS (SELECT row_id, string_agg(name, '; ' ORDER BY i) AS inci_list, count(*) AS n_items, count(DISTINCT CASE WHEN uncertain THEN tok END) AS n_unrecognized, count(CASE WHEN uncertain AND cjk THEN 1 END) AS n_review FROM named GROUP BY row_id),
 invalid AS (SELECT row_id, {strip('cleaned')} = '' OR lower(cleaned) IN ({', '.join(q(w) for w in fixed.BLANK_WORDS)}) OR {duck.any_of('lower(cleaned)', fixed.NO_SOURCE_PHRASES)} OR len(tokens) = 0 AS bad,
   len(tokens) = 1 AND (length(tokens[1]) >= 80 OR len(regexp_extract_all(tokens[1], '[A-Za-z0-9]+')) >= 6) AS failed FROM toks),
-parse AS (SELECT toks.* EXCLUDE (pieces, tokens), CASE WHEN bad THEN 'NEEDS_SOURCE' WHEN failed THEN 'NEEDS_REVIEW' ELSE 'OK' END AS parse_status, CASE WHEN bad THEN '' ELSE coalesce(inci_list, '') END AS inci_list,
-  CASE WHEN bad THEN 0.0 WHEN failed THEN 0.5 ELSE 1.0 END::DOUBLE AS parse_confidence, CASE WHEN bad THEN 0 ELSE coalesce(n_items, 0) END AS n_items, CASE WHEN bad THEN 0 ELSE coalesce(n_unrecognized, 0) END AS n_unrecognized
-  FROM toks JOIN invalid USING (row_id) LEFT JOIN agg USING (row_id))
+scored AS (SELECT toks.* EXCLUDE (tokens), bad, inci_list, n_items, n_unrecognized, CASE WHEN bad THEN 0.0 ELSE greatest(0.0, round(1 - CASE WHEN failed THEN 0.5 ELSE 0 END - 0.1 * coalesce(n_review, 0), 6)) END::DOUBLE AS parse_confidence
+  FROM toks JOIN invalid USING (row_id) LEFT JOIN agg USING (row_id)),
+parse AS (SELECT * EXCLUDE (bad, inci_list, n_items, n_unrecognized), CASE WHEN bad THEN 'NEEDS_SOURCE' WHEN parse_confidence < 0.6 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS parse_status, CASE WHEN bad THEN '' ELSE coalesce(inci_list, '') END AS inci_list,
+  CASE WHEN bad THEN 0 ELSE coalesce(n_items, 0) END AS n_items, CASE WHEN bad THEN 0 ELSE coalesce(n_unrecognized, 0) END AS n_unrecognized FROM scored)
 """
 
 
-def _no_bracket(rows_: DataFrame) -> DataFrame:
-    return rows_.filter(~F.coalesce(F.col("cleaned_text"), F.lit("")).rlike(r"[(（\[【{]"))
-
-
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CANDIDATES)
 
@@ -63,9 +51,9 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("ingredient_parse", PARSE + "SELECT row_id, cleaned AS cleaned_text, parse_status, inci_list, parse_confidence, n_items, n_unrecognized, len(CASE WHEN parse_status = 'NEEDS_SOURCE' THEN [] ELSE notes END) AS n_notes FROM parse")
 def ingredient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I1 to I5; the rows without brackets, that the SQL states too (ingredient_parse_all has all)."""
+    """I1 to I5."""
     noise = F.size(F.filter("notes", lambda n: ~n.startswith("Mapped") & ~n.startswith("Removed tag"))).cast("long")
-    return _no_bracket(parsed(spark, sf_dir)).select("row_id", "cleaned_text", "parse_status", "inci_list", "parse_confidence", F.size("inci").cast("long").alias("n_items"), F.size("unrecognized").cast("long").alias("n_unrecognized"), noise.alias("n_notes"))
+    return parsed(spark, sf_dir).select("row_id", "cleaned_text", "parse_status", "inci_list", "parse_confidence", F.size("inci").cast("long").alias("n_items"), F.size("unrecognized").cast("long").alias("n_unrecognized"), noise.alias("n_notes"))
 
 
 @registered("ingredient_parse_all")
@@ -75,32 +63,54 @@ def ingredient_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("unrecognized_report", PARSE + "SELECT tok AS token, count(DISTINCT row_id) AS n_rows, count(*) AS n_occurrences FROM named JOIN (SELECT row_id FROM parse WHERE parse_status <> 'NEEDS_SOURCE') USING (row_id) WHERE uncertain GROUP BY tok")
 def unrecognized_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingredients.unrecognized_report(_no_bracket(parsed(spark, sf_dir)))
+    return ingredients.unrecognized_report(parsed(spark, sf_dir))
 
 
-_audit_sql = f"""{PARSE}, noted AS MATERIALIZED (SELECT DISTINCT row_id FROM named WHERE NOT uncertain AND regexp_matches(tok || ' ' || name, '(?i)ui|noise|artifact|strip|removed|truncat|cleanup|boilerplate|marketing') AND {duck.lookup_key('name')} <> {duck.lookup_key('tok')}), a1 AS MATERIALIZED (SELECT *, {duck.url_like('source_ref')} AS url, {duck.effective_type('source_type', 'source_ref')} AS kind FROM parse),
-a2 AS MATERIALIZED (SELECT *, {duck.tokens(duck.host('url') + " || ' ' || " + duck.path('url'))} AS ut, {duck.tokens('brand')} AS bt, {duck.tokens('product_name')} AS pt, {duck.host('url')} AS h FROM a1),
+_page = f"{duck.host('url')} || lower(regexp_replace({duck.path('url')}, '/+$', ''))"
+
+
+def _conflicts(source: str) -> str:
+    """CTEs of A6 over a table of candidates with inci_list; the last is clash (row_id, conflicting_row_id)."""
+    return f"""b AS (SELECT *, array_to_string(list_filter(list_transform(string_split(inci_list, ';'), lambda p: lower({strip('p')})), lambda p: p <> ''), ';') AS inci, {duck.url_like('source_ref')} AS page_url FROM {source}),
+p AS (SELECT *, CASE WHEN page_url <> '' THEN {_page.replace('url', 'page_url')} END AS page, regexp_matches('&' || {duck.query('page_url')}, '&variant=[^&]') AS variant FROM b WHERE {strip(text('sku_key'))} <> '' AND inci <> ''),
+m AS (SELECT x.row_id, y.row_id AS other, x.import_id <> y.import_id AS far, y.row_index AS ri FROM p x JOIN p y ON x.sku_key = y.sku_key AND x.inci <> y.inci AND x.row_id <> y.row_id
+  WHERE x.import_id = y.import_id OR (y.review_status = 'APPROVED' AND NOT coalesce(lower(x.source_type) = 'official' AND lower(y.source_type) = 'official' AND x.page = y.page AND x.variant AND NOT y.variant, false))),
+clash AS (SELECT row_id, first(other ORDER BY far, ri, other) AS conflicting_row_id FROM m GROUP BY row_id)"""
+
+
+_hosts = lambda b: "list_filter([" + ", ".join(f"CASE WHEN contains(lower({strip(text(b))}), {q(k)}) THEN {q(h)} END" for k, h in fixed.OFFICIAL_HOSTS) + "], lambda x: x IS NOT NULL)"
+#: CTEs over parse and named: the last is audit, a row per candidate with the names of its findings.
+AUDIT = f""", {_conflicts('parse')}, noted AS MATERIALIZED (SELECT DISTINCT row_id FROM named WHERE tagged OR NOT uncertain AND regexp_matches(tok || ' ' || name, '(?i)ui|noise|artifact|strip|removed|truncat|cleanup|boilerplate|marketing') AND {duck.lookup_key('name')} <> {duck.lookup_key('tok')}), a1 AS MATERIALIZED (SELECT *, {duck.url_like('source_ref')} AS url, {duck.effective_type('source_type', 'source_ref')} AS kind FROM parse),
+a2 AS MATERIALIZED (SELECT *, {duck.tokens(duck.host('url') + " || ' ' || " + duck.path('url'))} AS ut, {duck.tokens('brand')} AS bt, {duck.tokens('product_name')} AS pt, {duck.host('url')} AS h, {_hosts('brand')} AS official FROM a1),
 a3 AS MATERIALIZED (SELECT *, CASE WHEN url = '' THEN 'missing' WHEN len(list_intersect(ut, bt)) > 0 OR len(list_intersect(ut, pt)) > 0 THEN 'match' WHEN kind IN ('official', 'retailer') AND len(pt) > 0 THEN 'mismatch' ELSE 'unknown' END AS source_match_status,
+  len(official) > 0 AND h <> '' AND len(list_filter(official, lambda x: h = x OR ends_with(h, '.' || x))) = 0 AS wrong_host,
   CASE WHEN {strip(text('raw_ingredient_text'))} = '' AND {strip(text('cleaned'))} = '' THEN 'none' WHEN contains(lower({text('raw_ingredient_text')}), 'ingredient') OR contains(lower({text('raw_ingredient_text')}), 'inci') THEN 'labeled_ingredients'
   WHEN parse_status = 'OK' AND inci_list <> '' THEN 'structured_list' WHEN regexp_matches({text('raw_ingredient_text')}, {q(fixed.MARKETING)}) THEN 'noisy_text' ELSE 'ambiguous_text' END AS ingredient_signal_type FROM a2),
-a4 AS MATERIALIZED (SELECT *, ({strip(text('source_ref'))} = '')::INT + (source_match_status = 'mismatch')::INT + ({strip(text('raw_ingredient_text'))} = '')::INT + (parse_status IN ('NEEDS_SOURCE', 'NEEDS_REVIEW'))::INT AS blockers,
-  (kind IN ('thirdparty', 'retailer'))::INT + (ingredient_signal_type = 'noisy_text')::INT + (parse_status = 'OK' AND parse_confidence < 0.8)::INT
-  + (parse_status <> 'NEEDS_SOURCE' AND (len(notes) > 0 OR row_id IN (SELECT row_id FROM noted)))::INT AS reviews FROM a3),
-audit AS (SELECT *, CASE WHEN blockers > 0 THEN 'FAIL' WHEN reviews > 0 THEN 'REVIEW' ELSE 'PASS' END AS audit_status, greatest(0.0, round(1 - 0.35 * blockers - 0.08 * reviews, 6))::DOUBLE AS audit_score FROM a4)
+a4 AS MATERIALIZED (SELECT *, list_filter([CASE WHEN {strip(text('source_ref'))} = '' THEN 'missing_source_ref' END, CASE WHEN source_match_status = 'mismatch' THEN 'source_product_mismatch' END, CASE WHEN wrong_host AND kind = 'official' THEN 'source_host_not_allowlisted' END,
+  CASE WHEN {strip(text('raw_ingredient_text'))} = '' THEN 'empty_raw_ingredient_text' END, CASE parse_status WHEN 'NEEDS_SOURCE' THEN 'parser_needs_source' WHEN 'NEEDS_REVIEW' THEN 'parser_needs_review' END, CASE WHEN row_id IN (SELECT row_id FROM clash) THEN 'duplicate_conflicting_candidate' END], lambda x: x IS NOT NULL) AS blocking,
+  list_filter([CASE WHEN wrong_host AND kind <> 'official' THEN 'source_host_not_allowlisted' END, CASE WHEN kind IN ('thirdparty', 'retailer') THEN 'non_official_source_requires_review' END, CASE WHEN ingredient_signal_type = 'noisy_text' THEN 'marketing_copy_instead_of_ingredients' END,
+  CASE WHEN parse_status = 'OK' AND coalesce(parse_confidence, 0) < 0.8 THEN 'low_parse_confidence' END, CASE WHEN parse_status <> 'NEEDS_SOURCE' AND (len(notes) > 0 OR row_id IN (SELECT row_id FROM noted)) THEN 'truncated_or_noisy_text' END], lambda x: x IS NOT NULL) AS doubtful FROM a3),
+audit AS (SELECT *, len(blocking) AS blockers, len(doubtful) AS reviews, CASE WHEN len(blocking) > 0 THEN 'FAIL' WHEN len(doubtful) > 0 THEN 'REVIEW' ELSE 'PASS' END AS audit_status, greatest(0.0, round(1 - 0.35 * len(blocking) - 0.08 * len(doubtful), 6))::DOUBLE AS audit_score FROM a4)
 """
+_audit_sql = PARSE + AUDIT
 
 
-@registered("audit_rows", _audit_sql + "SELECT row_id, source_match_status, ingredient_signal_type, audit_status, audit_score, coalesce(parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'PASS', false) AS ingest_allowed, blockers + reviews AS n_findings FROM audit")
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates parsed (once: the audit reads the result several times) and audited, with every rule."""
+    return audit.audited(stored(parsed(spark, sf_dir), "parsed"))
+
+
+@registered("audit_rows", _audit_sql + "SELECT row_id, source_match_status, ingredient_signal_type, audit_status, audit_score, coalesce(parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'PASS', false) AS ingest_allowed, blockers + reviews AS n_findings, row_id IN (SELECT row_id FROM clash) AS in_conflict FROM audit")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 to A5, A7 to A9, without the duplicate rule."""
-    rows_ = _no_bracket(parsed(spark, sf_dir))
-    return audit.audited(rows_, with_duplicates=False).select("row_id", "source_match_status", "ingredient_signal_type", "audit_status", "audit_score", "ingest_allowed", F.size("findings").cast("long").alias("n_findings"))
+    """A2 to A9."""
+    clash = F.exists("findings", lambda f: f["anomaly_type"] == "duplicate_conflicting_candidate").alias("in_conflict")
+    return audited(spark, sf_dir).select("row_id", "source_match_status", "ingredient_signal_type", "audit_status", "audit_score", "ingest_allowed", F.size("findings").cast("long").alias("n_findings"), clash)
 
 
 @registered("audit_summary", _audit_sql + "SELECT import_id, count(*) AS scanned, count_if(blockers + reviews > 0) AS flagged_rows, sum(blockers + reviews)::BIGINT AS findings_total, sum(blockers)::BIGINT AS blocker_count, sum(reviews)::BIGINT AS review_count, 0::BIGINT AS info_count, round(avg(audit_score), 6) AS avg_score FROM audit GROUP BY import_id")
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 (the flagship): what the audit finds, per import."""
-    return audit.audit_summary(audit.audited(_no_bracket(parsed(spark, sf_dir)), with_duplicates=False))
+    return audit.audit_summary(audited(spark, sf_dir))
 
 
 _light = f"{C}, r AS (SELECT *, upper(brand) || ';' || cast(row_index % 5 AS string) AS inci_list, CAST(NULL AS string) AS candidate_id FROM cand WHERE row_index % 97 >= 0)"
@@ -111,12 +121,7 @@ def _light_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).withColumns({"inci_list": F.concat(F.upper("brand"), F.lit(";"), (F.col("row_index") % 5).cast("string")), "candidate_id": F.lit(None).cast("string")})
 
 
-_page = f"{duck.host('url')} || lower(regexp_replace({duck.path('url')}, '/+$', ''))"
-_dup = f"""{_light}, b AS (SELECT *, array_to_string(list_filter(list_transform(string_split(inci_list, ';'), lambda p: lower({strip('p')})), lambda p: p <> ''), ';') AS inci, {duck.url_like('source_ref')} AS url FROM r),
-p AS (SELECT *, CASE WHEN url <> '' THEN {_page} END AS page, regexp_matches('&' || {duck.query('url')}, '&variant=[^&]') AS variant FROM b WHERE {strip(text('sku_key'))} <> '' AND inci <> ''),
-m AS (SELECT x.row_id, y.row_id AS other, x.import_id <> y.import_id AS far, y.row_index AS ri FROM p x JOIN p y ON x.sku_key = y.sku_key AND x.inci <> y.inci AND x.row_id <> y.row_id
-  WHERE x.import_id = y.import_id OR (y.review_status = 'APPROVED' AND NOT coalesce(lower(x.source_type) = 'official' AND lower(y.source_type) = 'official' AND x.page = y.page AND x.variant AND NOT y.variant, false)))
-SELECT row_id, first(other ORDER BY far, ri, other) AS conflicting_row_id FROM m GROUP BY row_id"""
+_dup = f"{_light}, {_conflicts('r')} SELECT * FROM clash"
 
 
 @registered("duplicate_conflicts", _dup)

@@ -7,11 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 CANDIDATES = """
-SELECT cast(doc_id AS string) AS row_id, cast(doc_id % 4 AS string) AS import_id, doc_id AS row_index, source AS brand,
+SELECT cast(doc_id AS string) AS row_id, cast(doc_id % 4 AS string) AS import_id, doc_id AS row_index, CASE doc_id % 11 WHEN 3 THEN 'Dermalogica' WHEN 7 THEN 'Pixi Beauty' ELSE source END AS brand,
   split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS product_name, upper(lang) AS market,
   cast(doc_id % 97 AS string) AS sku_key, text AS raw_ingredient_text,
   CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'https://www.sephora.com/p/' || source || '-' || cast(doc_id AS string) WHEN 2 THEN 'www.' || source || '.com/products/x?variant=' || cast(doc_id % 3 AS string)
-    WHEN 3 THEN 'incidecoder.com/products/' || cast(doc_id AS string) WHEN 4 THEN 'no url' ELSE 'https://brand.example.com/' || split_part(text, ' ', 2) END AS source_ref,
+    WHEN 3 THEN 'incidecoder.com/products/' || cast(doc_id AS string) WHEN 4 THEN CASE WHEN doc_id % 5 = 0 THEN 'https://shop.dermalogica.com/' || cast(doc_id AS string) ELSE 'no url' END ELSE 'https://brand.example.com/' || split_part(text, ' ', 2) END AS source_ref,
   CASE doc_id % 3 WHEN 0 THEN 'Official' WHEN 1 THEN 'Retailer' ELSE NULL END AS source_type,
   CASE doc_id % 7 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'REJECTED' ELSE 'UNREVIEWED' END AS review_status, 'OK' AS status
 FROM documents

@@ -143,7 +143,7 @@ def test_patches(spark):
     got = {r["row_id"]: r for r in out.collect()}
     assert got["0"]["inci_list"] == "Aqua; Urea" and got["0"]["source_ref"] is None and got["1"]["inci_list"] == "Aqua; Glycerin"
     assert [r["row_id"] for r in records.collect()] == ["0"]
-    assert audit.reviewed(df, spark.createDataFrame([("1", {"review_status": "APPROVED"})], "row_id string, patch map<string,string>"), "me")[0].filter("review_status = 'APPROVED'").count() == 1
+    assert audit.reviewed(df, spark.createDataFrame([("1", {"review_status": "APPROVED"})], "row_id string, patch map<string,string>"))[0].filter("review_status = 'APPROVED'").count() == 1
 
 
 PAGES = [
