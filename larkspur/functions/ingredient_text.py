@@ -168,3 +168,8 @@ def search_query(market: Column, brand: Column, product: Column) -> Column:
     """P5."""
     base = strip(F.concat_ws(" ", strip(text(brand)), strip(text(product))))
     return strip(F.concat(base, F.when(F.upper(strip(text(market))).isin("CN", "CHN", "CHINA"), " 全成分").otherwise(" ingredients list INCI")))
+
+
+def search_queries(market: Column, brand: Column, product: Column, hosts: Column) -> Column:
+    """P5: the query for each official host, and then the general one."""
+    return let(search_query(market, brand, product), lambda q: F.concat(F.transform(hosts, lambda h: F.concat(q, F.lit(" site:"), h)), F.array(q)))

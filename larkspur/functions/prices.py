@@ -104,6 +104,13 @@ CURRENCY_PATTERNS = [
 ]
 
 
+#: The same with what some shop systems write, in order.
+SHOP_CURRENCY_PATTERNS = [
+    *CURRENCY_PATTERNS[:4], r'(?i)Shopify\.currency\s*=\s*\{[^}]*"active"\s*:\s*"([A-Za-z]{3})"', r'(?i)currencyCode"\s*:\s*"([A-Za-z]{3})"',
+    r"(?i)window\.ShopifyAnalytics\.meta\.currency\s*=\s*['\"]([A-Za-z]{3})['\"]", CURRENCY_PATTERNS[4],
+]
+
+
 def feed_price(raw: Column, currency: Column) -> Column:
     """C2, of a string: whole numbers are cents unless the currency has none; blank is 0.00."""
     cents = let(strip(text(raw)), lambda t: F.when(t == "", "0.00").when(t.rlike("^-?[0-9]+$") & (F.coalesce(currency, F.lit("USD")) != "JPY"), F.format_string("%.2f", t.try_cast("double") / 100)).otherwise(t))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, urls
 from larkspur.functions.core import collapse, let, strip, text
-from larkspur.plans import duck
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>|<option\b[^>]*?\bvalue\s*=\s*["']([^"']*)["'][^>]*>(.*?)</option>"""
 #: Named entities.
@@ -62,11 +61,11 @@ def is_xml(body: Column, content_type: Column) -> Column:
     return F.contains(F.lower(text(content_type)), F.lit("xml")) | text(body).rlike(r"(?is)^\s*<\?xml|<(?:urlset|sitemapindex)\b")
 
 
-def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int = 20, limit: int = 500, levels: int = 5) -> DataFrame:
+def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int | None = None, limit: int | None = None, levels: int = 5) -> DataFrame:
     """Per site (site, robots) the product-like locs of its sitemaps among fetched (url, body), breadth first.
 
-    Level by level at most `documents` sitemaps of a site are read: those of robots, then two defaults, then what
-    indexes list, each once. Levels are few, so the loop is over joins, not over rows.
+    Level by level the sitemaps of a site are read, at most `documents` if given: those of robots, then two defaults, then what
+    indexes list, each once; of their locs the first `limit`, if given. Indexes are followed `levels` deep. Levels are few, so the loop is over joins, not over rows.
     """
     default = F.array(F.concat("site", F.lit("/sitemap.xml")), F.concat("site", F.lit("/sitemap_index.xml")))
     front = sites.select("site", F.posexplode(F.array_distinct(F.concat(robots_sitemaps(F.col("robots")), default))).alias("at", "url")).withColumn("level", F.lit(0))
@@ -77,57 +76,74 @@ def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int = 20,
         front = new.join(seen.select("site", "url"), ["site", "url"], "left_anti").withColumn("level", F.lit(level)).select("site", "at", "url", "level")
         seen = seen.unionByName(front)
     order = Window.partitionBy("site").orderBy("level", "at", "url")
-    read = seen.join(fetched, "url").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= documents)
+    read = seen.join(fetched, "url").withColumn("k", F.row_number().over(order)).filter(F.lit(True) if documents is None else F.col("k") <= documents)
     locs = read.filter(~is_sitemap_index(F.col("body"))).select("site", "k", F.posexplode(sitemap_locs(F.col("body"))).alias("at", "loc"))
     good = locs.filter(urls.is_product_url(F.col("loc"), F.col("site"))).groupBy("site", "loc").agg(F.min(F.struct("k", "at")).alias("first"))
-    return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("first", "loc"))).filter(F.col("rank") <= limit).select("site", "loc", "rank")
+    return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("first", "loc"))).filter(F.lit(True) if limit is None else F.col("rank") <= limit).select("site", "loc", "rank")
+
+
+#: What a page says that asks for the visitor's country.
+SELECTOR_PHRASE = r"(?i)select your country|hello,\s*please select your country|choose your country"
+
+
+def _brand(url: Column) -> Column:
+    return F.regexp_extract(urls.host(url), r"([^.]+)\.[^.]+$", 1)
+
+
+def selector_pages(pages: DataFrame) -> DataFrame:
+    """U8: page_id and selector: whether a page asks for the country, in words or by four or more links within its brand."""
+    own = links(pages).filter((_brand(F.col("href")) == _brand(F.col("url"))) & ~urls.path(F.col("href")).rlike(fixed.STATIC_FILE))
+    counts = own.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return pages.join(counts, "page_id", "left").select("page_id", (text(F.col("html")).rlike(SELECTOR_PHRASE) | F.coalesce(F.col("n") >= 4, F.lit(False))).alias("selector"))
 
 
 def storefront(pages: DataFrame, market: str, least: int = 4) -> DataFrame:
-    """U8: per selector page the link to the market's store, if its words score `least` or more."""
-    found = links(pages)
-    brand = lambda c: F.regexp_extract(urls.host(c), r"([^.]+)\.[^.]+$", 1)
-    any_word = lambda c: F.exists(F.array(*[F.lit(w) for w in fixed.MARKET_WORDS[market]]), lambda w: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), w, F.lit(" "))))
+    """U8: per selector page the link to the market's store, if its words score `least` or more: 5 for each word in the link's text, 4 in the host, 2 in the path, 1 for another host and 1 for a path; the first of equals."""
+    words = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     points = lambda cond, n: F.when(cond, n).otherwise(0)
-    named = points(any_word(F.col("said")), 5) + points(any_word(urls.host(F.col("href"))), 4) + points(any_word(urls.path(F.col("href"))), 2)
-    score = F.when(named > 0, named + points(urls.host(F.col("href")) != urls.host(F.col("url")), 1) + points(~urls.path(F.col("href")).isin("", "/"), 1)).otherwise(0)
-    scored = found.filter(brand(F.col("href")) == brand(F.col("url"))).withColumn("score", score)
-    many = Window.partitionBy("page_id")
-    scored = scored.withColumn("n", F.count_if(F.col("score") > 0).over(many)).withColumn("candidates", F.count(F.lit(1)).over(many))
-    return scored.filter((F.col("score") >= least) & (F.col("candidates") >= 4)).groupBy("page_id").agg(F.max_by("href", F.struct("score", -F.col("pos"))).alias("href"))
+    host, path = urls.host(F.col("href")), urls.path(F.col("href"))
+    score = points(host != urls.host(F.col("url")), 1) + points(~path.isin("", "/"), 1)
+    for w in fixed.MARKET_WORDS[market]:
+        for c, n in ((F.col("said"), 5), (host, 4), (path, 2)):
+            score = score + points(F.contains(words(c), F.lit(f" {w} ")), n)
+    own = links(pages).filter((_brand(F.col("href")) == _brand(F.col("url"))) & ~urls.path(F.col("href")).rlike(fixed.STATIC_FILE)).withColumn("score", score)
+    best = own.filter(F.col("score") >= least).groupBy("page_id").agg(F.max_by("href", F.struct("score", -F.col("pos"))).alias("href"))
+    return best.join(selector_pages(pages).filter("selector"), "page_id", "left_semi")
 
 
 def page_events(pages: DataFrame) -> DataFrame:
-    """What a crawl saw of each page: site, strategy, whether it is a product page, and who blocked it."""
-    scored = urls.is_product_url(F.col("url"), F.col("url"))
+    """What a crawl saw of each page: site, how it leads to products (seed_page: it is one itself; links: it links to some), who blocked it, and whether it asks for the country."""
+    linked = product_links(pages).select("page_id").distinct().withColumn("linked", F.lit(True))
     no_headers = F.create_map().cast("map<string,string>")
-    return pages.select(
-        urls.host(F.col("url")).alias("site"), F.when(scored, "seed_page").when(F.contains("url", F.lit("?")), "sitemap").otherwise("links").alias("strategy"), scored.alias("product"),
-        urls.block_provider(F.lit(200), no_headers, F.lit(""), F.col("html")).alias("block"), F.lower(text(F.col("html"))).rlike(r'"@type"\s*:\s*"product"').alias("schema"),
+    own = urls.is_product_url(F.col("url"), F.col("url"))
+    rows = pages.join(linked, "page_id", "left").join(selector_pages(pages), "page_id")
+    return rows.select(
+        urls.host(F.col("url")).alias("site"), F.when(own, "seed_page").otherwise("links").alias("strategy"), (own | F.coalesce("linked", F.lit(False))).alias("product"),
+        urls.block_provider(F.lit(200), no_headers, F.lit(""), F.col("html")).alias("block"), F.lower(text(F.col("html"))).rlike(r'"@type"\s*:\s*(?:"product"|\[[^\]]*"product")').alias("schema"), "selector",
     )
 
 
-def outcomes(events: DataFrame) -> DataFrame:
-    """Per site the strategy (the first in order that found a product) and the failure."""
+def sitemap_events(sites: DataFrame, fetched: DataFrame) -> DataFrame:
+    """What a crawl's sitemaps say of each site: whether they list products, and whether none could be read as XML."""
+    found = sitemap_products(sites, fetched).select("site").distinct().withColumn("product", F.lit(True))
+    default = F.array(F.concat("site", F.lit("/sitemap.xml")), F.concat("site", F.lit("/sitemap_index.xml")))
+    asked = sites.select("site", F.explode(F.concat(robots_sitemaps(F.col("robots")), default)).alias("url")).join(fetched, "url")
+    alive = asked.filter(is_xml(F.col("body"), F.lit(""))).select("site").distinct().withColumn("alive", F.lit(True))
+    out = sites.join(found, "site", "left").join(alive, "site", "left")
+    return out.select(urls.host(F.col("site")).alias("site"), F.coalesce("product", F.lit(False)).alias("sitemap_product"), F.col("alive").isNull().alias("dead_sitemap"))
+
+
+def outcomes(events: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """Per site the strategy (seed page, sitemap or links, the first that found a product) and the failure: without products bot_challenge, non_storefront_root, dead_sitemap or no_product_urls, in this order; with products, product_schema_missing if no page has the markup."""
     found = lambda s: F.bool_or((F.col("strategy") == s) & F.col("product"))
-    strategy = F.when(found("seed_page"), "seed_page").when(found("sitemap"), "sitemap").when(found("links"), "links").otherwise("none")
-    failure = F.when(F.bool_or("product"), F.when(F.bool_or("schema"), "none").otherwise("product_schema_missing")).when(F.bool_or(F.col("block").isNotNull()), "bot_challenge").otherwise("no_product_urls")
-    return events.groupBy("site").agg(strategy.alias("strategy"), failure.alias("failure"), F.count(F.lit(1)).alias("n_pages"))
+    per = events.groupBy("site").agg(found("seed_page").alias("seed"), found("links").alias("links"), F.bool_or(F.col("block").isNotNull()).alias("blocked"), F.bool_or("schema").alias("schema"), F.bool_or("selector").alias("selector"), F.count(F.lit(1)).alias("n_pages"))
+    per = per.join(sitemaps, "site", "left").withColumns({"sitemap_product": F.coalesce("sitemap_product", F.lit(False)), "dead_sitemap": F.coalesce("dead_sitemap", F.lit(True))})
+    strategy = F.when(F.col("seed"), "seed_page").when(F.col("sitemap_product"), "sitemap").when(F.col("links"), "links").otherwise("none")
+    failure = F.when(strategy != "none", F.when(F.col("schema"), "none").otherwise("product_schema_missing")).when(F.col("blocked"), "bot_challenge").when(F.col("selector"), "non_storefront_root").when(F.col("dead_sitemap"), "dead_sitemap").otherwise("no_product_urls")
+    return per.select("site", strategy.alias("strategy"), failure.alias("failure"), "n_pages")
 
 
 def crawl_report(sites: DataFrame) -> DataFrame:
     """Sites, and their share, per strategy and failure."""
     per = sites.groupBy("strategy", "failure").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("n_pages").alias("n_pages"))
     return per.withColumn("share", F.round(F.col("n_sites") / F.sum("n_sites").over(Window.partitionBy(F.lit(1))), 4))
-
-
-_LINKS = """WITH a AS (SELECT page_id, url, unnest(range(len(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>')))) AS pos, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>')) AS tag FROM pages),
-b AS (SELECT *, trim(regexp_extract(tag, '(?is)href\\s*=\\s*["'']([^"'']*)["'']', 1)) AS raw, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(tag, '(?is)^<a[^>]*>(.*?)</a>', 1), '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS said FROM a),
-l AS (SELECT page_id, url, pos, said, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN raw WHEN starts_with(raw, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || raw ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') || raw END AS href FROM b WHERE raw <> '' AND NOT regexp_matches(raw, '(?i)^(#|mailto:|tel:|javascript:)'))
-"""
-_add = lambda pattern, n: f"CASE WHEN regexp_matches(lower(said), {duck.q(pattern)}) THEN {n} ELSE 0 END"
-LINKS_SQL = _LINKS + f"SELECT page_id, pos::INT AS pos, href, said, {duck.url_score('href', 'url')} + {_add(fixed.PRICE_SIGN, 3)} + {_add('(?i)add to cart|buy now|quick shop|learn more|shop now|details', 2)} + {_add('(?i)in stock|out of stock|shade|size', 1)} AS score FROM l"
-PRODUCT_LINKS_SQL = _LINKS + f", s AS (SELECT page_id, {duck.canonical('href')} AS href, {duck.url_score('href', 'url')} AS score FROM l), g AS (SELECT page_id, href, max(score) AS score FROM s WHERE score >= 4 GROUP BY ALL) SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, href)::INT AS rank FROM g"
-REPORT_SQL = f"""WITH e AS (SELECT {duck.host('url')} AS site, coalesce({duck.url_score('url', 'url')} >= 4, false) AS product, CASE WHEN coalesce({duck.url_score('url', 'url')} >= 4, false) THEN 'seed_page' WHEN contains(url, '?') THEN 'sitemap' ELSE 'links' END AS strategy, regexp_matches(lower(html), 'just a moment|performing security verification|attention required|verify you are human|ray id|challenge-platform|please enable javascript and cookies|_abck|bm_sz|ak_bmsc|press & hold|human verification') AS blocked FROM pages),
-s AS (SELECT site, CASE WHEN bool_or(product) THEN 'seed_page' ELSE 'none' END AS strategy, CASE WHEN bool_or(product) THEN 'product_schema_missing' WHEN bool_or(blocked) THEN 'bot_challenge' ELSE 'no_product_urls' END AS failure, count(*) AS n_pages FROM e GROUP BY site),
-g AS (SELECT strategy, failure, count(*) AS n_sites, sum(n_pages)::BIGINT AS n_pages FROM s GROUP BY ALL) SELECT *, round(n_sites / sum(n_sites) OVER (), 4) AS share FROM g"""

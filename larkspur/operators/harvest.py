@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.core import collapse, strip, text
-from larkspur.functions.ingredient_text import block_label_stripped, clean_block, has_inci_signal, ingredient_score, inline_sequence, is_script_or_json
-from larkspur.operators.ingredients import parsed
+from larkspur.functions.ingredient_text import block_label_stripped, clean_block, has_inci_signal, ingredient_score, inline_sequence, is_script_or_json, meaningful
+from larkspur.operators.ingredients import INCI, parsed
+from larkspur.scratch import stored
 
 _SKIP, _VOID = {"script", "style", "noscript", "svg"}, {"br", "img", "input", "meta", "link", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
 _LABELS = {"h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "span", "p", "div"}
@@ -170,12 +171,26 @@ def chosen(attempts: DataFrame) -> DataFrame:
     )
 
 
+_OUTCOME = ("status", "confidence", "source_ref", "source_type", "raw_ingredient_text", "error")
+_CLEARED = {"cleaned_text": "string", "parse_status": "string", "inci_list": "string", "parse_confidence": "double", "reviewed_by": "string", "reviewed_at": "timestamp", "audit_score": "double", "source_match_status": "string", "ingredient_signal_type": "string"}
+
+
 def applied(rows: DataFrame, outcome: DataFrame) -> DataFrame:
-    """H8: rows with their outcome written in, review reset, and parsed anew where there is a text."""
-    new = outcome.select("row_id", *[F.col(c).alias(f"n_{c}") for c in ("status", "confidence", "source_ref", "raw_ingredient_text")])
+    """H8: rows with their outcome (row_id, status, confidence, source_ref, source_type?, raw_ingredient_text, error?) written in, parse, review and audit reset, and parsed anew where there is a text. An outcome with an error makes the row's status ERROR and keeps its first 500 characters; the rest of that row stays."""
+    have = outcome.columns
+    new = outcome.select("row_id", *[(F.col(c) if c in have else F.lit(None).cast("string")).alias(f"n_{c}") for c in _OUTCOME], F.lit(True).alias("__hit"))
     out = rows.join(new, "row_id", "left")
-    hit = F.col("n_status").isNotNull()
-    for c in ("status", "confidence", "source_ref", "raw_ingredient_text"):
-        out = out.withColumn(c, F.when(hit, F.coalesce(F.col(f"n_{c}"), F.col(c) if c == "source_ref" else F.lit(None))).otherwise(F.col(c)) if c in rows.columns else F.col(f"n_{c}"))
-    out = out.withColumn("review_status", F.when(hit, "UNREVIEWED").otherwise(F.col("review_status")))
-    return parsed(out.drop(*[f"n_{c}" for c in ("status", "confidence", "source_ref", "raw_ingredient_text")]))
+    failed = F.col("n_error").isNotNull()
+    hit = F.coalesce(F.col("__hit") & ~failed, F.lit(False))
+    kinds = dict(rows.dtypes)
+    old = lambda c, kind: F.col(c) if c in kinds else F.lit(None).cast(kind)
+    changed = {c: F.when(hit, F.col(f"n_{c}")).otherwise(old(c, "double" if c == "confidence" else "string")) for c in _OUTCOME[:-1]}
+    changed["status"] = F.when(F.coalesce(F.col("__hit") & failed, F.lit(False)), "ERROR").otherwise(changed["status"])
+    changed["error"] = F.when(F.col("__hit"), F.substring("n_error", 1, 500)).otherwise(old("error", "string"))
+    changed |= {c: F.when(~hit, old(c, kind)) for c, kind in _CLEARED.items()}
+    changed |= {"review_status": F.when(hit, "UNREVIEWED").otherwise(old("review_status", "string")), "audit_status": F.when(hit, "UNAUDITED").otherwise(old("audit_status", "string")), "ingest_allowed": F.when(hit, False).otherwise(old("ingest_allowed", "boolean"))}
+    for c, kind in (("inci", INCI), ("unrecognized", "array<string>"), ("notes", "array<string>"), ("needs_review", "array<struct<original_text:string,issue:string>>")):
+        changed[c] = F.when(~hit, old(c, kind))
+    out = stored(out.withColumns(changed).withColumn("__hit", hit).drop(*[f"n_{c}" for c in _OUTCOME]), "harvested")
+    again = F.col("__hit") & (meaningful(F.col("raw_ingredient_text")) != "")
+    return parsed(out.filter(again)).select(*out.columns).unionByName(out.filter(~again)).drop("__hit")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, ingredient_text, prices, urls
-from larkspur.operators import audit, catalog, discovery, ingredients, kb, offers, rows
+from larkspur.operators import audit, catalog, ingredients, kb, offers, rows
 from larkspur.plans import duck
 from larkspur.plans.base import QUERIES, SQL, registered
 from larkspur.plans.duck import q, strip, sub, text
@@ -169,10 +169,14 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", ingredient_text.html_to_text(F.col("html")).alias("said"))
 
 
-@registered("search_queries", f"{C} SELECT row_id, trim(trim(brand) || ' ' || trim(product_name)) || CASE WHEN market IN ('CN', 'CHN', 'CHINA') THEN ' 全成分' ELSE ' ingredients list INCI' END AS query, CASE WHEN {duck.any_of('lower(' + text('source_ref') + ')', fixed.RETAILERS)} THEN 'Retailer' WHEN {duck.any_of('lower(' + text('source_ref') + ')', fixed.THIRD_PARTIES)} THEN 'ThirdParty' ELSE 'Official' END AS source_class FROM cand")
+_query = "trim(trim(brand) || ' ' || trim(product_name)) || CASE WHEN market IN ('CN', 'CHN', 'CHINA') THEN ' 全成分' ELSE ' ingredients list INCI' END"
+
+
+@registered("search_queries", f"{C}, h AS (SELECT *, {_query} AS query, {_hosts('brand')} AS hosts FROM cand) SELECT row_id, array_to_string(list_concat(list_transform(list_distinct(hosts), lambda x: query || ' site:' || x), [query]), chr(10)) AS queries, CASE WHEN {duck.any_of('lower(' + text('source_ref') + ')', fixed.RETAILERS)} THEN 'Retailer' WHEN {duck.any_of('lower(' + text('source_ref') + ')', fixed.THIRD_PARTIES)} THEN 'ThirdParty' ELSE 'Official' END AS source_class FROM h")
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5, H5."""
-    return candidates(spark, sf_dir).select("row_id", ingredient_text.search_query(F.col("market"), F.col("brand"), F.col("product_name")).alias("query"), urls.source_class(F.col("source_ref")).alias("source_class"))
+    """P5, H5, H6."""
+    asked = ingredient_text.search_queries(F.col("market"), F.col("brand"), F.col("product_name"), urls.official_hosts(F.col("brand")))
+    return candidates(spark, sf_dir).select("row_id", F.array_join(asked, "\n").alias("queries"), urls.source_class(F.col("source_ref")).alias("source_class"))
 
 
 _base = "'https://' || " + duck.host("url")
@@ -238,13 +242,31 @@ def catalog_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.flattened(view(spark, sf_dir, VARIANTS)).select("pos", "price", "stock", "deep_link")
 
 
-@registered("catalog_rollup", V + """, g AS (SELECT product_url, count(*) AS n_variants, min(price::DOUBLE) AS v_min, max(price::DOUBLE) AS v_max, arg_min(currency, pos) AS currency, array_to_string(list_sort(list(DISTINCT stock)), ' | ') AS stocks, arg_min(product_title, pos) AS v_title FROM f GROUP BY product_url),
+_link = "product_url || '?variant=' || id || '&utm_source=larkspur&utm_medium=affiliate'"
+
+
+def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with an image each, and some with a description."""
+    v = catalog.flattened(view(spark, sf_dir, VARIANTS))
+    return v.withColumns({"image_urls": F.array(F.concat(F.lit("https://i/"), (F.col("pos") % 3).cast("string"))), "description": F.when(F.col("pos") % 5 == 0, F.concat(F.lit("d"), F.col("pos").cast("string")))})
+
+
+@registered("catalog_rollup", V + f""", g AS (SELECT product_url, count(*) AS n_variants, min(price::DOUBLE) AS v_min, max(price::DOUBLE) AS v_max, arg_min(currency, pos) AS currency, array_to_string(list_sort(list(DISTINCT stock)), ' | ') AS stocks, arg_min(product_title, pos) AS v_title, arg_min('d' || pos, pos) FILTER (pos % 5 = 0) AS description, arg_min({_link}, pos) AS deep_link FROM f GROUP BY product_url),
+i AS (SELECT product_url, string_agg('https://i/' || m, ' | ' ORDER BY first_at) AS images FROM (SELECT product_url, pos % 3 AS m, min(pos) AS first_at FROM f GROUP BY ALL) GROUP BY product_url),
 p AS (SELECT 'https://shop.example.com/products/' || cast(p_partkey AS string) AS product_url, p_name AS title, p_retailprice AS price FROM part)
-SELECT product_url, coalesce(title, v_title) AS title, coalesce(n_variants, 0) AS n_variants, least(v_min, price) AS min_price, greatest(v_max, price) AS max_price, coalesce(currency, 'USD') AS currency, coalesce(stocks, '') AS stocks FROM p FULL JOIN g USING (product_url)""")
+SELECT product_url, coalesce(title, v_title) AS title, coalesce(n_variants, 0) AS n_variants, least(v_min, price) AS min_price, greatest(v_max, price) AS max_price, coalesce(currency, 'USD') AS currency, coalesce(stocks, '') AS stocks,
+  CASE WHEN title IS NULL THEN images WHEN images IS NULL THEN 'https://i/main' ELSE 'https://i/main | ' || images END AS images, coalesce(description, '') AS description, coalesce(deep_link, '') AS deep_link FROM p FULL JOIN g USING (product_url) LEFT JOIN i USING (product_url)""")
 def catalog_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C7."""
-    products = load(spark, sf_dir, "part").select(F.concat(F.lit("https://shop.example.com/products/"), F.col("p_partkey").cast("string")).alias("product_url"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
-    return catalog.product_rollup(products, catalog.flattened(view(spark, sf_dir, VARIANTS)))
+    products = load(spark, sf_dir, "part").select(F.concat(F.lit("https://shop.example.com/products/"), F.col("p_partkey").cast("string")).alias("product_url"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.array(F.lit("https://i/main")).alias("image_urls"))
+    return catalog.product_rollup(products, _pictured(spark, sf_dir))
+
+
+@registered("export_products", V + """, g AS (SELECT product_url, count(*) AS n, min(price::DOUBLE) AS lo, max(price::DOUBLE) AS hi FROM f GROUP BY product_url), p AS (SELECT 'https://shop.example.com/products/' || cast(p_partkey AS string) AS product_url, p_name AS title, p_retailprice AS price FROM part)
+SELECT product_url, title, coalesce(n, 0) AS n_variants, printf('%.2f', least(lo, price)) AS min_price, printf('%.2f', greatest(hi, price)) AS max_price FROM p LEFT JOIN g USING (product_url)""")
+def export_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as texts of two decimals."""
+    return rows.products_export(catalog_rollup(spark, sf_dir)).select("product_url", "title", "n_variants", "min_price", "max_price")
 
 
 @registered("catalog_pricing", V + " SELECT arg_min(currency, pos) AS currency, min(price::DOUBLE) AS min_price, max(price::DOUBLE) AS max_price, round(avg(price::DOUBLE), 2) AS avg_price FROM f")
@@ -253,10 +275,10 @@ def catalog_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.pricing_stats(catalog.flattened(view(spark, sf_dir, VARIANTS)))
 
 
-@registered("catalog_by_title", V + ", d AS (SELECT *, row_number() OVER (PARTITION BY product_title, id, sku, product_url ORDER BY pos) AS k FROM f), s AS (SELECT product_title, sku, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL), j AS (SELECT product_title, string_agg(sku, ',' ORDER BY first_at, sku) AS skus FROM s GROUP BY ALL) SELECT product_title, arg_min(product_url, pos) AS product_url, count(*) AS n_variants, first(skus) AS skus FROM d JOIN j USING (product_title) WHERE k = 1 GROUP BY product_title")
+@registered("catalog_by_title", V + ", d AS (SELECT *, row_number() OVER (PARTITION BY product_title, id, sku, product_url ORDER BY pos) AS k FROM f), s AS (SELECT product_title, sku, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL), j AS (SELECT product_title, string_agg(sku, ',' ORDER BY first_at, sku) AS skus FROM s GROUP BY ALL), i AS (SELECT product_title, string_agg('https://i/' || m, ' ' ORDER BY first_at) AS images FROM (SELECT product_title, pos % 3 AS m, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL) GROUP BY ALL) SELECT product_title, arg_min(product_url, pos) AS product_url, count(*) AS n_variants, first(skus) AS skus, first(images) AS images FROM d JOIN j USING (product_title) JOIN i USING (product_title) WHERE k = 1 GROUP BY product_title")
 def catalog_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5."""
-    return catalog.merged_by_title(view(spark, sf_dir, VARIANTS))
+    return catalog.merged_by_title(_pictured(spark, sf_dir))
 
 
 @registered("catalog_batches", f"WITH v AS ({VARIANTS}), b AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END AS batch FROM v WHERE pos % 3 < 2 UNION ALL SELECT *, 2 FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY id, sku ORDER BY batch, pos) AS k FROM b) SELECT id, sku, batch, pos FROM k WHERE k = 1")
@@ -269,11 +291,11 @@ def catalog_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ti = "p_type || CASE WHEN p_size % 3 = 0 THEN ' - ' || p_brand WHEN p_size % 3 = 1 THEN ' | x: y' ELSE '' END"
 
 
-@registered("catalog_title_split", f"WITH t AS (SELECT p_partkey, p_brand, {_ti} AS title FROM part), s AS (SELECT *, CASE WHEN contains(title, ' - ') THEN split_part(title, ' - ', 1) WHEN contains(title, ' | ') THEN split_part(title, ' | ', 1) END AS b, CASE WHEN contains(title, ' - ') THEN title[position(' - ' IN title) + 3:] WHEN contains(title, ' | ') THEN title[position(' | ' IN title) + 3:] END AS l FROM t), w AS (SELECT *, avg(CASE WHEN b IS NULL THEN 0.0 ELSE 1.0 END) OVER (PARTITION BY p_brand) >= 0.2 AS on_ FROM s) SELECT p_partkey, CASE WHEN on_ AND b IS NOT NULL THEN b ELSE title END AS base_title, CASE WHEN on_ THEN l END AS variant_label FROM w")
+@registered("catalog_title_split", f"WITH t AS (SELECT p_partkey, p_brand, {_ti} AS title FROM part), s AS (SELECT *, CASE WHEN contains(title, ' - ') THEN split_part(title, ' - ', 1) WHEN contains(title, ' | ') THEN split_part(title, ' | ', 1) END AS b, CASE WHEN contains(title, ' - ') THEN title[position(' - ' IN title) + 3:] WHEN contains(title, ' | ') THEN title[position(' | ' IN title) + 3:] END AS l FROM t), u AS (SELECT *, b IS NOT NULL AND p_partkey % 4 > 0 AS fits FROM s), w AS (SELECT *, avg(CASE WHEN fits THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY p_brand) >= 0.2 AS on_ FROM u) SELECT p_partkey, CASE WHEN on_ AND fits THEN b ELSE title END AS base_title, CASE WHEN on_ AND fits THEN l END AS variant_label FROM w")
 def catalog_title_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4."""
     products = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(_ti).alias("title"))
-    return catalog.title_variants(products, "p_brand").select("p_partkey", "base_title", "variant_label")
+    return catalog.title_variants(products, "p_brand", single=F.col("p_partkey") % 4 > 0).select("p_partkey", "base_title", "variant_label")
 
 
 _done = ["OK", "PENDING", "NEEDS_SOURCE", "SKIPPED", "ERROR"]
@@ -298,14 +320,14 @@ def candidate_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.candidates(raw).select("row_index", "brand", "product_name", "market", "sku_key", "source_ref", "status", "confidence")
 
 
-_kb = f"SELECT row_id AS sku_key, 'brand:' || brand || ' | product:' || {strip('product_name')} || ' | market:' || market || ' | ingredients:' || {strip('raw_ingredient_text')} AS kb_text FROM cand WHERE review_status = 'APPROVED' AND {strip('raw_ingredient_text')} <> ''"
+_kb_said = f"'brand:' || {strip('brand')} || CASE WHEN {strip('product_name')} <> '' THEN ' | product:' || {strip('product_name')} ELSE '' END || ' | market:' || market || CASE WHEN inci_list <> '' THEN ' | inci:' || {strip('inci_list')} ELSE ' | ingredients:' || {strip('cleaned')} END"
 
 
-@registered("kb_rows", f"{C} {_kb}")
+@registered("kb_rows", _audit_sql + f", g AS (SELECT *, CASE WHEN row_index % 3 = 0 THEN '' ELSE inci_list END AS inci FROM audit) SELECT row_id AS sku_key, {_kb_said.replace('inci_list', 'inci')} AS kb_text FROM g WHERE parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'REVIEW' AND row_index % 2 = 0 AND ({strip('inci')} <> '' OR {strip('cleaned')} <> '')")
 def kb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3, P6, K4, keyed by row."""
-    base = candidates(spark, sf_dir).withColumns({"inci_list": F.lit(""), "cleaned_text": F.col("raw_ingredient_text")}).drop("sku_key")
-    return kb.kb_rows(base, parse=None, audit=None, need_allowed=False).select("sku_key", "kb_text")
+    """P3, P6, K4, keyed by row, with all gates on (of audits, those to be reviewed: none passes in these tables); every third row has no list."""
+    rows_ = audited(spark, sf_dir).drop("sku_key").withColumns({"ingest_allowed": F.col("row_index") % 2 == 0, "inci_list": F.when(F.col("row_index") % 3 == 0, "").otherwise(F.col("inci_list"))})
+    return kb.kb_rows(rows_, audit="REVIEW").select("sku_key", "kb_text")
 
 
 _slots = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-_''][A-Za-z0-9]+)*|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents),
@@ -319,29 +341,59 @@ def kb_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.slots(load(spark, sf_dir, "documents"), "doc_id", "text", hash="md5").select("doc_id", "slot", F.round("value", 9).alias("value"))
 
 
+_vector = _slots[: _slots.index("SELECT doc_id, slot, round(")] + """, n AS (SELECT doc_id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS value FROM s), g AS (SELECT doc_id, k, coalesce(value, 0.0)::FLOAT::DOUBLE AS x FROM (SELECT doc_id, unnest(range(384)) AS k FROM documents) LEFT JOIN n USING (doc_id) WHERE n.slot = k OR n.slot IS NULL)
+SELECT doc_id, count(*)::INT AS dims, round(sum(abs(x)), 4) AS total FROM (SELECT d.doc_id, d.k, coalesce(n.value, 0.0)::FLOAT::DOUBLE AS x FROM (SELECT doc_id, unnest(range(384)) AS k FROM documents) d LEFT JOIN n ON n.doc_id = d.doc_id AND n.slot = d.k) GROUP BY doc_id"""
+_vector = _vector.replace(", g AS (SELECT doc_id, k, coalesce(value, 0.0)::FLOAT::DOUBLE AS x FROM (SELECT doc_id, unnest(range(384)) AS k FROM documents) LEFT JOIN n USING (doc_id) WHERE n.slot = k OR n.slot IS NULL)", "")
+
+
+@registered("kb_vectors", _vector)
+def kb_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 with the MD5 hash as whole vectors, and K3: the texts of the vectors, read again."""
+    made = kb.embedded(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", hash="md5").select("doc_id", kb.vector_text(F.col("embedding")).alias("said"), "embedding")
+    numbers = F.split(F.substring("said", 2, 10**6), "[,\\]]")
+    exact = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    near = F.aggregate(F.slice(numbers, 1, 384), F.lit(0.0), lambda a, x: a + F.abs(x.cast("double")))
+    return made.select("doc_id", (F.size(numbers) - 1).alias("dims"), F.round(F.when(F.abs(exact - near) < 0.001, exact), 4).alias("total"))
+
+
 @registered("kb_embeddings")
 def kb_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 with BLAKE2b, K3."""
     return kb.embedded(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", kb.vector_text(F.col("embedding")).alias("embedding"))
 
 
-_QUERIES = "vec_id < 5"
+_VECTORS = "SELECT vec_id, embedding, CASE label % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'SG' ELSE 'JP' END AS market, CASE WHEN vec_id % 7 = 0 THEN 'NEEDS_REVIEW' ELSE 'OK' END AS parse_status FROM embeddings"
 
 
-@registered("kb_search", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, b.vec_id, round(1 - list_dot_product(b.e, q.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS distance FROM e b CROSS JOIN (SELECT * FROM e WHERE vec_id < 5) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank::INT AS rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 10")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 50."""
+    return load(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+def _search_sql(where: str) -> str:
+    return f"WITH e AS (SELECT *, embedding::DOUBLE[] AS e FROM ({_VECTORS})), p AS (SELECT q.vec_id AS query_id, b.vec_id, round(1 - list_dot_product(b.e, q.e) / (sqrt(list_dot_product(b.e, b.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS distance FROM e b CROSS JOIN (SELECT * FROM e WHERE vec_id % 50 = 0) q WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, vec_id) AS rank FROM p) SELECT query_id, vec_id, rank::INT AS rank, round(distance, 6) + 0.0 AS distance FROM r WHERE rank <= 10"
+
+
+@registered("kb_search", _search_sql("true"))
 def kb_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K6: a top-10 report for five stated queries."""
-    base = load(spark, sf_dir, "embeddings")
-    asked = base.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return kb.search(base, asked, "vec_id").withColumn("distance", F.round("distance", 6) + 0.0)
+    """K6: a top-10 report for each stated query against all rows."""
+    found = kb.search(view(spark, sf_dir, _VECTORS), _asked(spark, sf_dir), "vec_id", parse_status=None)
+    return found.withColumn("distance", F.round("distance", 6) + 0.0)
+
+
+@registered("kb_search_filtered", _search_sql("b.market = 'SG' AND b.parse_status = 'OK'"))
+def kb_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 within a market, and among rows that were parsed well."""
+    found = kb.search(view(spark, sf_dir, _VECTORS), _asked(spark, sf_dir), "vec_id", market="SG")
+    return found.withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 @registered("kb_search_cells")
 def kb_search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7."""
-    base = load(spark, sf_dir, "embeddings")
-    asked = base.filter(_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return kb.search_cells(base, asked, "vec_id")
+    """K7: the stated queries over cells, with each one's recall against K6."""
+    base, asked = view(spark, sf_dir, _VECTORS), _asked(spark, sf_dir)
+    found = stored(kb.search_cells(base, asked, "vec_id"), "cells-found")
+    return found.join(kb.recall(found, kb.search(base, asked, "vec_id", parse_status=None), "vec_id"), "query_id")
 
 
 @registered("kb_upsert", "WITH o AS (SELECT cast(c_custkey AS string) AS sku_key, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT cast(c_custkey % 200 AS string) AS sku_key, c_name AS name, row_number() OVER (PARTITION BY c_custkey % 200 ORDER BY c_custkey DESC) AS k FROM customer), l AS (SELECT * FROM n WHERE k = 1) SELECT coalesce(l.sku_key, o.sku_key) AS sku_key, CASE WHEN l.sku_key IS NOT NULL THEN l.name ELSE o.name END AS name, CASE WHEN o.sku_key IS NULL THEN 2 ELSE 1 END AS created_at, CASE WHEN l.sku_key IS NULL THEN 1 ELSE 2 END AS updated_at FROM o FULL JOIN l ON o.sku_key = l.sku_key")
@@ -353,26 +405,7 @@ def kb_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.upserted(old, new, "at", now=F.lit(2))
 
 
-@registered("page_links", discovery.LINKS_SQL)
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U1, U6."""
-    links = discovery.links(load(spark, sf_dir, "pages"))
-    return links.select("page_id", "pos", "href", "said", urls.context_score(F.col("href"), F.col("url"), F.col("said")).alias("score"))
-
-
-@registered("product_links", discovery.PRODUCT_LINKS_SQL)
-def product_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U5, without the fallbacks."""
-    return discovery.product_links(load(spark, sf_dir, "pages"), fallback=False)
-
-
 @registered("url_rules", f"SELECT page_id, coalesce({duck.url_score('url', 'url')} >= 4, false) AS product, regexp_matches(lower(html), {q('(?i)add to cart|buy now|quick shop|notify me')}) AS buy_words, regexp_matches(lower(html), {q(fixed.PRICE_SIGN)}) AND regexp_matches(lower(html), 'add to cart|buy now|quick shop|notify me') AS product_page FROM pages")
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3, U11 (the driver's pages hold no JSON-LD)."""
     return load(spark, sf_dir, "pages").select("page_id", urls.is_product_url(F.col("url"), F.col("url")).alias("product"), F.lower("html").rlike("(?i)add to cart|buy now|quick shop|notify me").alias("buy_words"), urls.looks_like_product_page(F.col("html")).alias("product_page"))
-
-
-@registered("crawl_report", discovery.REPORT_SQL)
-def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U12, U14."""
-    return discovery.crawl_report(discovery.outcomes(discovery.page_events(load(spark, sf_dir, "pages"))))

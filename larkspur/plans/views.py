@@ -36,6 +36,20 @@ SELECT cast(l_orderkey AS string) AS id, 'sku-' || cast(l_partkey AS string) ||
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
+PRODUCT_PAGES = """
+SELECT p_partkey AS page_id, 'https://shop.example.com/' || CASE WHEN p_partkey % 7 = 0 THEN 'de-de/' ELSE '' END || 'products/' || cast(p_partkey AS string) || '?utm_source=x' AS url, p_name, p_brand, p_partkey AS k, p_size AS price, p_partkey % 6 AS kind,
+  '<html><head><title>Shop</title><link rel="canonical" href="https://shop.example.com/products/' || cast(p_partkey AS string) || '"><meta name="description" content="About ' || p_brand || '"><meta property="og:price:currency" content="' || CASE WHEN p_partkey % 2 = 0 THEN 'eur' ELSE 'x1' END || '">' ||
+  '<script type="application/ld+json">' || CASE p_partkey % 6
+    WHEN 0 THEN '{"@type":"Product","name":"' || p_name || '","sku":"S' || cast(p_partkey AS string) || '","url":"/products/' || cast(p_partkey AS string) || '?ref=x","image":["/i/' || cast(p_partkey AS string) || '.jpg 2x, /i/y.jpg","/i/placeholder.svg",{"url":"https://cdn.example.com/z.png"}],"offers":{"@type":"Offer","price":"' || cast(p_size AS string) || '.50","priceCurrency":"usd","availability":"https://schema.org/OutOfStock"}}'
+    WHEN 1 THEN '[{"@type":"ProductGroup","name":"' || p_name || '","productID":"G' || cast(p_partkey AS string) || '","hasVariant":[{"@type":"Product","name":"' || p_name || ' - Red","sku":"A' || cast(p_partkey AS string) || '","offers":{"price":' || cast(p_size AS string) || ',"priceCurrency":"SGD","url":"/products/' || cast(p_partkey AS string) || '?variant=1"}},{"@type":"Product","name":"Blue","sku":"B' || cast(p_partkey AS string) || '","url":"/products/b","offers":[{"price":"' || cast(p_size + 1 AS string) || '"}]}]}]'
+    WHEN 2 THEN '{"@graph":[{"@type":"WebPage","name":"w"},{"@type":["Thing","Product"],"name":"' || p_name || '","mpn":"M1","offers":{"@type":"AggregateOffer","offers":[{"priceSpecification":{"price":' || cast(p_size AS string) || ',"priceCurrency":"JPY"}},{"sku":"Z","price":null}]}}]}'
+    WHEN 3 THEN '{bad json' WHEN 4 THEN '{"@type":"Product","name":"' || p_name || '"}' ELSE '{"@type":"Organization","name":"o"}' END ||
+  '</script></head><body data-currency="GBP"><h1>' || p_name || '</h1><img src="/i/main' || cast(p_partkey AS string) || '.jpg"><img src="/logo.png">' ||
+  CASE WHEN p_partkey % 6 IN (1, 2, 3, 4) THEN '<span class="big price">$' || cast(p_size AS string) || '.99</span>' ELSE '' END || CASE WHEN p_partkey % 6 = 3 THEN '<button>Add to cart</button>' ELSE '' END ||
+  '<div data-product-skus-value="[{&quot;id&quot;:&quot;B' || cast(p_partkey AS string) || '&quot;,&quot;size&quot;:&quot;50 ml&quot;}]"></div><h2>Ingredients</h2><div>Water, Glycerin, ' || p_name || ', Sodium Chloride, Fragrance.</div></body></html>' AS html
+FROM part
+"""
+
 TASK_ROWS = """
 SELECT cast(user_id % 20 AS string) AS task_id, event_id AS id,
   CASE event_type WHEN 'view' THEN 'OK' WHEN 'click' THEN 'PENDING' WHEN 'purchase' THEN 'NEEDS_SOURCE' WHEN 'signup' THEN 'SKIPPED' ELSE 'QUEUED' END AS status
@@ -50,4 +64,4 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view's text over the tables of sf_dir."""
     names = set(re.findall(r"(?:FROM|JOIN) (\w+)", sql))
-    return spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", sql), **{n: load(spark, sf_dir, n) for n in names})
+    return spark.sql(re.sub(r"(FROM|JOIN) (\w+)", r"\1 {\2}", re.sub(r"([{}])", r"\1\1", sql)), **{n: load(spark, sf_dir, n) for n in names})

@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VARIANT = "struct<id:long,sku:string,title:string,option1:string,option2:string,option3:string,price:string,available:boolean,inventory_quantity:int>"
-FEED = f"id long, title string, handle string, body_html string, variants array<{VARIANT}>, options array<struct<name:string>>"
+VARIANT = "struct<id:long,sku:string,title:string,option1:string,option2:string,option3:string,price:string,available:boolean,inventory_quantity:int,featured_image:variant>"
+FEED = f"id long, title string, handle string, body_html string, variants array<{VARIANT}>, options array<struct<name:string>>, images variant, featured_image variant"
 PAGE_FETCH = "url string, final_url string, status int, headers map<string,string>, content_type string, html string, fetched_at timestamp"
 
 
-def read_product_feed(spark: SparkSession, path: str, max_pages: int = 20) -> DataFrame:
-    """Products of landed feed pages (JSON with products and page); pages over max_pages don't count."""
-    pages = spark.read.schema(f"page int, products array<struct<{FEED.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=True)
-    return pages.filter(F.coalesce("page", F.lit(1)) <= max_pages).select(F.explode("products").alias("p")).select("p.*")
+def read_product_feed(spark: SparkSession, path: str, max_pages: int | None = None, page_size: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Products of landed feed pages (JSON with products and page; a page a file, or with multi_line=False a page a line). With page_size, pages after the first that holds fewer don't count; nor do those over max_pages, if given."""
+    pages = spark.read.schema(f"page int, products array<struct<{FEED.replace(' ', ':').replace(',:', ',')}>>").json(path, multiLine=multi_line)
+    pages = pages.withColumn("page", F.coalesce("page", F.lit(1)))
+    if max_pages is not None:
+        pages = pages.filter(F.col("page") <= max_pages)
+    if page_size is not None:
+        short = pages.filter(F.size("products") < page_size).agg(F.min("page").alias("last"))  # one row
+        pages = pages.join(F.broadcast(short), F.col("last").isNull() | (F.col("page") <= F.col("last"))).drop("last")
+    return pages.select(F.explode("products").alias("p")).select("p.*")
 
 
 def read_page_fetch(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from larkspur.plans import registry, reviews  # noqa: F401
+from larkspur.plans import pages, registry, reviews  # noqa: F401
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
