@@ -61,7 +61,7 @@ def merged_by_title(variants: DataFrame) -> DataFrame:
     once = variants.select(*[c for c in variants.columns if c != "image_urls"], *images).withColumn("k", F.row_number().over(Window.partitionBy("product_title", "id", "sku", "product_url").orderBy("pos"))).filter("k = 1")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "sku", "image_urls")))
     return once.groupBy("product_title").agg(
-        F.min_by("product_url", "pos").alias("product_url"), F.count(F.lit(1)).alias("n_variants"), F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["sku"])), ",").alias("skus"),
+        F.min_by("product_url", F.struct("pos", "product_url")).alias("product_url"), F.count(F.lit(1)).alias("n_variants"), F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["sku"])), ",").alias("skus"),
         F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.coalesce(x["image_urls"], F.array().cast("array<string>"))))), " ").alias("images"),
     )
 

@@ -275,7 +275,7 @@ def catalog_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.pricing_stats(catalog.flattened(view(spark, sf_dir, VARIANTS)))
 
 
-@registered("catalog_by_title", V + ", d AS (SELECT *, row_number() OVER (PARTITION BY product_title, id, sku, product_url ORDER BY pos) AS k FROM f), s AS (SELECT product_title, sku, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL), j AS (SELECT product_title, string_agg(sku, ',' ORDER BY first_at, sku) AS skus FROM s GROUP BY ALL), i AS (SELECT product_title, string_agg('https://i/' || m, ' ' ORDER BY first_at) AS images FROM (SELECT product_title, pos % 3 AS m, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL) GROUP BY ALL) SELECT product_title, arg_min(product_url, pos) AS product_url, count(*) AS n_variants, first(skus) AS skus, first(images) AS images FROM d JOIN j USING (product_title) JOIN i USING (product_title) WHERE k = 1 GROUP BY product_title")
+@registered("catalog_by_title", V + ", d AS (SELECT *, row_number() OVER (PARTITION BY product_title, id, sku, product_url ORDER BY pos) AS k FROM f), s AS (SELECT product_title, sku, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL), j AS (SELECT product_title, string_agg(sku, ',' ORDER BY first_at, sku) AS skus FROM s GROUP BY ALL), i AS (SELECT product_title, string_agg('https://i/' || m, ' ' ORDER BY first_at) AS images FROM (SELECT product_title, pos % 3 AS m, min(pos) AS first_at FROM d WHERE k = 1 GROUP BY ALL) GROUP BY ALL) SELECT product_title, first(product_url ORDER BY pos, product_url) AS product_url, count(*) AS n_variants, first(skus) AS skus, first(images) AS images FROM d JOIN j USING (product_title) JOIN i USING (product_title) WHERE k = 1 GROUP BY product_title")
 def catalog_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C5."""
     return catalog.merged_by_title(_pictured(spark, sf_dir))

@@ -172,7 +172,7 @@ def test_jsonld_offers(spark):
     df = spark.createDataFrame([(1, "https://s.com/a", html), (2, "https://s.com/b", '<script type="application/ld+json">{"@type":["Product"],"sku":"G062203","name":"N","offers":{"price":"176"}}</script>')], "page_id long, url string, html string")
     got = {(r["page_id"], r["variant_sku"]): (r["price_amount"], r["price_currency"]) for r in structured.page_offers(df, "s.com", "SG").collect()}
     assert got == {(1, "G062104"): (92.0, "SGD"), (1, "G062105"): (92.0, "SGD"), (2, "G062203"): (176.0, None)}
-    assert {r["page_id"]: r["title"] for r in structured.page_products(df).collect()} == {1: "G", 2: "N"}
+    assert {r["page_id"]: r["product_title"] for r in structured.page_products(df).collect()} == {1: "G", 2: "N"}
 
 
 def test_counters_show_markets_without_offers(spark):
