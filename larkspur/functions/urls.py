@@ -70,15 +70,12 @@ def _with_param(url: Column, name: str, value: Column) -> Column:
 
 
 def deep_link(url: Column, variant_id: Column, source: str = "larkspur", medium: str = "affiliate") -> Column:
-    """P8."""
-    with_variant = F.when(path(url).rlike("(?i)/products/") & variant_id.rlike("^[0-9]+$"), _set_param(url, "variant", variant_id)).otherwise(url)
-    return F.when(is_http(url), _set_param(_set_param(with_variant, "utm_source", F.lit(source)), "utm_medium", F.lit(medium))).otherwise(url)
-
-
-def _set_param(url: Column, name: str, value: Column) -> Column:
-    kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~p.rlike(f"^{name}(=|$)"))
-    base = F.regexp_replace(url, r"[?#].*$", "")
-    return F.concat(base, F.lit("?"), F.array_join(F.array_append(kept, F.concat(F.lit(f"{name}="), value)), "&"), F.regexp_extract(url, "#.*$", 0))
+    """The variant where the path is a product's, then source and medium, after what else the query holds."""
+    varied = url.rlike("(?i)^[^?#]*/products/") & variant_id.rlike("^[0-9]+$")
+    new = F.concat(F.when(varied, F.concat(F.lit("variant="), variant_id, F.lit("&"))).otherwise(""), F.lit(f"utm_source={source}&utm_medium={medium}"))
+    kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~p.rlike("^utm_(source|medium)(=|$)") & ~(varied & p.rlike("^variant(=|$)")))
+    general = F.concat(F.regexp_replace(url, r"[?#].*$", ""), F.lit("?"), F.array_join(F.array_append(kept, new), "&"), F.regexp_extract(url, "#.*$", 0))
+    return F.when(~is_http(url), url).when(url.rlike("[?#]"), general).otherwise(F.concat(url, F.lit("?"), new))
 
 
 def source_class(url: Column) -> Column:

@@ -10,6 +10,7 @@ from larkspur.functions.core import collapse, let, strip, text
 from larkspur.functions.ingredient_text import choose_overview, html_to_text
 from larkspur.operators.discovery import decoded
 from larkspur.operators.offers import normalized
+from larkspur.scratch import stored
 
 _SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 #: What makes an image no picture of the product.
@@ -55,15 +56,25 @@ def signals(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     skus = F.try_parse_json(decoded(F.regexp_extract(h, r"""(?is)\bdata-product-skus-value\s*=\s*["']([^"']*)["']""", 1)))
     return pages.withColumns({
         "title": F.coalesce(_inner(h, "h1"), _meta(h, "og:title"), _inner(h, "title"), F.lit("")),
-        "canonical": urls.canonical_url(urls.absolute_url(F.coalesce(F.nullif(decoded(F.regexp_extract(h, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']canonical["'])[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1)), F.lit("")), _meta(h, "og:url"), F.col(url)), F.col(url))),
+        "canonical": _link(F.coalesce(F.nullif(decoded(F.regexp_extract(h, r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']canonical["'])[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1)), F.lit("")), _meta(h, "og:url"), F.col(url)), F.col(url)),
         "meta_description": _meta(h, "description", "og:description"), "details": details, "price_texts": price_texts,
         "meta_currencies": F.filter(F.array(_meta(h, "og:price:currency"), _meta(h, "product:price:currency"), _meta(h, "priceCurrency")), lambda c: c.isNotNull()),
         "images": image_list(F.transform(pictures, lambda u: _absolute(u, F.col(url)))), "dom_variants": skus,
     }).drop(html)
 
 
+def _joined(href: Column, base: Column) -> Column:
+    """href, worked out once, against the page's URL."""
+    return let(href, lambda h: urls.absolute_url(h, base))
+
+
+def _link(href: Column, base: Column) -> Column:
+    """The same in its canonical form."""
+    return let(_joined(href, base), urls.canonical_url)
+
+
 def _absolute(u: Column, base: Column) -> Column:
-    return urls.absolute_url(F.regexp_extract(strip(text(u)), r"^[^\s,]+", 0), base)
+    return _joined(F.regexp_extract(strip(text(u)), r"^[^\s,]+", 0), base)
 
 
 def image_list(images: Column) -> Column:
@@ -72,7 +83,7 @@ def image_list(images: Column) -> Column:
     return F.array_distinct(F.filter(first, lambda u: u.rlike("(?i)^https?://") & ~u.rlike(NO_IMAGE)))
 
 
-def image_urls(v: Column, base: Column, levels: int = 3) -> Column:
+def image_urls(v: Column, base: Column, levels: int = 2) -> Column:
     """C10, of a variant: texts, arrays and objects that hold images or further such values, `levels` deep, in order."""
 
     def flat(x: Column, depth: int) -> Column:
@@ -82,10 +93,11 @@ def image_urls(v: Column, base: Column, levels: int = 3) -> Column:
             return own
         many = F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
         inner = lambda k: F.try_variant_get(x, f"$.{k}", "variant")
-        held = F.concat(*[_one(inner(k)) for k in IMAGE_KEYS], *[let(inner(k), lambda y: flat(y, depth - 1)) for k in NESTED_KEYS])
+        held = F.concat(*[_one(inner(k)) for k in IMAGE_KEYS], *[let(inner(k), lambda y: F.when(y.isNull(), F.array().cast("array<string>")).otherwise(flat(y, depth - 1))) for k in NESTED_KEYS])
         return F.when(F.size(many) > 0, F.flatten(F.transform(many, lambda y: flat(y, depth - 1)))).when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), held).otherwise(own)
 
-    return image_list(F.transform(F.coalesce(flat(v, levels), F.array().cast("array<string>")), lambda u: _absolute(u, base)))
+    empty = F.array().cast("array<string>")
+    return F.when(v.isNull(), empty).otherwise(image_list(F.transform(F.coalesce(flat(v, levels), empty), lambda u: _absolute(u, base))))
 
 
 def _one(v: Column) -> Column:
@@ -136,7 +148,7 @@ def _fit(v: Column, page: Column, canonical: Column) -> Column:
         return F.when(u == p, 120).otherwise(0) + F.when(same, 90).otherwise(0) + F.when(known & (locale(u) == locale(p)), 20).when(known, -25).otherwise(0)
 
     total = lambda u: F.aggregate(F.array_distinct(F.array(canonical, page)), F.lit(0), lambda a, p: a + points(u, p))
-    return F.aggregate(F.transform(own, lambda u: urls.canonical_url(urls.absolute_url(u, page))), F.lit(0), lambda a, u: a + total(u))
+    return F.aggregate(F.transform(own, lambda u: _link(u, page)), F.lit(0), lambda a, u: a + total(u))
 
 
 def best_object(pages: DataFrame, types: tuple[str, ...] = ("Product", "ProductGroup")) -> DataFrame:
@@ -162,7 +174,8 @@ def _read_pages(pages: DataFrame, by_fit: bool) -> DataFrame:
     group = first.filter("not product").select("page_id", F.col("v").alias("group"))
     out = seen.join(product, "page_id", "left").join(group, "page_id", "left")
     variants = F.filter(_objects(F.try_variant_get("group", "$.hasVariant", "variant")), lambda v: is_type("Product", v))
-    return out.withColumn("variants", F.when(F.col("group").isNotNull(), variants).otherwise(F.array().cast("array<variant>"))).withColumn("primary", F.coalesce("own", F.try_element_at("variants", F.lit(1)), "group")).drop("own")
+    out = out.withColumn("variants", F.when(F.col("group").isNotNull(), variants).otherwise(F.array().cast("array<variant>"))).withColumn("primary", F.coalesce("own", F.try_element_at("variants", F.lit(1)), "group")).drop("own")
+    return stored(out, "pages-read")  # read three times, for the three kinds of pages
 
 
 def _price(o: Column) -> Column:
@@ -198,29 +211,31 @@ def page_offers(pages: DataFrame, site: str, market: str) -> DataFrame:
     """The normalised offers of pages (page_id, url, html): one per variant of a group of several, else one per offer of the product, else one of the page's visible price if the page is a product's, else none."""
     v, item, offer = F.col("primary"), F.col("item"), F.col("offer")
     rows = _branches(_read_pages(pages, by_fit=False))
-    home = urls.canonical_url(urls.absolute_url(F.coalesce(_get(v, "$.url"), F.col("canonical")), F.col("url")))
+    rows = rows.withColumn("home", _link(F.coalesce(_get(v, "$.url"), F.col("canonical")), F.col("url")))
+    home = F.col("home")
     title = F.coalesce(_get(F.col("group"), "$.name"), _get(v, "$.name"), F.nullif("title", F.lit("")))
     sku = F.coalesce(*[_get(x, p) for x, p in ((item, "$.sku"), (item, "$.mpn"), (offer, "$.sku"))], F.when(item.isNull() & offer.isNotNull(), F.coalesce(_get(v, "$.sku"), _get(v, "$.mpn"))))
     stands_for_sku = F.coalesce(sku, F.when(offer.isNotNull() & item.isNull(), F.concat(F.lit("AUTO-"), prices.short_hash(F.concat_ws("|", home, "n")))).when(item.isNull(), title))
-    own_url = F.when(item.isNotNull(), urls.canonical_url(urls.absolute_url(F.coalesce(_get(offer, "$.url"), _get(item, "$.url"), home), F.col("url")))).otherwise(home)
+    own_url = F.when(item.isNotNull(), _link(F.coalesce(_get(offer, "$.url"), _get(item, "$.url"), home), F.col("url"))).otherwise(home)
     overview = choose_overview(F.coalesce(_get(v, "$.description"), _get(F.col("group"), "$.description")), F.col("details"), F.col("meta_description"))
     raw = rows.select(
         "page_id", "n", F.lit(site).alias("source_site"), F.coalesce(_get(v, "$.productID"), _get(v, "$.sku")).alias("site_product_id"), home.alias("url_canonical"), own_url.alias("offer_url"), title.alias("product_title"),
         F.coalesce(html_to_text(_get(item, "$.description")), overview).alias("product_description"), stands_for_sku.alias("variant_sku"), sku.alias("sku"), F.lit(market).alias("market_id"),
         F.coalesce(_price(offer), F.try_element_at("price_texts", F.lit(1))).alias("price_display_raw"), _currency(offer).alias("structured_currency"), "meta_currencies", _get(offer, "$.availability").alias("raw_availability"),
     )
-    return normalized(raw).withColumns({"variant_sku": F.col("sku"), "url_canonical": F.col("offer_url")}).drop("sku", "offer_url", "meta_currencies")
+    return normalized(stored(raw, "offers-read")).withColumns({"variant_sku": F.col("sku"), "url_canonical": F.col("offer_url")}).drop("sku", "offer_url", "meta_currencies")
 
 
 def page_products(pages: DataFrame, currency: str = "USD") -> DataFrame:
     """The variants of pages, by the objects that fit the page best (C12): ids, options, prices, stock and images; what the page's own list of variants says is joined by sku."""
     v, item, offer = F.col("primary"), F.col("item"), F.col("offer")
     rows = _branches(_read_pages(pages, by_fit=True))
-    home = urls.canonical_url(urls.absolute_url(F.coalesce("canonical", _get(v, "$.url")), F.col("url")))
+    rows = rows.withColumn("home", _link(F.coalesce("canonical", _get(v, "$.url")), F.col("url")))
+    home = F.col("home")
     title = F.coalesce(_get(F.col("group"), "$.name"), _get(v, "$.name"), F.col("title"))
     auto = F.concat(F.lit("AUTO-"), prices.short_hash(F.concat_ws("|", home, "n")))
     sku = F.coalesce(_get(item, "$.sku"), _get(item, "$.mpn"), _get(offer, "$.sku"), F.when(item.isNull() & offer.isNotNull(), F.coalesce(_get(v, "$.sku"), _get(v, "$.mpn"))), F.when(item.isNull() & offer.isNull(), F.concat(F.lit("AUTO-"), F.substring(prices.short_hash(home), 1, 8))), auto)
-    rows = rows.withColumns({"home": home, "product_title": title, "sku": sku})
+    rows = rows.withColumns({"product_title": title, "sku": sku})
     known = F.filter(_objects(F.col("dom_variants")), lambda d: F.coalesce(_get(d, "$.id"), _get(d, "$.sku")) == F.col("sku"))
     rows = rows.withColumn("dom", F.try_element_at(known, F.lit(-1)))
     dom = F.col("dom")
@@ -229,7 +244,7 @@ def page_products(pages: DataFrame, currency: str = "USD") -> DataFrame:
     named = F.nullif(prices.title_suffix(F.col("product_title"), text(_get(item, "$.name"))), F.lit(""))
     value = F.when(item.isNotNull(), F.coalesce(_get(item, "$.color"), named, said, _get(item, "$.name"), F.col("sku"))).when(offer.isNotNull(), F.coalesce(_get(offer, "$.name"), _get(offer, "$.description"), said, F.col("sku"))).otherwise("Default")
     price = F.coalesce(_shown_price(offer), F.when(item.isNull(), _shown_price(dom)), F.when(item.isNotNull() | offer.isNull(), F.coalesce(F.try_element_at("price_texts", (F.col("n") + 1).cast("int")), F.try_element_at("price_texts", F.lit(1)))), F.lit("0.00"))
-    link = urls.absolute_url(F.coalesce(F.when(item.isNull(), _get(dom, "$.localized_path")), _get(offer, "$.url"), F.when(item.isNotNull(), _get(item, "$.url")), F.col("home")), F.col("url"))
+    link = _joined(F.coalesce(F.when(item.isNull(), _get(dom, "$.localized_path")), _get(offer, "$.url"), F.when(item.isNotNull(), _get(item, "$.url")), F.col("home")), F.col("url"))
     pictures = F.array_distinct(F.concat(image_urls(F.try_variant_get(item, "$.image", "variant"), F.col("url")), image_urls(F.try_variant_get(offer, "$.image", "variant"), F.col("url")), image_urls(F.try_variant_get(dom, "$.images", "variant"), F.col("url")), image_urls(F.try_variant_get(v, "$.image", "variant"), F.col("url")), image_urls(F.try_variant_get("group", "$.image", "variant"), F.col("url")), F.col("images")))
     stock = F.when(text(_get(offer, "$.availability")).rlike("(?i)OutOfStock"), "Out of Stock").otherwise("In Stock")
     shown = rows.withColumns({"price": price, "option_value": value, "option_name": F.coalesce(kind, F.when(item.isNotNull(), "Variant").otherwise("Offer")), "link": link, "stock": stock, "image_urls": pictures, "single": item.isNull() & offer.isNull()})

@@ -323,11 +323,11 @@ def candidate_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 _kb_said = f"'brand:' || {strip('brand')} || CASE WHEN {strip('product_name')} <> '' THEN ' | product:' || {strip('product_name')} ELSE '' END || ' | market:' || market || CASE WHEN inci_list <> '' THEN ' | inci:' || {strip('inci_list')} ELSE ' | ingredients:' || {strip('cleaned')} END"
 
 
-@registered("kb_rows", _audit_sql + f", g AS (SELECT *, CASE WHEN row_index % 3 = 0 THEN '' ELSE inci_list END AS inci FROM audit) SELECT row_id AS sku_key, {_kb_said.replace('inci_list', 'inci')} AS kb_text FROM g WHERE parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'REVIEW' AND row_index % 2 = 0 AND ({strip('inci')} <> '' OR {strip('cleaned')} <> '')")
+@registered("kb_rows", _audit_sql + f", g AS (SELECT *, CASE WHEN row_index % 3 = 0 THEN '' ELSE inci_list END AS inci FROM audit) SELECT row_id AS sku_key, {_kb_said.replace('inci_list', 'inci')} AS kb_text FROM g WHERE parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'FAIL' AND row_index % 2 = 0 AND ({strip('inci')} <> '' OR {strip('cleaned')} <> '')")
 def kb_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3, P6, K4, keyed by row, with all gates on (of audits, those to be reviewed: none passes in these tables); every third row has no list."""
+    """P3, P6, K4, keyed by row, with all gates on (the audit's takes those that failed: none passes in these tables); every third row has no list."""
     rows_ = audited(spark, sf_dir).drop("sku_key").withColumns({"ingest_allowed": F.col("row_index") % 2 == 0, "inci_list": F.when(F.col("row_index") % 3 == 0, "").otherwise(F.col("inci_list"))})
-    return kb.kb_rows(rows_, audit="REVIEW").select("sku_key", "kb_text")
+    return kb.kb_rows(rows_, audit="FAIL").select("sku_key", "kb_text")
 
 
 _slots = """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[-_''][A-Za-z0-9]+)*|[\\x{4e00}-\\x{9fff}]+')) AS token FROM documents),
