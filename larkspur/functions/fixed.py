@@ -200,3 +200,19 @@ MARKET_WORDS = {"US": ["usa", "united states", "us"], "EU-DE": ["germany", "deut
 
 #: The markets: id, country, currency, locale.
 MARKETS = [("US", "US", "USD", "en-US"), ("EU-DE", "DE", "EUR", "de-DE"), ("SG", "SG", "SGD", "en-SG"), ("JP", "JP", "JPY", "ja-JP")]
+
+#: Words that speak for a product page or a link to one.
+SHOP_WORDS = "(?i)add to cart|buy now|quick shop|learn more|shop now|details"
+STOCK_WORDS = "(?i)in stock|out of stock|shade|size"
+BUY_WORDS = "(?i)add to cart|buy now|quick shop|notify me"
+PRODUCT_TYPE = r'(?i)"@type"\s*:\s*(?:"product"|\[[^\]]*"product")'
+PRODUCT_META = "(?i)meta[^>]+property=[\"']og:type[\"'][^>]+content=[\"']product[\"']"
+
+#: What pages of bot defences say, in lower case.
+CLOUDFLARE_SIGNS = "just a moment|performing security verification|attention required|verify you are human|ray id|challenge-platform|please enable javascript and cookies"
+CLOUDFLARE_WORDS = "cloudflare|challenge|captcha|security verification|verify you are human"
+AKAMAI_SIGNS = "_abck|bm_sz|ak_bmsc"
+AKAMAI_WORDS = "access denied|reference #|bot manager|akamai"
+PERIMETERX_SIGNS = "_px|perimeterx|press & hold|human verification|px-captcha"
+PERIMETERX_WORDS = "press & hold|human verification|captcha"
+BLOCK_WORDS = "captcha|bot|challenge|security verification"

@@ -90,12 +90,12 @@ def _count(t: Column, char: str) -> Column:
 
 
 def is_script_or_json(c: Column) -> Column:
-    """T6."""
+    """T6. The numbers are fixed values."""
     return let(strip(text(c)), lambda t: ((F.length(t) >= 120) & t.rlike(r"^[{\[]")) | t.rlike(fixed.CODE_SIGNS) | ((_count(t, "{") >= 3) & (_count(t, "}") >= 3) & (_count(t, ":") >= 4) & (_count(t, '"') >= 4)))
 
 
 def ingredient_score(c: Column) -> Column:
-    """T7, rounded to six places."""
+    """T7, rounded to six places. The weights and bounds are fixed values."""
 
     def score(t: Column) -> Column:
         hits = sum((F.contains(F.lower(t), F.lit(w)).cast("int") for w in fixed.COMMON_TOKENS), F.lit(0))

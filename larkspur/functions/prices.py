@@ -41,12 +41,13 @@ def currency_code(c: Column) -> Column:
 
 
 def market_currency(market: Column) -> Column:
+    """The currency of each market."""
     m = F.upper(text(market))
     return F.when(m == "US", "USD").when(m == "EU-DE", "EUR").when(m == "SG", "SGD").when(m == "JP", "JPY")
 
 
 def symbol_currency(price: Column, market: Column) -> Column:
-    """O3."""
+    """O3. The currency of each symbol."""
     p = text(price)
     return F.when(p.rlike("€"), "EUR").when(p.rlike("£"), "GBP").when(p.rlike("[$]"), market_currency(market)).when(p.rlike("[¥￥]") & (F.upper(text(market)) == "JP"), "JPY")
 

@@ -168,7 +168,7 @@ def context_score(url: Column, base: Column, said: Column) -> Column:
     """U2 and what the link's text and surroundings say; null stands for minus infinity."""
     t = F.lower(text(said))
     add = lambda pattern, n: F.when(t.rlike(pattern), n).otherwise(0)
-    return product_url_score(url, base) + add(fixed.PRICE_SIGN, 3) + add("(?i)add to cart|buy now|quick shop|learn more|shop now|details", 2) + add("(?i)in stock|out of stock|shade|size", 1)
+    return product_url_score(url, base) + add(fixed.PRICE_SIGN, 3) + add(fixed.SHOP_WORDS, 2) + add(fixed.STOCK_WORDS, 1)
 
 
 def looks_like_product_page(html: Column) -> Column:
@@ -176,7 +176,7 @@ def looks_like_product_page(html: Column) -> Column:
 
     def score(h: Column) -> Column:
         add = lambda pattern, n: F.when(h.rlike(pattern), n).otherwise(0)
-        return add(r'(?i)"@type"\s*:\s*(?:"product"|\[[^\]]*"product")', 4) + add(fixed.PRICE_SIGN, 2) + add("(?i)add to cart|buy now|quick shop|notify me", 2) + add("(?i)meta[^>]+property=[\"']og:type[\"'][^>]+content=[\"']product[\"']", 2)
+        return add(fixed.PRODUCT_TYPE, 4) + add(fixed.PRICE_SIGN, 2) + add(fixed.BUY_WORDS, 2) + add(fixed.PRODUCT_META, 2)
 
     return let(F.lower(text(html)), score) >= 4
 
@@ -186,12 +186,10 @@ def block_provider(status: Column, headers: Column, title: Column, body: Column)
     joined = F.concat_ws("\n", F.lower(text(title)), F.lower(text(body)))
     blocked = F.coalesce(status.isin(401, 403, 429, 503), F.lit(False))
     server = F.lower(text(headers["server"]))
-    cf = r"just a moment|performing security verification|attention required|verify you are human|ray id|challenge-platform|please enable javascript and cookies"
-    px = r"_px|perimeterx|press & hold|human verification|px-captcha"
     held = lambda p: joined.rlike(p)
     return (
-        F.when((text(headers["cf-mitigated"]) != "") | held(cf) | (blocked & (text(headers["cf-ray"]) != "") & held("cloudflare|challenge|captcha|security verification|verify you are human")), "cloudflare")
-        .when(held("_abck|bm_sz|ak_bmsc") | (blocked & F.contains(server, F.lit("akamai")) & held("access denied|reference #|bot manager|akamai")), "akamai")
-        .when(held(px) & (blocked | held("press & hold|human verification|captcha")), "perimeterx")
-        .when(F.coalesce(status.isin(401, 403, 429), F.lit(False)) & held("captcha|bot|challenge|security verification"), "unknown")
+        F.when((text(headers["cf-mitigated"]) != "") | held(fixed.CLOUDFLARE_SIGNS) | (blocked & (text(headers["cf-ray"]) != "") & held(fixed.CLOUDFLARE_WORDS)), "cloudflare")
+        .when(held(fixed.AKAMAI_SIGNS) | (blocked & F.contains(server, F.lit("akamai")) & held(fixed.AKAMAI_WORDS)), "akamai")
+        .when(held(fixed.PERIMETERX_SIGNS) & (blocked | held(fixed.PERIMETERX_WORDS)), "perimeterx")
+        .when(F.coalesce(status.isin(401, 403, 429), F.lit(False)) & held(fixed.BLOCK_WORDS), "unknown")
     )
