@@ -46,7 +46,7 @@ def duplicate_conflicts(rows: DataFrame, asking: DataFrame | None = None) -> Dat
     The other row is of the same import, or approved elsewhere; not if both are official, of the same page, and only
     this one names a variant. First are rows of the own import, then by row_index and row_id. Rows are compared per
     distinct (sku_key, list): each list's first row of each import, and its first approved row of each page and kind,
-    stand for it, so a hot sku_key doesn't pair all its rows. If that approved row is of the asking row's own import,
+    stand for it, and rows that agree in all that decides ask once, so a hot sku_key doesn't pair all its rows. If that approved row is of the asking row's own import,
     the import has a conflict itself, and that comes first.
     """
     key = F.coalesce(F.nullif(strip(text(F.col("sku_key"))), F.lit("")), F.nullif(strip(text(F.col("candidate_id"))), F.lit(""))) if "candidate_id" in rows.columns else F.nullif(strip(text(F.col("sku_key"))), F.lit(""))
@@ -54,7 +54,7 @@ def duplicate_conflicts(rows: DataFrame, asking: DataFrame | None = None) -> Dat
     page = F.concat(urls.host(url), F.lower(F.regexp_replace(urls.path(url), "/+$", "")))
     light = lambda df: df.select(
         "row_id", "import_id", "row_index", "inci_list", "review_status", key.alias("sku"), inci_key(F.col("inci_list")).alias("inci"), (F.upper(strip(text(F.col("review_status")))) == "APPROVED").alias("approved"),
-        (F.lower(strip(text(F.col("source_type")))) == "official").alias("official"), F.when(url != "", page).alias("page"), F.concat(F.lit("&"), urls.query(url)).rlike("&variant=[^&]").alias("variant"),
+        (F.lower(strip(text(F.col("source_type")))) == "official").alias("official"), F.when(url != "", page).otherwise("").alias("page"), F.concat(F.lit("&"), urls.query(url)).rlike("&variant=[^&]").alias("variant"),
     ).filter("sku is not null and inci <> ''")
     base = light(rows)
     first = Window.partitionBy("sku", "inci", "import_id").orderBy("row_index", "row_id")
@@ -64,10 +64,13 @@ def duplicate_conflicts(rows: DataFrame, asking: DataFrame | None = None) -> Dat
     others = own.withColumn("near", F.lit(True)).unionByName(elsewhere.withColumn("near", F.lit(False)))
     other = others.select(*[F.col(c).alias(f"o_{c}") for c in ("row_id", "import_id", "row_index", "inci_list", "review_status", "sku", "inci", "official", "page", "variant", "near")])
     same = F.col("import_id") == F.col("o_import_id")
-    upgrade = F.col("official") & F.col("o_official") & (F.col("page") == F.col("o_page")) & F.col("variant") & ~F.col("o_variant")
+    upgrade = F.col("official") & F.col("o_official") & (F.col("page") != "") & (F.col("page") == F.col("o_page")) & F.col("variant") & ~F.col("o_variant")
     meets = (F.col("sku") == F.col("o_sku")) & (F.col("inci") != F.col("o_inci")) & ((F.col("o_near") & same) | (~F.col("o_near") & ~same & ~F.coalesce(upgrade, F.lit(False))))
     pick = F.min(F.struct((~same).alias("far"), F.col("o_row_index").alias("row_index"), F.col("o_row_id").alias("row_id"), F.col("o_import_id").alias("import_id"), F.col("o_review_status").alias("review_status"), F.col("o_inci_list").alias("inci_list")))
-    return (base if asking is None else light(asking)).join(other, meets).groupBy("row_id").agg(pick.alias("conflict"))
+    asked = base if asking is None else light(asking)
+    kind = ["sku", "inci", "import_id", "official", "page", "variant"]
+    found = asked.select(*kind).distinct().join(other, meets).groupBy(*kind).agg(pick.alias("conflict"))
+    return asked.select("row_id", *kind).join(found, kind).select("row_id", "conflict")
 
 
 ACTIONS = {
