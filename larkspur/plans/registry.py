@@ -56,6 +56,13 @@ def ingredient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select("row_id", "cleaned_text", "parse_status", "inci_list", "parse_confidence", F.size("inci").cast("long").alias("n_items"), F.size("unrecognized").cast("long").alias("n_unrecognized"), noise.alias("n_notes"))
 
 
+@registered("ingredient_items", PARSE + "SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i)::INT AS place, name AS standard_name, tok AS original_text, uncertain, uncertain AND cjk AS needs_review FROM named JOIN (SELECT row_id FROM parse WHERE parse_status <> 'NEEDS_SOURCE') USING (row_id)")
+def ingredient_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ingredient of every list, in order."""
+    items = parsed(spark, sf_dir).select("row_id", F.explode("inci").alias("i"))
+    return items.select("row_id", F.col("i.order").alias("place"), "i.standard_name", "i.original_text", "i.uncertain", "i.needs_review")
+
+
 @registered("ingredient_parse_all")
 def ingredient_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select("row_id", "cleaned_text", "parse_status", "inci_list", "inci", "unrecognized", "notes", "parse_confidence", "needs_review")
