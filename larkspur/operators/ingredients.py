@@ -132,7 +132,7 @@ def parsed(rows: DataFrame, raw: str = "raw_ingredient_text") -> DataFrame:
 
 
 def unrecognized_report(rows: DataFrame) -> DataFrame:
-    """Per unrecognized token, the rows that have it and how often it occurs."""
+    """Per unrecognized token, the rows that have it and how often it occurs. rows: parsed and stored, for the filters that an explosion brings would parse again."""
     unknown = F.transform(F.filter("inci", lambda i: i["uncertain"]), lambda i: i["original_text"])
     per_row = rows.select(F.explode(let(unknown, lambda u: F.transform(F.array_distinct(u), lambda t: F.struct(t.alias("token"), F.size(F.filter(u, lambda x: x == t)).alias("k"))))).alias("t"))
     return per_row.groupBy("t.token").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("t.k").alias("n_occurrences"))

@@ -59,7 +59,7 @@ def ingredient_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("ingredient_items", PARSE + "SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY i)::INT AS place, name AS standard_name, tok AS original_text, uncertain, uncertain AND cjk AS needs_review FROM named JOIN (SELECT row_id FROM parse WHERE parse_status <> 'NEEDS_SOURCE') USING (row_id)")
 def ingredient_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ingredient of every list, in order."""
-    items = parsed(spark, sf_dir).select("row_id", F.explode("inci").alias("i"))
+    items = stored(parsed(spark, sf_dir).select("row_id", "inci"), "parsed-items").select("row_id", F.explode("inci").alias("i"))
     return items.select("row_id", F.col("i.order").alias("place"), "i.standard_name", "i.original_text", "i.uncertain", "i.needs_review")
 
 
@@ -70,7 +70,7 @@ def ingredient_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("unrecognized_report", PARSE + "SELECT tok AS token, count(DISTINCT row_id) AS n_rows, count(*) AS n_occurrences FROM named JOIN (SELECT row_id FROM parse WHERE parse_status <> 'NEEDS_SOURCE') USING (row_id) WHERE uncertain GROUP BY tok")
 def unrecognized_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingredients.unrecognized_report(parsed(spark, sf_dir))
+    return ingredients.unrecognized_report(stored(parsed(spark, sf_dir).select("row_id", "inci"), "parsed-items"))
 
 
 _page = f"{duck.host('url')} || lower(regexp_replace({duck.path('url')}, '/+$', ''))"
