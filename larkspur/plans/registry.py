@@ -11,7 +11,7 @@ from larkspur.plans import duck
 from larkspur.plans.base import QUERIES, SQL, registered
 from larkspur.plans.duck import q, strip, sub, text
 from larkspur.plans.views import CANDIDATES, OFFERS, TASK_ROWS, VARIANTS, load, view
-from larkspur.scratch import stored
+from larkspur.scratch import spread, stored
 
 C = f"WITH cand AS ({CANDIDATES})"
 _PARSE_KEEP = "row_id, import_id, row_index, brand, product_name, market, sku_key, raw_ingredient_text, source_ref, source_type, review_status, status"
@@ -46,7 +46,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingredients.parsed(candidates(spark, sf_dir))
+    return ingredients.parsed(spread(candidates(spark, sf_dir)))
 
 
 @registered("ingredient_parse", PARSE + "SELECT row_id, cleaned AS cleaned_text, parse_status, inci_list, parse_confidence, n_items, n_unrecognized, len(CASE WHEN parse_status = 'NEEDS_SOURCE' THEN [] ELSE notes END) AS n_notes FROM parse")
@@ -141,7 +141,7 @@ def duplicate_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1, T3, I2."""
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select("doc_id", ingredient_text.clean_block(t).alias("block"), ingredient_text.strip_label(t).alias("stripped"), ingredient_text.lookup_key(t).alias("key"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", ingredient_text.clean_block(t).alias("block"), ingredient_text.strip_label(t).alias("stripped"), ingredient_text.lookup_key(t).alias("key"))
 
 
 _t = strip(text("text"))

@@ -41,3 +41,9 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         elif isinstance(f.dataType, T.ArrayType):
             total = total + F.coalesce(F.greatest(F.size(c), F.lit(0)) * 16, F.lit(0))
     return F.broadcast(df) if (df.agg(F.sum(total).alias("b")).first()["b"] or 0) <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for costly expressions on a table that is read in fewer parts than there are cores; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
