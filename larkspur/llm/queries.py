@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, pii, quality, suffix_dedup, warc
+from larkspur.llm import chat, decontaminate, langid, licenses, mixing, near_dup, negatives, packing, pii, quality, suffix_dedup, warc, whitening
 from larkspur.llm._shared import shared_dir, table
 
 
@@ -56,5 +56,21 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapsed(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op3_kneser_ney_langid, op4_simhash_leaks, op5_pivotal_mix, op6_suffix_array_dedup, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash)}
-SQL = {"op8_chat_snapshots": chat.SQL}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = parts.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"))
+    return packing.packed(digests)
+
+
+def op12_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.prepared(table(spark, sf_dir, "embeddings"))
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_warc_archive, op3_kneser_ney_langid, op4_simhash_leaks, op5_pivotal_mix, op6_suffix_array_dedup, op7_license_scan, op8_chat_snapshots, op9_suffix_repetition, op10_bag_minhash, op11_best_fit_packing, op12_polarised_whitening, op13_gnat_negatives)}
+SQL = {"op8_chat_snapshots": chat.SQL, "op13_gnat_negatives": negatives.SQL}
