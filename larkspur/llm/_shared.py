@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -81,12 +82,26 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how:
     return met.filter("__hot").select(*cold.columns).unionByName(cold)
 
 
+def whole_row(df: DataFrame, columns: list[str]) -> Column:
+    """A text that orders rows by all that these columns hold (entries of maps in order of their keys), so ties are settled alike in each run."""
+
+    def of(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return (F.sort_array(F.map_entries(c)) if isinstance(df.schema[name].dataType, T.MapType) else c).alias(name)
+
+    return F.to_json(F.struct(*map(of, columns))) if columns else F.lit("")
+
+
 # ---------------------------------------------------------------- numpy, inside tasks
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The first 0 to 8 bytes of a little-endian long.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span up to which numpy works on all spans at once.
+LONG_SPAN = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,7 +139,7 @@ def chunks(bounds: np.ndarray, limit: int = CHUNK_BYTES):
 
 
 class Words:
-    """Words of some texts, with 64-bit hashes. doc: the text of each word; first: where each text's words begin."""
+    """Words of some texts. doc: the text of each word; first: where each text's words begin."""
 
     def __init__(self, buf: np.ndarray, bounds: np.ndarray):
         self.buf, self.bounds, n = buf, bounds, len(buf)
@@ -138,19 +153,57 @@ class Words:
         after[bounds[1:][bounds[:-1] < bounds[1:]] - 1] = False
         self.start = np.flatnonzero(self.text & ~before)
         self.end = np.flatnonzero(self.text & ~after) + 1
-        power = np.full(n + 1, _ODD)
-        power[:1] = 1
-        self._sum = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[:n], out=self._sum[1:])
-        power[1:] = _INVERSE
-        self._shift = np.cumprod(power)
+        self._held = np.concatenate((buf, np.zeros(8, np.uint8)))
+        self._eight = np.ndarray(n + 1, "<u8", self._held, strides=(1,))  # the eight bytes from each place
         self.first = np.searchsorted(self.start, bounds)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(bounds) - 1), self.count)
 
+    def _part(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        """The k-th eight bytes of each span, those after its end as zeros."""
+        return self._eight[start + 8 * k] & _MASK[np.minimum(size - 8 * k, 8)]
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
-        return mix((self._sum[end] - self._sum[start]) * self._shift[start] + (end - start).astype(np.uint64))
+        """A 64-bit hash of the bytes of each span, the same in every task: eight bytes at a time are mixed in; BLAKE2b for spans of over LONG_SPAN bytes."""
+        size = end - start
+        out = mix(size.astype(np.uint64) + _ODD)
+        left = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        k = 0
+        while len(left):
+            out[left] = mix((out[left] ^ self._part(start[left], size[left], k)) + _ODD)
+            k += 1
+            left = left[size[left] > 8 * k]
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
+
+    def numbers(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number below the count of spans for each: equal if and only if the bytes are. Spans of one hash are held against each other byte by byte."""
+        n = len(start)
+        if n == 0:
+            return np.zeros(0, np.int64)
+        hashed = self.hashes(start, end)
+        order = np.argsort(hashed, kind="stable")
+        new = np.append(True, hashed[order[1:]] != hashed[order[:-1]])
+        x, y = order[1:][~new[1:]], order[:-1][~new[1:]]
+        if not self._alike(start[x], end[x], start[y], end[y]):  # two texts of one hash: all of them are told apart by their bytes
+            seen: dict[bytes, int] = {}
+            return np.array([seen.setdefault(self.buf[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        out = np.empty(n, np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
+
+    def _alike(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> bool:
+        size = a_end - a
+        if not np.array_equal(size, b_end - b):
+            return False
+        left, k = np.flatnonzero(size <= LONG_SPAN), 0
+        while len(left):
+            if not np.array_equal(self._part(a[left], size[left], k), self._part(b[left], size[left], k)):
+                return False
+            k += 1
+            left = left[size[left] > 8 * k]
+        return all(np.array_equal(self.buf[a[i] : a_end[i]], self.buf[b[i] : b_end[i]]) for i in np.flatnonzero(size > LONG_SPAN).tolist())
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of `size` successive words and the text of each; a text of fewer words, but one at least, has one shingle of all."""

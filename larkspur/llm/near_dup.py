@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import WORD, Words, chunks, hot_join, mix, small, stored, uniform, utf8
+from larkspur.llm._shared import WORD, Words, chunks, hot_join, mix, small, stored, uniform, utf8, whole_row
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -68,6 +68,10 @@ def bag_min_hash(shingle: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
     return sig
 
 
+def _text_key(text: Column) -> Column:
+    return F.md5(F.when(text.rlike(WORD), text).otherwise(""))
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(id, text) -> id, text_key (MD5 of the text, or of nothing if it has no words), weight (shingles) and bands (hashes; none for a text without words)."""
 
@@ -88,7 +92,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(weight), lists], ["id", "text_key", "weight", "bands"])
 
-    keyed = docs.select("id", "text", F.md5(F.when(F.col("text").rlike(WORD), F.col("text")).otherwise("")).alias("text_key"))
+    keyed = docs.select("id", "text", _text_key(F.col("text")).alias("text_key"))
     return keyed.mapInArrow(run, "id long, text_key string, weight long, bands array<long>")
 
 
@@ -223,7 +227,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     these pairs few: what two texts share is at most the weight of either's shingles that any other such text has, and
     must be similarity / (1 + similarity) of both weights, so only texts whose weights are that near meet at all; and longer signatures that differ in over most_differ
     components are as unlikely for a link as to share no band (a chance of 0.00004 at exactly the similarity; most_differ
-    = 504 gives this short cut up). Links come from exact bags alone.
+    = 504 gives this short cut up). Links come from whole bags alone, whose shingles are 64-bit hashes: two texts of n
+    shingles each share one by chance with a probability of n * n / 2^64.
 
     Texts of fewer than `size` words are one shingle; null texts and texts without words are equal to each other, and
     near to nothing else. Repeated ids count as one document; a null id is classed by its text alone (null if no equal
@@ -241,7 +246,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     label = components(edges)
     placed = _undecided(band, label)
     ids = stored(placed.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    texts = docs.join(small(ids), "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.join(small(ids), "id", "left_semi").withColumn("text_key", _text_key(F.col("text")))
+    texts = texts.groupBy("id").agg(F.min_by("text", "text_key").alias("text"))  # one text of an id that is repeated, the same in each run
     lone = stored(lone_weight(texts, size), "near-lone")
     placed = placed.join(small(lone), placed["rep"] == lone["id"], "left").withColumn("common", F.col("weight") - F.coalesce("lone", F.lit(0))).drop("id")
     placed = stored(placed, "near-open")
@@ -272,13 +278,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of its class; of rows of one id one stays (the smallest text), and of rows without an id one for each text.
 
-    Other columns stay as they are. Null texts and texts without words are one class. An empty table gives none.
+    Of rows that agree in id and text that of the smallest other values stays, so reruns agree in all columns. Other columns stay as they are. Null texts and texts without words are one class. An empty table gives none.
     """
     gone = stored(near_duplicates(docs, id, text, **options).filter(F.col(id).isNotNull() & (F.col(id) != F.col("class_id"))).select(id).distinct(), "near-gone")
     twice = small(stored(docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(id), "near-twice"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.filter(F.col(id).isNotNull()).join(small(gone), id, "left_anti")
     once = kept.join(twice, id, "left_anti").select(*columns)
-    repeated = kept.join(twice, id, "left_semi").select(id, F.coalesce(F.col(text), F.lit("")).alias("__text"), F.struct(*columns).alias("__row")).groupBy(id).agg(F.min_by("__row", "__text").alias("__row")).select("__row.*")
-    bare = docs.filter(F.col(id).isNull()).dropDuplicates([text]).select(*columns)
+    whole = F.struct(*columns)
+    # which of equal rows stays is settled by all that they hold
+    ordered = F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), whole_row(docs, [c for c in docs.columns if c != text]).alias("r"))
+    repeated = kept.join(twice, id, "left_semi").groupBy(id).agg(F.min_by(whole, ordered).alias("__row")).select("__row.*")
+    bare = docs.filter(F.col(id).isNull()).groupBy(F.col(f"`{text}`").alias("__text")).agg(F.min_by(whole, ordered).alias("__row")).select("__row.*")
     return once.unionByName(repeated).unionByName(bare)

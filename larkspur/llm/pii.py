@@ -27,9 +27,11 @@ KINDS = {
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![A-Za-z0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Country calling codes, none of which begins another; those not listed have three digits.
+CALLING_CODES = r"^(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98|[0-9]{3})"
 #: 1900-01-01 to 2099-12-31 are 73049 = 17 * 4297 days.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
-#: Times a date is permuted again at most, to find a day after the 12th; three of five are.
+#: Times a date is permuted again at most, to find one on the same side of the 12th; two of five days are up to it.
 _WALK = 64
 
 
@@ -140,11 +142,11 @@ def _joined(sep: Column, *parts: Column) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Day numbers are permuted; all ways of writing a date share them, but one. A day that its month lacks is left.
+    """Day numbers are permuted, the same for all ways of writing a date. A day that its month lacks is left.
 
-    With slashes or hyphens and the year last, the month comes first if the first number can be one. If it can't, the
-    day does, and the pseudonym is a day after the 12th again (the permutation is repeated until it is), so that it
-    reads the same way.
+    With slashes or hyphens and the year last, the month comes first if the first number can be one; if it can't, the
+    day does. For the pseudonym to read the same way, days up to the 12th become such days and later days later ones:
+    the permutation is repeated until the day is on its side.
     """
     part = F.split(m, r"[./\-]").cast("array<int>")
     sep = F.regexp_extract(m, r"[./\-]", 0)
@@ -152,31 +154,34 @@ def _date(m: Column, key: str) -> Column:
 
     def of(p: Column) -> Column:
         day_first = ~year_first & (dotted | (p[0] > 12))
-        late = ~year_first & ~dotted & (p[0] > 12)
         y, mo = F.when(year_first, p[0]).otherwise(p[2]), F.when(year_first | day_first, p[1]).otherwise(p[0])
         d = F.when(year_first, p[2]).when(day_first, p[0]).otherwise(p[1])
         month = F.when(mo <= 12, F.make_date(y, F.least(mo, F.lit(12)), F.lit(1)))
         n = F.datediff(F.date_add(month, d - 1), F.lit(_FIRST_DAY).cast("date"))
         value = F.array(F.floor(n / _DAYS[1]).cast("int"), n % _DAYS[1])
         day = lambda v: F.date_add(F.lit(_FIRST_DAY).cast("date"), v[0] * _DAYS[1] + v[1])
-        once = lambda v, tag: feistel(v, F.array(*[F.lit(x) for x in _DAYS]), key, tag)
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once(value, "late"), lambda v, _: F.when(F.dayofmonth(day(v)) > 12, v).otherwise(once(v, "late")))
+        once = lambda v: feistel(v, F.array(*[F.lit(x) for x in _DAYS]), key, "date")
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), once(value), lambda v, _: F.when((F.dayofmonth(day(v)) > 12) == (d > 12), v).otherwise(once(v)))
 
         def write(t: Column) -> Column:
             two, four = lambda x: F.lpad(x.cast("string"), 2, "0"), F.year(t).cast("string")
             return F.when(year_first, _joined(sep, four, two(F.month(t)), two(F.dayofmonth(t)))).when(day_first, _joined(sep, two(F.dayofmonth(t)), two(F.month(t)), four)).otherwise(_joined(sep, two(F.month(t)), two(F.dayofmonth(t)), four))
 
-        return F.when(d <= F.dayofmonth(F.last_day(month)), let(day(F.when(late, walked).otherwise(once(value, "date"))), write)).otherwise(m)
+        return F.when(d <= F.dayofmonth(F.last_day(month)), let(day(walked), write)).otherwise(m)
 
     return let(part, of)
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.greatest(F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ (.\-])", 0)), F.when(m.startswith("+"), 3).otherwise(0))
-    code = F.when(m.rlike(r"^\+[0-9]{1,3}[ (.\-]"), F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ (.\-])", 0))).otherwise(code)
-    digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
-    return F.when(digits.between(8, 15), permuted(m, _from(m, code), key, "phone")).otherwise(m)
+    """The digits after the country code are permuted, however they are set apart, so all spellings of a number agree; one without a code counts as those digits alone."""
+    bare = F.regexp_replace(m, "[^0-9]", "")
+
+    def of(digits: Column) -> Column:
+        code = F.when(m.startswith("+"), F.length(F.regexp_extract(digits, CALLING_CODES, 0))).otherwise(0)
+        movable = lambda c: F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9]", "")) > c)
+        return F.when(F.length(digits).between(8, 15), let(code, lambda c: permuted(m, movable(c), key, "phone"))).otherwise(m)
+
+    return let(bare, of)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -204,7 +209,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     E-mail addresses, IBANs (of their country's length, check digits right), card numbers (Luhn digit right), US social security numbers (in the
     issued ranges), IPv4 addresses, telephone numbers (8 to 15 digits) and dates of 1900 to 2099 (days that exist, in time stamps too)
     each become one of the same format that is valid again: check digits are made anew, separators, case, country codes
-    and top-level domains stay. Equal values get equal pseudonyms in all documents, different ones of a format different ones.
+    and top-level domains stay. Equal values get equal pseudonyms in all documents, whatever separators, order of day and
+    month or letter case they are written with (a telephone number with or without its country code, too), and
+    different ones of a format different ones. Dates up to the 12th of a month stay so, and later ones late.
     Numbers that don't validate are left alone. Null stays null (n_replaced 0), texts without personal data stay as
     they are; an n_replaced column of the input is replaced. Rows are changed in place, without a shuffle.
     """
@@ -221,4 +228,5 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     plain = F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))
     new = F.when(t.rlike("[0-9@]"), let(F.regexp_extract_all(t, F.lit(PATTERN), 0), lambda found: F.when(F.size(found) > 0, rewritten(found)).otherwise(plain))).otherwise(plain)
-    return docs.select(*[f"`{c}`" for c in docs.columns if c not in ("n_replaced", "__new")], new.alias("__new")).withColumns({text: F.col("__new.text"), "n_replaced": F.col("__new.n")}).drop("__new")
+    held = next(f"__new{k}" for k in range(len(docs.columns) + 1) if f"__new{k}" not in docs.columns)  # a name that the input lacks
+    return docs.select(*[f"`{c}`" for c in docs.columns if c != "n_replaced"], new.alias(held)).withColumns({text: F.col(f"{held}.text"), "n_replaced": F.col(f"{held}.n")}).drop(held)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import Words, chunks, mix, utf8
+from larkspur.llm._shared import Words, chunks, utf8
 
 #: Repeats of fewer words don't count against a text.
 MIN_REPEAT = 10
@@ -111,11 +111,11 @@ def measure(buf: np.ndarray, bounds: np.ndarray, min_repeat: int = MIN_REPEAT) -
     doc = np.searchsorted(bounds, start, "right") - 1
     out["n_dup_lines"] = np.bincount(doc, minlength=n)
     if len(start):
-        _, kept = np.unique(mix(w.hashes(start, end) ^ mix(doc.astype(np.uint64))), return_index=True)
+        _, kept = np.unique(w.numbers(start, end) * n + doc, return_index=True)
         out["n_dup_lines"] = out["n_dup_lines"] - np.bincount(doc[kept], minlength=n)
     words = len(w.start)
     last = w.first[1:][w.doc] if words else np.zeros(0, np.int64)
-    longest = longest_repeats(mix(w.hashes(w.start, w.end) + mix(w.doc.astype(np.uint64))), last)
+    longest = longest_repeats(w.numbers(w.start, w.end) * n + w.doc, last)
     three = np.flatnonzero(longest >= 3)
     out["n_repeat_words"] = per(covered(three, np.full(len(three), 3), words), w.doc)
     long = np.flatnonzero(longest >= min_repeat)
@@ -131,7 +131,7 @@ def repetition(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words (words in repeats of min_repeat
     words and more), longest_repeat (in words), base_failed (under 50 words, or over half of them in repeated windows
     of three words) and kept (not base_failed, at most max_covered of the words in repeats, no repeat of over
-    max_longest words). Null and empty texts have no words and so fail; every row gives one row, equal rows equal ones.
+    max_longest words). Words and lines are equal if their bytes are. Null and empty texts have no words and so fail; every row gives one row, equal rows equal ones.
     Columns of these names in the input are replaced. Each text is measured by itself: nothing is shuffled.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat"]

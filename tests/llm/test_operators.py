@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, langid, mixing, near_dup, pii, quality, queries, suffix_dedup, warc
+from larkspur.llm import _shared, chat, decontaminate, langid, mixing, near_dup, pii, quality, queries, suffix_dedup, warc
 from larkspur.llm._shared import mix, utf8
 from tests.conftest import SF
 from tests.test_oracle import compare, duck  # noqa: F401
@@ -62,6 +62,32 @@ def test_quality_figures(docs, odd, none):
     assert quality.repetition(odd).count() == 9 and quality.repetition(none).count() == 0
 
 
+def thue_morse(n):
+    """Words on which polynomial hashes modulo a power of two collide: one and its complement."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_and_lines_are_held_against_each_other(spark, monkeypatch):
+    texts = []
+    for n in (512, 1024, 2048, 4096):
+        a, b = thue_morse(n)
+        texts += [f"{a}\n{b}\nx y z", f"{a} q r {b} q r s {a} q r", f"{a}\n{a}\n{b}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality.repetition(df).collect()}
+    assert [got[k] for k in range(len(texts))] == [(0, 0), (0, 6), (1, 0)] * 4
+    a, b = thue_morse(1024)
+    assert {r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()} == {1, 2}
+    # even where all hashes are equal
+    buf, bounds = utf8(pa.array(["one two one " + a + " " + b + " " + a, "two"]))
+    w = _shared.Words(buf, bounds)
+    monkeypatch.setattr(_shared.Words, "hashes", lambda self, start, end: np.zeros(len(start), np.uint64))
+    n = w.numbers(w.start, w.end)
+    assert n.tolist() == [0, 1, 0, 2, 3, 2, 1]
+
+
 def test_longest_repeats():
     rng = np.random.default_rng(3)
     for _ in range(20):
