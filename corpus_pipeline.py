@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, mixing, near_dup, pii, quality
-from larkspur.llm._shared import small, stored, table
+from larkspur.llm._shared import small, stored, table, whole_row
 
 #: The setting that holds the secret of the pseudonyms.
 KEY_SETTING = "spark.larkspur.pii.key"
@@ -70,13 +70,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, copies and taken (words); those of which it takes nothing go.
 
     Null and empty texts have no words and go. A null source is a source of its own. Repeated rows are taken each, by
-    copies of their own. Columns of the added names are replaced.
+    copies of their own; of rows that differ in other columns alone the first in their order get more, so reruns agree. Columns of the added names are replaced.
     """
     plan = mixing.mixed(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), *_ADDED)
     plan = stored(plan, "pipeline-plan")
     rows = docs.select(*[f"`{c}`" for c in docs.columns if c not in _ADDED], F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__text"))
     twice = stored(plan.groupBy("__id", "__key", "__source").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("__id").alias("i"), F.col("__key").alias("k"), F.col("__source").alias("s")), "pipeline-twice")
-    plan, rows = _numbered(plan, ["__id", "__key", "__source"], twice, F.col("copies").desc(), "__n"), _numbered(rows, ["doc_id", "__text", "source"], twice, F.lit(1), "__m")
+    held = whole_row(rows, [c for c in rows.columns if c not in ("doc_id", "text", "source", "__text")])  # rows that differ in other columns alone get their copies in that order
+    plan, rows = _numbered(plan, ["__id", "__key", "__source"], twice, F.col("copies").desc(), "__n"), _numbered(rows, ["doc_id", "__text", "source"], twice, held, "__m")
     same = rows["doc_id"].eqNullSafe(plan["__id"]) & (rows["__text"] == plan["__key"]) & rows["source"].eqNullSafe(plan["__source"]) & (rows["__m"] == plan["__n"])
     return rows.join(plan.filter("taken > 0"), same).drop("__id", "__key", "__source", "__text", "__n", "__m")
 
