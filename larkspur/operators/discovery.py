@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed, urls
 from larkspur.functions.core import collapse, let, strip, text
+from larkspur.scratch import scratch_path, stored
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>|<option\b[^>]*?\bvalue\s*=\s*["']([^"']*)["'][^>]*>(.*?)</option>"""
+_NUMERIC = "&#(?:[xX][0-9a-fA-F]+|[0-9]+);"
 #: Named entities.
 ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def decoded(c: Column) -> Column:
-    """Named entities, and the numeric ones of what URLs are written with, as characters."""
-    for char in "\"'-./:=?":
-        c = F.replace(F.replace(c, F.lit(f"&#{ord(char)};"), F.lit(char)), F.lit(f"&#x{ord(char):x};"), F.lit(char))
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
+    """Numeric entities (decimal or hexadecimal, any code point) and named ones as characters; numbers beyond Unicode stay."""
+
+    def char(e: Column) -> Column:
+        digits = F.regexp_extract(e, r"[0-9a-fA-F]+", 0)
+        hexadecimal = e.rlike("^&#[xX]")
+        point = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 7, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
+        valid = (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(e)
+
+    def all_of(x: Column) -> Column:
+        made = F.transform(F.regexp_extract_all(x, F.lit(_NUMERIC), 0), char)
+        return F.array_join(F.zip_with(F.split(x, _NUMERIC, -1), made, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+    c = F.when(F.contains(c, F.lit("&#")), let(c, all_of)).otherwise(c)
+    for name, by in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(by))
     return c
 
 
@@ -61,25 +74,58 @@ def is_xml(body: Column, content_type: Column) -> Column:
     return F.contains(F.lower(text(content_type)), F.lit("xml")) | text(body).rlike(r"(?is)^\s*<\?xml|<(?:urlset|sitemapindex)\b")
 
 
-def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int | None = None, limit: int | None = None, levels: int = 5) -> DataFrame:
-    """Per site (site, robots) the product-like locs of its sitemaps among fetched (url, body), breadth first.
+#: Where a site's sitemaps stand if its robots file names none.
+DEFAULT_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml")
 
-    Level by level the sitemaps of a site are read, at most `documents` if given: those of robots, then two defaults, then what
-    indexes list, each once; of their locs the first `limit`, if given. Indexes are followed `levels` deep. Levels are few, so the loop is over joins, not over rows.
+
+def sitemap_walk(sites: DataFrame, fetched: DataFrame, documents: int | None = None) -> DataFrame:
+    """Site, url, way and level of each document that a breadth-first walk over a site's sitemaps asks for.
+
+    sites: site, robots; fetched: url, body. A walk begins with the sitemaps of the robots file and the default ones and
+    follows indexes until no new document turns up, however deep; cycles end, as each document is asked for once a
+    site. `way` holds the position in each index on the way (the earliest way counts), so (level, way) is the order of
+    the walk. Documents that weren't fetched or aren't XML are asked for like others. With `documents` a site's walk
+    ends after so many, in that order. A null site or robots file counts as having no sitemaps of its own.
+
+    Each level is stored once and joined with the links of indexes, which are read from the bodies once; the level
+    after it holds only documents that no level has yet. The loop ends with the first empty level.
     """
-    default = F.array(F.concat("site", F.lit("/sitemap.xml")), F.concat("site", F.lit("/sitemap_index.xml")))
-    front = sites.select("site", F.posexplode(F.array_distinct(F.concat(robots_sitemaps(F.col("robots")), default))).alias("at", "url")).withColumn("level", F.lit(0))
-    seen = front
-    for level in range(1, levels):
-        bodies = front.join(fetched, "url")
-        new = bodies.filter(is_sitemap_index(F.col("body"))).select("site", F.posexplode(sitemap_locs(F.col("body"))).alias("at", "url")).groupBy("site", "url").agg(F.min("at").alias("at"))
-        front = new.join(seen.select("site", "url"), ["site", "url"], "left_anti").withColumn("level", F.lit(level)).select("site", "at", "url", "level")
-        seen = seen.unionByName(front)
-    order = Window.partitionBy("site").orderBy("level", "at", "url")
-    read = seen.join(fetched, "url").withColumn("k", F.row_number().over(order)).filter(F.lit(True) if documents is None else F.col("k") <= documents)
-    locs = read.filter(~is_sitemap_index(F.col("body"))).select("site", "k", F.posexplode(sitemap_locs(F.col("body"))).alias("at", "loc"))
-    good = locs.filter(urls.is_product_url(F.col("loc"), F.col("site"))).groupBy("site", "loc").agg(F.min(F.struct("k", "at")).alias("first"))
-    return good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("first", "loc"))).filter(F.lit(True) if limit is None else F.col("rank") <= limit).select("site", "loc", "rank")
+    spark = sites.sparkSession
+    body = F.col("body")
+    indexes = fetched.filter(is_xml(body, F.lit("")) & is_sitemap_index(body))
+    links_of = stored(indexes.select(F.col("url").alias("from"), F.posexplode(sitemap_locs(body)).alias("at", "url")).filter("url <> ''").distinct(), "sitemap-links")
+    default = F.array(*[F.concat("site", F.lit(p)) for p in DEFAULT_SITEMAPS])
+    start = sites.filter("site is not null").groupBy("site").agg(F.max("robots").alias("robots"))
+    front = start.select("site", F.posexplode(F.array_distinct(F.concat(robots_sitemaps(F.col("robots")), default))).alias("at", "url"))
+    front = front.select("site", "url", F.array("at").alias("way"))
+    root, level = scratch_path(spark, "sitemap-walk"), 0
+    shape = "site string, url string, way array<int>"
+    while True:
+        if documents is not None:
+            place = F.row_number().over(Window.partitionBy("site").orderBy("way"))
+            front = front.withColumn("k", place).filter(F.col("k") <= documents)
+            if level:
+                spent = spark.read.schema(f"{shape}, level int").parquet(root).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+                front = front.join(spent, "site").filter(F.col("k") + F.col("n") <= documents)
+        held = Observation()
+        front.select("site", "url", "way").observe(held, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/level={level}")
+        walked = spark.read.schema(f"{shape}, level int").parquet(root)
+        if held.get["n"] == 0:
+            return walked
+        now = spark.read.schema(shape).parquet(f"{root}/level={level}")
+        found = now.withColumnRenamed("url", "from").join(links_of, "from").select("site", "url", F.concat("way", F.array("at")).alias("way"))
+        front = found.groupBy("site", "url").agg(F.min("way").alias("way")).join(walked.select("site", "url"), ["site", "url"], "left_anti")
+        level += 1
+
+
+def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int | None = None, limit: int | None = None) -> DataFrame:
+    """Site, loc and rank of the product-like http locs of each site's sitemaps, in the order of sitemap_walk; with `limit` the first so many a site."""
+    body = F.col("body")
+    pages = fetched.filter(is_xml(body, F.lit("")) & ~is_sitemap_index(body)).select("url", F.posexplode(sitemap_locs(body)).alias("at", "loc"))
+    locs = sitemap_walk(sites, fetched, documents).join(pages, "url")
+    good = locs.filter(urls.is_http(F.col("loc")) & urls.is_product_url(F.col("loc"), F.col("site"))).groupBy("site", "loc").agg(F.min(F.struct("level", "way", "at")).alias("first"))
+    ranked = good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("first", "loc")))
+    return ranked.filter(F.lit(True) if limit is None else F.col("rank") <= limit).select("site", "loc", "rank")
 
 
 #: What a page says that asks for the visitor's country.
@@ -126,7 +172,7 @@ def page_events(pages: DataFrame) -> DataFrame:
 def sitemap_events(sites: DataFrame, fetched: DataFrame) -> DataFrame:
     """What a crawl's sitemaps say of each site: whether they list products, and whether none could be read as XML."""
     found = sitemap_products(sites, fetched).select("site").distinct().withColumn("product", F.lit(True))
-    default = F.array(F.concat("site", F.lit("/sitemap.xml")), F.concat("site", F.lit("/sitemap_index.xml")))
+    default = F.array(*[F.concat("site", F.lit(p)) for p in DEFAULT_SITEMAPS])
     asked = sites.select("site", F.explode(F.concat(robots_sitemaps(F.col("robots")), default)).alias("url")).join(fetched, "url")
     alive = asked.filter(is_xml(F.col("body"), F.lit(""))).select("site").distinct().withColumn("alive", F.lit(True))
     out = sites.join(found, "site", "left").join(alive, "site", "left")

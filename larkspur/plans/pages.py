@@ -68,12 +68,6 @@ UNION ALL SELECT site || '/sitemap.xml', '<urlset><url><loc>' || site || '/produ
 UNION ALL SELECT site || '/sitemap.xml', 'not found' FROM ({_ROBOTS}) WHERE k % 3 = 2"""
 
 
-@registered("sitemap_products", f"SELECT site, site || '/products/' || unnest(CASE WHEN k % 3 = 0 THEN ['one', 'deep', 'a&b'] ELSE ['one', 'deep'] END) AS loc, unnest(CASE WHEN k % 3 = 0 THEN [1, 2, 3] ELSE [1, 2] END)::INT AS rank FROM ({_ROBOTS}) WHERE k % 3 < 2")
-def sitemap_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sitemaps of robots files and the default ones, through an index that also lists a missing file."""
-    return discovery.sitemap_products(view(spark, sf_dir, _ROBOTS), view(spark, sf_dir, _FETCHED))
-
-
 @registered("sitemap_files", f"SELECT url, contains(body, '<sitemapindex') AS is_index, NOT contains(body, 'not found') AS is_xml, CASE WHEN contains(body, 'not found') THEN 0 WHEN contains(body, '<sitemapindex') THEN 2 ELSE 3 END::INT - (CASE WHEN ends_with(url, '/x') THEN 1 ELSE 0 END)::INT AS n_locs FROM ({_FETCHED})")
 def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S8."""

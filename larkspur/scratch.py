@@ -43,6 +43,39 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(total).alias("b")).first()["b"] or 0) <= limit else df
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, None if it isn't there; by the file system that the path names."""
+    there, fs = _file(spark, path)
+    if not fs.exists(there):
+        return None
+    stream = fs.open(there)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside the path and puts it there in one step: readers see the old text or the new one."""
+    there, fs = _file(spark, path)
+    beside, _ = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(over, 1)
+    options[0] = over.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(there).toUri(), spark._jsc.hadoopConfiguration()).rename(beside, there, options)
+
+
+def _file(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, for costly expressions on a table that is read in fewer parts than there are cores; larger tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,29 +1,138 @@
-"""Streaming forms: newly landed candidates, and task progress."""
+"""Streaming forms: newly landed candidates merged into a stored snapshot, and task progress with retractions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators import audit, rows
 from larkspur.operators.ingredients import parsed
+from larkspur.scratch import read_text, replace_text, stored
 
+#: Parts of a snapshot above which a merge also folds them into one.
+PARTS = 16
 
-def stream_candidates(landed: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of landed rows is parsed and audited (without the duplicate rule, which needs all rows) and handed to upsert(batch, id)."""
+
+def landed_files(spark: SparkSession, schema: str, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of Parquet files as they land."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(path)
+
+
+# ---------------------------------------------------------------- X1
+
+
+def _manifest(spark: SparkSession, root: str) -> dict:
+    said = read_text(spark, f"{root}/manifest.json")
+    return json.loads(said) if said else {"batch": -1, "parts": []}
+
+
+def candidates_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The candidates that merges up to the last swap of the manifest have stored: of each row_id the row of its last batch. None before the first."""
+    return _latest(spark, _manifest(spark, root)["parts"])
+
+
+def _latest(spark: SparkSession, parts: list[dict]) -> DataFrame | None:
+    if not parts:
+        return None
+    if len(parts) == 1:
+        return spark.read.parquet(parts[0]["path"])
+    both = None
+    for k, part in enumerate(parts):
+        df = spark.read.parquet(part["path"]).withColumn("__part", F.lit(k))
+        both = df if both is None else both.unionByName(df, allowMissingColumns=True)
+    last = both.groupBy("row_id").agg(F.max("__part").alias("__part"))  # narrow: only ids are shuffled for it
+    return both.join(last, ["row_id", "__part"]).drop("__part")
+
+
+def merge_candidates(spark: SparkSession, root: str, batch: DataFrame, batch_id: int, parts: int = PARTS) -> bool:
+    """Merges a batch of candidates into the snapshot under root, once: a batch that the snapshot has is left out (False).
+
+    Of rows of one row_id in the batch the last by updated_at counts (then by all values); rows without a row_id are left
+    out. The batch is written as a part of its own and then named by a new manifest, which replaces the old one in one
+    step. So a merge that is killed before leaves the old snapshot, and its part is never read; a merge costs as much as
+    its batch. Above `parts` parts they are folded into one.
+    """
+    held = _manifest(spark, root)
+    if batch_id <= held["batch"]:
+        return False
+    path = f"{root}/part-{batch_id}-{uuid.uuid4().hex}"
+    keep = [F.col(f"`{c}`") for c in batch.columns]
+    newest = F.struct(F.col("updated_at") if "updated_at" in batch.columns else F.lit(None).cast("timestamp"), F.to_json(F.struct(*keep)))
+    batch.filter("row_id is not null").groupBy("row_id").agg(F.max_by(F.struct(*keep), newest).alias("row")).select("row.*").write.parquet(path)
+    now = [*held["parts"], {"batch": batch_id, "path": path}]
+    if len(now) > parts:
+        whole = f"{root}/whole-{batch_id}-{uuid.uuid4().hex}"
+        _latest(spark, now).write.parquet(whole)
+        now = [{"batch": batch_id, "path": whole}]
+    replace_text(spark, f"{root}/manifest.json", json.dumps({"batch": batch_id, "parts": now}))
+    return True
+
+
+def stream_candidates(landed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of landed rows is parsed, audited (without the duplicate rule, which needs all rows) and merged into the snapshot under root.
+
+    Replayed batches change nothing (see merge_candidates), so the snapshot holds each row as its last batch left it.
+    """
+    spark = landed.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        upsert(audit.audited(parsed(rows.aligned(batch)), with_duplicates=False), batch_id)
+        done = stored(parsed(rows.aligned(batch)), "stream-parsed")
+        merge_candidates(spark, root, audit.audited(done, with_duplicates=False), batch_id)
 
     return landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_task_progress(task_rows: DataFrame) -> DataFrame:
-    """H9 kept up to date; write it in complete or update mode."""
-    return rows.task_progress(task_rows)
+# ---------------------------------------------------------------- X2
+
+CHANGES = "task_id string, status string, delta int"
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """The changes in the count of each task's rows by status: (task_id, status, delta), as a stream in append mode.
+
+    events: task_id, row_id, status, said_at (timestamp), seq (long). State is kept a row: its last status and the
+    place (time, seq) of that. A row's first status adds one; a later one with another status takes one from the old count and
+    adds one to the new. Events before the place of the state are late: they change nothing, as the row's last status
+    is known already; repeated ones likewise. Nulls: events without task_id or row_id are left out, a null status
+    counts as QUEUED, a null time as the earliest.
+    """
+    clean = events.filter("task_id is not null and row_id is not null").select(
+        F.col("task_id").cast("string").alias("task_id"), F.col("row_id").cast("string").alias("row_id"), F.coalesce("status", F.lit("QUEUED")).alias("status"),
+        F.coalesce(F.unix_micros("said_at"), F.lit(0)).alias("at"), F.coalesce("seq", F.lit(0)).cast("long").alias("seq"),
+    )
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else None
+        new = old
+        for pdf in batches:
+            at, seq, status = max(zip(pdf["at"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), strict=True))
+            if new is None or (at, seq) > (new[1], new[2]):
+                new = (status, at, seq)
+        if new != old:
+            state.update(new)
+        was, now = old and old[0], new and new[0]
+        if was != now:
+            yield pd.DataFrame([(key[0], s, d) for s, d in ((was, -1), (now, 1)) if s is not None], columns=["task_id", "status", "delta"])
+
+    return clean.groupBy("task_id", "row_id").applyInPandasWithState(step, CHANGES, "status string, at long, seq long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_task_progress(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes status_changes of landed events to path, each change once."""
+    return status_changes(events).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def landed_files(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def progress_of_changes(changes: DataFrame) -> DataFrame:
+    """H9 from the changes so far: per task the rows by last status, how many are done, and whether it is completed."""
+    done = ["OK", "PENDING", "NEEDS_SOURCE", "SKIPPED", "ERROR"]
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("delta"))), F.lit(0)).cast("long")
+    per = changes.groupBy("task_id").agg(F.sum("delta").cast("long").alias("total"), *[count(F.col("status") == s).alias(s.lower()) for s in done], count(F.col("status").isin(done)).alias("done"))
+    return per.withColumn("task_status", F.when(F.col("done") == F.col("total"), "COMPLETED").otherwise("RUNNING"))
