@@ -5,14 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.core import first_nonblank, let, strip, text
-from larkspur.scratch import BROADCAST_BYTES, stored
+from larkspur.operators import cells
+from larkspur.scratch import stored
 
 
 def kb_tokens(c: Column) -> Column:
@@ -97,20 +96,6 @@ def _unit(v: Column) -> Column:
     return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda p: p.cast("double") / n)))
 
 
-def _blocks(queries: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """queries in as many parts as it takes for each to be of a size to be broadcast, hinted so."""
-    width = queries.select(F.coalesce(F.sum(16 * F.size("query_embedding") + 64), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-width // limit))
-    return [F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)) for k in range(n)]
-
-
-def _nearest(pairs: DataFrame, id: str, limit: int) -> DataFrame:
-    """The first rows per query by the cosine distance of unit vectors u and q."""
-    dot = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), id)
-    return pairs.withColumn("distance", F.round(1 - dot, 9)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", id, "rank", "distance")
-
-
 def _chosen(base: DataFrame, market: str | None, parse_status: str | None) -> DataFrame:
     for column, value in (("market", market), ("parse_status", parse_status)):
         base = base if value is None else base.filter(F.col(column) == value)
@@ -120,56 +105,24 @@ def _chosen(base: DataFrame, market: str | None, parse_status: str | None) -> Da
 def search(base: DataFrame, queries: DataFrame, id: str, limit: int = 10, embedding: str = "embedding", market: str | None = None, parse_status: str | None = "OK") -> DataFrame:
     """K6: per query (query_id, query_embedding: a stated set) the nearest rows by cosine distance, rank 1 to limit; of a market, if given, and of a parse status (OK; None for all).
 
-    Queries are held against all rows in blocks that are small enough to be broadcast, one pass over the rows a block;
-    each task keeps its first `limit` rows a query before anything is shuffled.
+    Zero vectors have no distance and come last. Exact: see cells.nearest.
     """
     rows = _chosen(base, market, parse_status).select(id, _unit(F.col(embedding)).alias("u"))
-    out = None
-    for block in _blocks(queries):
-        pairs = rows.crossJoin(block.select("query_id", _unit(F.col("query_embedding")).alias("q")))
-        found = _nearest(pairs, id, limit)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return cells.nearest(rows, queries.select("query_id", _unit(F.col("query_embedding")).alias("q")), id, limit)
 
 
-def cells(base: DataFrame, id: str, k: int = 16, embedding: str = "embedding", seed: int = 1, sample_rows: int = 20_000) -> tuple[DataFrame, list]:
-    """K7: every vector with its cell; the cells' centres are fitted on a sample of at most sample_rows or so, every row is assigned."""
-    data = base.withColumn("features", array_to_vector(_unit(F.col(embedding)))).filter("features is not null")
-    total = max(1, base.count())
-    fitted = KMeans(k=k, seed=seed, maxIter=10).fit(data.sample(min(1.0, sample_rows / total), seed=seed) if total > sample_rows else data)
-    return fitted.transform(data).select(id, embedding, F.col("prediction").alias("cell")), [c.tolist() for c in fitted.clusterCenters()]
+def search_cells(base: DataFrame, queries: DataFrame, id: str, limit: int = 10, k: int | None = None, probes: int | None = None, embedding: str = "embedding", recall_target: float = 0.95, sample_queries: int = 200) -> DataFrame:
+    """K7: K6 over an index of cells: query_id, id, rank, distance, and recall for the sampled queries (null for others).
 
-
-def search_cells(base: DataFrame, queries: DataFrame, id: str, limit: int = 10, k: int = 16, probes: int | None = None, embedding: str = "embedding", recall_target: float = 0.97, sample_queries: int = 200) -> DataFrame:
-    """K7: K6 within the `probes` cells whose centres are nearest to the query.
-
-    Without probes, as many are taken as reach the recall target for up to sample_queries of the queries, which are
-    searched exactly to find that out; probes = k is the exact search.
+    The index is written once (cells.build). Up to sample_queries of the queries, by hash, are also searched exactly:
+    what they need for the recall target sets the probes and the candidates of all; the others are searched over cells
+    alone. Of equally near rows any may be found.
     """
-    assigned, centers = cells(base, id, k, embedding)
-    assigned = stored(assigned, "cells")
-    near = F.array_sort(F.array(*[F.struct(cosine_distance(F.col("query_embedding"), F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centers)]))
-    ordered = stored(queries.withColumn("cells", F.transform(near, lambda x: x["cell"])), "cell-queries")
-    if probes is None:
-        some = ordered.orderBy(F.xxhash64("query_id")).limit(sample_queries)
-        true = search(base, some.select("query_id", "query_embedding"), id, limit, embedding, parse_status=None)
-        place = true.join(assigned.select(id, "cell"), id).join(some.select("query_id", "cells"), "query_id").select(F.array_position("cells", F.col("cell")).alias("p"))
-        counts = {r["p"]: r["n"] for r in place.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows at most
-        held, probes = 0, k
-        for p in range(1, k + 1):
-            held += counts.get(p, 0)
-            if held >= recall_target * sum(counts.values()):
-                probes = p
-                break
-    out = None
-    for block in _blocks(ordered):
-        probed = block.select("query_id", _unit(F.col("query_embedding")).alias("q"), F.explode(F.slice("cells", 1, probes)).alias("cell"))
-        found = _nearest(assigned.select(id, "cell", _unit(F.col(embedding)).alias("u")).join(F.broadcast(probed), "cell"), id, limit)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def recall(found: DataFrame, true: DataFrame, id: str) -> DataFrame:
-    """query_id, recall: the share of a query's true neighbours that were found."""
-    hit = true.select("query_id", id).join(found.select("query_id", id, F.lit(1).alias("hit")), ["query_id", id], "left")
-    return hit.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+    rows = base.select(id, _unit(F.col(embedding)).alias("u"))
+    asked = stored(queries.select("query_id", _unit(F.col("query_embedding")).alias("q")), "cell-queries")
+    index = cells.build(rows, id, k)
+    if index is None:
+        return cells.nearest(rows.limit(0), asked, id, limit).withColumn("recall", F.lit(None).cast("double"))
+    some = stored(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(sample_queries), "cell-sample")
+    probes, depth, measured = cells.recalled(index, rows.filter("u is not null"), some, limit, recall_target, probes)
+    return cells.within(index, asked, limit, probes, depth).join(measured, "query_id", "left")
