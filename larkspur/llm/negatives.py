@@ -51,6 +51,23 @@ class Tree:
                     todo.append((to, here))
         return out
 
+    def open_to(self, way: list[tuple[int, int]], x: np.ndarray, low: np.ndarray, high: np.ndarray, far: dict[int, np.ndarray]) -> np.ndarray:
+        """Of which queries x a row below the way could score from low to high, by what the ranges allow. far: distances to the split points of nodes, kept from leaf to leaf."""
+        ok, square = np.ones(len(x), bool), (x * x).sum(axis=1)
+        for node in set(far) - {n for n, _ in way}:
+            del far[node]
+        for node, j in way:
+            if node not in far:
+                far[node] = distances(x, self.points[node])
+            q = far[node]
+            nearest = np.maximum(0.0, np.maximum(q - self.high[node][:, j], self.low[node][:, j] - q).max(axis=1)) * (1 - SLACK)
+            farthest = (q + self.high[node][:, j]).min(axis=1) * (1 + SLACK)
+            # 2 * score = |q|^2 + |x|^2 - distance^2: scores of rows whose distance is in the annulus and whose length is in its range
+            most = (square + self.most[node][j]) * (1 + SLACK) - nearest**2
+            least = (square + self.least[node][j]) * (1 - SLACK) - farthest**2
+            ok &= (most >= 2 * low - 1) & (least <= 2 * high + 1)
+        return ok
+
     def descend(self, x: np.ndarray, seen=None) -> np.ndarray:
         """The leaf of each row: at each node the side of the nearest split point (the first of equally near ones). seen(node, distances, side, rows) is told of each step."""
         leaf = np.zeros(len(x), np.int32)
@@ -190,7 +207,6 @@ class Index:
     def _pass(self, x, label, same, first, low, high, home) -> DataFrame:
         tree, d, keep = self.tree, self.d, self.keep
         paths = tree.paths()
-        square = (x * x).sum(axis=1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bound = low.astype(np.float64).copy()
@@ -201,20 +217,7 @@ class Index:
                 """The queries that the ranges on the way to the leaf don't rule out."""
                 if home is not None:
                     return np.flatnonzero(home == leaf)
-                ok = np.ones(len(x), bool)
-                for node in [n for n in far if n not in {n for n, _ in paths[leaf]}]:
-                    del far[node]
-                for node, j in paths[leaf]:
-                    if node not in far:
-                        far[node] = distances(x, tree.points[node])
-                    q = far[node]
-                    nearest = np.maximum(0.0, np.maximum(q - tree.high[node][:, j], tree.low[node][:, j] - q).max(axis=1)) * (1 - SLACK)
-                    farthest = (q + tree.high[node][:, j]).min(axis=1) * (1 + SLACK)
-                    # scores of rows whose distance is within the annulus and whose length is within its range
-                    up = (square + tree.most[node][j]) * (1 + SLACK) - nearest**2
-                    down = (square + tree.least[node][j]) * (1 - SLACK) - farthest**2
-                    ok &= (up >= 2 * bound - 1) & (down <= 2 * high + 1)
-                return np.flatnonzero(ok)
+                return np.flatnonzero(tree.open_to(paths[leaf], x, bound, high, far))
 
             for b in batches:
                 leaf_of = b.column(0).to_numpy()
