@@ -41,36 +41,51 @@ def signal_type(raw: Column, cleaned: Column, parse_status: Column, inci_list: C
 
 
 def duplicate_conflicts(rows: DataFrame, asking: DataFrame | None = None) -> DataFrame:
-    """row_id, conflict: per row (of asking, if given, else of all) the first other row of its sku_key with another ingredient list.
+    """row_id, conflict: per row (of asking, if given, else of all) the first other row of its sku_key with another ingredient list; only rows that have one.
 
     The other row is of the same import, or approved elsewhere; not if both are official, of the same page, and only
-    this one names a variant. First are rows of the own import, then by row_index and row_id. Rows are compared per
-    distinct (sku_key, list): each list's first row of each import, and its first approved row of each page and kind,
-    stand for it, and rows that agree in all that decides ask once, so a hot sku_key doesn't pair all its rows. If that approved row is of the asking row's own import,
-    the import has a conflict itself, and that comes first.
+    this one names a variant. First are rows of the own import, then by row_index and row_id.
+
+    Rows never meet each other. Within an import the first row answers all rows of other lists, and the first row of
+    another list than its own answers the rest. Where the import has no conflict, all its rows of the sku have one list,
+    so a row elsewhere with another list is of another import. Of those five rows per sku are enough, whichever list and
+    page is to be left out: the first (a), the first of another page than a (b) and of another list than b besides (c),
+    the first of another list than a (d) and of another page than d besides (e). These are minima, which tasks work out
+    before anything is shuffled, so a sku takes time in proportion to its rows, whatever lists they have.
     """
     key = F.coalesce(F.nullif(strip(text(F.col("sku_key"))), F.lit("")), F.nullif(strip(text(F.col("candidate_id"))), F.lit(""))) if "candidate_id" in rows.columns else F.nullif(strip(text(F.col("sku_key"))), F.lit(""))
     url = urls.normalize_url_like(F.col("source_ref"))
-    page = F.concat(urls.host(url), F.lower(F.regexp_replace(urls.path(url), "/+$", "")))
-    light = lambda df: df.select(
-        "row_id", "import_id", "row_index", "inci_list", "review_status", key.alias("sku"), inci_key(F.col("inci_list")).alias("inci"), (F.upper(strip(text(F.col("review_status")))) == "APPROVED").alias("approved"),
-        (F.lower(strip(text(F.col("source_type")))) == "official").alias("official"), F.when(url != "", page).otherwise("").alias("page"), F.concat(F.lit("&"), urls.query(url)).rlike("&variant=[^&]").alias("variant"),
-    ).filter("sku is not null and inci <> ''")
-    base = light(rows)
-    first = Window.partitionBy("sku", "inci", "import_id").orderBy("row_index", "row_id")
-    own = base.withColumn("k", F.row_number().over(first)).filter("k = 1")
-    kinds = Window.partitionBy("sku", "inci", "official", "page", "variant").orderBy("row_index", "row_id")
-    elsewhere = base.filter("approved").withColumn("k", F.row_number().over(kinds)).filter("k = 1")
-    others = own.withColumn("near", F.lit(True)).unionByName(elsewhere.withColumn("near", F.lit(False)))
-    other = others.select(*[F.col(c).alias(f"o_{c}") for c in ("row_id", "import_id", "row_index", "inci_list", "review_status", "sku", "inci", "official", "page", "variant", "near")])
-    same = F.col("import_id") == F.col("o_import_id")
-    upgrade = F.col("official") & F.col("o_official") & (F.col("page") != "") & (F.col("page") == F.col("o_page")) & F.col("variant") & ~F.col("o_variant")
-    meets = (F.col("sku") == F.col("o_sku")) & (F.col("inci") != F.col("o_inci")) & ((F.col("o_near") & same) | (~F.col("o_near") & ~same & ~F.coalesce(upgrade, F.lit(False))))
-    pick = F.min(F.struct((~same).alias("far"), F.col("o_row_index").alias("row_index"), F.col("o_row_id").alias("row_id"), F.col("o_import_id").alias("import_id"), F.col("o_review_status").alias("review_status"), F.col("o_inci_list").alias("inci_list")))
+    page = F.when(url != "", F.concat(urls.host(url), F.lower(F.regexp_replace(urls.path(url), "/+$", "")))).otherwise("")
+    official = F.lower(strip(text(F.col("source_type")))) == "official"
+    variant = F.coalesce(F.concat(F.lit("&"), urls.query(url)).rlike("&variant=[^&]"), F.lit(False))
+
+    def light(df: DataFrame) -> DataFrame:
+        """leaves: the page whose plain official rows this row doesn't conflict with; stands: the page as which it is left out itself (empty: never)."""
+        lean = df.select("row_id", "import_id", "row_index", "inci_list", "review_status", key.alias("sku"), inci_key(F.col("inci_list")).alias("inci"), page.alias("page"), official.alias("official"), variant.alias("variant")).filter("sku is not null and inci <> ''")
+        kind = F.when(F.col("official"), F.col("page")).otherwise("")
+        return lean.withColumns({"leaves": F.when(F.col("variant"), F.nullif(kind, F.lit(""))), "stands": F.when(~F.col("variant"), kind).otherwise("")}).drop("page", "official", "variant")
+
+    base = stored(light(rows), "lists") if asking is None else light(rows)
+    row = F.struct("row_index", "row_id", "import_id", "review_status", "inci_list", "inci", "stands")
+    of = lambda c, field: F.col(f"{c}.{field}")
+    first = base.groupBy("sku", "import_id").agg(F.min(row).alias("a"))
+    near = base.join(first, ["sku", "import_id"]).filter(F.col("inci") != of("a", "inci")).groupBy("sku", "import_id").agg(F.min("a").alias("a"), F.min(row).alias("d"))
+    approved = base.filter(F.upper(strip(text(F.col("review_status")))) == "APPROVED")
+    far = approved.groupBy("sku").agg(F.min(row).alias("a"))
+    other_page = lambda c: F.col("stands") != of(c, "stands")
+    other_list = lambda c: F.col("inci") != of(c, "inci")
+    far = approved.join(far, "sku").groupBy("sku").agg(F.min("a").alias("a"), F.min(F.when(other_page("a"), row)).alias("b"), F.min(F.when(other_list("a"), row)).alias("d"))
+    far = approved.join(far, "sku").groupBy("sku").agg(
+        *[F.min(c).alias(c) for c in "abd"], F.min(F.when(other_page("a") & other_list("b"), row)).alias("c"), F.min(F.when(other_list("a") & other_page("d"), row)).alias("e"),
+    )
     asked = base if asking is None else light(asking)
-    kind = ["sku", "inci", "import_id", "official", "page", "variant"]
-    found = asked.select(*kind).distinct().join(other, meets).groupBy(*kind).agg(pick.alias("conflict"))
-    return asked.select("row_id", *kind).join(found, kind).select("row_id", "conflict")
+    met = asked.select("row_id", "sku", "inci", "import_id", "leaves").join(near.withColumnRenamed("a", "na").withColumnRenamed("d", "nd"), ["sku", "import_id"], "left").join(far, "sku", "left")
+    fits = lambda y: y.isNotNull() & (y["inci"] != F.col("inci")) & (F.col("leaves").isNull() | (y["stands"] != F.col("leaves")))
+    elsewhere = F.try_element_at(F.filter(F.array_sort(F.array(*[F.col(c) for c in "abcde"])), fits), F.lit(1))
+    own = F.when(F.col("na.inci") != F.col("inci"), F.col("na")).otherwise(F.col("nd"))
+    said = lambda y, is_far: F.struct(F.lit(is_far).alias("far"), *[y[c].alias(c) for c in ("row_index", "row_id", "import_id", "review_status", "inci_list")])
+    conflict = F.when(F.col("na").isNotNull(), said(own, False)).otherwise(F.when(elsewhere.isNotNull(), said(elsewhere, True)))
+    return met.select("row_id", conflict.alias("conflict")).filter("conflict is not null")
 
 
 ACTIONS = {
@@ -81,8 +96,8 @@ ACTIONS = {
 }
 
 
-def findings(row_conflict: str | None = "conflict") -> Column:
-    """The array of findings of a row that has match (A3), signal (A4) and the parse columns."""
+def _rules(row_conflict: str | None) -> list[tuple[str, Column, Column, Column, bool]]:
+    """Name, severity, condition, evidence and whether it can be fixed, of each rule on a row that has match (A3), signal (A4) and the parse columns."""
     ref, kind = text(F.col("source_ref")), urls.effective_source_type(F.col("source_type"), F.col("source_ref"))
     hosts, status = urls.official_hosts(F.col("brand")), F.upper(strip(text(F.col("parse_status"))))
     source_host = urls.host(urls.normalize_url_like(F.col("source_ref")))
@@ -105,31 +120,47 @@ def findings(row_conflict: str | None = "conflict") -> Column:
     ]
     if row_conflict:
         rules.append(("duplicate_conflicting_candidate", F.lit("blocker"), F.col(row_conflict).isNotNull(), F.to_json(F.col(row_conflict)), False))
-    made = [F.when(cond, F.struct(F.lit(name).alias("anomaly_type"), severity.alias("severity"), evidence.alias("evidence"), F.lit(ACTIONS[name]).alias("recommended_action"), F.lit(fixable).alias("auto_fixable"))) for name, severity, cond, evidence, fixable in rules]
+    return rules
+
+
+def findings(row_conflict: str | None = "conflict") -> Column:
+    """The array of findings of a row."""
+    made = [F.when(cond, F.struct(F.lit(name).alias("anomaly_type"), severity.alias("severity"), evidence.alias("evidence"), F.lit(ACTIONS[name]).alias("recommended_action"), F.lit(fixable).alias("auto_fixable"))) for name, severity, cond, evidence, fixable in _rules(row_conflict)]
     return F.filter(F.array(*made), lambda f: f.isNotNull())
 
 
-def audited(rows: DataFrame, with_duplicates: bool = True, among: DataFrame | None = None) -> DataFrame:
-    """Rows with source_match_status, ingredient_signal_type, findings, audit_status, audit_score and ingest_allowed made anew; conflicts are looked for among all rows, or those given."""
-    made = ("match", "signal", "conflict", "findings", "audit_status", "audit_score", "ingest_allowed", "source_match_status", "ingredient_signal_type")
+def _counted(row_conflict: str | None, wanted: str) -> Column:
+    """How many rules of a severity a row breaks, without evidence."""
+    return sum((F.when(cond & (severity == wanted), 1).otherwise(0) for _, severity, cond, _, _ in _rules(row_conflict)), F.lit(0))
+
+
+def audited(rows: DataFrame, with_duplicates: bool = True, among: DataFrame | None = None, counts: bool = False) -> DataFrame:
+    """Rows with source_match_status, ingredient_signal_type, findings, audit_status, audit_score and ingest_allowed made anew; conflicts are looked for among all rows, or those given.
+
+    Status and score come from the rules' conditions, so evidence is only made where findings are read. counts: keep the
+    numbers of broken rules as blockers and reviews, too.
+    """
+    made = ("match", "signal", "conflict", "findings", "audit_status", "audit_score", "ingest_allowed", "source_match_status", "ingredient_signal_type", "blockers", "reviews")
     base = rows.drop(*made)
     base = base.withColumns({"match": source_match(F.col("brand"), F.col("product_name"), F.col("source_ref"), F.col("source_type")), "signal": signal_type(F.col("raw_ingredient_text"), F.col("cleaned_text"), F.col("parse_status"), F.col("inci_list"))})
     if with_duplicates:
         base = base.join(duplicate_conflicts(rows if among is None else among, rows), "row_id", "left")
-    base = base.withColumn("findings", findings("conflict" if with_duplicates else None))
-    count = lambda s: F.size(F.filter("findings", lambda f: f["severity"] == s))
-    score = F.greatest(F.lit(0.0), F.round(1 - count("blocker") * 0.35 - count("review") * 0.08, 6))
-    base = base.withColumns({"audit_status": F.when(count("blocker") > 0, "FAIL").when(count("review") > 0, "REVIEW").otherwise("PASS"), "audit_score": score})
+    clash = "conflict" if with_duplicates else None
+    base = base.withColumns({"blockers": _counted(clash, "blocker"), "reviews": _counted(clash, "review"), "findings": findings(clash)})
+    score = F.greatest(F.lit(0.0), F.round(1 - F.col("blockers") * 0.35 - F.col("reviews") * 0.08, 6))
+    base = base.withColumns({"audit_status": F.when(F.col("blockers") > 0, "FAIL").when(F.col("reviews") > 0, "REVIEW").otherwise("PASS"), "audit_score": score})
     allowed = (F.col("parse_status") == "OK") & (F.upper(text(F.col("review_status"))) == "APPROVED") & (F.col("audit_status") == "PASS")
-    return base.withColumns({"ingest_allowed": F.coalesce(allowed, F.lit(False)), "source_match_status": F.col("match.status"), "ingredient_signal_type": F.col("signal")}).drop("match", "signal", "conflict")
+    return base.withColumns({"ingest_allowed": F.coalesce(allowed, F.lit(False)), "source_match_status": F.col("match.status"), "ingredient_signal_type": F.col("signal")}).drop("match", "signal", "conflict", *([] if counts else ["blockers", "reviews"]))
 
 
 def audit_summary(rows: DataFrame, by: str = "import_id") -> DataFrame:
-    """A10: counts of audited rows."""
-    count = lambda s: F.sum(F.size(F.filter("findings", lambda f: f["severity"] == s))).cast("long")
+    """A10: counts of audited rows, by their blockers and reviews if they have them, else by their findings."""
+    counted = {"blockers", "reviews"} <= set(rows.columns)
+    count = lambda s: F.col(f"{s}s") if counted else F.size(F.filter("findings", lambda f: f["severity"] == s))
+    b, r = count("blocker"), count("review")
     return rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("scanned"), F.count_if(F.size("findings") > 0).alias("flagged_rows"), F.sum(F.size("findings")).cast("long").alias("findings_total"),
-        count("blocker").alias("blocker_count"), count("review").alias("review_count"), F.lit(0).cast("long").alias("info_count"), F.round(F.avg("audit_score"), 6).alias("avg_score"),
+        F.count(F.lit(1)).alias("scanned"), F.count_if(b + r > 0).alias("flagged_rows"), F.sum(b + r).cast("long").alias("findings_total"),
+        F.sum(b).cast("long").alias("blocker_count"), F.sum(r).cast("long").alias("review_count"), F.lit(0).cast("long").alias("info_count"), F.round(F.avg("audit_score"), 6).alias("avg_score"),
     )
 
 

@@ -55,15 +55,33 @@ def feed_variants(feed: DataFrame, base: str, currency: str = "USD") -> DataFram
     )
 
 
+def ordered_lists(rows: DataFrame, keys: list[str], values: Column, order: Column, name: str) -> DataFrame:
+    """keys, name: the distinct values of each key's arrays, in order of their first place (by `order`, then within the array). Equal values are folded before they are gathered, so a key's list is as long as its distinct values."""
+    places = rows.select(*keys, order.alias("__order"), F.posexplode(values).alias("__at", "__value"))
+    first = places.groupBy(*keys, "__value").agg(F.min(F.struct("__order", "__at")).alias("__first"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__first", "__value"))), lambda x: x["__value"]).alias(name))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's columns, where keys may be null."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, same, "left").drop(*[f"__{k}" for k in keys])
+
+
 def merged_by_title(variants: DataFrame) -> DataFrame:
-    """A row per title: the first product's URL, distinct variants by id, sku and URL, distinct skus and images in order."""
-    images = [F.col("image_urls")] if "image_urls" in variants.columns else [F.array().cast("array<string>").alias("image_urls")]
-    once = variants.select(*[c for c in variants.columns if c != "image_urls"], *images).withColumn("k", F.row_number().over(Window.partitionBy("product_title", "id", "sku", "product_url").orderBy("pos"))).filter("k = 1")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sku", "image_urls")))
-    return once.groupBy("product_title").agg(
-        F.min_by("product_url", F.struct("pos", "product_url")).alias("product_url"), F.count(F.lit(1)).alias("n_variants"), F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["sku"])), ",").alias("skus"),
-        F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: F.coalesce(x["image_urls"], F.array().cast("array<string>"))))), " ").alias("images"),
-    )
+    """A row per title: the first product's URL, distinct variants by id, sku and URL, distinct skus and images in order of the variants."""
+    images = F.col("image_urls") if "image_urls" in variants.columns else F.array().cast("array<string>")
+    key = ["product_title", "id", "sku", "product_url"]
+    once = variants.withColumn("image_urls", images).groupBy(*key).agg(F.min("pos").alias("pos"), F.min_by("image_urls", "pos").alias("image_urls"))
+    titles = once.groupBy("product_title").agg(F.min_by("product_url", F.struct("pos", "product_url")).alias("product_url"), F.count(F.lit(1)).alias("n_variants"))
+    skus = ordered_lists(once, ["product_title"], F.array("sku"), F.struct("pos", "sku"), "skus")
+    pictures = ordered_lists(once, ["product_title"], F.col("image_urls"), F.struct("pos", "sku"), "images")
+    both = _joined(_joined(titles, skus, ["product_title"]), pictures, ["product_title"])
+    said = lambda c, by: F.coalesce(F.array_join(c, by), F.lit("")).alias(c)
+    return both.select("product_title", "product_url", "n_variants", said("skus", ","), said("images", " "))
 
 
 def flattened(variants: DataFrame) -> DataFrame:
@@ -72,25 +90,25 @@ def flattened(variants: DataFrame) -> DataFrame:
 
 
 def product_rollup(products: DataFrame, variants: DataFrame) -> DataFrame:
-    """Per product URL of either side: counts, price bounds, currency of the first variant (USD if none), stocks, images (the product's, then its variants' in order), description and deep link; in order of title."""
+    """Per product URL of either side: counts, price bounds, currency of the first variant (USD if none), stocks, images (the product's, then its variants' in order), description and deep link."""
     price = F.col("price").try_cast("double")
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     extra = lambda df, **kinds: df.select("*", *[none(c, k) for c, k in kinds.items() if c not in df.columns])
     empty = F.array().cast("array<string>")
     variants = extra(variants, image_urls="array<string>", description="string", deep_link="string")
     products = extra(products, image_urls="array<string>", description="string", deep_link="string")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("image_urls", empty).alias("u"))))
     v = variants.groupBy("product_url").agg(
         F.count(F.lit(1)).alias("n_variants"), F.min(price).alias("v_min"), F.max(price).alias("v_max"), F.min_by("currency", "pos").alias("currency"), F.array_join(F.array_sort(F.collect_set("stock")), " | ").alias("stocks"),
-        F.min_by("product_title", "pos").alias("v_title"), F.flatten(F.transform(ordered, lambda x: x["u"])).alias("v_images"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("pos"))).alias("v_description"), F.min_by("deep_link", F.when(F.col("deep_link").isNotNull(), F.col("pos"))).alias("v_link"),
+        F.min_by("product_title", "pos").alias("v_title"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("pos"))).alias("v_description"), F.min_by("deep_link", F.when(F.col("deep_link").isNotNull(), F.col("pos"))).alias("v_link"),
     )
+    v = _joined(v, ordered_lists(variants, ["product_url"], F.col("image_urls"), F.col("pos"), "v_images"), ["product_url"])
     p = products.select("product_url", F.col("title").alias("p_title"), F.col("price").cast("double").alias("p_price"), F.col("image_urls").alias("p_images"), F.col("description").alias("p_description"), F.col("deep_link").alias("p_link"))
     both = p.join(v, "product_url", "full")
     return both.select(
         "product_url", F.coalesce("p_title", "v_title").alias("title"), F.coalesce("n_variants", F.lit(0)).alias("n_variants"), F.least("v_min", "p_price").alias("min_price"), F.greatest("v_max", "p_price").alias("max_price"),
         F.coalesce("currency", F.lit("USD")).alias("currency"), F.coalesce("stocks", F.lit("")).alias("stocks"), F.array_join(F.array_distinct(F.concat(F.coalesce("p_images", empty), F.coalesce("v_images", empty))), " | ").alias("images"),
         F.coalesce("p_description", "v_description", F.lit("")).alias("description"), F.coalesce("p_link", "v_link", F.lit("")).alias("deep_link"),
-    ).orderBy("title", "product_url")
+    )
 
 
 def pricing_stats(variants: DataFrame) -> DataFrame:
@@ -121,8 +139,17 @@ def merged_products(batches: list[DataFrame]) -> DataFrame:
         part = b.withColumn("batch", F.lit(k))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     plain = [c for c in rows.columns if c not in ("product_url", "title", "skus", "image_urls", "batch")]
-    union = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch", F.coalesce(c, F.array().cast("array<string>")).alias("u")))), lambda x: x["u"]))).alias(c)
-    return rows.groupBy("product_url", "title").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in plain], union("skus"), union("image_urls"))
+    keys = ["product_url", "title"]
+    last = F.count(F.lit(1)).alias("__n"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in plain]
+    out = rows.groupBy(*keys).agg(*last).drop("__n")
+    for c in ("skus", "image_urls"):
+        out = _joined(out, ordered_lists(rows, keys, F.col(c), F.col("batch"), c), keys).withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
+
+
+def merged_pricing(batches: list[DataFrame]) -> DataFrame:
+    """The pricing (C8) of the merged variants, which replaces that of the batches."""
+    return pricing_stats(merged_batches(batches).withColumn("pos", F.struct("batch", "pos")))
 
 
 #: Words of a title or path that tell nothing about its images.

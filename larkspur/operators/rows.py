@@ -133,9 +133,9 @@ def variants_export(variants: DataFrame) -> DataFrame:
 
 
 def products_export(rollup: DataFrame) -> DataFrame:
-    """C7 with prices of two decimals."""
+    """C7 with prices of two decimals, in order of title."""
     two = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c))).otherwise("").alias(c)
-    return rollup.select(*[two(c) if c in ("min_price", "max_price") else F.col(c) for c in rollup.columns])
+    return rollup.orderBy("title", "product_url").select(*[two(c) if c in ("min_price", "max_price") else F.col(c) for c in rollup.columns])
 
 
 def task_progress(task_rows: DataFrame) -> DataFrame:

@@ -102,9 +102,9 @@ audit AS (SELECT *, len(blocking) AS blockers, len(doubtful) AS reviews, CASE WH
 _audit_sql = PARSE + AUDIT
 
 
-def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audited(spark: SparkSession, sf_dir: str, counts: bool = False) -> DataFrame:
     """All candidates parsed (once: the audit reads the result several times) and audited, with every rule."""
-    return audit.audited(stored(parsed(spark, sf_dir), "parsed"))
+    return audit.audited(stored(parsed(spark, sf_dir), "parsed"), counts=counts)
 
 
 @registered("audit_rows", _audit_sql + "SELECT row_id, source_match_status, ingredient_signal_type, audit_status, audit_score, coalesce(parse_status = 'OK' AND review_status = 'APPROVED' AND audit_status = 'PASS', false) AS ingest_allowed, blockers + reviews AS n_findings, row_id IN (SELECT row_id FROM clash) AS in_conflict FROM audit")
@@ -117,7 +117,7 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("audit_summary", _audit_sql + "SELECT import_id, count(*) AS scanned, count_if(blockers + reviews > 0) AS flagged_rows, sum(blockers + reviews)::BIGINT AS findings_total, sum(blockers)::BIGINT AS blocker_count, sum(reviews)::BIGINT AS review_count, 0::BIGINT AS info_count, round(avg(audit_score), 6) AS avg_score FROM audit GROUP BY import_id")
 def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 (the flagship): what the audit finds, per import."""
-    return audit.audit_summary(audited(spark, sf_dir))
+    return audit.audit_summary(audited(spark, sf_dir, counts=True))
 
 
 _light = f"{C}, r AS (SELECT *, upper(brand) || ';' || cast(row_index % 5 AS string) AS inci_list, CAST(NULL AS string) AS candidate_id FROM cand WHERE row_index % 97 >= 0)"
@@ -295,6 +295,13 @@ def catalog_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.merged_batches([v.filter("pos % 3 = 0"), v.filter("pos % 3 = 1"), v]).select("id", "sku", F.col("batch").cast("long").alias("batch"), "pos")
 
 
+@registered("catalog_merged_pricing", V + ", b AS (SELECT *, CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END AS batch, CASE WHEN pos % 3 = 1 THEN price::DOUBLE / 2 ELSE price::DOUBLE END AS paid FROM f WHERE pos % 3 < 2 UNION ALL SELECT *, 2, price::DOUBLE FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY id, sku ORDER BY batch, pos) AS k FROM b) SELECT arg_min(currency, (batch, pos)) AS currency, min(paid) AS min_price, max(paid) AS max_price, round(avg(paid), 2) AS avg_price FROM k WHERE k = 1")
+def catalog_merged_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pricing of three batches' variants after they are merged; the second batch has half the prices."""
+    v = catalog.flattened(view(spark, sf_dir, VARIANTS)).withColumn("price", F.col("price").cast("double"))
+    return catalog.merged_pricing([v.filter("pos % 3 = 0"), v.filter("pos % 3 = 1").withColumn("price", F.col("price") / 2), v])
+
+
 _ti = "p_type || CASE WHEN p_size % 3 = 0 THEN ' - ' || p_brand WHEN p_size % 3 = 1 THEN ' | x: y' ELSE '' END"
 
 

@@ -113,6 +113,32 @@ def test_duplicate_conflicts(spark):
         assert got.get("0") == expected, name
 
 
+def test_duplicate_conflicts_are_those_of_all_pairs(spark):
+    """Random rows of few skus, lists, imports and pages, against every pair of rows."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        ref = rng.choice([None, "https://a.com/p", "https://a.com/P/?variant=1", "https://a.com/p?variant=2", "https://b.com/q", "https://b.com/q?variant=3"])
+        rows.append((f"r{k}", str(rng.randrange(150)), rng.randrange(200), rng.choice([f"s{k % 3}", "hot", "hot", None]), rng.choice(["A", "A; B", "a;b", "C", "D", ""]), ref, rng.choice(["Official", "Retailer", None]), rng.choice(["APPROVED", "UNREVIEWED", None])))
+    df = spark.createDataFrame(rows, "row_id string, import_id string, row_index int, sku_key string, inci_list string, source_ref string, source_type string, review_status string")
+    key = lambda said: ";".join(p for p in (x.strip().lower() for x in said.split(";")) if p)
+    page = lambda ref: ref and ref.split("?")[0].rstrip("/").lower().removeprefix("https://")
+    want = {}
+    for x in rows:
+        met = []
+        for y in rows:
+            if x[3] and x[3] == y[3] and key(x[4]) and key(y[4]) and key(x[4]) != key(y[4]):
+                upgrade = x[6] == y[6] == "Official" and page(x[5]) and page(x[5]) == page(y[5]) and "variant=" in x[5] and "variant=" not in y[5]
+                if x[1] == y[1] or (y[7] == "APPROVED" and not upgrade):
+                    met.append((x[1] != y[1], y[2], y[0]))
+        if met:
+            want[x[0]] = min(met)
+    got = {r["row_id"]: (r["conflict"]["far"], r["conflict"]["row_index"], r["conflict"]["row_id"]) for r in audit.duplicate_conflicts(df).collect()}
+    assert got == want and any(f for f, _, _ in want.values()) and not all(f for f, _, _ in want.values())
+
+
 def test_duplicate_conflicts_of_hot_keys(spark):
     rng = random.Random(4)
     given = []
