@@ -2,107 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.core import collapse, strip, text
 from larkspur.functions.ingredient_text import block_label_stripped, clean_block, has_inci_signal, ingredient_score, inline_sequence, is_script_or_json, meaningful
+from larkspur.operators.elements import blocks  # noqa: F401  (H1)
 from larkspur.operators.ingredients import INCI, parsed
 from larkspur.scratch import stored
 
-_SKIP, _VOID = {"script", "style", "noscript", "svg"}, {"br", "img", "input", "meta", "link", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
-_LABELS = {"h1", "h2", "h3", "h4", "h5", "h6", "strong", "b", "span", "p", "div"}
-_EN, _ZH = re.compile(r"\b(?:ingredients?|inci)\b", re.I), re.compile("全成分|成分|配料|配方")
-
-
-class _Tree(HTMLParser):
-    """A small tree of a page: nodes are [tag, attributes, parent, children], texts are strings."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = ["", {}, None, []]
-        self.json: list[str] = []
-        self.nodes: list[list] = []
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, {k: v or "" for k, v in attrs}, self.at, []]
-        self.at[3].append(node)
-        self.nodes.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node[2] is not None and node[0] != tag:
-            node = node[2]
-        if node[2] is not None:
-            self.at = node[2]
-
-    def handle_data(self, data):
-        self.at[3].append(data)
-
-
-def _said(node: list) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x[0] not in _SKIP:
-            stack.extend(reversed(x[3]))
-    return " ".join(" ".join(out).split())
-
-
-def page_blocks(html: str, market: str) -> list[tuple[str, str]]:
-    """(kind, text) of blocks that may hold ingredients, in order: pop-up paragraphs, ingredient-like elements, labels with what stands near them."""
-    tree, out = _Tree(html), []
-    word = _ZH if market.strip().upper() in {"CN", "CHN", "CHINA"} else _EN
-    named = lambda n, part: any(part in n[1].get(a, "").lower() for a in ("id", "class", "data-testid"))
-    inside = lambda n: [x for x in n[3] if not isinstance(x, str)]
-    for node in tree.nodes:
-        if "ingredients-popup" in node[1].get("class", ""):
-            stack, paragraphs = inside(node)[::-1], []
-            while stack:
-                x = stack.pop()
-                paragraphs += [x] if x[0] in ("p", "li") else []
-                stack.extend(inside(x)[::-1])
-            out += [("popup", _said(p)) for p in paragraphs or [node]]
-    out += [("named", _said(n)) for n in tree.nodes if named(n, "ingredient")]
-    for node in tree.nodes:
-        label = _said(node) if node[0] in _LABELS else ""
-        if not label or len(label) > 120 or not word.search(label):
-            continue
-        out.append(("label", label))
-        siblings = inside(node[2])
-        at = next(k for k, x in enumerate(siblings) if x is node)
-        out += [("near", _said(x)) for x in siblings[at + 1 : at + 5]]
-        up = node[2]
-        for _ in range(4):
-            if up is None:
-                break
-            out.append(("around", _said(up)))
-            up = up[2]
-    return [(kind, t) for kind, t in out if kind == "popup" and t or len(t) > 10]
-
-
-def blocks(pages: DataFrame, market: str = "market") -> DataFrame:
-    """H1, C14 in part: page_id, pos, kind, block, for pages (page_id, html, market). A page without html has none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [(i, k, kind, t) for i, h, m in zip(pdf["page_id"], pdf["html"], pdf["market"], strict=True) for k, (kind, t) in enumerate(page_blocks(h or "", m or ""))]
-            yield pd.DataFrame(found, columns=["page_id", "pos", "kind", "block"])
-
-    return pages.select("page_id", "html", F.col(market).alias("market")).mapInPandas(run, "page_id long, pos int, kind string, block string")
-
-
 def ranked_blocks(found: DataFrame) -> DataFrame:
     """H2: per page the best block: its inline sequence of ten characters or more, no script, score 0.3 or more; of equal ones the first, by score, length, place."""
     rows = found.withColumn("said", inline_sequence(F.col("block"))).filter((F.length("said") >= 10) & ~is_script_or_json(F.col("said")))
