@@ -328,7 +328,34 @@ def updated(rows: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def history(records: DataFrame, row_id: str | None = None, audit_run_id: str | None = None) -> DataFrame:
-    """Findings or corrections of a row or a run, in order of time."""
+    """Findings or corrections of a row or a run (of all, if neither is given), with nth, a row's count in order of time.
+
+    Records of one time are in order of their type (links are normalised before texts are parsed). Rows are counted in
+    windows of their own, so a whole history isn't sorted at once.
+    """
     out = records if row_id is None else records.filter(F.col("row_id") == row_id)
     out = out if audit_run_id is None else out.filter(F.col("audit_run_id") == audit_run_id)
-    return out.orderBy("created_at", "row_id")
+    kind = "correction_type" if "correction_type" in records.columns else "anomaly_type"
+    return out.withColumn("nth", F.row_number().over(Window.partitionBy("row_id").orderBy("created_at", kind)))
+
+
+def as_of(rows: DataFrame, corrections: DataFrame, at: Column) -> DataFrame:
+    """Rows as they were at a time: what their corrections tell (_PAYLOAD) is put back, other columns stay.
+
+    A row's state is what its last correction up to then left; if all are later, what the first of them found; without
+    any, the row itself. at: a timestamp, as a constant. Both are minima and maxima a row, so nothing is gathered.
+    """
+    place = F.struct("created_at", "correction_type")
+    upto = F.col("created_at") <= at
+    told = corrections.groupBy("row_id").agg(F.max_by("after", F.when(upto, place)).alias("left"), F.min_by("before", F.when(~upto, place)).alias("found"))
+    names = [c for c in _PAYLOAD if c in rows.columns and c != "row_id"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    state = told.select("row_id", F.from_json(F.coalesce("left", "found"), kinds).alias("__state"))
+    both = rows.join(state, "row_id", "left")
+    return both.withColumns({c: F.when(F.col("__state").isNotNull(), F.col(f"__state.`{c}`")).otherwise(F.col(f"`{c}`")) for c in names}).drop("__state")
+
+
+def as_of_run(rows: DataFrame, corrections: DataFrame, audit_run_id: str) -> DataFrame:
+    """Rows as a run's corrections left them."""
+    ended = corrections.filter(F.col("audit_run_id") == audit_run_id).agg(F.max("created_at").alias("at")).first()["at"]  # one value
+    return as_of(rows, corrections, F.lit(ended).cast("timestamp"))

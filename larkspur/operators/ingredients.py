@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import fixed
 from larkspur.functions.core import PUNCTUATION, collapse, let, lookup, strip, strip_of, text
 from larkspur.functions.ingredient_text import clean_with_notes, is_invalid_blob, lookup_key, meaningful, strip_label
+from larkspur.scratch import small, stored
 
 SEPARATORS = ",，、;；\n\r\t|•·●・"
 OPENERS, CLOSERS = "(（[【{", ")）]】}"
@@ -56,10 +57,14 @@ def _english(t: Column) -> Column:
     return F.when(t.rlike("[A-Z0-9]|[-/]"), upper_first(t)).otherwise(F.array_join(F.transform(F.split(t, r"\s+"), upper_first), " "))
 
 
-def mapped(tokens: Column) -> Column:
-    """Per token its name and how it was found; the dictionary is a constant of the plan, so nothing is shuffled."""
-    names = lookup([(k, v) for k, v in _dictionary()])
-    own_key = lookup([(v, k) for v, k in _standard_keys()])
+def mapped(tokens: Column, names: Column | None = None) -> Column:
+    """Per token its name and how it was found. The dictionary is a constant of the plan, so nothing is shuffled, or a map that the row holds (names: by lookup key)."""
+    if names is None:
+        names = lookup([(k, v) for k, v in _dictionary()])
+        keys = lookup([(v, k) for v, k in _standard_keys()])
+        own_key = lambda standard: keys[standard]
+    else:
+        own_key = lookup_key
 
     def one(token: Column) -> Column:
         def named(plain: Column) -> Column:
@@ -72,7 +77,7 @@ def mapped(tokens: Column) -> Column:
                     return F.struct(
                         F.when(standard.isNotNull(), standard).when(cjk, plain).otherwise(_english(plain)).alias("standard_name"), plain.alias("original_text"),
                         standard.isNull().alias("uncertain"), (standard.isNull() & cjk).alias("needs_review"),
-                        tag_note.alias("tag_note"), F.when(standard.isNotNull() & (own_key[standard] != key), F.concat(F.lit("Mapped '"), plain, F.lit("' -> '"), standard, F.lit("'"))).alias("map_note"),
+                        tag_note.alias("tag_note"), F.when(standard.isNotNull() & (own_key(standard) != key), F.concat(F.lit("Mapped '"), plain, F.lit("' -> '"), standard, F.lit("'"))).alias("map_note"),
                     )
 
                 return let(F.try_element_at(names, key), build)
@@ -100,12 +105,42 @@ def _standard_keys() -> list[tuple[str, str]]:
     return [(v, _key(v)) for v in dict.fromkeys(v for _, v in fixed.SYNONYMS)]
 
 
-def parsed(rows: DataFrame, raw: str = "raw_ingredient_text") -> DataFrame:
-    """Adds cleaned_text, parse_status, inci_list, inci, unrecognized, notes, parse_confidence and needs_review."""
+DICTIONARY = "synonym string, standard string, version int, position long"
+
+
+def built_in_dictionary(spark: SparkSession) -> DataFrame:
+    """D17 as version 1 of a dictionary table."""
+    return spark.createDataFrame([(k, v, 1, n) for n, (k, v) in enumerate(fixed.SYNONYMS)], DICTIONARY)
+
+
+def dictionary_names(dictionary: DataFrame, version: int | None = None) -> DataFrame:
+    """key, standard of a dictionary table (DICTIONARY) up to a version: per lookup key what its newest version says, of one version the first position; a null standard takes the key out."""
+    rows = dictionary if version is None else dictionary.filter(F.col("version") <= version)
+    newest = rows.withColumn("key", lookup_key(F.col("synonym"))).groupBy("key").agg(F.max_by("standard", F.struct("version", (-F.col("position")).alias("p"))).alias("standard"))
+    return newest.filter("standard is not null and key <> ''")
+
+
+def _with_names(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """rows, which have tokens and a row_id, with __names: the entries of the dictionary for their tokens. Each row's distinct keys are joined, broadcast or shuffled by the dictionary's size; row_id null stays unnamed."""
+    keys = F.array_distinct(F.transform("tokens", lambda t: lookup_key(F.when(F.contains(t, F.lit("<")), strip(F.regexp_replace(t, r"<[^>]{1,80}>", ""))).otherwise(t))))
+    asked = rows.filter("row_id is not null").select("row_id", F.explode(keys).alias("key")).distinct()
+    met = asked.join(small(stored(dictionary, "dictionary")), "key")
+    held = met.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "standard"))).alias("__names"))
+    return rows.join(held, "row_id", "left").withColumn("__names", F.coalesce("__names", F.create_map().cast("map<string,string>")))
+
+
+def parsed(rows: DataFrame, raw: str = "raw_ingredient_text", dictionary: DataFrame | None = None) -> DataFrame:
+    """Adds cleaned_text, parse_status, inci_list, inci, unrecognized, notes, parse_confidence and needs_review.
+
+    dictionary: key, standard (dictionary_names) in place of the built-in one; rows then need a row_id.
+    """
     outputs = ("cleaned_text", "parse_status", "inci_list", "inci", "unrecognized", "notes", "parse_confidence", "needs_review")
     keep = [c for c in rows.columns if c not in outputs]
     rows = rows.select(*keep, clean_with_notes(strip_label(meaningful(F.col(raw)))).alias("__c"))
     rows = tokenized(rows.select(*keep, F.col("__c.text").alias("cleaned_text"), F.col("__c.notes").alias("__notes")))
+    if dictionary is not None:
+        rows = _with_names(stored(rows, "tokens"), dictionary)
+    names = None if dictionary is None else F.col("__names")
 
     def assembled(tokens: Column) -> Column:
         invalid = is_invalid_blob(F.col("cleaned_text")) | (F.size(tokens) == 0)
@@ -126,7 +161,7 @@ def parsed(rows: DataFrame, raw: str = "raw_ingredient_text") -> DataFrame:
             )
             return F.when(invalid, none).otherwise(good)
 
-        return let(mapped(tokens), build)
+        return let(mapped(tokens, names), build)
 
     return rows.withColumn("__p", assembled(F.col("tokens"))).select(*keep, "cleaned_text", "__p.*")
 
@@ -136,3 +171,22 @@ def unrecognized_report(rows: DataFrame) -> DataFrame:
     unknown = F.transform(F.filter("inci", lambda i: i["uncertain"]), lambda i: i["original_text"])
     per_row = rows.select(F.explode(let(unknown, lambda u: F.transform(F.array_distinct(u), lambda t: F.struct(t.alias("token"), F.size(F.filter(u, lambda x: x == t)).alias("k"))))).alias("t"))
     return per_row.groupBy("t.token").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("t.k").alias("n_occurrences"))
+
+
+#: Buckets of a sketch as a power of two: estimates are within 1.6 % in two of three cases, and exact for few rows.
+SKETCH_BITS = 12
+
+
+def unrecognized_sketches(rows: DataFrame, by: str = "import_id") -> DataFrame:
+    """I7 as a table that later runs add to: per token and import a distinct sketch of its rows, and how often it occurs. rows: parsed and stored."""
+    said = rows.select(by, "row_id", F.explode(F.transform(F.filter("inci", lambda i: i["uncertain"]), lambda i: i["original_text"])).alias("token"))
+    return said.groupBy("token", by).agg(F.hll_sketch_agg("row_id", F.lit(SKETCH_BITS)).alias("rows_sketch"), F.count(F.lit(1)).alias("n_occurrences"))
+
+
+def merged_sketches(*tables: DataFrame, by: tuple[str, ...] = ("token",)) -> DataFrame:
+    """Tables of sketches put together: per token (and what else is in `by`) the union of its sketches, the estimated rows and the occurrences. A row that several tables hold counts once, its occurrences as often as they were counted."""
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.unionByName(t)
+    out = both.groupBy(*by).agg(F.hll_union_agg("rows_sketch").alias("rows_sketch"), F.sum("n_occurrences").alias("n_occurrences"))
+    return out.withColumn("n_rows", F.hll_sketch_estimate("rows_sketch"))

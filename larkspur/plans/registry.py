@@ -73,6 +73,31 @@ def unrecognized_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingredients.unrecognized_report(stored(parsed(spark, sf_dir).select("row_id", "inci"), "parsed-items"))
 
 
+#: Later versions of the dictionary, of the candidates' own first tokens: version 2 names them, version 3 renames some and takes others out.
+_FIRST = "SELECT row_id, token, row_number() OVER (ORDER BY cast(row_id AS bigint)) AS position FROM (SELECT row_id, trim(split_part(raw_ingredient_text, ',', 1)) AS token FROM cand WHERE cast(row_id AS bigint) % 3 = 0) WHERE length(token) BETWEEN 2 AND 60 AND token NOT LIKE '%<%'"
+_VERSIONS = f"""SELECT token AS synonym, 'Known ' || cast(length(token) AS string) AS standard, 2 AS version, position FROM ({_FIRST}) UNION ALL
+SELECT token, CASE WHEN position % 2 = 0 THEN 'Renamed ' || cast(position AS string) END, 3, position FROM ({_FIRST}) WHERE position % 4 < 2"""
+_versioned = PARSE.replace("dict AS (SELECT key, arg_min(standard, k) AS standard FROM dict0 GROUP BY key)", f"versions AS (SELECT key, standard, 1 AS version, k AS position FROM dict0 UNION ALL SELECT {duck.lookup_key('synonym')} AS key, standard, version, position FROM ({_VERSIONS})),\ndict AS (SELECT * FROM (SELECT key, first(standard ORDER BY version DESC, position) AS standard FROM versions GROUP BY key) WHERE standard IS NOT NULL)")
+
+
+@registered("ingredient_versions", _versioned + "SELECT row_id, parse_status, inci_list, parse_confidence, n_items, n_unrecognized FROM parse")
+def ingredient_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3 by a dictionary table of three versions, whose newest entry counts."""
+    cand = candidates(spark, sf_dir)
+    later = spark.sql(_VERSIONS.replace("FROM cand", "FROM {cand}"), cand=cand)
+    table = ingredients.built_in_dictionary(spark).unionByName(later.withColumns({"position": F.col("position").cast("long")}))
+    done = ingredients.parsed(spread(cand), dictionary=ingredients.dictionary_names(table))
+    return done.select("row_id", "parse_status", "inci_list", "parse_confidence", F.size("inci").cast("long").alias("n_items"), F.size("unrecognized").cast("long").alias("n_unrecognized"))
+
+
+@registered("unrecognized_sketches", PARSE + "SELECT tok AS token, count(DISTINCT row_id) AS n_rows, count(*) AS n_occurrences FROM named JOIN (SELECT row_id FROM parse WHERE parse_status <> 'NEEDS_SOURCE') USING (row_id) WHERE uncertain GROUP BY tok")
+def unrecognized_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I7 of sketches: two halves of the imports are summed up apart and then put together."""
+    rows = stored(parsed(spark, sf_dir), "parsed")
+    halves = [stored(ingredients.unrecognized_sketches(rows.filter(F.col("import_id").isin(k))), "sketches") for k in (["0", "1"], ["2", "3"])]
+    return ingredients.merged_sketches(*halves).select("token", "n_rows", "n_occurrences")
+
+
 _page = f"{duck.host('url')} || lower(regexp_replace({duck.path('url')}, '/+$', ''))"
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +94,36 @@ def correction_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(records.select("row_id", F.col("actor").alias("recorded_by")), "row_id", "left").select("row_id", "raw_ingredient_text", "brand", "source_type", "parse_status", "inci_list", "review_status", "audit_status", F.when(F.col("findings").isNotNull(), F.size("findings")).alias("n_findings"), "recorded_by")
 
 
+_BRANDED = f"CASE WHEN {_hit} THEN 'Brand ' || row_index ELSE brand END"
+_linked = f"CASE WHEN {_moved} THEN {duck.url_like('source_ref')} ELSE source_ref END"
+
+
+def _corrected_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All rows after a run's corrections and then an operator's of every third row's brand, and the records of both."""
+    fresh, first = audit.auto_corrected(base_rows(spark, sf_dir), "run")
+    first = stored(first, "run-corrections")
+    done, second = audit.corrected(fresh, _patches(spark, sf_dir, {"brand": "'Brand ' || cast(row_index AS string)"}, _hit), "bea", reparse=False)
+    return done, first.unionByName(stored(second, "operator-corrections"))
+
+
+@registered("correction_history", f"""{C}, r AS (SELECT *, ({_moved})::INT AS moved, ({_said('raw_ingredient_text')} <> '')::INT AS told FROM cand)
+SELECT row_id, moved AS nth, 'normalize_source_ref' AS correction_type, 'run' AS audit_run_id, 'system:auto' AS actor, source_ref AS ref_before, {_linked} AS ref_after, brand AS brand_after FROM r WHERE moved = 1
+UNION ALL SELECT row_id, moved + told, 'reparse_current_text', 'run', 'system:auto', {_linked}, {_linked}, brand FROM r WHERE told = 1
+UNION ALL SELECT row_id, moved + told + 1, 'manual_correction', NULL, 'bea', {_linked}, {_linked}, {_BRANDED} FROM r WHERE {_hit}""")
+def correction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's corrections in order of time, by a run and then by an operator."""
+    said = lambda when, field: F.get_json_object(when, f"$.{field}")
+    found = audit.history(_corrected_twice(spark, sf_dir)[1])
+    return found.select("row_id", "nth", "correction_type", "audit_run_id", "actor", said("before", "source_ref").alias("ref_before"), said("after", "source_ref").alias("ref_after"), said("after", "brand").alias("brand_after"))
+
+
+@registered("state_as_of_run", f"{C} SELECT row_id, brand, {_linked} AS source_ref, review_status FROM cand")
+def state_as_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows after both corrections, put back to what the run left."""
+    done, records = _corrected_twice(spark, sf_dir)
+    return audit.as_of_run(done, records, "run").select("row_id", "brand", "source_ref", "review_status")
+
+
 _UPDATE = {
     "raw_ingredient_text": f"CASE WHEN row_index % 9 = 0 THEN {_NEW} ELSE '-' END", "status": "CASE WHEN row_index % 9 = 3 THEN 'PENDING' ELSE '-' END", "confidence": "CASE WHEN row_index % 9 = 3 THEN '0.25' ELSE '-' END", "error": "CASE WHEN row_index % 9 = 3 THEN ' timed out ' ELSE '-' END",
     "parse_confidence": "CASE WHEN row_index % 9 = 6 THEN '0.5' ELSE '-' END", "review_status": "CASE WHEN row_index % 2 = 0 THEN 'APPROVED' ELSE '-' END",
