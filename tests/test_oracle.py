@@ -9,7 +9,7 @@ import re
 import duckdb
 import pytest
 
-from larkspur.plans import markup, pages, registry, reviews, streams, walks  # noqa: F401
+from larkspur.plans import markup, pages, registry, reviews, streams, structures, walks  # noqa: F401
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
