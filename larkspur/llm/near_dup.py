@@ -166,10 +166,11 @@ def overlap(x: bytes, nx: bytes, y: bytes, ny: bytes) -> float:
     return both / max(1, int(na.sum()) + int(nb.sum()) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Those of (stored) pairs a, b whose texts have the similarity, with it."""
-    involved = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-    bag = stored(_shingle_table(docs.join(small(involved), "id", "left_semi"), size), "near-bags")
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """Those of (stored) pairs a, b of texts (numbers of texts: node, rep, text_key) that have the similarity, with it."""
+    involved = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ids")
+    asked = stored(texts.join(small(involved), "node", "left_semi"), "near-asked")
+    bag = stored(_shingle_table(_text_of(docs, asked), size), "near-bags")
     left = bag.select(F.col("id").alias("a"), F.col("shingles").alias("xa"), F.col("counts").alias("na"))
     right = bag.select(F.col("id").alias("b"), F.col("shingles").alias("xb"), F.col("counts").alias("nb"))
 
@@ -231,23 +232,38 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     shingles each share one by chance with a probability of n * n / 2^64.
 
     Texts of fewer than `size` words are one shingle; null texts and texts without words are equal to each other, and
-    near to nothing else. Repeated ids count as one document; a null id is classed by its text alone (null if no equal
-    text has an id).
+    near to nothing else. Each different text is classed by itself, so rows of one id with different texts may be of
+    different classes, and rows without an id are linked like others; same_text and class_id are null where no row of
+    the text or class has an id.
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    sig, classes = _classed(docs, similarity, bands, rows, most_differ, size)
+    found = hot_join(sig.select("id", "text_key"), classes, ["text_key"], "alike", "inner")
+    return found.select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
+
+
+def _text_of(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id (the text's number), text of (stored) texts (node, rep, text_key): of each text one row, whose id is the smallest that has it."""
+    texts = small(texts.select("node", "rep", "text_key"))
+    met = docs.join(texts, docs["id"].eqNullSafe(texts["rep"]) & (_text_key(docs["text"]) == texts["text_key"]))
+    return met.select(F.col("node").alias("id"), docs["text"]).dropDuplicates(["id"])
+
+
+def _classed(docs: DataFrame, similarity: float, bands: int, rows: int, most_differ: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows (id, text_key), and per text its smallest id (rep), class (its least number: class_key; its smallest id: class_id) and how many rows have it (alike)."""
     sig = stored(signatures(docs, bands, rows, size), "near-signatures")
     reps = sig.groupBy("text_key").agg(F.min("id").alias("rep"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("alike"))
-    reps = stored(reps, "near-texts")
-    band = stored(reps.filter("rep is not null").select("rep", "weight", F.explode("bands").alias("band")), "near-bands")
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()), "near-texts")  # texts are numbered, so those without an id count, too
+    numbered = reps.select("node", "rep", "text_key")
+    band = stored(reps.select(F.col("node").alias("rep"), "weight", F.explode("bands").alias("band")), "near-bands")
     pivot = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("pivot"))).alias("p"), F.count("*").alias("n")).filter("n > 1").select("band", "p.pivot")
     pairs = band.join(pivot, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     pairs = stored(pairs, "near-pairs")
-    edges = stored(verified(pairs, docs, similarity, size), "near-links")
+    edges = stored(verified(pairs, docs, numbered, similarity, size), "near-links")
     label = components(edges)
     placed = _undecided(band, label)
-    ids = stored(placed.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    texts = docs.join(small(ids), "id", "left_semi").withColumn("text_key", _text_key(F.col("text")))
-    texts = texts.groupBy("id").agg(F.min_by("text", "text_key").alias("text"))  # one text of an id that is repeated, the same in each run
+    open_ = stored(numbered.join(small(stored(placed.select(F.col("rep").alias("node")).distinct(), "near-open-ids")), "node", "left_semi"), "near-open-texts")
+    texts = _text_of(docs, open_)
     lone = stored(lone_weight(texts, size), "near-lone")
     placed = placed.join(small(lone), placed["rep"] == lone["id"], "left").withColumn("common", F.col("weight") - F.coalesce("lone", F.lit(0))).drop("id")
     placed = stored(placed, "near-open")
@@ -255,11 +271,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     again = placed.join(center, "band").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     again = stored(again.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     pairs = pairs.union(again)
-    label = extended(label, stored(verified(again, docs, similarity, size), "near-links"))
+    label = extended(label, stored(verified(again, docs, numbered, similarity, size), "near-links"))
 
     rest = _undecided(placed.drop("class_id"), label).filter(F.col("common") >= F.lit(similarity) * F.col("weight"))
     marks = stored(long_signatures(texts, LONG, size), "near-marks")
-    rest = rest.join(marks, rest["rep"] == marks["id"]).drop("id").join(reps.select("rep", "bands"), "rep")
+    rest = rest.join(marks, rest["rep"] == marks["id"]).drop("id").join(reps.select(F.col("node").alias("rep"), "bands"), "rep")
     step = F.floor(F.log(F.col("weight").cast("double")) / math.log(1 / similarity) + 1e-9)  # linked texts are of one step of weight or the next
     x = rest.select("band", step.alias("step"), *[F.col(c).alias(f"{c}_x") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
     y = rest.select("band", F.explode(F.array(step - 1, step, step + 1)).alias("step"), *[F.col(c).alias(f"{c}_y") for c in ("rep", "weight", "common", "class_id", "marks", "bands")])
@@ -270,24 +286,34 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", sim
     rest = rest.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
-        label = extended(label, stored(verified(rest, docs, similarity, size), "near-links"))
-    classes = stored(reps.join(label, reps["rep"] == label["id"], "left").select("text_key", "rep", "alike", F.coalesce("class_id", "rep").alias("class_id")), "near-classes")
-    return hot_join(sig.select("id", "text_key"), classes, ["text_key"], "alike", "inner").select(F.col("id").alias(id), F.col("rep").alias("same_text"), "class_id")
+        label = extended(label, stored(verified(rest, docs, numbered, similarity, size), "near-links"))
+    keyed = reps.join(label.withColumnRenamed("id", "node"), "node", "left").select("text_key", "rep", "alike", F.coalesce("class_id", "node").alias("class_key"))
+    named = keyed.groupBy("class_key").agg(F.min("rep").alias("class_id"))
+    return sig, stored(keyed.join(named, "class_key"), "near-classes")
 
 
-def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of its class; of rows of one id one stays (the smallest text), and of rows without an id one for each text.
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, most_differ: int = MOST_DIFFER, size: int = SHINGLE) -> DataFrame:
+    """One document of each class (see near_duplicates): that of the smallest id; where none has an id, that of the smallest text.
 
-    Of rows that agree in id and text that of the smallest other values stays, so reruns agree in all columns. Other columns stay as they are. Null texts and texts without words are one class. An empty table gives none.
+    A document is an id: it goes if any of its texts is in a class of a smaller id, and of its rows that of the smallest
+    text stays, then of the smallest other values, so reruns agree in all columns. Other columns stay as they are. Null
+    texts and texts without words are one class. An empty table gives none.
     """
-    gone = stored(near_duplicates(docs, id, text, **options).filter(F.col(id).isNotNull() & (F.col(id) != F.col("class_id"))).select(id).distinct(), "near-gone")
-    twice = small(stored(docs.filter(F.col(id).isNotNull()).groupBy(id).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(id), "near-twice"))
+    lean = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    sig, classes = _classed(lean, similarity, bands, rows, most_differ, size)
+    met = hot_join(sig.select("id", "text_key"), classes, ["text_key"], "alike", "inner")
+    gone = small(stored(met.filter("id <> class_id").select("id").distinct(), "near-gone"))
+    twice = small(stored(docs.filter(F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id"), "near-twice"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.filter(F.col(id).isNotNull()).join(small(gone), id, "left_anti")
-    once = kept.join(twice, id, "left_anti").select(*columns)
     whole = F.struct(*columns)
     # which of equal rows stays is settled by all that they hold
     ordered = F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), whole_row(docs, [c for c in docs.columns if c != text]).alias("r"))
-    repeated = kept.join(twice, id, "left_semi").groupBy(id).agg(F.min_by(whole, ordered).alias("__row")).select("__row.*")
-    bare = docs.filter(F.col(id).isNull()).groupBy(F.col(f"`{text}`").alias("__text")).agg(F.min_by(whole, ordered).alias("__row")).select("__row.*")
+    key = F.col(f"`{id}`").cast("long")
+    kept = docs.filter(key.isNotNull()).join(gone, key == gone["id"], "left_anti")
+    once = kept.join(twice, key == twice["id"], "left_anti").select(*columns)
+    repeated = kept.join(twice, key == twice["id"], "left_semi").groupBy(key.alias("__id")).agg(F.min_by(whole, ordered).alias("__row")).select("__row.*")
+    # rows without an id: of classes that no id is in, one each
+    alone = classes.filter("class_id is null").select("text_key", "class_key", "alike")
+    bare = docs.filter(key.isNull()).select(whole.alias("__row"), ordered.alias("__order"), _text_key(F.col(f"`{text}`")).alias("text_key"))
+    bare = hot_join(bare, stored(alone, "near-alone"), ["text_key"], "alike", "inner").groupBy("class_key").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
     return once.unionByName(repeated).unionByName(bare)

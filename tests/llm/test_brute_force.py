@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import decontaminate, licenses, mixing, pii, quality
+from larkspur.llm import decontaminate, licenses, mixing, near_dup, pii, quality
 from tests.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -403,7 +403,24 @@ def test_stage_of_near_duplicates(spark, odd):
     gone = {i for (i, t), (j, u) in itertools.product(held, held) if j < i and alike(t, u)}
     want = {i for i, _ in held} - gone
     ids = collections.Counter(i for i, _, _ in rows_of(got))
-    assert got.columns == odd.columns and {i for i in ids if i is not None} == want and all(ids[i] == 1 for i in want) and ids[None] == len({t for i, t, _ in rows_of(odd) if i is None})
+    assert got.columns == odd.columns and {i for i in ids if i is not None} == want and all(ids[i] == 1 for i in want)
+    # rows without an id go with the classes of those that have one
+    bare = {said(t) for i, t, _ in rows_of(odd) if i is None}
+    shingled |= {t: collections.Counter(shingle_list(WORD.findall(t)) or [tuple(WORD.findall(t))]) for t in bare}
+    assert ids[None] == sum(not any(alike(t, u) for _, u in held) for t in bare)
+
+
+def test_near_copies_without_ids(spark):
+    """Rows without an id are linked among themselves; one of each class stays."""
+    rng = random.Random(12)
+    one, two = (" ".join(f"{rng.randrange(10**6)}" for _ in range(100)) for _ in range(2))
+    texts = [(None, one), (None, one + " x"), (None, one + " x y"), (None, two), (None, two), (7, two + " z"), (None, None), (None, ""), (8, "some other text of several words")]
+    df = spark.createDataFrame([(i, t, None, None, k, "k", "s", None) for k, (i, t) in enumerate(texts)], COLUMNS)
+    got = near_dup.near_duplicates(df).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"]) for r in got) == collections.Counter({(None, None): 5, (None, 7): 2, (7, 7): 1, (8, 8): 1})
+    for n in (1, 4):
+        stay = corpus_pipeline.near_duplicates(spark, df.repartition(n), SF)
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in stay.collect()) == sorted([(0, one), (0, ""), (7, two + " z"), (8, "some other text of several words")])
 
 
 def test_stage_of_decontamination(spark, odd, items):
