@@ -35,10 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest id.
+    """One document of each class of near-duplicates stays, that of the smallest id; of classes without an id that of the smallest text.
 
-    Of rows of one id one stays, that of the smallest text; of rows without an id one for each text (they are never near
-    to others). Null texts and texts without words are one class.
+    Of rows of one id one stays, that of the smallest text, then of the smallest other values. Null texts and texts
+    without words are one class.
     """
     return near_dup.representatives(docs).select(*[f"`{c}`" for c in docs.columns])
 
