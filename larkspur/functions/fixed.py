@@ -216,3 +216,21 @@ AKAMAI_WORDS = "access denied|reference #|bot manager|akamai"
 PERIMETERX_SIGNS = "_px|perimeterx|press & hold|human verification|px-captcha"
 PERIMETERX_WORDS = "press & hold|human verification|captcha"
 BLOCK_WORDS = "captcha|bot|challenge|security verification"
+
+#: What block cleaning takes out besides BLOCK_PHRASES: links, hash tags, and trailing or filling words, in order.
+BLOCK_LINK, BLOCK_TAG = r"(?i)https?://\S+", r"(^|\s)#[\w-]+"
+BLOCK_FILLING = (r"(?i)\[\s*more\s*\]", r"(\.{3,}|…)", r"(?i)\b(and|&)\s*$", r"(?i)\betc\.?\s*$")
+
+#: Labels at the start of a block, and labels anywhere in it, in English and Chinese.
+BLOCK_LABEL_EN, BLOCK_LABEL_ZH = r"(?i)^(ingredients?|inci)\s*[:：]\s*", r"^(全成分|成分|配料|配方)\s*[:：]\s*"
+INNER_LABEL_EN, INNER_LABEL_ZH = r"(?i)(?:ingredients?|inci)\s*[:：]\s*", r"(?:全成分|成分|配料|配方)\s*[:：]\s*"
+
+#: A run of five Latin items or more, and the word that may stand before a list.
+LATIN_RUN = r"([A-Za-z0-9][A-Za-z0-9()/&+.'’ -]*(?:,\s*[A-Za-z0-9][A-Za-z0-9()/&+.'’ -]*){4,})"
+LIST_WORD = r"(?i)^ingredients?\s+"
+
+#: What shows that a text tells more than an overview does.
+EXPANDED_TEXT = r"(?i)\bthis set includes\b|\bproduct details\b|\n|•|\bto use\b"
+
+#: Sizes and kits at the end of a product's name, which are no shades.
+SIZE_HINT = r"(?i)\b(oz|ml|patches?|refill|kit|set|duo|trio|collection)\b|[0-9]"

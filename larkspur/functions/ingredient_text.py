@@ -22,10 +22,9 @@ def needs_harvest(raw: Column, force: bool = False) -> Column:
 def clean_block(c: Column) -> Column:
     """T1."""
     t = F.regexp_replace(strip(text(c)), fixed.ZERO_WIDTH, "")
-    t = F.regexp_replace(t, r"(?i)https?://\S+", " ")
-    t = F.regexp_replace(t, r"(^|\s)#[\w-]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, fixed.BLOCK_LINK, " "), fixed.BLOCK_TAG, " ")
     t = F.regexp_replace(t, rf"(?i)\b(?:{'|'.join(fixed.BLOCK_PHRASES)})\b", " ")
-    for pattern in (r"(?i)\[\s*more\s*\]", r"(\.{3,}|…)", r"(?i)\b(and|&)\s*$", r"(?i)\betc\.?\s*$", fixed.DISCLAIMER):
+    for pattern in (*fixed.BLOCK_FILLING, fixed.DISCLAIMER):
         t = F.regexp_replace(t, pattern, " ")
     return collapse(t)
 
@@ -52,8 +51,8 @@ def _step(state: Column, pattern: str, by: str, note: str) -> Column:
 
 
 def block_label_stripped(c: Column) -> Column:
-    t = F.regexp_replace(strip(text(c)), r"(?i)^(ingredients?|inci)\s*[:：]\s*", "")
-    return strip(F.regexp_replace(t, r"^(全成分|成分|配料|配方)\s*[:：]\s*", ""))
+    t = F.regexp_replace(strip(text(c)), fixed.BLOCK_LABEL_EN, "")
+    return strip(F.regexp_replace(t, fixed.BLOCK_LABEL_ZH, ""))
 
 
 def slice_after_label(c: Column) -> Column:
@@ -64,8 +63,7 @@ def slice_after_label(c: Column) -> Column:
         label = F.regexp_extract(t, pattern, 0)
         return F.when(at > 1, strip(F.substring(t, at + F.length(label), F.length(t)))).otherwise(otherwise)
 
-    en, zh = r"(?i)(?:ingredients?|inci)\s*[:：]\s*", r"(?:全成分|成分|配料|配方)\s*[:：]\s*"
-    return let(block_label_stripped(c), lambda t: cut(t, en, cut(t, zh, t)))
+    return let(block_label_stripped(c), lambda t: cut(t, fixed.INNER_LABEL_EN, cut(t, fixed.INNER_LABEL_ZH, t)))
 
 
 def inline_sequence(c: Column) -> Column:
@@ -80,8 +78,8 @@ def inline_sequence(c: Column) -> Column:
         first = F.array_min(F.array(*starts))
         return F.when(first.isNotNull(), strip(F.substring(t, F.coalesce(first, F.lit(1)), F.length(t)))).otherwise(t)
 
-    run = r"([A-Za-z0-9][A-Za-z0-9()/&+.'’ -]*(?:,\s*[A-Za-z0-9][A-Za-z0-9()/&+.'’ -]*){4,})"
-    cleaned = F.regexp_replace(clean_block(slice_after_label(c)), r"(?i)^ingredients?\s+", "")
+    run = fixed.LATIN_RUN
+    cleaned = F.regexp_replace(clean_block(slice_after_label(c)), fixed.LIST_WORD, "")
     return let(let(cleaned, from_token), lambda t: F.when(t.rlike(run), collapse(F.regexp_extract(t, run, 1))).otherwise(t))
 
 
@@ -134,7 +132,7 @@ def choose_overview(structured: Column, detailed: Column, meta: Column) -> Colum
 
     def choose(s: Column, d: Column) -> Column:
         longer = F.length(d) >= F.greatest(F.length(s) + 60, F.floor(F.length(s) * 1.35 + 0.5))
-        expanded = d.rlike(r"(?i)\bthis set includes\b|\bproduct details\b|\n|•|\bto use\b")
+        expanded = d.rlike(fixed.EXPANDED_TEXT)
         better = F.startswith(F.lower(d), F.lower(s)) | (longer & expanded)
         return F.when(d.isNotNull() & (s.isNull() | better), d).otherwise(F.coalesce(s, html_to_text(meta)))
 

@@ -165,7 +165,7 @@ def page_events(pages: DataFrame) -> DataFrame:
     rows = pages.join(linked, "page_id", "left").join(selector_pages(pages), "page_id")
     return rows.select(
         urls.host(F.col("url")).alias("site"), F.when(own, "seed_page").otherwise("links").alias("strategy"), (own | F.coalesce("linked", F.lit(False))).alias("product"),
-        urls.block_provider(F.lit(200), no_headers, F.lit(""), F.col("html")).alias("block"), F.lower(text(F.col("html"))).rlike(r'"@type"\s*:\s*(?:"product"|\[[^\]]*"product")').alias("schema"), "selector",
+        urls.block_provider(F.lit(200), no_headers, F.lit(""), F.col("html")).alias("block"), F.lower(text(F.col("html"))).rlike(fixed.PRODUCT_TYPE).alias("schema"), "selector",
     )
 
 

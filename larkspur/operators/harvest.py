@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import fixed
 from larkspur.functions.core import collapse, strip, text
 from larkspur.functions.ingredient_text import block_label_stripped, clean_block, has_inci_signal, ingredient_score, inline_sequence, is_script_or_json, meaningful
 from larkspur.operators.elements import blocks  # noqa: F401  (H1)
@@ -30,7 +31,7 @@ def verified(said: Column, page_text: Column) -> Column:
 def variant_hint(product: Column) -> Column:
     """H4: what follows the last " - " of a product's name, unless it tells a size or a kit."""
     hint = strip(F.regexp_extract(collapse(text(product)), r"^.* - (.*)$", 1))
-    return F.when(hint.rlike(r"(?i)\b(oz|ml|patches?|refill|kit|set|duo|trio|collection)\b|[0-9]"), "").otherwise(hint)
+    return F.when(hint.rlike(fixed.SIZE_HINT), "").otherwise(hint)
 
 
 def variant_blocks(found: DataFrame, products: DataFrame) -> DataFrame:

@@ -442,7 +442,7 @@ def kb_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.upserted(old, new, "at", now=F.lit(2))
 
 
-@registered("url_rules", f"SELECT page_id, coalesce({duck.url_score('url', 'url')} >= 4, false) AS product, regexp_matches(lower(html), {q('(?i)add to cart|buy now|quick shop|notify me')}) AS buy_words, regexp_matches(lower(html), {q(fixed.PRICE_SIGN)}) AND regexp_matches(lower(html), 'add to cart|buy now|quick shop|notify me') AS product_page FROM pages")
+@registered("url_rules", f"SELECT page_id, coalesce({duck.url_score('url', 'url')} >= 4, false) AS product, regexp_matches(lower(html), {q(fixed.BUY_WORDS)}) AS buy_words, regexp_matches(lower(html), {q(fixed.PRICE_SIGN)}) AND regexp_matches(lower(html), {q(fixed.BUY_WORDS)}) AS product_page FROM pages")
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U3, U11 (the driver's pages hold no JSON-LD)."""
-    return load(spark, sf_dir, "pages").select("page_id", urls.is_product_url(F.col("url"), F.col("url")).alias("product"), F.lower("html").rlike("(?i)add to cart|buy now|quick shop|notify me").alias("buy_words"), urls.looks_like_product_page(F.col("html")).alias("product_page"))
+    return load(spark, sf_dir, "pages").select("page_id", urls.is_product_url(F.col("url"), F.col("url")).alias("product"), F.lower("html").rlike(fixed.BUY_WORDS).alias("buy_words"), urls.looks_like_product_page(F.col("html")).alias("product_page"))

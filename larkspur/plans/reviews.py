@@ -226,10 +226,10 @@ def parse_csv_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("import_csv", f"{C} SELECT row_index, brand, product_name, parse_status, inci_list FROM (SELECT * FROM ({PARSE} SELECT row_index, {duck.csv_said('brand')} AS brand, {duck.csv_said('product_name')} AS product_name, parse_status, {duck.csv_said('inci_list')} AS inci_list, market FROM parse)) WHERE brand <> '' AND product_name <> '' AND market <> ''")
 def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 from a CSV file with aliased headers; positions are those in the file."""
+    """S1 from CSV files with aliased headers, as they were exported: one a task."""
     given = scratch_path(spark, "import")
-    file = candidates(spark, sf_dir).orderBy("row_index").select(F.col("row_index").alias("seed_id"), F.col("brand").alias("Brand_EN"), F.col("product_name").alias("Product"), F.col("market").alias("Country"), F.col("raw_ingredient_text").alias("Ingredients"), F.col("source_ref").alias("URL"))
-    rows.write_csv(file.coalesce(1), given, True)
+    file = candidates(spark, sf_dir).repartition(4, "row_index").select(F.col("row_index").alias("seed_id"), F.col("brand").alias("Brand_EN"), F.col("product_name").alias("Product"), F.col("market").alias("Country"), F.col("raw_ingredient_text").alias("Ingredients"), F.col("source_ref").alias("URL"))
+    rows.write_csv(file, given, True)
     plain = lambda c: F.btrim(F.regexp_replace(c, r"\s+", " ")).alias(c)
     return rows.import_candidates(spark, given, "i").select(F.col("external_seed_id").cast("long").alias("row_index"), plain("brand"), plain("product_name"), "parse_status", plain("inci_list"))
 

@@ -77,6 +77,11 @@ def _file(spark: SparkSession, path: str):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for costly expressions on a table that is read in fewer parts than there are cores; larger tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df, rows of files, over all cores, for costly expressions on a table that is read in fewer parts than there are cores; larger tables stay as they are read. Parts are counted from the sizes of the few files."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    each = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    parts = sum(-(-size // each) for size in (fs.getFileStatus(there).getLen() for there, fs in (_file(spark, f) for f in files)))
+    return df.repartition(cores) if parts < cores else df
