@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -76,16 +76,21 @@ def merge_candidates(spark: SparkSession, root: str, batch: DataFrame, batch_id:
     return True
 
 
-def stream_candidates(landed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of landed rows is parsed, audited (without the duplicate rule, which needs all rows) and merged into the snapshot under root.
+def stream_candidates(landed: DataFrame, into: str | Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of landed rows is parsed, audited (without the duplicate rule, which needs all rows) and merged into the snapshot under the folder `into`.
 
     Replayed batches change nothing (see merge_candidates), so the snapshot holds each row as its last batch left it.
+    Where candidates are kept elsewhere, `into` is a function that gets each batch and its number, once or more.
     """
     spark = landed.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
         done = stored(parsed(rows.aligned(batch)), "stream-parsed")
-        merge_candidates(spark, root, audit.audited(done, with_duplicates=False), batch_id)
+        audited = audit.audited(done, with_duplicates=False)
+        if callable(into):
+            into(audited, batch_id)
+        else:
+            merge_candidates(spark, into, audited, batch_id)
 
     return landed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
