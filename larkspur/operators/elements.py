@@ -13,6 +13,8 @@ from larkspur.functions.core import let, text
 
 #: Elements whose text isn't shown, and elements that have no end.
 SKIP, VOID = {"script", "style", "noscript", "svg"}, {"br", "img", "input", "meta", "link", "hr", "source", "wbr", "area", "base", "col", "embed", "track"}
+#: Characters of HTML after which a task hands on what it has read.
+BATCH_CHARS = 1 << 20
 ELEMENT = "tag string, attrs map<string,string>, parent int, next int, last int, begin int, size int"
 
 
@@ -78,9 +80,15 @@ def elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ELEMENT.split(", ")]
         for pdf in batches:
+            made, held = [], 0
             for i, h in zip(pdf["id"], pdf["html"], strict=True):
                 said, found = page_elements(h or "")
-                yield pd.DataFrame({"id": [i], "said": [said], "elements": [[dict(zip(names, e, strict=True)) for e in found]]})
+                made.append((i, said, [dict(zip(names, e, strict=True)) for e in found]))
+                held += len(h or "")
+                if held >= BATCH_CHARS:
+                    yield pd.DataFrame(made, columns=["id", "said", "elements"])
+                    made, held = [], 0
+            yield pd.DataFrame(made, columns=["id", "said", "elements"])
 
     shape = ", ".join(c.replace(" ", ":", 1) for c in ELEMENT.split(", "))
     return pages.select(F.col(id).alias("id"), F.col(html).alias("html")).mapInPandas(run, f"id {kind}, said string, elements array<struct<{shape}>>").withColumnRenamed("id", id)

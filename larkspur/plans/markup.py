@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import elements
 from larkspur.plans.base import registered
 from larkspur.plans.views import view
+from larkspur.scratch import spread
 
 #: Pages by part: labels, lists beside and around them, named elements, pop-ups and accordions, as the part's values have it.
 PAGES = """
@@ -49,13 +50,13 @@ SELECT page_id, kind, said AS block FROM picked JOIN element USING (page_id, pre
 @registered("page_blocks", _BLOCKS)
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1: all five kinds of blocks."""
-    return elements.blocks(view(spark, sf_dir, PAGES)).select("page_id", "kind", "block")
+    return elements.blocks(spread(view(spark, sf_dir, PAGES))).select("page_id", "kind", "block")
 
 
 @registered("page_elements", TAGS + " SELECT page_id, count(*) - 1 + (SELECT count(*) FROM tok t WHERE t.page_id = e.page_id AND starts_with(t.t, '<br')) AS n_elements, max(depth) AS deepest, sum(length(said))::BIGINT AS text_sizes, max(CASE WHEN pre = 0 THEN said END) AS said FROM element e GROUP BY page_id")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element table itself: counts, depth by parents, and the sizes of all texts."""
-    rows = elements.elements(view(spark, sf_dir, PAGES))
+    rows = elements.elements(spread(view(spark, sf_dir, PAGES)))
     depth = F.aggregate("elements", F.array().cast("array<long>"), lambda a, e: F.array_append(a, F.when(e["parent"] < 0, F.lit(0)).otherwise(F.get(a, e["parent"]) + F.when(e["tag"] == "br", 0).otherwise(1)).cast("long")))
     return rows.select("page_id", (F.size("elements") - 1).cast("long").alias("n_elements"), F.array_max(depth).alias("deepest"), F.aggregate("elements", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("text_sizes"), "said")
 
@@ -73,4 +74,4 @@ t AS (SELECT page_id, what, nullif({_within(_class('markdown'))}, '') AS main, n
 SELECT h.page_id, a.main AS how_to_use, b.main AS ingredients, b.more AS disclaimer FROM h LEFT JOIN t a ON a.page_id = h.page_id AND a.what = 'how' LEFT JOIN t b ON b.page_id = h.page_id AND b.what = 'what'""")
 def page_accordions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: how to use, ingredients and disclaimer of the accordions."""
-    return elements.accordions(view(spark, sf_dir, PAGES))
+    return elements.accordions(spread(view(spark, sf_dir, PAGES)))
