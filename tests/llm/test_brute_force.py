@@ -244,6 +244,36 @@ def test_leaks_of_odd_rows(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_near_prints_by_brute_force(spark):
+    """Every pair of fingerprints within the radius, and no other."""
+    rng, long = random.Random(3), lambda x: x - (x >> 63 << 64)
+    bits = [rng.getrandbits(64) for _ in range(60)]
+    own = bits[:5] + [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(20))) for b in bits for _ in range(10)]
+    want = {(long(a), long(b)) for a in own for b in bits if (a ^ b).bit_count() <= decontaminate.RADIUS}
+    near = decontaminate.near_prints(spark.createDataFrame(sorted({(long(a),) for a in own}), "own long"), spark.createDataFrame([(long(b),) for b in bits], "bits long"))
+    rows = near.collect()
+    assert {(r["own"], b) for r in rows for b in r["near"]} == want and len(rows) == len({r["own"] for r in rows}) and len(want) > 400
+
+
+def test_phrases_of_many_items_lay_no_windows_alone(spark):
+    """A phrase that all items share is in no leak by itself; items around it are still found, from few words on either side."""
+    phrase = "which of the following statements is true about the given passage"
+    items = {k: f"{phrase} {' '.join(f'w{k}x{j}' for j in range(8 + k % 5))}" for k in range(60)}
+    texts = {d: f"intro {d} {phrase} and then something else {d}" for d in range(20)} | {100 + k: f"before {d} {t} after it" for d, (k, t) in enumerate(items.items())} | {300: " ".join([phrase] * 200)}
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == pytest.approx(true_leaks(texts, items)) and {(100 + k, k) for k in items} == got.keys()
+
+
+def test_items_of_few_words(spark):
+    """They are found where their words stand in a row, from `shortest` words on; items of one id are told apart."""
+    docs = spark.createDataFrame([(1, "He said: Yes, indeed so!"), (2, "indeed, yes"), (3, "one two three four five"), (3, "one two three four five"), (4, None), (5, ""), (None, "so, one two THREE four")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "yes indeed"), (2, "one two three four"), (3, "so"), (4, ""), (5, None), (6, "yes no"), (7, "two three four five"), (7, "yes"), (7, "a text of many words that no document holds"), (None, "said yes")], "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"], r["start"], r["n_words"], r["similarity"]) for r in decontaminate.leaks(docs, bench).collect()]
+    assert sorted(found, key=str) == sorted([(1, 1, 2, 2, 1.0), (3, 2, 0, 4, 1.0), (None, 2, 1, 4, 1.0), (1, 3, 4, 1, 1.0), (None, 3, 0, 1, 1.0), (3, 7, 1, 4, 1.0), (1, 7, 2, 1, 1.0), (2, 7, 1, 1, 1.0), (1, None, 1, 2, 1.0)], key=str)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench, shortest=3).collect()} == {(3, 2), (None, 2), (3, 7)}
+    assert decontaminate.leaks(docs, bench, shortest=5).count() == 0
+
+
 # ---------------------------------------------------------------- licenses
 
 
