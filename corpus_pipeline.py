@@ -44,12 +44,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go.
+    """Documents that hold a passage of the benchmark go. Items of fewer than five words are too common to tell a leak.
 
     A document is a row's id, which may be null, and its text: all its repeated rows go, and another text of the same
     id stays. Null texts hold nothing and stay.
     """
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), shortest=decontaminate.SHINGLE).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
     found = small(stored(found, "pipeline-leaks"))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__key"]), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
