@@ -149,10 +149,7 @@ def currency_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PRODUCT_PAGES).select("page_id", prices.currency_hint(h).alias("hint"), prices.currency_hint(h, prices.SHOP_CURRENCY_PATTERNS).alias("shop_hint"))
 
 
-_same = "CASE WHEN page_id % 7 = 0 THEN 210 ELSE 210 END"
-
-
-@registered("best_objects", P + " SELECT page_id, p_name AS name, CASE kind WHEN 0 THEN CASE WHEN page_id % 7 = 0 THEN 210 ELSE 210 END ELSE 0 END::INT AS url_match FROM p WHERE kind IN (0, 1, 2, 4)")
+@registered("best_objects", P + " SELECT page_id, p_name AS name, CASE kind WHEN 0 THEN 210 ELSE 0 END::INT AS url_match FROM p WHERE kind IN (0, 1, 2, 4)")
 def best_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C12."""
     found = structured.best_object(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html"))
