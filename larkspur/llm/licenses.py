@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._native import let, plain_words, shingles
+from larkspur.llm._native import plain_words, shingles
 from larkspur.llm._shared import small, stored
 
 SHINGLE = 5
@@ -50,8 +50,10 @@ def window_length(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
-def _signature(hashes: Column) -> Column:
-    return let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(h, lambda s: F.xxhash64(s, k)))))
+def _signed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, band, value: the MinHash of each key's shingles s, one row a band."""
+    mins = rows.groupBy(*keys).agg(*[F.min(F.xxhash64("s", F.lit(k))).alias(f"m{k}") for k in range(BANDS)])
+    return mins.select(*keys, F.posexplode(F.array(*[f"m{k}" for k in range(BANDS)])).alias("band", "value"))
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[str, list[str]] | None = None, contained: float = CONTAINED, size: int = SHINGLE) -> DataFrame:
@@ -70,14 +72,16 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[st
     columns are left out, whatever their names; an empty table gives none.
     """
     spark, keys = docs.sparkSession, ["none", "doc_id", "text_key"]
+    window = [*keys, "half", "start"]
     listed = [(k, j, template_words(t)) for k, texts in (templates() if known is None else known).items() for j, t in enumerate(texts)]
     if short := [k for k, _, w in listed if len(w) < size]:
         raise ValueError(f"templates of fewer than {size} words: {short}")
     bench = spark.createDataFrame([(k, j, w, window_length(len(w) - size + 1)) for k, j, w in listed], "license string, template int, words array<string>, half int")
     bench = stored(bench.select("license", "template", "half", F.array_distinct(shingles(F.col("words"), size)).alias("ts")), "license-templates")
-    marks = small(stored(bench.select("half", F.explode("ts").alias("s")).distinct(), "license-shingles"))
+    inside = stored(bench.select("license", "template", "half", F.explode("ts").alias("s")), "license-shingles")
+    marks = small(stored(inside.select("half", "s").distinct(), "license-marks"))
     least = F.broadcast(bench.groupBy("half").agg(F.min(F.ceil(F.size("ts") * contained)).alias("least")))  # a row per power of two
-    bands = stored(bench.select("license", "template", "half", F.posexplode(_signature(F.col("ts"))).alias("band", "value")), "license-bands")
+    bands = stored(_signed(inside, ["license", "template", "half"]), "license-bands")
 
     docs = docs.select(F.col(id).isNull().alias("none"), F.coalesce(F.col(id), F.lit(0).cast(docs.schema[id].dataType)).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     hits = docs.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("pos", "s")).join(marks, "s")
@@ -88,11 +92,12 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", known: dict[st
     held = docs.join(small(stored(windows.select(*keys).distinct(), "license-documents")), keys, "left_semi").dropDuplicates(keys)
     said = held.select(*keys, F.posexplode(shingles(plain_words(F.col("text")), size)).alias("at", "s"))
     place = F.explode(F.filter(F.flatten(F.transform(F.array(*[F.lit(h) for h in sorted({window_length(len(w) - size + 1) for *_, w in listed})]), lambda h: F.transform(F.array(F.lit(0), F.lit(1)), lambda d: F.struct(h.alias("half"), ((F.floor(F.col("at") / h) - d) * h).cast("int").alias("start"))))), lambda w: w["start"] >= 0))
-    cut = said.select(*keys, "s", place.alias("w")).select(*keys, "s", F.col("w.half").alias("half"), F.col("w.start").alias("start")).join(small(windows), [*keys, "half", "start"])
-    cut = stored(cut.groupBy(*keys, "half", "start").agg(F.collect_set("s").alias("ws")), "license-cut")  # 2W shingles at most
-    marked = cut.select(*keys, "half", "start", F.posexplode(_signature(F.col("ws"))).alias("band", "value"))
-    met = marked.join(small(bands), ["half", "band", "value"]).select(*keys, "half", "start", "license", "template").distinct()
-    held = met.join(cut, [*keys, "half", "start"]).join(small(bench), ["license", "template", "half"])
-    held = held.withColumn("containment", F.size(F.array_intersect("ts", "ws")) / F.size("ts")).filter(F.col("containment") >= contained)
+    placed = said.select(*keys, "s", place.alias("w")).select(*keys, "s", F.col("w.half").alias("half"), F.col("w.start").alias("start"))
+    met = _signed(placed.join(small(windows), window), window).join(small(bands), ["half", "band", "value"])
+    met = stored(met.select(*window, "license", "template").distinct(), "license-met")
+    shared = placed.join(marks, ["half", "s"]).join(small(met), window).join(small(inside), ["license", "template", "half", "s"])
+    shared = shared.groupBy(*window, "license", "template").agg(F.countDistinct("s").alias("both"))
+    sizes = F.broadcast(bench.select("license", "template", "half", F.size("ts").alias("n")))  # a row per template
+    held = shared.join(sizes, ["license", "template", "half"]).withColumn("containment", F.col("both") / F.col("n")).filter(F.col("containment") >= contained)
     best = held.groupBy(*keys, "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("start"), (-F.col("template")).alias("template"))).alias("b"))
     return best.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text_key", "license", (-F.col("b.template")).alias("template"), F.col("b.containment").alias("containment"), (-F.col("b.start")).cast("long").alias("start"))
