@@ -44,7 +44,7 @@ SELECT page_id, href, score, row_number() OVER (PARTITION BY page_id ORDER BY sc
 @registered("product_links", _fall)
 def product_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U5, with the fallback for pages whose product URLs stand in scripts only."""
-    return discovery.product_links(view(spark, sf_dir, _SHOPS))
+    return discovery.product_links(view(spark, sf_dir, _SHOPS, even=True))
 
 
 _cat_last = f"coalesce(list_filter(string_split({duck.path('url')}, '/'), lambda s: s <> '')[-1], '')"
@@ -56,7 +56,7 @@ _seed = f"CASE WHEN regexp_matches({_seed_own}, '(?i)^[a-z]{{2}}[-_][a-z]{{2}}$'
 @registered("url_classes", f"WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT -k, url FROM ({PRODUCT_PAGES})) {_cat}, {_seed} AS seed FROM u")
 def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, U9."""
-    both = load(spark, sf_dir, "pages").select("page_id", "url").union(view(spark, sf_dir, PRODUCT_PAGES).select((-F.col("k")).alias("page_id"), "url"))
+    both = load(spark, sf_dir, "pages").select("page_id", "url").union(view(spark, sf_dir, PRODUCT_PAGES, even=True).select((-F.col("k")).alias("page_id"), "url"))
     return both.select("page_id", urls.is_category_url(F.col("url"), F.col("url")).alias("category"), urls.market_seed_url(F.col("url"), F.lit("US")).alias("seed"))
 
 
@@ -82,7 +82,7 @@ _SELECTORS = """SELECT c_custkey AS page_id, 'https://www.brand' || cast(c_custk
 @registered("storefronts", f"SELECT page_id, 'https://us.brand' || cast(page_id AS string) || '.com/' AS href FROM ({_SELECTORS}) WHERE kind IN (0, 1)")
 def storefronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U8: pages that ask for the country, in words or by four links of the brand."""
-    return discovery.storefront(view(spark, sf_dir, _SELECTORS), "US")
+    return discovery.storefront(view(spark, sf_dir, _SELECTORS, even=True), "US")
 
 
 _FETCHES = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 503 WHEN 2 THEN 200 WHEN 3 THEN 429 ELSE 401 END AS status, event_id % 3 AS h, CASE event_id % 4 WHEN 0 THEN 'Just a moment...' WHEN 1 THEN 'Access denied: reference #1' WHEN 2 THEN 'press & hold' ELSE 'captcha for ' || event_type END AS body FROM events"""
@@ -120,7 +120,7 @@ P = f"WITH p AS ({PRODUCT_PAGES})"
 @registered("jsonld_objects", P + " SELECT page_id, unnest(CASE kind WHEN 2 THEN ['w', p_name] WHEN 3 THEN [] WHEN 5 THEN ['o'] ELSE [p_name] END) AS name, unnest(CASE kind WHEN 2 THEN [false, true] WHEN 3 THEN [] WHEN 0 THEN [true] WHEN 4 THEN [true] ELSE [false] END) AS is_product FROM p")
 def jsonld_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O8."""
-    return structured.jsonld(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html")).select("page_id", F.try_variant_get("v", "$.name", "string").alias("name"), structured.is_type("Product").alias("is_product"))
+    return structured.jsonld(view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "url", "html")).select("page_id", F.try_variant_get("v", "$.name", "string").alias("name"), structured.is_type("Product").alias("is_product"))
 
 
 _home = "'https://shop.example.com/products/' || k"
@@ -138,7 +138,7 @@ SELECT page_id, n::INT AS n, url_canonical, product_title, 'About ' || p_brand A
   'shop:' || coalesce(o.own, sha1({_home})[1:12] || ':' || sha1(coalesce(variant_sku, product_title))[1:12]) AS source_product_id FROM o JOIN p USING (page_id)""")
 def page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O9, O2 in all its confidences: variants of a group, offers of a product, visible prices."""
-    found = structured.page_offers(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html"), "shop", "US")
+    found = structured.page_offers(view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "url", "html"), "shop", "US")
     return found.select("page_id", F.col("n").cast("int").alias("n"), "url_canonical", "product_title", "product_description", "variant_sku", "price_amount", "price_currency", "currency_confidence", "availability", "source_product_id")
 
 
@@ -146,13 +146,13 @@ def page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def currency_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O11, both lists of patterns."""
     h = F.col("html")
-    return view(spark, sf_dir, PRODUCT_PAGES).select("page_id", prices.currency_hint(h).alias("hint"), prices.currency_hint(h, prices.SHOP_CURRENCY_PATTERNS).alias("shop_hint"))
+    return view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", prices.currency_hint(h).alias("hint"), prices.currency_hint(h, prices.SHOP_CURRENCY_PATTERNS).alias("shop_hint"))
 
 
 @registered("best_objects", P + " SELECT page_id, p_name AS name, CASE kind WHEN 0 THEN 210 ELSE 0 END::INT AS url_match FROM p WHERE kind IN (0, 1, 2, 4)")
 def best_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C12."""
-    found = structured.best_object(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html"))
+    found = structured.best_object(view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "url", "html"))
     return found.select("page_id", F.try_variant_get("v", "$.name", "string").alias("name"), F.col("url_match").cast("int").alias("url_match"))
 
 
@@ -169,7 +169,7 @@ UNION ALL SELECT page_id, 0, 'AUTO-' || sha1({_home})[1:8], {_home}, 'Offer', 'D
 SELECT page_id, n::INT AS n, sha1(CASE WHEN kind IN (3, 4) THEN {_home} ELSE {_home} || '|' || sku || '|' || o.price END)[1:12] AS id, sku, p_name AS product_title, o.url, option_name, option_value, o.price, stock, array_to_string(image_urls, ' ') AS images FROM o JOIN p USING (page_id)""")
 def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C13, C14, C15, C10 nested."""
-    found = structured.page_products(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html"))
+    found = structured.page_products(view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "url", "html"))
     return found.select("page_id", F.col("n").cast("int").alias("n"), "id", "sku", "product_title", "url", "option_name", "option_value", "price", "stock", F.array_join("image_urls", " ").alias("images"))
 
 
@@ -177,7 +177,7 @@ def page_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14."""
     joined = lambda c: F.array_join(c, " ").alias(c)
-    return structured.signals(view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "url", "html")).select("page_id", "title", "canonical", "meta_description", joined("price_texts"), joined("meta_currencies"), joined("images"))
+    return structured.signals(view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "url", "html")).select("page_id", "title", "canonical", "meta_description", joined("price_texts"), joined("meta_currencies"), joined("images"))
 
 
 _list = "'Water, Glycerin, ' || p_name || ', Sodium Chloride, Fragrance.'"
@@ -186,14 +186,14 @@ _list = "'Water, Glycerin, ' || p_name || ', Sodium Chloride, Fragrance.'"
 @registered("harvest_blocks", P + f" SELECT page_id, 'label' AS kind, 'Ingredients' AS block FROM p UNION ALL SELECT page_id, 'near', {_list} FROM p")
 def harvest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1: labels and what stands next to them."""
-    pages = view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "html", F.lit("US").alias("market"))
+    pages = view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "html", F.lit("US").alias("market"))
     return harvest.blocks(pages).filter("kind in ('label', 'near')").select("page_id", "kind", "block")
 
 
 @registered("harvest_best", P + f", b AS (SELECT page_id, {_list} AS t, regexp_extract({_list}, '([A-Za-z0-9][A-Za-z0-9()/&+.''’ -]*(?:,\\s*[A-Za-z0-9][A-Za-z0-9()/&+.''’ -]*){{4,}})', 1) AS run FROM p) SELECT page_id, CASE WHEN run <> '' THEN trim(run) ELSE t END AS said, round(least(1.0, 0.65 + least(0.35, 0.08 * len(list_filter([{', '.join(q(w) for w in fixed.COMMON_TOKENS)}], lambda w: contains(lower(CASE WHEN run <> '' THEN trim(run) ELSE t END), w))))), 6)::DOUBLE AS score, true AS verified FROM b")
 def harvest_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 to H3, T5: the best block of each page, and whether the page shows it."""
-    pages = view(spark, sf_dir, PRODUCT_PAGES).select("page_id", "html", F.lit("US").alias("market"))
+    pages = view(spark, sf_dir, PRODUCT_PAGES, even=True).select("page_id", "html", F.lit("US").alias("market"))
     best = harvest.ranked_blocks(harvest.blocks(pages)).join(pages.select("page_id", ingredient_text.html_to_text(F.col("html")).alias("page")), "page_id")
     return best.select("page_id", "said", "score", harvest.verified(F.col("said"), F.col("page")).alias("verified"))
 
@@ -205,7 +205,7 @@ _POPUP = """SELECT p_partkey AS page_id, p_name || CASE p_partkey % 3 WHEN 2 THE
 @registered("variant_blocks", f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Aqua, Sodium Benzoate, ' || regexp_replace(product_name, ' - Porcelain$', '') || ', Glycerin, Citric Acid.' ELSE '' END AS said, page_id % 3 = 1 AS ambiguous FROM ({_POPUP}) WHERE page_id % 3 < 2")
 def variant_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4: the pop-up paragraph of the product's shade; ambiguous where only others are named."""
-    pages = view(spark, sf_dir, _POPUP)
+    pages = view(spark, sf_dir, _POPUP, even=True)
     return harvest.variant_blocks(harvest.blocks(pages), pages.select("page_id", "product_name")).select("page_id", "said", "ambiguous")
 
 

@@ -31,7 +31,7 @@ typed AS (SELECT *, CASE WHEN json_type(v, '$."@type"') = 'ARRAY' THEN json_extr
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, OBJECTS).select("page_id", "url", "html")
+    return view(spark, sf_dir, OBJECTS, even=True).select("page_id", "url", "html")
 
 
 @registered("jsonld_nested", _JSON + " SELECT page_id, script || '-' || item || '-' || node AS place, json_extract_string(v, '$.name') AS name, list_contains(types, 'Product') AS is_product FROM typed")
@@ -93,7 +93,7 @@ scored AS ({' UNION ALL '.join(f"SELECT page_id, {q(m)} AS market, href, pos, ex
 SELECT page_id, market, arg_max(href, (score, -pos)) AS href FROM scored JOIN asks USING (page_id) WHERE score >= 4 GROUP BY page_id, market""")
 def storefront_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U8: the stores of all four markets."""
-    pages = view(spark, sf_dir, COUNTRIES)
+    pages = view(spark, sf_dir, COUNTRIES, even=True)
     out = None
     for market in fixed.MARKET_WORDS:
         one = discovery.storefront(pages, market).select("page_id", F.lit(market).alias("market"), "href")
