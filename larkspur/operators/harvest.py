@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import fixed
-from larkspur.functions.core import collapse, strip, text
+from larkspur.functions.core import collapse, let, strip, text
 from larkspur.functions.ingredient_text import block_label_stripped, clean_block, has_inci_signal, ingredient_score, inline_sequence, is_script_or_json, meaningful
 from larkspur.operators.elements import blocks  # noqa: F401  (H1)
 from larkspur.operators.ingredients import INCI, parsed
@@ -14,8 +14,9 @@ from larkspur.scratch import stored
 
 def ranked_blocks(found: DataFrame) -> DataFrame:
     """H2: per page the best block: its inline sequence of ten characters or more, no script, score 0.3 or more; of equal ones the first, by score, length, place."""
-    rows = found.withColumn("said", inline_sequence(F.col("block"))).filter((F.length("said") >= 10) & ~is_script_or_json(F.col("said")))
-    rows = rows.withColumn("score", ingredient_score(F.col("said"))).filter("score >= 0.3")
+    good = lambda said: let(ingredient_score(said), lambda score: F.when((F.length(said) >= 10) & ~is_script_or_json(said) & (score >= 0.3), F.array(F.struct(said.alias("said"), score.alias("score")))))
+    # a filter on `said` would be moved before it and make it anew for each condition; nothing moves past an explosion
+    rows = found.select("page_id", "pos", F.explode_outer(let(inline_sequence(F.col("block")), good)).alias("b")).filter("b is not null").select("page_id", "pos", "b.*")
     first = Window.partitionBy("page_id", F.lower("said")).orderBy("pos")
     best = Window.partitionBy("page_id").orderBy(F.col("score").desc(), F.length("said"), "pos")
     rows = rows.withColumn("k", F.row_number().over(first)).filter("k = 1").withColumn("k", F.row_number().over(best)).filter("k = 1")
