@@ -98,14 +98,16 @@ def stream_candidates(landed: DataFrame, into: str | Callable[[DataFrame, int],
 # ---------------------------------------------------------------- X2
 
 CHANGES = "task_id string, status string, delta int"
+#: Lanes that rows are dealt to by hash. A call of Python takes a millisecond or more, so a batch makes one a lane and not one a row; checkpoints depend on the number.
+LANES = 1 << 13
 
 
 def status_changes(events: DataFrame) -> DataFrame:
     """The changes in the count of each task's rows by status: (task_id, status, delta), as a stream in append mode.
 
-    events: task_id, row_id, status, said_at (timestamp), seq (long). State is kept a row: its last status and the
-    place (time, seq) of that. A row's first status adds one; a later one with another status takes one from the old count and
-    adds one to the new. Events before the place of the state are late: they change nothing, as the row's last status
+    events: task_id, row_id, status, said_at (timestamp), seq (long). State holds each row's last status and the
+    place (time, seq) of that, and is kept by lane, a share of all rows by hash. A row's first status adds one; a later one
+    with another status takes one from the old count and adds one to the new. Events before the place of the state are late: they change nothing, as the row's last status
     is known already; repeated ones likewise. Nulls: events without task_id or row_id are left out, a null status
     counts as QUEUED, a null time as the earliest.
     """
@@ -115,19 +117,25 @@ def status_changes(events: DataFrame) -> DataFrame:
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        new = old
+        best: dict = {}
         for pdf in batches:
-            at, seq, status = max(zip(pdf["at"].tolist(), pdf["seq"].tolist(), pdf["status"].tolist(), strict=True))
-            if new is None or (at, seq) > (new[1], new[2]):
-                new = (status, at, seq)
-        if new != old:
-            state.update(new)
-        was, now = old and old[0], new and new[0]
-        if was != now:
-            yield pd.DataFrame([(key[0], s, d) for s, d in ((was, -1), (now, 1)) if s is not None], columns=["task_id", "status", "delta"])
-
-    return clean.groupBy("task_id", "row_id").applyInPandasWithState(step, CHANGES, "status string, at long, seq long", "append", GroupStateTimeout.NoTimeout)
+            for task, row, *new in zip(*(pdf[c].tolist() for c in ("task_id", "row_id", "at", "seq", "status")), strict=True):
+                if (task, row) not in best or new > best[task, row]:
+                    best[task, row] = new
+        held = {(task, row): said for task, row, *said in zip(*state.get, strict=True)} if state.exists else {}
+        changes = []
+        for (task, row), new in best.items():
+            old = held.get((task, row))
+            if old is None or new[:2] > old[:2]:
+                held[task, row] = new
+                if old is None or old[2] != new[2]:
+                    changes += [(task, s[2], d) for s, d in ((old, -1), (new, 1)) if s]
+        state.update(tuple(list(c) for c in zip(*((*k, *said) for k, said in held.items()), strict=True)))
+        if changes:
+            yield pd.DataFrame(changes, columns=["task_id", "status", "delta"])
+
+    lane = F.pmod(F.xxhash64("task_id", "row_id"), F.lit(LANES)).alias("lane")
+    return clean.withColumn("lane", lane).groupBy("lane").applyInPandasWithState(step, CHANGES, "tasks array<string>, rows array<string>, ats array<long>, seqs array<long>, statuses array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_task_progress(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
