@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.operators import audit, rows
 from larkspur.operators.ingredients import parsed
-from larkspur.scratch import read_text, replace_text, stored
+from larkspur.scratch import SPREAD, read_text, replace_text, small, stored
 
 #: Parts of a snapshot above which a merge also folds them into one.
 PARTS = 16
@@ -58,7 +58,8 @@ def merge_candidates(spark: SparkSession, root: str, batch: DataFrame, batch_id:
     Of rows of one row_id in the batch the last by updated_at counts (then by all values); rows without a row_id are left
     out. The batch is written as a part of its own and then named by a new manifest, which replaces the old one in one
     step. So a merge that is killed before leaves the old snapshot, and its part is never read; a merge costs as much as
-    its batch. Above `parts` parts they are folded into one.
+    its batch. Above `parts` parts they are folded into one. Only rows whose row_id the batch holds again are gathered by
+    it; for that its ids are read before its rows, so costly columns should be stored or not depend on ids.
     """
     held = _manifest(spark, root)
     if batch_id <= held["batch"]:
@@ -66,7 +67,10 @@ def merge_candidates(spark: SparkSession, root: str, batch: DataFrame, batch_id:
     path = f"{root}/part-{batch_id}-{uuid.uuid4().hex}"
     keep = [F.col(f"`{c}`") for c in batch.columns]
     newest = F.struct(F.col("updated_at") if "updated_at" in batch.columns else F.lit(None).cast("timestamp"), F.to_json(F.struct(*keep)))
-    batch.filter("row_id is not null").groupBy("row_id").agg(F.max_by(F.struct(*keep), newest).alias("row")).select("row.*").write.parquet(path)
+    given = batch.filter("row_id is not null")
+    again = small(stored(given.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row_id"), "stream-again"))
+    chosen = given.join(again, "row_id", "left_semi").groupBy("row_id").agg(F.max_by(F.struct(*keep), newest).alias("row")).select("row.*")
+    given.join(again, "row_id", "left_anti").select(*keep).unionByName(chosen).write.parquet(path)
     now = [*held["parts"], {"batch": batch_id, "path": path}]
     if len(now) > parts:
         whole = f"{root}/whole-{batch_id}-{uuid.uuid4().hex}"
@@ -85,7 +89,8 @@ def stream_candidates(landed: DataFrame, into: str | Callable[[DataFrame, int],
     spark = landed.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = stored(parsed(rows.aligned(batch)), "stream-parsed")
+        dealt = batch.repartition(SPREAD * spark.sparkContext.defaultParallelism)  # landed files may be few, and are read by row group
+        done = stored(parsed(rows.aligned(dealt)), "stream-parsed", compact=True)
         audited = audit.audited(done, with_duplicates=False)
         if callable(into):
             into(audited, batch_id)
