@@ -88,7 +88,10 @@ def sitemap_walk(sites: DataFrame, fetched: DataFrame, documents: int | None = N
     ends after so many, in that order. A null site or robots file counts as having no sitemaps of its own.
 
     Each level is stored once and joined with the links of indexes, which are read from the bodies once; the level
-    after it holds only documents that no level has yet. The loop ends with the first empty level.
+    after it holds only documents that no level has yet. The loop ends with the first empty level. Of a level only its
+    keys are broadcast, if their bytes are few, to pick what they meet out of links and earlier levels; the rest is joined
+    by a shuffle of what was picked. Stored tables are a fraction of their rows' size, so by their files all earlier
+    levels would be broadcast, through the driver, level after level.
     """
     spark = sites.sparkSession
     body = F.col("body")
@@ -106,23 +109,44 @@ def sitemap_walk(sites: DataFrame, fetched: DataFrame, documents: int | None = N
             front = front.withColumn("k", place).filter(F.col("k") <= documents)
             if level:
                 spent = spark.read.schema(f"{shape}, level int").parquet(root).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-                front = front.join(spent, "site").filter(F.col("k") + F.col("n") <= documents)
-        held = Observation()
-        front.select("site", "url", "way").observe(held, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}/level={level}")
+                front = front.join(spent.hint("merge"), "site").filter(F.col("k") + F.col("n") <= documents)
+        bytes_of = _kept(front, f"{root}/level={level}")
         walked = spark.read.schema(f"{shape}, level int").parquet(root)
-        if held.get["n"] == 0:
+        if not bytes_of:
             return walked
-        now = spark.read.schema(shape).parquet(f"{root}/level={level}")
-        found = now.withColumnRenamed("url", "from").join(links_of, "from").select("site", "url", F.concat("way", F.array("at")).alias("way"))
-        front = found.groupBy("site", "url").agg(F.min("way").alias("way")).join(walked.select("site", "url"), ["site", "url"], "left_anti")
+        now = spark.read.schema(shape).parquet(f"{root}/level={level}").withColumnRenamed("url", "from")
+        met = links_of.join(_narrow(now.select("from"), bytes_of), "from", "left_semi")
+        reached = now.join(met.hint("merge"), "from").groupBy("site", "url").agg(F.min(F.concat("way", F.array("at"))).alias("way"))
+        path = scratch_path(spark, "sitemap-reached")
+        bytes_of = _kept(reached, path)
+        reached = spark.read.schema(shape).parquet(path)
+        seen = walked.select("site", "url").join(_narrow(reached.select("site", "url"), bytes_of), ["site", "url"], "left_semi")
+        front = reached.join(seen.hint("merge"), ["site", "url"], "left_anti")
         level += 1
 
 
+#: Bytes of a level's keys up to which they are broadcast; low, as each level's pass through the driver.
+LEVEL_BYTES = 8 << 20
+
+
+def _kept(front: DataFrame, path: str) -> int:
+    """Writes site, url and way, and tells how many bytes the first two take (0: there are no rows)."""
+    held = Observation()
+    size = F.octet_length("site") + F.octet_length("url") + 16
+    front.select("site", "url", "way").observe(held, F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("n")).write.parquet(path)
+    return held.get["n"]
+
+
+def _narrow(keys: DataFrame, size: int) -> DataFrame:
+    """The keys of a level with the hint for the join that picks what they meet out of larger tables."""
+    return F.broadcast(keys) if size <= LEVEL_BYTES else keys.hint("merge")
+
+
 def sitemap_products(sites: DataFrame, fetched: DataFrame, documents: int | None = None, limit: int | None = None) -> DataFrame:
     """Site, loc and rank of the product-like http locs of each site's sitemaps, in the order of sitemap_walk; with `limit` the first so many a site."""
     body = F.col("body")
     pages = fetched.filter(is_xml(body, F.lit("")) & ~is_sitemap_index(body)).select("url", F.posexplode(sitemap_locs(body)).alias("at", "loc"))
-    locs = sitemap_walk(sites, fetched, documents).join(pages, "url")
+    locs = sitemap_walk(sites, fetched, documents).join(pages.hint("merge"), "url")
     good = locs.filter(urls.is_http(F.col("loc")) & urls.is_product_url(F.col("loc"), F.col("site"))).groupBy("site", "loc").agg(F.min(F.struct("level", "way", "at")).alias("first"))
     ranked = good.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("first", "loc")))
     return ranked.filter(F.lit(True) if limit is None else F.col("rank") <= limit).select("site", "loc", "rank")

@@ -44,7 +44,7 @@ _CHAIN = "SELECT DISTINCT l_linenumber + 7 * (l_orderkey % 8) AS n FROM lineitem
 
 
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, chain = view(spark, sf_dir, SITES), view(spark, sf_dir, _CHAIN)
+    sites, chain = view(spark, sf_dir, SITES), F.broadcast(view(spark, sf_dir, _CHAIN))  # at most 50 rows; by its size in lineitem the sites would be broadcast
     linked, listed = (spark.sql(t.replace("FROM sites", "FROM {sites}").replace("JOIN chain", "JOIN {chain}"), sites=sites, chain=chain) for t in (_LINKED, _LISTED))
     return spark.sql(_bodies("spark").replace("FROM linked", "FROM {linked}").replace("FROM listed", "FROM {listed}").replace("FROM sites", "FROM {sites}"), linked=linked, listed=listed, sites=sites)
 
